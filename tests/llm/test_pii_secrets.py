@@ -1,0 +1,78 @@
+import hashlib
+import random
+import re
+
+from scenelake.llm import pii, secrets
+from tests.llm.docs import AWKWARD, table
+
+TOKENS = ["a", "b.c", "@", ".", "x-y", "1", "23", "255", "256", ".1", "4111 1111 1111 1111", "+", "+1 (555) 123-4567", "-", " ", "é", "foo@bar.com", "\n", "𝒳", "+49", "0",
+          "token", "SECRET", "api_key", "apikey", "=", ":", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "zzz", "/"]
+
+
+def random_texts(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice(TOKENS) for _ in range(r.randint(0, 16))) for _ in range(n)]
+
+
+def base_pii(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def base_secrets(t):
+    pat = r"""((?:p|P)(?i:assword|asswd)|(?i:s)ecret|(?i:secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out = [("assign", *m.span()) for m in re.finditer(pat, t, re.A) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def sha(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_pii_base_matches_brute_force(spark):
+    texts = AWKWARD + random_texts(800, 1)
+    got = {r["doc_id"]: r for r in pii.digest(pii.scan(table(spark, texts))).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i]["base_sha256"] == sha(base_pii(t or "")), t
+
+
+def test_pii_cues_links_and_mask():
+    a = pii.automaton()
+    t = "SSN: 123-45-6789, IBAN DE89370400440532013000; Account no. 1234567890 mailto:joe@example.org"
+    kinds = [k for k, _, _ in pii.find(t, a)]
+    assert {"ssn", "iban", "account", "link", "email"} <= set(kinds)
+    assert "123-45-6789" not in pii.mask(t, pii.find(t, a))
+    assert pii.find("IBAN DE89370400440532013001 and ssn 000-12-3456", a) == []
+
+
+def test_secret_base_matches_brute_force(spark):
+    texts = AWKWARD + random_texts(800, 2)
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(table(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["base_sha256"] == sha(base_secrets(t or "")), t
+
+
+def test_randomness_battery_tells_keys_from_names(spark):
+    r = random.Random(5)
+    alphabet = secrets.ALPHABETS["base62"]
+    keys = ["".join(r.choice(alphabet) for _ in range(40)) for _ in range(60)]
+    names = [f"someLongIdentifierNumber{i}InThisCodeBase" for i in range(60)]
+    docs = table(spark, [f"see {k} there" for k in keys + names])
+    found = {x["doc_id"]: x["secret_spans"] for x in secrets.scan(docs).collect()}
+    hits = [any(s["kind"] == "random" and s["start"] == 4 and s["end"] == 44 for s in found[i]) for i in range(60)]
+    assert sum(hits) >= 50
+    assert sum(bool(found[i]) for i in range(60, 120)) <= 3
+
+
+def test_empty_tables(spark):
+    empty = table(spark, ["x"]).where("false")
+    assert secrets.scan(empty).count() == 0 and pii.scan(empty).count() == 0
