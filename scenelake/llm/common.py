@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenelake.plans.lineage import cut
+
+__all__ = ["cut"]
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,26 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a session without one gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        sc.setCheckpointDir(told)
-    elif sc.master.startswith("local["):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm import packing, pii, quality, secrets, sharding
-from scenelake.llm.common import read_table
+from scenelake.llm import fingerprint, langid, neardup, packing, pii, quality, secrets, sharding
+from scenelake.llm.common import fold_of, read_table
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs))
 
 
+def op3_minhash_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(read_table(spark, sf_dir, "documents")))
 
@@ -22,16 +26,39 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(read_table(spark, sf_dir, "documents")))
 
 
+def op7_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(read_table(spark, sf_dir, "documents"))
+
+
 def op8_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.range_shards(sharding.sized(read_table(spark, sf_dir, "documents")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_sparse_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of("doc_id", 4) == 2
+    model = langid.fit(docs, learn=~held_out)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.digest(quality.judge(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_pii_anchors, op5_best_fit_packing, op8_splitter_shards, op10_weak_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_secret_scan,
+        op3_minhash_postings,
+        op4_pii_anchors,
+        op5_best_fit_packing,
+        op7_one_permutation,
+        op8_splitter_shards,
+        op9_sparse_langid,
+        op10_weak_quality,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
