@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm import fingerprint, langid, neardup, packing, pii, quality, secrets, sharding
+from scenelake.llm import fingerprint, langid, neardup, ngram, packing, pii, quality, secrets, sharding
 from scenelake.llm.common import fold_of, read_table
 
 
@@ -26,6 +26,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(read_table(spark, sf_dir, "documents")))
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(read_table(spark, sf_dir, "documents"))
+
+
 def op7_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(read_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
         op3_minhash_postings,
         op4_pii_anchors,
         op5_best_fit_packing,
+        op6_deleted_interpolation,
         op7_one_permutation,
         op8_splitter_shards,
         op9_sparse_langid,
