@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm import fingerprint, langid, neardup, ngram, packing, pii, quality, secrets, sharding
+from scenelake.llm import fingerprint, langid, lattice, neardup, ngram, packing, pii, quality, secrets, sharding
 from scenelake.llm.common import fold_of, read_table
 
 
+def op1_gumbel_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.sample_segmentations(read_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs))
@@ -54,6 +58,7 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_gumbel_lattice,
         op2_secret_scan,
         op3_minhash_postings,
         op4_pii_anchors,
