@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import WORD_SPACE, text_or_empty
+from scenelake.llm.common import WORD_SPACE, cut, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -161,19 +161,24 @@ def posterior_column(votes_col: str, model: LabelModel) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
-def judge(docs: DataFrame, spec: QualitySpec = QualitySpec(), *, text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, spec: QualitySpec = QualitySpec(), *, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` with _q (statistics), base_failed, posterior and kept.
 
     The counts of vote patterns over all documents (at most 3 ** 8 rows) come to the driver, where
-    expectation-maximisation estimates the rules' accuracies without labels. One row per input row.
-    A text without words fails the base rule.
+    expectation-maximisation estimates the rules' accuracies without labels. With ``keep`` only those columns of
+    ``docs`` stay and the statistics are materialised, so each text is measured once; else they are measured again
+    after the estimation. One row per input row. A text without words fails the base rule.
     """
-    measured = measure(docs, text_col).withColumn("_v", votes())
+    # The row number keeps a filter on the verdict above this projection: pushed below, it would repeat the statistics.
+    measured = measure(docs, text_col).withColumns({"_v": votes(), "_row": F.monotonically_increasing_id()})
+    if keep is not None:
+        measured = cut(measured.select(*keep, "_q", "_v", "_row"))
     patterns = [(tuple(r["_v"]), r["n"]) for r in measured.groupBy("_v").agg(F.count("*").alias("n")).collect()]
     model = fit(sorted(patterns), spec)
     failed = (F.col("_q.n_words") < spec.least_words) | (100 * F.col("_q.n_repeat_words") > spec.most_repeat_percent * F.col("_q.n_words"))
     out = measured.withColumns({"base_failed": failed, "posterior": posterior_column("_v", model)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= spec.least_posterior)).drop("_v")
+    verdict = ~F.col("base_failed") & (F.col("posterior") >= spec.least_posterior) & (F.col("_row") >= 0)
+    return out.withColumn("kept", verdict).drop("_v", "_row")
 
 
 def digest(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:

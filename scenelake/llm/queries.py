@@ -52,7 +52,7 @@ def op9_sparse_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.digest(quality.judge(docs))
+    return quality.digest(quality.judge(docs, keep=("doc_id",)))
 
 
 QUERIES = {
