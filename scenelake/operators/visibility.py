@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as G
+from scenelake.plans.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ def affine_fit(pairs: DataFrame, *, trim: float = 0.8, rounds: int = 4, least: i
     predicted constant c gives the least-norm answer. Every round judges all rows; a group that keeps too few stops.
     """
     trim = min(1.0, max(0.1, trim))
-    rows = pairs.where(G.finite("predicted") & G.finite("target")).select(key, F.col("predicted").cast("double").alias("x"), F.col("target").cast("double").alias("y"))
+    rows = cut(pairs.where(G.finite("predicted") & G.finite("target")).select(key, F.col("predicted").cast("double").alias("x"), F.col("target").cast("double").alias("y")))
     state = rows.withColumns({"keep": F.lit(True)})
     fit = None
     for _ in range(rounds):
@@ -99,11 +100,11 @@ def affine_fit(pairs: DataFrame, *, trim: float = 0.8, rounds: int = 4, least: i
             old = fit.select(key, F.col("scale").alias("_s"), F.col("shift").alias("_b"))
             stop = F.col("k") < least
             now = now.join(old, key).select(key, "n", "k", F.when(stop, F.col("_s")).otherwise(F.col("scale")).alias("scale"), F.when(stop, F.col("_b")).otherwise(F.col("shift")).alias("shift"))
-        fit = now
+        fit = cut(now)  # one row a frame; each round is used twice
         judged = rows.join(fit, key).withColumn("res", F.abs(F.col("scale") * F.col("x") + F.col("shift") - F.col("y")))
-        cut = judged.groupBy(key).agg(F.percentile("res", F.lit(trim)).alias("cut"), F.median("res").alias("residual"))
-        state = judged.join(cut, key).select(key, "x", "y", (F.col("res") <= F.col("cut")).alias("keep"))
-        fit = fit.join(cut.select(key, "residual"), key)
+        limit = judged.groupBy(key).agg(F.percentile("res", F.lit(trim)).alias("limit"), F.median("res").alias("residual"))
+        state = judged.join(limit, key).select(key, "x", "y", (F.col("res") <= F.col("limit")).alias("keep"))
+        fit = fit.join(limit.select(key, "residual"), key)
     few = F.col("n") < least
     return fit.select(key, F.when(few, 1.0).otherwise(F.col("scale")).alias("scale"), F.when(few, 0.0).otherwise(F.col("shift")).alias("shift"), F.when(few, float("inf")).otherwise(F.col("residual")).alias("residual"))
 
