@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,7 @@ from pyspark.sql import functions as F
 from scenelake.functions import color as C
 from scenelake.functions import geometry as G
 from scenelake.functions import labels as L
-from scenelake.operators import editing, evaluation, learning, masks, quality, spatial, visibility, voting
-from scenelake.operators.graph import connected_components
+from scenelake.operators import evaluation, quality, spatial, visibility, voting
 from scenelake.plans import adapt as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,10 +89,6 @@ def _projected(s: A.Scene) -> DataFrame:
     return visibility.project_points(s.points, s.frames, A.CAMERA)
 
 
-def _first(df: DataFrame, key: str, order) -> DataFrame:
-    return df.groupBy(key).agg(F.min(order))
-
-
 # Votes, association, grouping
 
 
