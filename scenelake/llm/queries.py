@@ -71,4 +71,17 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Near-duplicates by brute force: shingle sets, sizes of all non-empty intersections, closure of the links.
+_OP3_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+ FROM (SELECT doc_id, w, UNNEST(generate_series(1, GREATEST(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY 1),
+links AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+ JOIN sizes m ON m.doc_id = p.a JOIN sizes k ON k.doc_id = p.b WHERE 100 * c >= 75 * (m.n + k.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, COALESCE(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a, MIN(b) AS component_id FROM reach GROUP BY 1) c ON c.a = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_minhash_postings": _OP3_SQL}
