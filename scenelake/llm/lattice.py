@@ -31,9 +31,9 @@ class SampleSpec:
     alpha: float = 1.0
     seed: int = 1
     #: code points that a batch of texts may hold; a longer text is a batch of its own
-    batch_chars: int = 4_000_000
+    batch_chars: int = 400_000
     #: branches whose probability is below exp of this are not opened; far under what a double resolves beside 1
-    least_log_mass: float = -80.0
+    least_log_mass: float = -40.0
 
 
 def default_model_path() -> str:
@@ -114,6 +114,13 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def unit_of(node: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Unit of each node, by the units' last nodes."""
+    out = np.zeros(int(last[-1]) + 2, np.int32)
+    out[last + 1] = 1
+    return np.cumsum(out, dtype=np.int32)[node]
+
+
 class _Numbered(dict):
     """Numbers keys in the order they are first asked for."""
 
@@ -123,79 +130,105 @@ class _Numbered(dict):
 
 
 class Lattice:
-    """Lattices of many units side by side; a node is a code point's place in their concatenation.
+    """Lattices of many units side by side. A unit of n code points has n + 1 nodes, the last its end.
 
-    Edges are grouped by start node. ``log_q`` is the log-probability of an edge given its start: piece weight times
-    the total weight of what may follow, over the total from the start (backward sums).
+    Edges are grouped by start node. ``q`` is the probability of an edge given its start: piece weight times the total
+    weight of what may follow, over the total from the start (backward sums).
     """
 
+    #: Log weight that is given back for each code point, about what a path loses: sums stay near 1.
+    gain = 2.8
+
     def __init__(self, units: list[str], model: Pieces, alpha: float):
         text = "".join(units)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        n = len(points)
-        chars = model.code[points]
-        unit_end = np.repeat(self.ends, sizes)
+        number = np.arange(len(units))
+        ends = np.cumsum(sizes)
+        self.starts = ends - sizes + number  # first node of each unit
+        self.size = sizes
+        n = len(self.points)
+        self.nodes = n + len(units)
+        chars = model.code[self.points]
+        unit = np.repeat(number, sizes)
+        room = ends[unit] - np.arange(n)  # code points from here to the end of the unit
         state, at = np.zeros(n, np.int32), np.arange(n)
-        single = np.zeros(n, bool)
-        froms, lens, ids, weights = [], [], [], []
+        found, seen = [], np.zeros(n, np.int8)
         for length in range(1, model.longest + 1):
-            state = model.step(state, chars[at + length - 1])
-            alive = state >= 0
+            state = model.step(state, chars[at + (length - 1)])
+            alive = np.flatnonzero(state >= 0)
             state, at = state[alive], at[alive]
-            ends_here = np.flatnonzero(model.piece[state] >= 0)
-            froms.append(at[ends_here])
-            lens.append(np.full(len(ends_here), length, np.int32))
-            ids.append(model.piece[state[ends_here]])
-            weights.append(model.weight[state[ends_here]])
-            if length == 1:
-                single[at[ends_here]] = True
-            room = at + length < unit_end[at]
-            state, at = state[room], at[room]
-        spelt = np.flatnonzero(~single)
-        width = np.array([1, 2, 3, 4])[(points[spelt] > 0x7F).astype(int) + (points[spelt] > 0x7FF) + (points[spelt] > 0xFFFF)]
-        froms.append(spelt)
-        lens.append(np.ones(len(spelt), np.int32))
-        ids.append(np.full(len(spelt), -1, np.int32))
-        weights.append(model.byte_weight * width)
-        start = np.concatenate(froms)
-        order = np.argsort(start, kind="stable")
-        self.points = points
-        self.from_, self.len, self.id = start[order], np.concatenate(lens)[order], np.concatenate(ids)[order]
-        w = alpha * np.concatenate(weights)[order]
-        self.first = np.searchsorted(self.from_, np.arange(n + 1))
-        self._backward(w, unit_end, n)
-
-    def _backward(self, w: np.ndarray, unit_end: np.ndarray, n: int) -> None:
-        beta = np.zeros(n + 1)
-        to_end = unit_end - np.arange(n)
-        is_end = to_end[self.from_] == self.len
-        by = np.argsort(to_end[self.from_], kind="stable")  # all edges of a node stay together
-        dist = to_end[self.from_[by]]
-        cuts = np.append(np.flatnonzero(np.diff(dist, prepend=-1)), len(dist))
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            e = by[lo:hi]
-            node = self.from_[e]
-            value = w[e] + np.where(is_end[e], 0.0, beta[np.minimum(node + self.len[e], n)])
-            heads = np.flatnonzero(np.diff(node, prepend=-1))
-            top = np.maximum.reduceat(value, heads)
-            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(heads, len(node))))), heads)
-            beta[node[heads]] = top + np.log(total)
-        after = np.where(is_end, 0.0, beta[np.minimum(self.from_ + self.len, n)])
-        self.log_q = np.minimum(w + after - beta[self.from_], 0.0)
-        q = np.exp(self.log_q)
-        run = np.cumsum(q)
-        before = np.append(0.0, run)[self.first[self.from_]]
-        cdf = np.minimum(run - before, 1.0)
-        cdf[self.first[1:] - 1] = 1.0
-        self.mono = self.from_ + cdf
+            full = np.flatnonzero(model.piece[state] >= 0)
+            if len(full):
+                found.append((at[full], seen[at[full]], length, state[full]))
+                seen[at[full]] += 1
+            if length == 1 and len(spelt := np.flatnonzero(seen == 0)):
+                found.append((spelt, 0, 1, None))
+                seen[spelt] = 1
+            more = np.flatnonzero(room[at] > length)
+            state, at = state[more], at[more]
+        first = np.cumsum(seen, dtype=np.int64)
+        total, first = int(first[-1]), first - seen  # edges before each code point's own
+        node = np.arange(n) + unit
+        self.from_, self.len, self.id = np.empty(total, np.int32), np.empty(total, np.int8), np.empty(total, np.int32)
+        w = np.empty(total)
+        by_state = alpha * model.weight
+        for where, rank, length, state in found:
+            e = first[where] + rank
+            self.from_[e] = node[where]
+            self.len[e] = length
+            if state is None:
+                p = self.points[where]
+                width = 1 + (p > 0x7F).astype(int) + (p > 0x7FF) + (p > 0xFFFF)
+                self.id[e], w[e] = -1, alpha * model.byte_weight * width + self.gain
+            else:
+                self.id[e], w[e] = model.piece[state], by_state[state] + self.gain * length
+        self.first = np.empty(self.nodes + 1, np.int64)
+        self.first[node] = first
+        last = self.starts + sizes
+        self.first[last] = np.append(first[ends[:-1]], total)
+        self.first[-1] = total
+        dist = room[(self.from_ - unit_of(self.from_, last))]
+        self._backward(w, dist, last)
+
+    def _backward(self, w: np.ndarray, dist: np.ndarray, last: np.ndarray) -> None:
+        by = np.argsort(dist.astype(np.uint16) if dist.max(initial=0) < 1 << 16 else dist, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(dist[by], prepend=-1)), len(dist))
+        start, ahead = self.from_[by], self.from_[by] + self.len[by]
+        heads = np.flatnonzero(np.diff(start, prepend=-1))
+        bounds = np.searchsorted(heads, cuts)
+        value = np.exp(w)[by]
+        beta = np.zeros(self.nodes)
+        beta[last] = 1.0
+        for k in range(len(cuts) - 1):
+            lo, hi = cuts[k], cuts[k + 1]
+            h = heads[bounds[k] : bounds[k + 1]]
+            beta[start[h]] = np.add.reduceat(value[lo:hi] * beta[ahead[lo:hi]], h - lo)
+        if (beta > 1e-280).all() and (beta < 1e280).all():
+            self.q = np.exp(w) * beta[self.from_ + self.len] / beta[self.from_]
+        else:  # sums left the range of doubles: long units, or many code points in bytes
+            beta[last] = 0.0
+            value = w[by]
+            for k in range(len(cuts) - 1):
+                lo, hi = cuts[k], cuts[k + 1]
+                h = heads[bounds[k] : bounds[k + 1]]
+                v = value[lo:hi] + beta[ahead[lo:hi]]
+                top = np.maximum.reduceat(v, h - lo)
+                rest = np.exp(v - np.repeat(top, np.diff(np.append(h, hi))))
+                beta[start[h]] = top + np.log(np.add.reduceat(rest, h - lo))
+            self.q = np.exp(w + beta[self.from_ + self.len] - beta[self.from_])
+        np.minimum(self.q, 1.0, out=self.q)
+        lead = np.flatnonzero(np.diff(self.from_, prepend=-1))
+        run = np.cumsum(self.q)
+        self.mono = run - np.repeat(run[lead] - self.q[lead], np.diff(np.append(lead, len(run))))
+        np.minimum(self.mono, 1.0, out=self.mono)
+        self.mono[np.append(lead[1:], len(run)) - 1] = 1.0
+        self.mono += self.from_
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node that a uniform number picks."""
         e = np.searchsorted(self.mono, node + u, side="right")
-        return np.clip(e, self.first[node], self.first[node + 1] - 1)
+        return np.minimum(e, self.first[node + 1] - 1)
 
 
 _SCALE = 2.0**-53
@@ -224,7 +257,7 @@ def sample_batch(seeds: np.ndarray, texts: list[str], model: Pieces, spec: Sampl
     if not len(occ):
         return [[(np.empty(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
     lat = Lattice(list(index), model, spec.alpha)
-    size = (lat.ends - lat.starts)[occ]
+    size = lat.size[occ]
     base = np.cumsum(size) - size  # place of each occurrence among all code points of the batch
     by_unit = base[np.argsort(occ, kind="stable")]  # so that edges are looked up in the order they lie in memory
     total = int(size.sum())
@@ -249,15 +282,14 @@ def sample_batch(seeds: np.ndarray, texts: list[str], model: Pieces, spec: Sampl
     results: list[list] = [[] for _ in docs]
     heaps: list[list] = [[] for _ in docs]
     for s in range(1, spec.samples + 1):
-        fresh = free(s)
+        fresh, left = free(s), []
         for d in range(len(docs)):
             lo, hi = doc_start[d], doc_start[d + 1]
             if lo == hi:
                 if s == 1:
                     results[d].append((np.empty(0, np.int64), np.empty(0, np.int32), 0.0, 0.0))
                 continue
-            seed = seeds[d : d + 1]
-            own = fresh[lo:hi]
+            seed, own = seeds[d : d + 1], fresh[lo:hi]
             if s == 1:
                 g = float(-np.log(-np.log(_uniform(seed, 0, np.zeros(1, np.int64))[0])))
                 places = np.flatnonzero(own >= 0)
@@ -271,7 +303,7 @@ def sample_batch(seeds: np.ndarray, texts: list[str], model: Pieces, spec: Sampl
                 place = int(old_places[kept])
                 node = place + lo + to_node[place + lo]
                 options = np.array([e for e in range(lat.first[node], lat.first[node + 1]) if e not in banned])
-                p = np.exp(lat.log_q[options] - lat.log_q[options].max())
+                p = lat.q[options]
                 u = _uniform(seed, 2000 + s, np.array([place]))[0]
                 e = int(options[min(np.searchsorted(np.cumsum(p) / p.sum(), u), len(options) - 1)])
                 new_places, new_edges = [place], [e]
@@ -285,9 +317,10 @@ def sample_batch(seeds: np.ndarray, texts: list[str], model: Pieces, spec: Sampl
                 tail = np.flatnonzero(own[stop:] >= 0) + stop
                 places = np.concatenate([old_places[:kept], new_places, tail]).astype(np.int64)
                 edges = np.concatenate([old_edges[:kept], new_edges, own[tail]]).astype(np.int32)
-            logs = lat.log_q[edges]
+            logs = np.log(np.maximum(lat.q[edges], 1e-300))
             results[d].append((places, edges, float(logs.sum()), g))
-            _branch(heaps[d], lat, places, edges, logs, kept, banned, g, seed, s, len(results[d]) - 1, spec)
+            left.append((heaps[d], places, edges, logs, kept, banned, g, seeds[d], len(results[d]) - 1))
+        _branch(left, lat, s, spec)
     out = []
     for d, own in enumerate(results):
         kappa = -heaps[d][0][0] if heaps[d] else -np.inf
@@ -300,36 +333,56 @@ def sample_batch(seeds: np.ndarray, texts: list[str], model: Pieces, spec: Sampl
     return out
 
 
-def _branch(heap, lat, places, edges, logs, kept, banned, bound, seed, sample, number, spec) -> None:
-    """Push the sets that leave the new path at its place ``kept`` or later."""
-    before = float(logs[:kept].sum())
-    width = 128
-    while True:  # the mass falls fast, so a short stretch of the path will do
-        own = logs[kept : kept + width]
-        mass = before + np.cumsum(own) - own
-        if kept + width >= len(logs) or mass[-1] < spec.least_log_mass:
-            break
-        width *= 4
-    n = int(np.searchsorted(-mass, -spec.least_log_mass, side="right"))
-    own, mass = own[:n], mass[:n]
+def _branch(paths: list[tuple], lat: Lattice, sample: int, spec: SampleSpec, width: int = 64) -> None:
+    """Push, for each new path, the sets that leave it at its place ``kept`` or later.
+
+    All paths are done side by side on their next ``width`` places; the mass that is left falls fast, and paths whose
+    mass is not spent by then are done again on more places.
+    """
+    paths = [p for p in paths if p[4] < len(p[2])]
+    if not paths:
+        return
+    edge = np.zeros((len(paths), width), np.int64)
+    place = np.zeros((len(paths), width), np.int64)
+    own = np.zeros((len(paths), width))
+    lost = np.zeros(len(paths))
+    again, spare_of_first = [], np.ones(len(paths), np.int64)
+    for k, (_, places, edges, logs, kept, banned, _, _, _) in enumerate(paths):
+        n = min(width, len(edges) - kept)
+        edge[k, :n], place[k, :n], own[k, :n] = edges[kept : kept + n], places[kept : kept + n], logs[kept : kept + n]
+        lost[k] = lat.q[list(banned)].sum() if banned else 0.0
+        spare_of_first[k] += len(banned)
+    before = np.array([float(p[3][: p[4]].sum()) if p[4] else 0.0 for p in paths])
+    mass = before[:, None] + np.cumsum(own, axis=1) - own
+    length = np.array([len(p[2]) - p[4] for p in paths])
+    if width < length.max():
+        open_ = (length > width) & (mass[:, -1] >= spec.least_log_mass)
+        again = np.flatnonzero(open_).tolist()
     gone = np.exp(own)
-    if banned and len(gone):
-        gone[0] += np.exp(lat.log_q[list(banned)]).sum()
+    gone[:, 0] += lost
+    node = lat.from_[edge]
+    degree = lat.first[node + 1] - lat.first[node]
+    need = np.ones((len(paths), width), np.int64)
+    need[:, 0] = spare_of_first
     with np.errstate(divide="ignore"):
         loc = mass + np.log1p(-np.minimum(gone, 1.0))
-    node_edges = edges[kept : kept + n]
-    node = lat.from_[node_edges]
-    spare = (lat.first[node + 1] - lat.first[node]) > 1 + (np.arange(len(own)) == 0) * len(banned)
-    ok = np.flatnonzero(spare & (loc > -np.inf))
-    if not len(ok):
-        return
-    u = _uniform(np.repeat(seed, len(ok)), 1000 + sample, places[kept + ok])
-    g = loc[ok] - np.log(np.exp(np.minimum(loc[ok] - bound, 700.0)) - np.log(u))
-    room = spec.samples + 1
-    for k in np.argsort(-g)[:room]:
-        i = int(ok[k])
-        more = banned if i == 0 else frozenset()
-        heapq.heappush(heap, (-float(g[k]), number, kept + i, more | {int(node_edges[i])}))
+    ok = (np.arange(width) < length[:, None]) & (degree > need) & (loc > -np.inf) & (mass >= spec.least_log_mass)
+    seed = np.array([p[7] for p in paths], np.uint64)
+    bound = np.array([p[6] for p in paths])
+    u = _uniform(np.repeat(seed, width), 1000 + sample, place.ravel()).reshape(place.shape)
+    with np.errstate(over="ignore"):
+        g = np.where(ok, loc - np.log(np.exp(np.minimum(loc - bound[:, None], 700.0)) - np.log(u)), -np.inf)
+    best = np.argsort(-g, axis=1)[:, : spec.samples + 1]
+    redo = set(again)
+    for k, (heap, _, _, _, kept, banned, _, _, number) in enumerate(paths):
+        if k in redo:
+            continue
+        for i in best[k].tolist():
+            if g[k, i] == -np.inf:
+                break
+            heapq.heappush(heap, (-float(g[k, i]), number, kept + i, (banned if i == 0 else frozenset()) | {int(edge[k, i])}))
+    if again:
+        _branch([paths[k] for k in again], lat, sample, spec, width * 8)
 
 
 def _ids(lat: Lattice, model: Pieces, edges: np.ndarray) -> np.ndarray:
@@ -337,9 +390,15 @@ def _ids(lat: Lattice, model: Pieces, edges: np.ndarray) -> np.ndarray:
     spelt = np.flatnonzero(ids < 0)
     if not len(spelt):
         return ids
+    node = lat.from_[edges[spelt]]
+    points = lat.points[node - np.searchsorted(lat.starts, node, side="right") + 1]
+    ids[spelt] = model.byte_id[np.minimum(points, 0x7F)]
+    wide = np.flatnonzero(points > 0x7F)
+    if not len(wide):
+        return ids
     out, at = [], 0
-    for i in spelt:
-        c = chr(int(lat.points[lat.from_[edges[i]]]))
+    for i, p in zip(spelt[wide].tolist(), points[wide].tolist(), strict=True):
+        c = chr(p)
         raw = (SPACE if c == _LITERAL else c).encode("utf-8", "surrogatepass")
         out += [ids[at:i], model.byte_id[list(raw)]]
         at = i + 1
