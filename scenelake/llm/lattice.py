@@ -32,6 +32,8 @@ class SampleSpec:
     seed: int = 1
     #: code points that a batch of texts may hold; a longer text is a batch of its own
     batch_chars: int = 400_000
+    #: code points of the texts whose paths are drawn side by side
+    path_chars: int = 400_000
     #: branches whose probability is below exp of this are not opened; far under what a double resolves beside 1
     least_log_mass: float = -40.0
 
@@ -240,6 +242,17 @@ def _uniform(seed: np.ndarray, sample: int, at: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * _SCALE
 
 
+_MASK = (1 << 64) - 1
+
+
+def _uniform_one(seed: int, sample: int, at: int) -> float:
+    """One number of :func:`_uniform`."""
+    h = (seed + sample * 0xD6E8FEB86659FD93 + at * 0x9E3779B97F4A7C15) & _MASK
+    h = ((h ^ (h >> 32)) * 0xC2B2AE3D27D4EB4F) & _MASK
+    h = ((h ^ (h >> 29)) * 0x9E3779B97F4A7C15) & _MASK
+    return (((h ^ (h >> 32)) >> 11) + 0.5) * _SCALE
+
+
 def sample_batch(seeds: np.ndarray, texts: list[str], model: Pieces, spec: SampleSpec) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``samples`` distinct segmentations: (ids, log_prob, perturbed, log_inclusion), best first.
 
@@ -250,20 +263,35 @@ def sample_batch(seeds: np.ndarray, texts: list[str], model: Pieces, spec: Sampl
     next priority after the last sample is the threshold kappa; a path is included with probability
     1 - exp(-exp(log_prob - kappa)).
     """
-    docs = [SPACE + t.replace(SPACE, _LITERAL).replace(" ", SPACE) if t else "" for t in texts]
-    found = [_UNIT.findall(d) for d in docs]
+    units, counts = [], np.zeros(len(texts) + 1, np.int64)
+    for k, t in enumerate(texts):
+        found = _UNIT.findall(SPACE + t.replace(SPACE, _LITERAL).replace(" ", SPACE)) if t else []
+        units.append(found)
+        counts[k + 1] = len(found)
     index = _Numbered()
-    occ = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+    occ = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
+    del units
     if not len(occ):
         return [[(np.empty(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
     lat = Lattice(list(index), model, spec.alpha)
+    cuts = np.cumsum(counts)
+    points = np.array([len(t) + 1 if t else 0 for t in texts])
+    out, lo = [], 0
+    while lo < len(texts):  # one lattice for many texts, small arrays for the paths
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(points[lo:]), spec.path_chars, side="right")) + lo)
+        out += _draw(lat, occ[cuts[lo] : cuts[hi]], points[lo:hi], seeds[lo:hi], model, spec)
+        lo = hi
+    return out
+
+
+def _draw(lat: Lattice, occ: np.ndarray, points: np.ndarray, seeds: np.ndarray, model: Pieces, spec: SampleSpec) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """The samples of texts of ``points`` code points whose units are ``occ`` in one run."""
     size = lat.size[occ]
-    base = np.cumsum(size) - size  # place of each occurrence among all code points of the batch
+    base = np.cumsum(size) - size  # place of each occurrence among all code points of the texts
     by_unit = base[np.argsort(occ, kind="stable")]  # so that edges are looked up in the order they lie in memory
     total = int(size.sum())
-    doc_start = np.zeros(len(docs) + 1, np.int64)
-    np.cumsum([len(d) for d in docs], out=doc_start[1:])
-    of_doc = np.repeat(np.arange(len(docs)), np.diff(doc_start))
+    doc_start = np.append(0, np.cumsum(points))
+    of_doc = np.repeat(np.arange(len(points)), points)
     to_node = np.repeat(lat.starts[occ] - base, size)  # node of a place = place + this
     unit_stop = np.repeat(base + size, size)
 
@@ -279,53 +307,58 @@ def sample_batch(seeds: np.ndarray, texts: list[str], model: Pieces, spec: Sampl
             at = ahead[ahead < unit_stop[at]]
         return chosen
 
-    results: list[list] = [[] for _ in docs]
-    heaps: list[list] = [[] for _ in docs]
+    results: list[list] = [[] for _ in points]
+    heaps: list[list] = [[] for _ in points]
+    keys = seeds.tolist()
+    top = -np.log(-np.log(_uniform(seeds, 0, np.zeros(len(seeds), np.int64))))
     for s in range(1, spec.samples + 1):
         fresh, left = free(s), []
-        for d in range(len(docs)):
-            lo, hi = doc_start[d], doc_start[d + 1]
-            if lo == hi:
+        where = np.flatnonzero(fresh >= 0)
+        drawn = fresh[where]
+        log_q = np.log(np.maximum(lat.q[drawn], 1e-300))
+        bounds = np.searchsorted(where, doc_start).tolist()
+        for d, lo in enumerate(doc_start[:-1].tolist()):
+            a, b = bounds[d], bounds[d + 1]
+            if a == b:
                 if s == 1:
-                    results[d].append((np.empty(0, np.int64), np.empty(0, np.int32), 0.0, 0.0))
+                    results[d].append((where[:0], drawn[:0], log_q[:0], 0.0, 0.0))
                 continue
-            seed, own = seeds[d : d + 1], fresh[lo:hi]
             if s == 1:
-                g = float(-np.log(-np.log(_uniform(seed, 0, np.zeros(1, np.int64))[0])))
-                places = np.flatnonzero(own >= 0)
-                edges, kept, banned = own[places], 0, frozenset()
+                g, kept, banned = float(top[d]), 0, frozenset()
+                places, edges, logs = where[a:b] - lo, drawn[a:b], log_q[a:b]
             else:
                 if not heaps[d]:
                     continue
                 g, parent, kept, banned = heapq.heappop(heaps[d])
                 g = -g
-                old_places, old_edges = results[d][parent][:2]
+                old_places, old_edges, old_logs = results[d][parent][:3]
                 place = int(old_places[kept])
-                node = place + lo + to_node[place + lo]
-                options = np.array([e for e in range(lat.first[node], lat.first[node + 1]) if e not in banned])
+                shift = lo + int(to_node[place + lo])  # constant within a unit
+                node = place + shift
+                options = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in banned]
                 p = lat.q[options]
-                u = _uniform(seed, 2000 + s, np.array([place]))[0]
-                e = int(options[min(np.searchsorted(np.cumsum(p) / p.sum(), u), len(options) - 1)])
+                u = _uniform_one(keys[d], 2000 + s, place)
+                e = options[min(int(np.searchsorted(np.cumsum(p) / p.sum(), u)), len(options) - 1)]
                 new_places, new_edges = [place], [e]
-                at, stop = place + int(lat.len[e]), int(unit_stop[place + lo] - lo)
+                at, stop = place + int(lat.len[e]), int(unit_stop[place + lo]) - lo
                 while at < stop:
-                    node = at + lo + to_node[at + lo]
-                    e = int(lat.pick(np.array([node]), _uniform(seed, s, np.array([at])))[0])
+                    node = at + shift
+                    e = min(int(np.searchsorted(lat.mono, node + _uniform_one(keys[d], s, at), side="right")), int(lat.first[node + 1]) - 1)
                     new_places.append(at)
                     new_edges.append(e)
                     at += int(lat.len[e])
-                tail = np.flatnonzero(own[stop:] >= 0) + stop
-                places = np.concatenate([old_places[:kept], new_places, tail]).astype(np.int64)
-                edges = np.concatenate([old_edges[:kept], new_edges, own[tail]]).astype(np.int32)
-            logs = np.log(np.maximum(lat.q[edges], 1e-300))
-            results[d].append((places, edges, float(logs.sum()), g))
-            left.append((heaps[d], places, edges, logs, kept, banned, g, seeds[d], len(results[d]) - 1))
+                t = a + int(np.searchsorted(where[a:b], lo + stop))
+                places = np.concatenate([old_places[:kept], new_places, where[t:b] - lo])
+                edges = np.concatenate([old_edges[:kept], np.array(new_edges, np.int32), drawn[t:b]])
+                logs = np.concatenate([old_logs[:kept], np.log(np.maximum(lat.q[new_edges], 1e-300)), log_q[t:b]])
+            results[d].append((places, edges, logs, float(logs.sum()), g))
+            left.append((heaps[d], places, edges, logs, kept, banned, g, keys[d], len(results[d]) - 1))
         _branch(left, lat, s, spec)
     out = []
     for d, own in enumerate(results):
         kappa = -heaps[d][0][0] if heaps[d] else -np.inf
         rows = []
-        for places, edges, log_p, g in own:
+        for _, edges, _, log_p, g in own:
             x = log_p - kappa
             log_in = 0.0 if x == np.inf or x > 30 else (x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
             rows.append((_ids(lat, model, edges), log_p, g, log_in))

@@ -72,3 +72,9 @@ def test_round_trip_distinct_and_seeded_by_key(spark):
     digest = lattice.sample_segmentations(docs, spec, digest=True).collect()
     assert all(r["round_trip"] for r in digest) and len(digest) == len(rows)
     assert lattice.sample_segmentations(docs.where("false")).count() == 0
+
+
+def test_single_and_array_draws_agree():
+    seeds = np.array([3, 1 << 63, (1 << 64) - 1], np.uint64)
+    at = np.array([0, 7, 100_000])
+    assert lattice._uniform(seeds, 2001, at).tolist() == [lattice._uniform_one(int(s), 2001, int(a)) for s, a in zip(seeds, at, strict=True)]
