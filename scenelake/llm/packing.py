@@ -27,7 +27,7 @@ class PackSpec:
     weights: tuple[float, float, float] = (1.0, 0.05, 0.25)
     rule: str = "norm"  # or "dot"
     #: rows that one task ranks within a length
-    rank_bucket_rows: int = 50_000
+    rank_bucket_rows: int = 10_000
 
 
 def default_tokenizer_path() -> str:
