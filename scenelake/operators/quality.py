@@ -1,7 +1,7 @@
 """Noise, quality and pruning of points.
 
 points: gaussian_index, x, y, z, opacity (logit), scale_0..2 (logarithms). Cutoffs are exact percentiles with linear
-interpolation, held in one broadcast row.
+interpolation; a handful of numbers reaches the driver and goes back as literals.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as G
 from scenelake.functions.color import sigmoid
+from scenelake.operators.ranking import percentiles
 from scenelake.operators.spatial import isolated
 
 
@@ -52,22 +53,22 @@ def inferred_voxel(points: DataFrame) -> float:
     box = points.agg(*[(F.max(c).cast("double") - F.min(c).cast("double")).alias(c) for c in "xyz"]).first()
     diag = sum((box[c] or 0.0) ** 2 for c in "xyz") ** 0.5
     three = points.select(F.explode(F.array(*[F.exp(F.col(f"scale_{i}").cast("double")) for i in range(3)])).alias("s"))
-    med = three.agg(F.median("s").alias("m")).first()["m"] or 0.0
+    med = percentiles(three, {"m": ("s", 0.5)})["m"] or 0.0
     return max(diag / 256, 4 * med, 1e-3)
 
 
 def with_radius(points: DataFrame) -> DataFrame:
     """``points`` with radius, the distance to the per-axis median."""
-    mid = points.agg(*[F.median(F.col(c).cast("double")).alias(f"_m{c}") for c in "xyz"])
-    return points.crossJoin(F.broadcast(mid)).withColumn("radius", G.norm(*(F.col(c).cast("double") - F.col(f"_m{c}") for c in "xyz"))).drop("_mx", "_my", "_mz")
+    mid = percentiles(points, {c: (c, 0.5) for c in "xyz"})
+    return points.withColumn("radius", G.norm(*(F.col(c).cast("double") - F.lit(mid[c]).cast("double") for c in "xyz")))
 
 
 def measured(points: DataFrame, *, scale_percentile: float, radius_percentile: float, voxel_size: float | None, min_neighbours: int) -> DataFrame:
     """``points`` with size, radius, both cutoffs, and isolated."""
     base = with_radius(points).withColumn("size", scale_size())
-    cut = base.agg(F.percentile("size", F.lit(scale_percentile / 100)).alias("size_cutoff"), F.percentile("radius", F.lit(radius_percentile / 100)).alias("radius_cutoff"))
+    cut = percentiles(base, {"size_cutoff": ("size", scale_percentile / 100), "radius_cutoff": ("radius", radius_percentile / 100)})
     lone = isolated(points, voxel_size or inferred_voxel(points), min_neighbours).select("gaussian_index", "isolated")
-    return base.crossJoin(F.broadcast(cut)).join(lone, "gaussian_index")
+    return base.withColumns({k: F.lit(v).cast("double") for k, v in cut.items()}).join(lone, "gaussian_index")
 
 
 def prune_mask(points: DataFrame, spec: PruneSpec = PruneSpec()) -> DataFrame:
@@ -99,20 +100,21 @@ def quality_scores(points: DataFrame, spec: QualitySpec = QualitySpec()) -> Data
 def noise_report(points: DataFrame, *, opacity_logit: float = -5.0, scale_percentile: float = 99.5, voxel_size: float | None = None, min_neighbours: int = 2) -> DataFrame:
     """One row of counts and quantiles; zeros for an empty table."""
     m = measured(points, scale_percentile=scale_percentile, radius_percentile=100.0, voxel_size=voxel_size or (inferred_voxel(points)), min_neighbours=min_neighbours)
-    qs = [(f"{c}_p{str(q).replace('.', '_')}", F.percentile(c, F.lit(q / 100))) for c in ("opacity", "size") for q in (50, 90, 99, 99.9)]
-    out = m.agg(
+    qs = {f"{c}_p{str(q).replace('.', '_')}": (c, q / 100) for c in ("opacity", "size") for q in (50, 90, 99, 99.9)}
+    found = percentiles(m, qs)
+    return m.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("opacity") < opacity_logit).alias("low_opacity"),
         F.count_if("isolated").alias("isolated"),
         F.count_if(F.col("size") > F.col("size_cutoff")).alias("extreme_scale"),
-        *[F.coalesce(e, F.lit(0.0)).alias(n) for n, e in qs],
+        *[F.lit(v or 0.0).alias(k) for k, v in found.items()],
     )
-    return out
 
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
     """One row of exact percentiles, e.g. p50, p99_5."""
-    return df.agg(*[F.percentile(column, F.lit(s / 100)).alias(f"p{str(s).replace('.', '_')}") for s in shares])
+    found = percentiles(df, {f"p{str(s).replace('.', '_')}": (column, s / 100) for s in shares})
+    return df.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found))
 
 
 def finite_and_visible(table: DataFrame, columns: Sequence[str], opacity_logit: float = -5.5373) -> DataFrame:
@@ -135,10 +137,10 @@ def finite_counts(table: DataFrame, columns: Sequence[str], opacity_logit: float
 def scene_bounds(points: DataFrame, visible: DataFrame, distance: DataFrame, keep: DataFrame, *, min_visible: int = 2, radius_percentile: float = 99.5, distance_percentile: float = 99.5, noise: bool = True) -> DataFrame:
     """(gaussian_index, removed): seen in too few frames and far out or far from any camera, or noise."""
     j = with_radius(points).join(visible.select("gaussian_index", "visible"), "gaussian_index").join(distance, "gaussian_index").join(keep.select("gaussian_index", "keep"), "gaussian_index")
-    cut = j.agg(F.percentile("radius", F.lit(radius_percentile / 100)).alias("_r"), F.percentile("camera_distance", F.lit(distance_percentile / 100)).alias("_d"))
-    far = (F.col("radius") > F.col("_r")) | (F.col("camera_distance") > F.col("_d"))
+    cut = percentiles(j, {"r": ("radius", radius_percentile / 100), "d": ("camera_distance", distance_percentile / 100)})
+    far = (F.col("radius") > F.lit(cut["r"]).cast("double")) | (F.col("camera_distance") > F.lit(cut["d"]).cast("double"))
     gone = (F.col("visible") < min_visible) & far
-    return j.crossJoin(F.broadcast(cut)).select("gaussian_index", (gone | ~F.col("keep") if noise else gone).alias("removed"))
+    return j.select("gaussian_index", (gone | ~F.col("keep") if noise else gone).alias("removed"))
 
 
 def filter_sidecar(sidecar: DataFrame, keep: DataFrame) -> DataFrame:

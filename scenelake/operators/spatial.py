@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as G
 from scenelake.operators.graph import connected_components
+from scenelake.operators.ranking import numbered
 
 VOXEL = ("vx", "vy", "vz")
 
@@ -51,7 +52,7 @@ def point_components(points: DataFrame, size: float, *, min_voxel_count: int = 1
     parts = connected_components(edges)
     named = full.join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
     first = named.groupBy(*extra, "root").agg(F.min(F.struct(*VOXEL)).alias("v"))
-    ids = first.withColumn("id", F.row_number().over((Window.partitionBy(*extra) if by else Window.partitionBy(F.lit(0))).orderBy("v")) - 1)
+    ids = numbered(first, ["v"], "id", extra)
     voxel_ids = named.join(ids.select(*extra, "root", "id"), [*extra, "root"]).select(*extra, *VOXEL, "id")
     return at.join(voxel_ids, [*extra, *VOXEL], "left").select("gaussian_index", *extra, F.coalesce("id", F.lit(-1)).alias("component"))
 
@@ -62,8 +63,7 @@ def rank_components(ids: DataFrame, *, min_points: int = 1, max_points: int | No
     n = ids.where(F.col(id_col) >= 0).groupBy(*extra, id_col).agg(F.count("*").alias("_n"))
     ok = F.col("_n") >= min_points
     n = n.where(ok if max_points is None else ok & (F.col("_n") <= max_points))
-    order = (Window.partitionBy(*extra) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("_n"), id_col)
-    n = n.withColumn("rank", F.row_number().over(order) - 1)
+    n = numbered(n, [F.desc("_n"), id_col], "rank", extra)
     if top_k:
         n = n.where(F.col("rank") < top_k)
     return ids.join(n.drop("_n"), [*extra, id_col], "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
@@ -92,8 +92,8 @@ def category_instances(best: DataFrame, points: DataFrame, size: float, *, min_v
     """
     chosen = best.where(F.col(key) >= 0).join(points.select("gaussian_index", "x", "y", "z"), "gaussian_index")
     ranked = rank_components(point_components(chosen, size, min_voxel_count=min_voxel_count, by=key), by=key, min_points=min_points, top_k=top_k)
-    ids = ranked.where("rank >= 0").select(key, "rank").distinct().withColumn("instance_id", F.row_number().over(Window.orderBy(key, "rank")) - 1)
-    named = ranked.where("rank >= 0").join(F.broadcast(ids), [key, "rank"]).select("gaussian_index", F.col(key), "instance_id")
+    ids = numbered(ranked.where("rank >= 0").select(key, "rank").distinct(), [key, "rank"], "instance_id")
+    named = ranked.where("rank >= 0").join(ids, [key, "rank"]).select("gaussian_index", F.col(key), "instance_id")
     return points.select("gaussian_index").join(named, "gaussian_index", "left").withColumn("instance_id", F.coalesce("instance_id", F.lit(-1)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.operators.graph import connected_components
+from scenelake.operators.ranking import numbered
 
 KEYS = ("frame_index", "instance_id")
 
@@ -19,12 +20,8 @@ def aggregate_votes(votes: DataFrame) -> DataFrame:
 
 
 def local_instances(votes: DataFrame) -> DataFrame:
-    """(frame_index, instance_id, local_index, support_size) in order of frame and instance.
-
-    The numbering runs over the instances, which are few, not over votes.
-    """
-    support = votes.groupBy(*KEYS).agg(F.count_distinct("gaussian_index").alias("support_size"))
-    return support.withColumn("local_index", F.row_number().over(Window.orderBy(*KEYS)) - 1)
+    """(frame_index, instance_id, local_index, support_size) in order of frame and instance."""
+    return numbered(votes.groupBy(*KEYS).agg(F.count_distinct("gaussian_index").alias("support_size")), list(KEYS), "local_index")
 
 
 def candidates(instances: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
@@ -58,7 +55,7 @@ def global_objects(instances: DataFrame, pairs: DataFrame, candidate: Column | N
     ok = F.lit(True) if candidate is None else candidate
     root = F.when(ok, F.coalesce("component", F.col("local_index").cast("long")))
     named = named.withColumn("_root", root)
-    ids = named.where("_root is not null").select("_root").distinct().withColumn("object_id", F.row_number().over(Window.orderBy("_root")) - 1)
+    ids = numbered(named.where("_root is not null").select("_root").distinct(), ["_root"], "object_id")
     return named.join(ids, "_root", "left").withColumn("object_id", F.coalesce("object_id", F.lit(-1))).select(*instances.columns, "object_id")
 
 

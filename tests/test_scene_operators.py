@@ -266,3 +266,24 @@ def test_frame_resolution(spark):
     frames = spark.createDataFrame([(0, "images/a.png"), (1, "images/b.png"), (2, "images/c.png")], "frame_index int, file_path string")
     images = spark.createDataFrame([("./images/a.png", 9), ("x/b.png", 9), ("none.png", 2), ("none.png", 7)], "path string, position int")
     assert [r["frame_index"] for r in masks.resolve_frames(images, frames).collect()] in ([0, 1, 2, None],) or {(r["path"], r["position"], r["frame_index"]) for r in masks.resolve_frames(images, frames).collect()} == {("./images/a.png", 9, 0), ("x/b.png", 9, 1), ("none.png", 2, 2), ("none.png", 7, None)}
+
+
+def test_numbers_and_percentiles_without_one_task(spark):
+    from scenelake.operators.ranking import numbered, percentiles
+
+    r = np.random.default_rng(8)
+    rows = [(int(i), float(v), int(i % 3)) for i, v in enumerate(r.permutation(500))]
+    d = spark.createDataFrame(rows, "i int, v double, k int").repartition(7)
+    got = {x["i"]: x["n"] for x in numbered(d, ["v"], "n").collect()}
+    assert got == {i: int(v) for i, v, _ in rows}
+    got = {x["i"]: x["n"] for x in numbered(d, [F.desc("v")], "n", ["k"]).collect()}
+    for k in range(3):
+        assert [i for i, _, kk in sorted(rows, key=lambda t: -t[1]) if kk == k] == sorted((i for i, _, kk in rows if kk == k), key=got.get)
+    assert numbered(d.where("false"), ["v"], "n").count() == 0
+    for values in (r.normal(size=3001), np.repeat([1.0, 2.0, 5.0], [1000, 1, 999]), np.array([3.0]), np.zeros(40)):
+        t = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "v double")
+        qs = {f"q{i}": ("v", q) for i, q in enumerate((0, 0.001, 0.25, 0.5, 0.995, 1))}
+        for accuracy in (100, 10_000):
+            found = percentiles(t, qs, accuracy)
+            assert all(found[k] == np.quantile(values, q) for k, (_, q) in qs.items())
+    assert percentiles(t.where("false"), {"a": ("v", 0.5)}) == {"a": None}
