@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from scenelake.plans.lineage import cut
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 40, rows_per_task: int = 100_000) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node id it reaches.
 
     Alternates the large-star and small-star steps: each round links the neighbours of a node to the
     smallest of them, until every component is a star around its minimum. Rounds grow with the
-    logarithm of the longest path. Each round is cut in the shared checkpoint folder. Self loops and
-    repeated edges are harmless; rows with a null end are ignored.
+    logarithm of the longest path. Each step is cut in the shared checkpoint folder, in as many files as its
+    rows call for. Self loops and repeated edges are harmless; rows with a null end are ignored.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     loops = e.where("u = v").select(F.col("u").alias("node")).distinct()
@@ -25,12 +25,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
         if tuple(state) == seen or state[0] == 0:
             break
         seen = tuple(state)
+        tasks = -(-2 * state[0] // rows_per_task)
+
+        def held(df: DataFrame, tasks: int = tasks) -> DataFrame:
+            return cut(df.coalesce(tasks))
+
+        e = e.coalesce(tasks)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are cut before they are joined back, so that the joins have a shuffle of their own on either side, whose
+        # hot partitions (the centre of a large star) adaptive execution splits.
+        least = held(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = held(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = held(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        e = held(small.union(low.select("u", F.col("m").alias("v"))).distinct())
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     alone = loops.join(stars.union(centres), "node", "left_anti").select("node", F.col("node").alias("component"))
