@@ -96,7 +96,8 @@ def blocked(rows: DataFrame, key: str, node: str, block: int) -> DataFrame:
     A key with more than ``block`` rows is dealt into blocks by a hash of the node, and each two blocks meet in a
     group of their own, so any two rows of a key meet and no group holds more than about two blocks.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_b", F.ceil(F.col("_n") / block).cast("int"))
+    # cut, so that the join back has a shuffle of its own, whose hot keys adaptive execution splits
+    sizes = cut(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_b", F.ceil(F.col("_n") / block).cast("int")))
     mine = rows.join(sizes, key).withColumn("_m", F.pmod(F.xxhash64(node, F.lit(11)), F.col("_b")).cast("int"))
     others = F.expr("if(_b = 1, array(0), transform(filter(sequence(0, _b - 1), o -> o <> _m), o -> least(o, _m) * _b + greatest(o, _m)))")
     return mine.withColumn("pair", F.explode(others)).drop("_n", "_b", "_m")
