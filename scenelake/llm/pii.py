@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 
@@ -23,7 +22,6 @@ CUES = {
 SCHEMES = ("mailto:", "tel:", "sip:", "http://", "https://", "ftp://")
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -165,7 +163,3 @@ def digest(found: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in kinds]
     return found.select("doc_id", *counts, F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"), F.concat_ws(",", F.transform("spans", label)).alias("spans"))
-
-
-def sha256_of(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans if k in KINDS).encode()).hexdigest()
