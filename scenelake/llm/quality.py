@@ -45,6 +45,9 @@ RULES: tuple[tuple[str, str, float, float], ...] = (
     ("shouts", "n_shouts / greatest(n_words, 1)", 0.02, 0.20),
 )
 
+#: words of a window in which distinct words are counted, as in the rule "vocabulary"
+WINDOW = 400
+
 
 def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
@@ -54,8 +57,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct _q of text statistics, all computed inside the row.
 
     n_repeat_words: windows of three words are hashed and packed with their position into sorted longs;
-    equal neighbours, confirmed on the words, mark repeated windows, whose union of positions is counted. A null
-    text has no words.
+    equal neighbours, confirmed on the words, mark repeated windows, whose union of positions is counted.
+    n_distinct_words: the mean over windows of 400 words that cover the whole text. A null text has no words.
     """
     t = text_or_empty(text_col)
     df = docs.withColumn("_t", t).withColumn("_w", F.filter(F.split("_t", WORD_SPACE, -1), lambda w: w != ""))
@@ -71,6 +74,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_l", lines)
     text = F.col("_t")
+    # the last window ends with the text and may overlap the one before, so that all are full and every word is in one
+    windows = f"if(size(_w) <= {WINDOW}, double(size(array_distinct(_w))), aggregate(sequence(1, size(_w), {WINDOW}), 0L, (s, i) -> s + size(array_distinct(slice(_w, least(i, size(_w) - {WINDOW - 1}), {WINDOW})))) / ceil(size(_w) / {WINDOW}))"
     word_chars = F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.length(w))
     stats = {
         "n_words": n.cast("long"),
@@ -82,8 +87,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_pipes": F.size(F.filter("_w", lambda w: w == "|")),
         "n_upper": F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", "")),
         "n_letters": F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", "")),
-        # over the first words only for long texts, where the share of distinct words falls by itself
-        "n_distinct_words": F.size(F.array_distinct(F.slice("_w", 1, 400))),
+        # the share of distinct words falls with length by itself, so long texts are measured in windows of one length
+        "n_distinct_words": F.expr(windows),
         "n_shouts": F.size(F.filter("_w", lambda w: w.endswith("!!"))),
     }
     return df.withColumn("_q", F.struct(*[v.alias(k) for k, v in stats.items()])).drop("_t", "_w", "_k", "_p", "_e", "_r", "_l")

@@ -40,6 +40,18 @@ def test_weak_supervision_keeps_prose_and_drops_junk(spark):
     assert quality.judge(table(spark, ["x"]).where("false")).count() == 0
 
 
+def test_vocabulary_is_counted_over_whole_texts(spark):
+    clean, tail = [f"w{i}" for i in range(400)], [f"t{i * i % 7}" for i in range(2000)]
+    texts = [" ".join(w) for w in (clean, clean + tail, tail + clean, *((clean + tail)[:n] for n in (1, 399, 401, 799, 800, 801, 1000)))]
+    at = [n for n, *_ in quality.RULES].index("vocabulary")
+    rows = {r["doc_id"]: r for r in quality.measure(table(spark, texts)).select("doc_id", "_q.n_distinct_words", quality.votes()[at].alias("vote")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        starts = [min(k, max(len(w) - 400, 0)) for k in range(0, len(w), 400)]
+        assert abs(rows[i]["n_distinct_words"] - sum(len(set(w[k : k + 400])) for k in starts) / len(starts)) < 1e-9
+    assert [rows[i]["vote"] for i in range(3)] == [1, 0, 0]
+
+
 def test_pieces_equal_the_tokenizers_library(spark):
     from tokenizers import Tokenizer
 
