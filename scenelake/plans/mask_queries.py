@@ -36,7 +36,7 @@ def _(s):
 
 @query("p27_instance_keys", "SELECT instance_id, label AS by_label, lpad(CAST(frame_index AS VARCHAR), 5, '0') || ':' || lpad(CAST(instance_id AS VARCHAR), 4, '0') AS by_local FROM instances WHERE instance_id < 10000", "instances")
 def _(s):
-    return s.instances.where("instance_id < 10000").select("instance_id", L.instance_key("label").alias("by_label"), L.instance_key("local-instance").alias("by_local"))
+    return s.instances.select("instance_id", L.instance_key("label").alias("by_label"), L.instance_key("local-instance").alias("by_local"))
 
 
 @query("p30_names", "SELECT frame_index, 'frame_' || lpad(CAST(frame_index AS VARCHAR), 5, '0') AS frame, 'mask_' || lpad(CAST(frame_index AS VARCHAR), 4, '0') || '.png' AS mask, 'tv_' || lpad(CAST(frame_index + 1 AS VARCHAR), 2, '0') AS class_name FROM frames", "frames")

@@ -58,3 +58,11 @@ def test_nothing_else_imports_the_text_operators():
             if f.endswith(".py"):
                 with open(f"{folder}/{f}") as h:
                     assert "scenelake.llm" not in h.read(), f
+
+
+def test_instance_keys_past_four_digits(spark, tmp_path):
+    supplier = spark.read.parquet(f"{SF}/supplier.parquet").limit(1)
+    rows = spark.createDataFrame([(7,), (9999,), (10000,), (123456,)], "s_suppkey long").crossJoin(supplier.drop("s_suppkey"))
+    rows.write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r["instance_id"]: r["by_local"] for r in SCENE["p27_instance_keys"](spark, str(tmp_path)).collect()}
+    assert got == {7: "00002:0007", 9999: "00004:9999", 10000: "00000:10000", 123456: "00001:123456"}
