@@ -141,17 +141,32 @@ def battery(s: Column) -> Column:
     return F.when(encoding.isNotNull(), out)
 
 
+def pieces(runs: Column, least: int) -> Column:
+    """``runs`` with those that fit no alphabet, having '+' or '/' beside '-' or '_', cut at either kind of separator.
+
+    Every maximal part of ``least`` or more over one of the two alphabets is a piece; pieces may overlap.
+    """
+    mixed = lambda m: m["value"].rlike("[+/]") & m["value"].rlike("[_-]")
+
+    def part(m: Column, chars: str) -> Column:
+        found = matches(m["value"], f"[A-Za-z0-9{chars}]{{{least},}}")
+        return F.transform(found, lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["value"].alias("value")))
+
+    return F.flatten(F.transform(runs, lambda m: F.when(mixed(m), F.concat(part(m, "+/"), part(m, "_-"))).otherwise(F.array(m))))
+
+
 def candidates(docs: DataFrame, spec: SecretSpec = SecretSpec(), text_col: str = "text") -> DataFrame:
     """``docs`` with _cand: array of (start, end, encoding, length class, p) of token-like runs.
 
-    A candidate is a maximal run of token characters of ``spec.least`` or more that holds a digit and a
-    letter: letters alone are words, digits alone numbers.
+    A candidate is a maximal run of token characters of ``spec.least`` or more over one alphabet. Those without
+    a digit or without a letter are mostly words and numbers: "plain" after their encoding gives them strata of
+    their own, so they leave the cutoffs of the others alone.
     """
-    runs = F.filter(matches(text_or_empty(text_col), f"{_CANDIDATE}{{{spec.least},}}"), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]"))
-    tested = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["value"]).alias("t")))
+    runs = pieces(matches(text_or_empty(text_col), f"{_CANDIDATE}{{{spec.least},}}"), spec.least)
+    plain = lambda v: F.when(v.rlike("[0-9]") & v.rlike("[A-Za-z]"), "").otherwise(" plain")
+    tested = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), plain(m["value"]).alias("plain"), battery(m["value"]).alias("t")))
     cls = lambda n: sum((F.when(n > e, 1).otherwise(0) for e in spec.lengths), F.lit(0))
-    kept = F.filter(tested, lambda m: m["t"].isNotNull())
-    return docs.withColumn("_cand", F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["t"]["encoding"].alias("encoding"), cls(m["t"]["n"]).alias("cls"), m["t"]["p"].alias("p"))))
+    return docs.withColumn("_cand", F.transform(tested, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(m["t"]["encoding"], m["plain"]).alias("encoding"), cls(m["t"]["n"]).alias("cls"), m["t"]["p"].alias("p"))))
 
 
 def cutoffs(tested: DataFrame, spec: SecretSpec = SecretSpec()) -> DataFrame:
@@ -161,7 +176,7 @@ def cutoffs(tested: DataFrame, spec: SecretSpec = SecretSpec()) -> DataFrame:
     class over the whole table. A random string's p is uniform or larger, so those above ``tail`` tell how
     many random ones there are; what a stratum holds beyond that between cutoff and tail is structured. The
     cutoff is the least p-value bin, from alpha on, at which the structured share of all flagged ones
-    is at most ``fdr``; none if even the last bin exceeds it. At most encodings x classes rows.
+    is at most ``fdr``; none if even the last bin exceeds it. At most 2 x encodings x classes rows.
     """
     one = tested.select(F.explode("_cand").alias("c")).select("c.encoding", "c.cls", F.least(F.floor(F.col("c.p") * spec.bins), F.lit(spec.bins - 1)).cast("int").alias("bin"))
     hist = one.groupBy("encoding", "cls", "bin").agg(F.count("*").alias("n"))
@@ -188,7 +203,7 @@ def scan(docs: DataFrame, spec: SecretSpec = SecretSpec(), *, text_col: str = "t
     """``docs`` with ``out``: array of (start, kind, end), base kinds and "random", by start.
 
     "random" spans are candidates that pass the calibrated randomness tests and lie in no base span.
-    The calibration table (at most 56 rows) is the only thing broadcast. One row per input row, all its
+    The calibration table (at most 112 rows) is the only thing broadcast. One row per input row, all its
     columns kept; a null or empty text has no span; repeated rows get equal spans.
     """
     with_cand = candidates(docs, spec, text_col)

@@ -73,6 +73,24 @@ def test_randomness_battery_tells_keys_from_names(spark):
     assert sum(bool(found[i]) for i in range(60, 120)) <= 3
 
 
+def test_every_run_is_tested(spark):
+    r = random.Random(6)
+    draw = lambda chars: "".join(r.choice(chars) for _ in range(40))
+    base62 = secrets.ALPHABETS["base62"]
+    keys = [draw(base62) for _ in range(120)]
+    paths = [f"/my_app/{k}" for k in keys[:60]] + [f"svc-hooks/{k}" for k in keys[60:]]
+    url = ["a/b/c/" + draw(base62)[:19] + "-_" + draw(base62)[:19] for _ in range(40)]
+    letters = [draw(base62[:52]) for _ in range(60)]
+    words = ["hand-in-hand/with_care/and_more_words"] * 20 + ["Donaudampfschifffahrtsgesellschaften"] * 20
+    texts = [f"see {x} there" for x in paths + url + letters + words]
+    found = {x["doc_id"]: x["secret_spans"] for x in secrets.scan(table(spark, texts)).collect()}
+    whole = [any(texts[i].index(k) >= s["start"] and texts[i].index(k) + 40 <= s["end"] for s in found[i]) for i, k in enumerate(keys)]
+    assert sum(whole) >= 100
+    assert sum(bool(found[i]) for i in range(120, 160)) >= 30
+    assert sum(bool(found[i]) for i in range(160, 220)) >= 10
+    assert not any(found[i] for i in range(220, 260))
+
+
 def test_empty_tables(spark):
     empty = table(spark, ["x"]).where("false")
     assert secrets.scan(empty).count() == 0 and pii.scan(empty).count() == 0
