@@ -217,13 +217,13 @@ def scan(docs: DataFrame, spec: SecretSpec = SecretSpec(), *, text_col: str = "t
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced by its kind in brackets; of overlapping spans the first counts."""
+    """``text`` with every span replaced by its kind in brackets; overlapping spans are replaced as one, by the first's kind."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.when(fresh, s["end"]).otherwise(acc["at"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))).otherwise(text)
 
