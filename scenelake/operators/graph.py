@@ -2,44 +2,94 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.plans.lineage import cut
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 40, rows_per_task: int = 100_000) -> DataFrame:
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node of the edges ``u``-``v``; root is the smallest node of its component.
+
+    Roots are hooked under smaller roots and paths are halved until nothing moves, all edges at a time.
+    """
+    nodes, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = code[: len(u)], code[len(u) :]
+    parent = np.arange(len(nodes))
+    while len(a):
+        a, b = parent[a], parent[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = parent[parent]
+            if (above == parent).all():
+                break
+            parent = above
+    return nodes, nodes[parent]
+
+
+def _contracted(limit: int):
+    """A task's edges (u, v) as stars. At most about three times ``limit`` rows are held at a time; what the stars of a
+    chunk do not fit in goes out, so a node may come more than once."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return stars(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+
+        def batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append((np.asarray(b.column(0)), np.asarray(b.column(1))))
+            rows += b.num_rows
+            if rows > 2 * limit:
+                held = [merged()]
+                rows = len(held[0][0])
+                if rows > limit:
+                    yield batch(*held[0])
+                    held, rows = [], 0
+        if held:
+            yield batch(*merged())
+
+    return run
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, rows_per_task: int = 1_000_000) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node id it reaches.
 
-    Alternates the large-star and small-star steps: each round links the neighbours of a node to the
-    smallest of them, until every component is a star around its minimum. Rounds grow with the
-    logarithm of the longest path. Each step is cut in the shared checkpoint folder, in as many files as its
-    rows call for. Self loops and repeated edges are harmless; rows with a null end are ignored.
+    Each round every task contracts its part of the edges to stars. With as few edges as one task may hold that is the
+    answer. Otherwise each node takes the smallest of the roots it was given, its other roots are linked to that one, and
+    every link goes on to its lower end's own choice, until nothing moves. A round is one shuffle by node, one join whose hot
+    nodes adaptive execution splits, and one cut in the shared checkpoint folder; edges are dealt to tasks by
+    their number, not by the session's shuffle width. Rounds are not limited: each that is not the last lowers the sum of
+    the links' lower ends. Loops and repeated edges are harmless; rows with a null end are ignored.
     """
-    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
-    loops = e.where("u = v").select(F.col("u").alias("node")).distinct()
-    e = cut(e.where("u <> v").distinct())
-    seen = None
-    for _ in range(max_rounds):
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(state) == seen or state[0] == 0:
+    schema = "u long, v long"
+    ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    e = cut(ends.select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v")))
+    rows, moved = e.count(), True
+    while moved:
+        tasks = -(-rows // rows_per_task)
+        near = e.coalesce(max(1, tasks)).mapInArrow(_contracted(rows_per_task), schema)
+        if tasks <= 1:
+            e = cut(near)
             break
-        seen = tuple(state)
-        tasks = -(-2 * state[0] // rows_per_task)
-
-        def held(df: DataFrame, tasks: int = tasks) -> DataFrame:
-            return cut(df.coalesce(tasks))
-
-        e = e.coalesce(tasks)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Minima are cut before they are joined back, so that the joins have a shuffle of their own on either side, whose
-        # hot partitions (the centre of a large star) adaptive execution splits.
-        least = held(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = held(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = held(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = held(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    centres = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    alone = loops.join(stars.union(centres), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return stars.union(centres).union(alone)
+        # every node has a row, roots one to themselves; from here on the smallest comes first
+        near = near.groupBy("u").agg(F.sort_array(F.collect_set("v")).alias("near"))
+        own = near.select("u", F.col("near")[0].alias("m"))
+        links = near.select("u", F.explode("near").alias("v"), F.col("near")[0].alias("m"))
+        extra = F.col("v") != F.col("m")
+        links = links.select(F.when(extra, F.col("v")).otherwise(F.col("u")).alias("a"), F.col("m").alias("b"), extra.alias("extra"))
+        hop = links.join(own.select(F.col("u").alias("b"), F.col("m").alias("to")), "b")
+        e = cut(hop.select(F.col("a").alias("u"), F.col("to").alias("v"), (F.col("extra") | (F.col("to") != F.col("b"))).alias("moved")))
+        rows, moved = e.agg(F.count("*"), F.coalesce(F.max("moved"), F.lit(False))).first()
+        e = e.drop("moved")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
