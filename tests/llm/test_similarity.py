@@ -1,7 +1,9 @@
 import hashlib
 import random
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scenelake.llm import fingerprint, langid, neardup
 from scenelake.llm.common import WordHash, fold_of, shingles, word_hashes
@@ -53,7 +55,8 @@ def test_near_duplicates_equal_brute_force(spark):
     texts = near_corpus()
     ids = random.Random(3).sample(range(1000), len(texts))
     want = brute_components(ids, texts)
-    for spec in (neardup.NearDupSpec(), neardup.NearDupSpec(block=10)):
+    # whole groups; blocks with many anchors; blocks with hardly any, whose strays are held against all
+    for spec in (neardup.NearDupSpec(), neardup.NearDupSpec(block=10), neardup.NearDupSpec(block=7, block_shingles=300, anchors=1)):
         rows = neardup.near_duplicates(table(spark, texts, ids=ids), spec).collect()
         assert len(rows) == len(texts)
         for r in rows:
@@ -61,6 +64,44 @@ def test_near_duplicates_equal_brute_force(spark):
             assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_dealt_groups_lose_no_link(spark):
+    """Members of a group in a chain: neighbours link, others don't, so only complete comparison connects it."""
+    sets = [np.unique(np.arange(i, i + 14, dtype=np.uint64)).tobytes() for i in range(0, 300, 2)]
+    rows = [(1 if i < 100 else 2, i, sets[i]) for i in range(len(sets))]
+    members = spark.createDataFrame([(g, i, 150, 9) for g, i, _ in rows], "g long, node long, n long, blocks int")
+    payload = spark.createDataFrame([(i, bytearray(b)) for _, i, b in rows], "node long, data binary")
+    for anchors in (0, 1, 20):
+        edges = neardup.group_forest(members, payload, neardup.ShingleSets, neardup.NearDupSpec(block=16, anchors=anchors))
+        got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+        assert got == {i: 0 if i < 100 else 100 for i in range(150)}
+
+
+def test_many_near_copies_and_a_stray_take_seconds():
+    rng = np.random.default_rng(2)
+    core = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(np.append(core, rng.integers(0, 1 << 62, 6, dtype=np.uint64))) for _ in range(8192)]
+    sets.append(np.unique(np.append(core[:100], rng.integers(0, 1 << 62, 200, dtype=np.uint64))))
+    link = neardup.ShingleSets([s.tobytes() for s in sets], neardup.NearDupSpec())
+    began = time.time()
+    src, dst = neardup.spanning(len(sets), link.linked, link.shrink)
+    assert time.time() - began < 20
+    assert len(dst) == 8191
+    assert 8192 not in set(src) | set(dst)
+
+
+def test_survivors_are_one_row_of_each_class(spark):
+    texts = [prose(1, 50), prose(1, 50), prose(2, 50), prose(2, 50), prose(3, 50), prose(3, 50).upper(), None, None, "", prose(4, 50)]
+    ids = [None, None, 6, 6, 3, 3, None, None, 8, None]
+    docs = table(spark, texts, ids=ids).withColumns({"_id": F.lit("a"), "_TEXT_HASH": F.lit(1), "kept": F.lit(None).cast("boolean"), "component_id": F.lit(2)})
+    out = neardup.survivors(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all((r["_id"], r["_TEXT_HASH"], r["kept"], r["component_id"]) == ("a", 1, None, 2) for r in rows)
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in rows)
+    assert got == sorted([(0, prose(1, 50).lower()), (6, prose(2, 50).lower()), (3, prose(3, 50).lower()), (0, ""), (8, ""), (0, prose(4, 50).lower())])
+    assert neardup.survivors(docs.where("false")).count() == 0
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     texts = [prose(1, 50), prose(1, 50), prose(2, 50), prose(2, 50), None]
     rows = neardup.near_duplicates(table(spark, texts, ids=[None, 5, 6, 6, None])).collect()
