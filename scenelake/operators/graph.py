@@ -72,7 +72,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     their number, not by the session's shuffle width. Rounds are not limited: each that is not the last lowers the sum of
     the links' lower ends. Loops and repeated edges are harmless; rows with a null end are ignored.
     """
-    schema = "u long, v long"
+    schema, kind = "u long, v long", edges.select(F.greatest(src, dst)).schema[0].dataType
     ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     e = cut(ends.select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v")))
     rows, moved = e.count(), True
@@ -92,4 +92,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
         e = cut(hop.select(F.col("a").alias("u"), F.col("to").alias("v"), (F.col("extra") | (F.col("to") != F.col("b"))).alias("moved")))
         rows, moved = e.agg(F.count("*"), F.coalesce(F.max("moved"), F.lit(False))).first()
         e = e.drop("moved")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return e.select(F.col("u").cast(kind).alias("node"), F.col("v").cast(kind).alias("component"))
