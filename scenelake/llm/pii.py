@@ -33,7 +33,8 @@ _NUMBERS = {
     "account": re.compile(r"[0-9](?:[ -]?[0-9]){5,19}(?![0-9])"),
     "passport": re.compile(r"[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])"),
 }
-_LINK = re.compile(r"[^\s/@:?#]+(?::[^\s/@]*)?@[A-Za-z0-9.-]+")
+#: user and password of a link have at most 256 characters each, so a run of schemes is read in linear time
+_LINK = re.compile(r"[^\s/@:?#]{1,256}(?::[^\s/@]{0,256})?@[A-Za-z0-9.-]+")
 _TEL = re.compile(r"[+0-9][0-9().-]{5,18}")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -98,7 +99,7 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
                 continue
             if end >= ip_to and (m := _IP.match(text, end)):
                 ip_to = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+                if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m.groups()):
                     spans.append(("ip", end, ip_to))
             if end >= card_to and (m := _CARD.match(text, end)):
                 card_to = m.end()
@@ -133,7 +134,8 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
 def scan(docs: DataFrame, spec: PiiSpec = PiiSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans (array of kind, start, end, value) of each whole text.
 
-    One row per input row. A null or empty text has no span; texts of any length are read once, in one piece.
+    One row per input row, repeated rows alike; an empty table gives none. A null or empty text has no span; texts of any
+    length are read once, in one piece. Only the two columns named are read, whatever the others are called.
     """
 
     def run(batches):

@@ -155,22 +155,22 @@ def pieces(runs: Column, least: int) -> Column:
     return F.flatten(F.transform(runs, lambda m: F.when(mixed(m), F.concat(part(m, "+/"), part(m, "_-"))).otherwise(F.array(m))))
 
 
-def candidates(docs: DataFrame, spec: SecretSpec = SecretSpec(), text_col: str = "text") -> DataFrame:
-    """``docs`` with _cand: array of (start, end, encoding, length class, p) of token-like runs.
+def candidates(text: Column, spec: SecretSpec = SecretSpec()) -> Column:
+    """Array of (start, end, encoding, length class, p) of the token-like runs of ``text``.
 
     A candidate is a maximal run of token characters of ``spec.least`` or more over one alphabet. Those without
     a digit or without a letter are mostly words and numbers: "plain" after their encoding gives them strata of
     their own, so they leave the cutoffs of the others alone.
     """
-    runs = pieces(matches(text_or_empty(text_col), f"{_CANDIDATE}{{{spec.least},}}"), spec.least)
+    runs = pieces(matches(text, f"{_CANDIDATE}{{{spec.least},}}"), spec.least)
     plain = lambda v: F.when(v.rlike("[0-9]") & v.rlike("[A-Za-z]"), "").otherwise(" plain")
     tested = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), plain(m["value"]).alias("plain"), battery(m["value"]).alias("t")))
     cls = lambda n: sum((F.when(n > e, 1).otherwise(0) for e in spec.lengths), F.lit(0))
-    return docs.withColumn("_cand", F.transform(tested, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(m["t"]["encoding"], m["plain"]).alias("encoding"), cls(m["t"]["n"]).alias("cls"), m["t"]["p"].alias("p"))))
+    return F.transform(tested, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(m["t"]["encoding"], m["plain"]).alias("encoding"), cls(m["t"]["n"]).alias("cls"), m["t"]["p"].alias("p")))
 
 
 def cutoffs(tested: DataFrame, spec: SecretSpec = SecretSpec()) -> DataFrame:
-    """(encoding, cls, cutoff): candidates of the stratum with p at or above the cutoff are random.
+    """(encoding, cls, cutoff): candidates (of a column _cand) of the stratum with p at or above the cutoff are random.
 
     Short strings can rarely be told from random ones, so the test is calibrated per encoding and length
     class over the whole table. A random string's p is uniform or larger, so those above ``tail`` tell how
@@ -203,17 +203,22 @@ def scan(docs: DataFrame, spec: SecretSpec = SecretSpec(), *, text_col: str = "t
     """``docs`` with ``out``: array of (start, kind, end), base kinds and "random", by start.
 
     "random" spans are candidates that pass the calibrated randomness tests and lie in no base span.
-    The calibration table (at most 112 rows) is the only thing broadcast. One row per input row, all its
-    columns kept; a null or empty text has no span; repeated rows get equal spans.
+    The calibration table (at most 112 rows) comes to the driver and goes out as a literal. One row per input row,
+    repeated rows alike; a null or empty text has no span, an empty table no row. Input columns keep their names and
+    values, but for one named ``out``, which is replaced.
     """
-    with_cand = candidates(docs, spec, text_col)
-    table = cutoffs(with_cand.select("_cand"), spec).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "encoding", "cls"), "cutoff"))).alias("_cut"))
-    tested = with_cand.withColumn("_base", base_spans(text_or_empty(text_col))).crossJoin(F.broadcast(table))  # one row
+    text = text_or_empty(text_col)
+    strata = cutoffs(docs.select(candidates(text, spec).alias("_cand")), spec).collect()
+    cut = {f"{r['encoding']}:{r['cls']}": r["cutoff"] for r in sorted(strata)}
+    table = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]).cast("map<string,double>")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()])  # no name of theirs meets one below
+    tested = docs.select(row.alias("_row"), candidates(text, spec).alias("_cand"), base_spans(text).alias("_base"))
     free = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    flagged = F.filter("_cand", lambda c: (c["p"] >= F.col("_cut")[F.concat_ws(":", c["encoding"], c["cls"].cast("string"))]) & free(c))
+    flagged = F.filter("_cand", lambda c: (c["p"] >= table[F.concat_ws(":", c["encoding"], c["cls"].cast("string"))]) & free(c))
     more = F.transform(flagged, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("random").alias("kind"), c["end"].alias("end")))
     spans = F.array_sort(F.concat(F.col("_base"), more))
-    return tested.withColumn(out, F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))).drop("_cand", "_base", "_cut")
+    found = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return tested.select("_row", found.alias("_found")).select("_row.*", F.col("_found").alias(out))
 
 
 def redact(text: Column, spans: Column) -> Column:
