@@ -52,7 +52,6 @@ def densified(sorted_hashes: np.ndarray, spec: FingerprintSpec) -> np.ndarray |
     donors = _donors(spec.bin_bits, spec.seed)
     attempt = 0
     while len(empty):
-        # the donor's value is mixed with the attempt, so a copy never equals its donor's own bin by position alone
         ask = donors[attempt % len(donors)][empty]
         ok = full[ask]
         values[empty[ok]] = values[ask[ok]]
@@ -100,7 +99,8 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Ranges come from quantiles of the id. The largest id below a range is sent to it as well (``_ahead`` 1),
     and the largest of all to the lowest range, so each range finds every next document in itself. One
-    shuffle of the texts; partitions are sorted. Ties on id go by a hash of the text; a null id is least.
+    shuffle of the texts; partitions are sorted. Ties on id go by a hash of the text; a null id is least. Repeated rows
+    follow one another. An empty table gives none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -137,7 +137,8 @@ def edited_pairs(docs: DataFrame, spec: FingerprintSpec = FingerprintSpec(), *,
     """Each document against its edited text and against the next document in descending id.
 
     The edited text has its last third of code points replaced by as many from the start of the next
-    document (all of it if it is shorter). A single document is its own next.
+    document (all of it if it is shorter). A single document is its own next; a null text counts as empty, repeated rows
+    follow one another, and an empty table gives no row. Columns other than the two are not read.
     """
 
     def run(batches):

@@ -38,7 +38,8 @@ class LangIdSpec:
 class LangModel:
     spec: LangIdSpec
     languages: tuple[str, ...]
-    #: (2 ** bits, languages): weight times IDF; (languages,) intercepts; the calibrated temperature
+    #: (2 ** bits + 1, languages): weight times IDF, and zeros for no feature; (languages,) intercepts; the calibrated
+    #: temperature
     table: np.ndarray
     bias: np.ndarray
     temperature: float
@@ -53,10 +54,12 @@ def _letters() -> np.ndarray:
 def grams(texts: list[str], spec: LangIdSpec) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Feature numbers of all n-grams of all texts, one array per order; first character of each text; letters in it.
 
-    Texts are lower-cased and every other character than a letter counts as a space. A space is put
-    before each text, so no n-gram spans two texts unseen: the few that do are read as word ends.
+    Texts are lower-cased and every other character than a letter counts as a space; a space is put before and
+    ``order`` behind each text. A place whose n-gram would reach into the next text has feature 2 ** bits, which counts
+    for nothing, so a text's features do not depend on its neighbours.
     """
     low = [" " + t.lower() + " " * spec.order for t in texts]
+    ends = np.cumsum([len(t) for t in low])
     c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.zeros(len(low), np.int64)
     np.cumsum([len(t) for t in low[:-1]], out=starts[1:])
@@ -68,60 +71,90 @@ def grams(texts: list[str], spec: LangIdSpec) -> tuple[list[np.ndarray], np.ndar
         h = (h[: len(c) - n + 1] ^ c[n - 1 :]) * np.uint32(0x9E3779B1) + np.uint32(n)
         h ^= h >> np.uint32(15)
         mixed = (h * np.uint32(0x85EBCA77)) >> shift
-        out.append(np.append(mixed, np.zeros(n - 1, np.uint32)).astype(np.int32))
+        own = np.append(mixed, np.zeros(n - 1, np.uint32)).astype(np.int32)
+        for back in range(1, n):
+            own[ends - back] = 1 << spec.bits
+        out.append(own)
     return out, starts, np.add.reduceat(letter.astype(np.int32), starts)
 
 
-def sample_rows(docs: DataFrame, spec: LangIdSpec, learn: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """A sample of labelled rows with equal expected numbers per language, chosen by a hash of the id."""
-    labelled = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).collect()  # one row a language
-    if not sizes:
-        return labelled.select(F.col(lang_col).alias("label"), F.col(text_col).alias("text"), F.lit(0).alias("part")).where("false")
-    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r["_lang"], min(1.0, spec.sample_per_language / r["n"]))])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(spec.seed)), F.lit(1 << 30))
-    return labelled.where(draw < rates[F.col(lang_col)] * float(1 << 30)).select(F.col(lang_col).alias("label"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(spec.seed + 1)), F.lit(spec.calibrate_every)).cast("int").alias("part"))
+def labelled_rows(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(label, text, key) of the rows to learn from; key is a hash of id and text, equal for repeated rows."""
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    return rows.select(F.col(lang_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
+
+
+def sample_rows(labelled: DataFrame, sizes: dict[str, int], spec: LangIdSpec) -> DataFrame:
+    """A sample with equal expected numbers per language, chosen by the key; of repeated rows one at most."""
+    rates = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, spec.sample_per_language / sizes[k]))])
+    draw = F.pmod(F.xxhash64("key", F.lit(spec.seed)), F.lit(1 << 30))
+    part = F.pmod(F.xxhash64("key", F.lit(spec.seed + 1)), F.lit(spec.calibrate_every)).cast("int")
+    return labelled.where(draw < rates[F.col("label")] * float(1 << 30)).dropDuplicates(["label", "key"]).withColumn("part", part)
+
+
+def document_frequencies(labelled: DataFrame, spec: LangIdSpec) -> np.ndarray:
+    """In how many texts each feature occurs, over all rows; at most 2 ** bits sums come to the driver."""
+
+    def run(batches):
+        total = np.zeros((1 << spec.bits) + 1, np.int64)
+        for b in sliced(batches, 64):
+            texts = b.column(0).to_pylist()
+            if not texts:
+                continue
+            feats, starts, _ = grams(texts, spec)
+            row = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(feats[0]))))
+            seen = np.zeros((len(texts), (1 << spec.bits) + 1), bool)
+            for f in feats:
+                seen[row, f] = True
+            total += seen.sum(axis=0)
+        at = np.flatnonzero(total[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["feature", "n"])
+
+    sums = labelled.select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << spec.bits)
+    out[np.asarray(sums.column("feature"))] = np.asarray(sums.column("n"))
+    return out
 
 
 def counted(rows: DataFrame, spec: LangIdSpec) -> DataFrame:
-    """label, part, features (distinct n-gram numbers) and shares (their share of the text's n-grams)."""
+    """label, key, part, features (distinct n-gram numbers) and shares (their share of the text's n-grams)."""
 
     def run(batches):
         for b in sliced(batches, 64):
-            labels, texts, parts = (b.column(i).to_pylist() for i in range(3))
             feats, shares = [], []
-            for t in texts:
+            for t in b.column(3).to_pylist():
                 g, _, _ = grams([t], spec)
                 u, n = np.unique(np.concatenate(g), return_counts=True)
+                u, n = u[: len(u) - (u[-1] == 1 << spec.bits)], n[: len(u) - (u[-1] == 1 << spec.bits)]
                 feats.append(u.astype(np.int32))
                 shares.append((n / n.sum()).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(parts, pa.int32()), pa.array(feats, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["label", "part", "features", "shares"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(feats, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["label", "key", "part", "features", "shares"])
 
-    return rows.mapInArrow(run, "label string, part int, features array<int>, shares array<float>")
+    return rows.select("label", "key", "part", "text").mapInArrow(run, "label string, key long, part int, features array<int>, shares array<float>")
 
 
 def fit(docs: DataFrame, spec: LangIdSpec = LangIdSpec(), *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Fit on the rows where ``learn`` holds (all by default) and the label and the text are not null.
 
-    The sample's sparse counts, bounded by the spec and the number of languages, come to the driver. IDF
-    is taken over the sample. Without labelled rows the model knows no language.
+    The sample's sparse counts, bounded by the spec and the number of languages, come to the driver. IDF is taken over
+    all of these rows. The model depends on the rows alone, not on their order or partitions; of repeated rows one is
+    learnt from. Without labelled rows the model knows no language.
     """
-    learn = F.lit(True) if learn is None else learn
-    rows = counted(sample_rows(docs, spec, learn, id_col, text_col, lang_col), spec).toPandas()
-    rows = rows.sort_values(["label", "part"], kind="stable")
+    labelled = labelled_rows(docs, F.lit(True) if learn is None else learn, id_col, text_col, lang_col)
+    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a language
+    dim, empty = 1 << spec.bits, LangModel(spec, (), np.zeros(((1 << spec.bits) + 1, 0), np.float32), np.zeros(0), 1.0)
+    if not sizes:
+        return empty
+    rows = counted(sample_rows(labelled, sizes, spec), spec).toPandas().sort_values(["label", "key"])
     languages = tuple(sorted(rows["label"].unique())) if len(rows) else ()
-    dim, k = 1 << spec.bits, len(languages)
+    k = len(languages)
     if not k:
-        return LangModel(spec, (), np.zeros((dim, 0), np.float32), np.zeros(0), 1.0)
+        return empty
     index = {lang: i for i, lang in enumerate(languages)}
     x = [(np.asarray(f), np.asarray(s, np.float64)) for f, s in zip(rows["features"], rows["shares"], strict=True)]
     y = np.array([index[v] for v in rows["label"]])
     held = rows["part"].to_numpy() == 0
-    df = np.zeros(dim)
-    for (f, _), h in zip(x, held, strict=True):
-        if not h:
-            df[f] += 1
-    idf = np.log((1 + (~held).sum()) / (1 + df)) + 1
+    idf = np.log((1 + sum(sizes.values())) / (1 + document_frequencies(labelled, spec))) + 1
     z, n = np.zeros((dim + 1, k)), np.zeros((dim + 1, k))
 
     def weights(f: np.ndarray) -> np.ndarray:
@@ -144,7 +177,8 @@ def fit(docs: DataFrame, spec: LangIdSpec = LangIdSpec(), *, learn: Column | Non
     w = weights(np.arange(dim + 1))
     logits = np.array([w[dim] + (s * idf[f] * spec.scale) @ w[f] for f, s in x])
     check = held if held.any() else ~held
-    return LangModel(spec, languages, (w[:dim] * idf[:, None] * spec.scale).astype(np.float32), w[dim], calibrated(logits[check], y[check]))
+    table = np.append(w[:dim] * idf[:, None] * spec.scale, np.zeros((1, k)), axis=0).astype(np.float32)
+    return LangModel(spec, languages, table, w[dim], calibrated(logits[check], y[check]))
 
 
 def softmax(a: np.ndarray) -> np.ndarray:
@@ -166,12 +200,14 @@ def calibrated(logits: np.ndarray, y: np.ndarray) -> float:
     return best[1]
 
 
-def identify(docs: DataFrame, model: LangModel, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score (calibrated probability of it, 0 to 1).
+def identify(docs: DataFrame, model: LangModel, *, text_col: str = "text", pred: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """``docs`` with ``pred``, the language, and ``score_col``, its calibrated probability (0 to 1).
 
     ``und`` with score 0 if the text is null or has no letter, or no language is known. Whole texts
-    count; one row per input row, in place, all columns kept.
+    count; one row per input row, in place, all columns kept, but for those that have one of the two names, which are
+    replaced. A text's result depends on it and the model alone.
     """
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in (pred.lower(), score_col.lower())])
     names = docs.columns
     at = names.index(text_col)
 
@@ -182,14 +218,15 @@ def identify(docs: DataFrame, model: LangModel, *, text_col: str = "text") -> Da
                 continue
             texts = [t or "" for t in b.column(at).to_pylist()]
             feats, starts, letters = grams(texts, model.spec)
-            pred, score = np.full(len(texts), -1), np.zeros(len(texts))
+            best, sure = np.full(len(texts), -1), np.zeros(len(texts))
             if tables:
-                total = np.diff(np.append(starts, len(feats[0]))) * model.spec.order
+                n = model.spec.order  # an n-gram for each place, but none for those that reach beyond the text
+                total = np.diff(np.append(starts, len(feats[0]))) * n - n * (n - 1) // 2
                 logits = np.stack([sum(np.add.reduceat(t[f], starts, dtype=np.float64) for f in feats) / total for t in tables], axis=1) + model.bias
                 p = softmax(logits / model.temperature)
-                pred, score = np.where(letters > 0, p.argmax(axis=1), -1), np.where(letters > 0, p.max(axis=1), 0.0)
-            langs = pa.array([UNDETERMINED if i < 0 else model.languages[i] for i in pred], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, langs, pa.array(score)], [*names, "lang_pred", "lang_score"])
+                best, sure = np.where(letters > 0, p.argmax(axis=1), -1), np.where(letters > 0, p.max(axis=1), 0.0)
+            langs = pa.array([UNDETERMINED if i < 0 else model.languages[i] for i in best], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, langs, pa.array(sure)], [*names, pred, score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + ", lang_pred string, lang_score double")
+    return docs.mapInArrow(run, f"{schema}, `{pred}` string, `{score_col}` double")

@@ -1,12 +1,15 @@
 import hashlib
+import math
 import random
 import time
+from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from scenelake.llm import fingerprint, langid, neardup
-from scenelake.llm.common import WordHash, fold_of, shingles, word_hashes
+from scenelake.llm.common import fold_of
 from scenelake.operators.graph import connected_components
 from tests.llm.docs import AWKWARD, prose, table
 
@@ -115,19 +118,51 @@ def test_components_of_a_long_path_and_loops(spark):
     assert got == {**dict.fromkeys(range(41), 0), 50: 50, 60: 60, 61: 60}
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash bin by bin, from sets of word tuples: 128 bins, empty ones filled from random bins in turn."""
+    words = [xxhash.xxh3_64_intdigest(w) for w in (text or "").encode().lower().split()]
+    if not words:
+        return None
+    mask = (1 << 64) - 1
+    a, b = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def mix(h):
+        h = ((h ^ h >> 32) * b) & mask
+        h = ((h ^ h >> 29) * a) & mask
+        return h ^ h >> 32
+
+    k = min(5, len(words))
+    bins = {}
+    for i in range(len(words) - k + 1):
+        h = mix((words[i] + k) & mask)
+        for w in words[i + 1 : i + k]:
+            h = mix((h * a + w) & mask)
+        bins[h >> 57] = min(bins.get(h >> 57, mask), h)
+    ask = np.random.default_rng(7).integers(0, 128, (64 * 128, 128))
+    return [(bins[j] if j in bins else next(bins[int(d)] for d in ask[:, j] if int(d) in bins)) & 255 for j in range(128)]
+
+
+def plain_likeness(x, y):
+    if x is None or y is None:
+        return float(x is y)
+    share = sum(p == q for p, q in zip(x, y, strict=True)) / 128
+    return min(1.0, max(0.0, (share - 1 / 256) / (1 - 1 / 256)))
+
+
 def test_edited_pairs_equal_brute_force(spark):
     texts = [*AWKWARD, *(prose(i, 30 + i) for i in range(60))]
     ids = random.Random(4).sample(range(10000), len(texts))
     rows = {r["doc_id"]: r for r in fingerprint.edited_pairs(table(spark, texts, ids=ids)).collect()}
     assert len(rows) == len(texts)
-    order = sorted(zip(ids, texts, strict=True), reverse=True)
-    words = WordHash()
+    order = sorted(zip(ids, texts, strict=True), key=lambda x: -x[0])
     for i, (d, t) in enumerate(order):
         t, after = t or "", order[(i + 1) % len(order)][1] or ""
         k = len(t) // 3
         edited = t[: len(t) - k] + after[:k]
         assert rows[d]["n_chars"] == len(t) and rows[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert rows[d]["fingerprint"] == fingerprint.packed(shingles(word_hashes(words, t.encode())), fingerprint.FingerprintSpec()).hex()
+        own, other, near = plain_fingerprint(t), plain_fingerprint(edited), plain_fingerprint(after)
+        assert rows[d]["fingerprint"] == bytes(own or b"").hex() and rows[d]["edited_fingerprint"] == bytes(other or b"").hex()
+        assert abs(rows[d]["near_edited"] - plain_likeness(own, other)) < 1e-12 and abs(rows[d]["near_next"] - plain_likeness(own, near)) < 1e-12
     one = fingerprint.edited_pairs(table(spark, ["a b c d e f g"], ids=[3])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert fingerprint.edited_pairs(table(spark, ["x"]).where("false")).count() == 0
@@ -148,6 +183,124 @@ def test_likeness_estimates_similarity():
     assert fingerprint.likeness(fingerprint.packed(tiny, fingerprint.FingerprintSpec()), fingerprint.packed(tiny, fingerprint.FingerprintSpec())) == 1.0
 
 
+def plain_grams(text, spec):
+    """Hashed n-grams of one text, character by character, as a count of feature numbers."""
+    c = " " + text.lower() + " " * spec.order
+    c = "".join(x if x.isalpha() else " " for x in c)
+    out, mask = Counter(), (1 << 32) - 1
+    for n in range(1, spec.order + 1):
+        for i in range(len(c) - n + 1):
+            h = 0
+            for k in range(1, n + 1):
+                h = ((h ^ ord(c[i + k - 1])) * 0x9E3779B1 + k) & mask
+                h ^= h >> 15
+            out[(h * 0x85EBCA77 & mask) >> (32 - spec.bits)] += 1
+    return out
+
+
+def plain_ftrl(rows, texts, spec):
+    """FTRL-proximal with dictionaries: ``rows`` (label, part, text) in order, IDF over ``texts``. Returns a scorer of texts."""
+    df = Counter(f for t in texts for f in plain_grams(t, spec))
+    idf = lambda f: math.log((1 + len(texts)) / (1 + df[f])) + 1
+    labels = sorted({r[0] for r in rows})
+    z, n = {}, {}
+
+    def vector(t, cast=True):
+        g = plain_grams(t, spec)
+        total = sum(g.values())
+        return [(f, float(np.float32(c / total) if cast else c / total) * idf(f) * spec.scale) for f, c in sorted(g.items())] + [(-1, 1.0)]
+
+    def weight(f, j):
+        zf = z.get((f, j), 0.0)
+        if abs(zf) <= spec.l1:
+            return 0.0
+        return -(zf - math.copysign(spec.l1, zf)) / ((spec.beta + math.sqrt(n.get((f, j), 0.0))) / spec.alpha + spec.l2)
+
+    def logits(x):
+        return [sum(v * weight(f, j) for f, v in x) for j in range(len(labels))]
+
+    def softmax(a):
+        e = [math.exp(v - max(a)) for v in a]
+        return [v / sum(e) for v in e]
+
+    learnt = [i for i, r in enumerate(rows) if r[1]] or list(range(len(rows)))
+    rng = np.random.default_rng(spec.seed)
+    for _ in range(spec.epochs):
+        for i in rng.permutation(learnt):
+            x = vector(rows[i][2])
+            p = softmax(logits(x))
+            for j, lab in enumerate(labels):
+                grad = p[j] - (lab == rows[i][0])
+                for f, v in x:
+                    g, w, old = v * grad, weight(f, j), n.get((f, j), 0.0)
+                    z[f, j] = z.get((f, j), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / spec.alpha * w
+                    n[f, j] = old + g * g
+    return labels, lambda t: logits(vector(t, cast=False))
+
+
+LANGS = {"aa": ["kato", "loma", "sivu", "talo", "joki"], "bb": ["straat", "gracht", "schip", "water", "brood"], "cc": ["плот", "река", "дом", "лес", "вода"]}
+
+
+def small_languages():
+    r = random.Random(6)
+    texts, langs = [], []
+    for i in range(60):
+        lang = list(LANGS)[i % 3]
+        texts.append(" ".join(r.choice(LANGS[lang] + ["la", "de"]) for _ in range(r.randint(2, 7))) + r.choice(["", "!", " 7"]))
+        langs.append(lang)
+    return texts, langs
+
+
+def test_features_and_model_equal_plain_ftrl(spark):
+    texts, langs = small_languages()
+    spec = langid.LangIdSpec(bits=10)
+    for t in ("", "a", "Ab1 c", "плот x"):
+        g = np.concatenate(langid.grams([t, "zz"], spec)[0])
+        feats, starts, _ = langid.grams(["yy", t, "zz"], spec)
+        mid = np.concatenate([f[starts[1] : starts[2]] for f in feats])
+        assert Counter(mid[mid < 1 << spec.bits].tolist()) == plain_grams(t, spec)
+        assert len(g) == 3 * (len(t) + 4 + 2 + 4)
+    docs = table(spark, texts, langs)
+    model = langid.fit(docs, spec)
+    sample = langid.counted(langid.sample_rows(langid.labelled_rows(docs, F.lit(True), "doc_id", "text", "lang"), {k: 20 for k in LANGS}, spec), spec).toPandas().sort_values(["label", "key"])
+    key_of = {r["key"]: r["text"] for r in langid.labelled_rows(docs, F.lit(True), "doc_id", "text", "lang").collect()}
+    rows = [(a, b, key_of[c]) for a, b, c in zip(sample["label"], sample["part"], sample["key"], strict=True)]
+    labels, scorer = plain_ftrl(rows, texts, spec)
+    assert tuple(labels) == model.languages
+    for row in langid.identify(docs, model).collect():
+        logits = np.array(scorer(row["text"])) / model.temperature
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        assert row["lang_pred"] == labels[int(p.argmax())] and abs(row["lang_score"] - p.max()) < 1e-4
+
+
+def test_language_score_depends_on_the_text_alone(spark):
+    texts, langs = small_languages()
+    docs = table(spark, texts, langs)
+    first = langid.fit(docs)
+    again = langid.fit(docs.orderBy(F.col("doc_id").desc()).repartition(3))
+    assert first.temperature == again.temperature and (first.table == again.table).all()
+    score = lambda df: {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.identify(df, first).collect()}
+    whole = score(docs)
+    other = score(docs.repartition(7).orderBy(F.col("doc_id").desc()))
+    alone = {k: v for i in (0, 7, 31) for k, v in score(docs.where(F.col("doc_id") == i).coalesce(1)).items()}
+    for got in (other, alone):
+        assert all(got[k][0] == whole[k][0] and abs(got[k][1] - whole[k][1]) < 1e-12 for k in got)
+
+
+def test_language_sample_is_bounded_under_repeated_rows(spark):
+    texts, langs = small_languages()
+    texts, langs = texts + [texts[0]] * 3000, langs + ["aa"] * 3000
+    docs = table(spark, texts, langs, ids=[*range(60), *[None] * 3000])
+    labelled = langid.labelled_rows(docs, F.lit(True), "doc_id", "text", "lang")
+    spec = langid.LangIdSpec()
+    assert langid.sample_rows(labelled, {"aa": 1, "bb": 1, "cc": 1}, spec).count() == 61
+    clash = docs.withColumns({"LANG_PRED": F.lit("p"), "lang_score": F.lit("s"), "key": F.lit("k"), "part": F.lit("q")})
+    rows = langid.identify(clash.limit(9), langid.fit(clash), pred="own", score_col="sure").collect()
+    assert all((r["LANG_PRED"], r["lang_score"], r["key"], r["part"]) == ("p", "s", "k", "q") and r["own"] in LANGS for r in rows)
+    assert "LANG_PRED" not in langid.identify(clash, langid.fit(clash)).columns
+
+
 def test_language_id_on_held_out_rows(spark):
     r = random.Random(6)
     vocab = {"aa": ["kato", "loma", "sivu", "talo", "joki"], "bb": ["straat", "gracht", "schip", "water", "brood"], "cc": ["плот", "река", "дом", "лес", "вода"]}
