@@ -22,6 +22,7 @@ SPACE = "▁"
 _LITERAL = "\udc81"
 #: No piece crosses the start of a run of spaces or a line end, so a unit's lattice is independent of its neighbours.
 _UNIT = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+_IN_UNIT = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]*")
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,8 @@ class SampleSpec:
     batch_chars: int = 400_000
     #: code points of the texts whose paths are drawn side by side
     path_chars: int = 400_000
-    #: branches whose probability is below exp of this are not opened; far under what a double resolves beside 1
+    #: where a prefix of a path has a probability below exp of this, branches are opened only as long as there are fewer than
+    #: are wanted: beside those before, theirs is under what a double resolves
     least_log_mass: float = -40.0
 
 
@@ -48,7 +50,8 @@ class Pieces:
     """The pieces of a model as a trie over code points, with a log weight for each.
 
     The score of a byte-pair piece is minus its merge rank. Its weight is 1 / (rank + 8), Zipf's law by rank; runs
-    of spaces, which have no rank, weigh as the last. A code point in no piece is spelt in byte pieces.
+    of spaces, which have no rank, weigh as the last. A code point in no piece is spelt in byte pieces. A model with a
+    piece that crosses the start of a run of spaces or a line end is refused: its lattices do not fall into units.
     """
 
     dense = 176
@@ -69,6 +72,8 @@ class Pieces:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.bytes_of.append(b"")
             else:
+                if not _IN_UNIT.fullmatch(p):
+                    raise ValueError(f"piece {i} ({p!r}) crosses a border of units")
                 self.bytes_of.append(p.replace(SPACE, " ").encode())
                 words.append((p, i, -np.log(min(-sp.get_score(i), n) + 8)))
         self.byte_weight = -np.log(n + 8.0)
@@ -135,7 +140,8 @@ class Lattice:
     """Lattices of many units side by side. A unit of n code points has n + 1 nodes, the last its end.
 
     Edges are grouped by start node. ``q`` is the probability of an edge given its start: piece weight times the total
-    weight of what may follow, over the total from the start (backward sums).
+    weight of what may follow, over the total from the start (backward sums). ``log_q`` is its logarithm and ``log_rest``
+    that of the sum of the other edges of its start, which one less ``q`` does not give if ``q`` is next to one.
     """
 
     #: Log weight that is given back for each code point, about what a path loses: sums stay near 1.
@@ -206,10 +212,17 @@ class Lattice:
             lo, hi = cuts[k], cuts[k + 1]
             h = heads[bounds[k] : bounds[k + 1]]
             beta[start[h]] = np.add.reduceat(value[lo:hi] * beta[ahead[lo:hi]], h - lo)
-        if (beta > 1e-280).all() and (beta < 1e280).all():
+        plain = bool((beta > 1e-280).all() and (beta < 1e280).all())
+        if plain:
             self.q = np.exp(w) * beta[self.from_ + self.len] / beta[self.from_]
-        else:  # sums left the range of doubles: long units, or many code points in bytes
-            beta[last] = 0.0
+            plain = bool((self.q > 0).all())
+        lead = np.flatnonzero(np.diff(self.from_, prepend=-1))
+        if plain:
+            np.minimum(self.q, 1.0, out=self.q)
+            with np.errstate(divide="ignore"):
+                self.log_q, self.log_rest = np.log(self.q), np.log(_others(self.q, lead, np.add, 0.0))
+        else:  # sums left the range of doubles: long units, many code points in bytes, or a high alpha
+            beta[:] = 0.0
             value = w[by]
             for k in range(len(cuts) - 1):
                 lo, hi = cuts[k], cuts[k + 1]
@@ -218,9 +231,9 @@ class Lattice:
                 top = np.maximum.reduceat(v, h - lo)
                 rest = np.exp(v - np.repeat(top, np.diff(np.append(h, hi))))
                 beta[start[h]] = top + np.log(np.add.reduceat(rest, h - lo))
-            self.q = np.exp(w + beta[self.from_ + self.len] - beta[self.from_])
-        np.minimum(self.q, 1.0, out=self.q)
-        lead = np.flatnonzero(np.diff(self.from_, prepend=-1))
+            self.log_q = np.minimum(w + beta[self.from_ + self.len] - beta[self.from_], 0.0)
+            self.log_rest = _others(self.log_q, lead, np.logaddexp, -np.inf)
+            self.q = np.exp(self.log_q)
         run = np.cumsum(self.q)
         self.mono = run - np.repeat(run[lead] - self.q[lead], np.diff(np.append(lead, len(run))))
         np.minimum(self.mono, 1.0, out=self.mono)
@@ -233,6 +246,19 @@ class Lattice:
         return np.minimum(e, self.first[node + 1] - 1)
 
 
+def _others(value: np.ndarray, lead: np.ndarray, add, zero: float) -> np.ndarray:
+    """For each member of the runs that begin at ``lead`` the sum of the others of its run, added up from either side."""
+    size = np.diff(np.append(lead, len(value)))
+    before, after = np.full(len(value), zero), np.full(len(value), zero)
+    for k in range(1, int(size.max(initial=0))):
+        more = size > k
+        at = lead[more] + k
+        before[at] = add(before[at - 1], value[at - 1])
+        at = (lead + size)[more] - 1 - k
+        after[at] = add(after[at + 1], value[at + 1])
+    return add(before, after)
+
+
 _SCALE = 2.0**-53
 
 
@@ -315,7 +341,7 @@ def _draw(lat: Lattice, occ: np.ndarray, points: np.ndarray, seeds: np.ndarray,
         fresh, left = free(s), []
         where = np.flatnonzero(fresh >= 0)
         drawn = fresh[where]
-        log_q = np.log(np.maximum(lat.q[drawn], 1e-300))
+        log_q = lat.log_q[drawn]
         bounds = np.searchsorted(where, doc_start).tolist()
         for d, lo in enumerate(doc_start[:-1].tolist()):
             a, b = bounds[d], bounds[d + 1]
@@ -336,7 +362,7 @@ def _draw(lat: Lattice, occ: np.ndarray, points: np.ndarray, seeds: np.ndarray,
                 shift = lo + int(to_node[place + lo])  # constant within a unit
                 node = place + shift
                 options = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in banned]
-                p = lat.q[options]
+                p = np.exp(lat.log_q[options] - lat.log_q[options].max())
                 u = _uniform_one(keys[d], 2000 + s, place)
                 e = options[min(int(np.searchsorted(np.cumsum(p) / p.sum(), u)), len(options) - 1)]
                 new_places, new_edges = [place], [e]
@@ -350,7 +376,7 @@ def _draw(lat: Lattice, occ: np.ndarray, points: np.ndarray, seeds: np.ndarray,
                 t = a + int(np.searchsorted(where[a:b], lo + stop))
                 places = np.concatenate([old_places[:kept], new_places, where[t:b] - lo])
                 edges = np.concatenate([old_edges[:kept], np.array(new_edges, np.int32), drawn[t:b]])
-                logs = np.concatenate([old_logs[:kept], np.log(np.maximum(lat.q[new_edges], 1e-300)), log_q[t:b]])
+                logs = np.concatenate([old_logs[:kept], lat.log_q[new_edges], log_q[t:b]])
             results[d].append((places, edges, logs, float(logs.sum()), g))
             left.append((heaps[d], places, edges, logs, kept, banned, g, keys[d], len(results[d]) - 1))
         _branch(left, lat, s, spec)
@@ -370,7 +396,7 @@ def _branch(paths: list[tuple], lat: Lattice, sample: int, spec: SampleSpec, wid
     """Push, for each new path, the sets that leave it at its place ``kept`` or later.
 
     All paths are done side by side on their next ``width`` places; the mass that is left falls fast, and paths whose
-    mass is not spent by then are done again on more places.
+    mass is not spent by then, or that have not given as many sets as are wanted, are done again on more places.
     """
     paths = [p for p in paths if p[4] < len(p[2])]
     if not paths:
@@ -378,33 +404,31 @@ def _branch(paths: list[tuple], lat: Lattice, sample: int, spec: SampleSpec, wid
     edge = np.zeros((len(paths), width), np.int64)
     place = np.zeros((len(paths), width), np.int64)
     own = np.zeros((len(paths), width))
-    lost = np.zeros(len(paths))
-    again, spare_of_first = [], np.ones(len(paths), np.int64)
-    for k, (_, places, edges, logs, kept, banned, _, _, _) in enumerate(paths):
+    again: list[int] = []
+    for k, (_, places, edges, logs, kept, _, _, _, _) in enumerate(paths):
         n = min(width, len(edges) - kept)
         edge[k, :n], place[k, :n], own[k, :n] = edges[kept : kept + n], places[kept : kept + n], logs[kept : kept + n]
-        lost[k] = lat.q[list(banned)].sum() if banned else 0.0
-        spare_of_first[k] += len(banned)
+    rest = lat.log_rest[edge]
+    for k, (_, _, edges, _, kept, banned, _, _, _) in enumerate(paths):
+        if banned:
+            node = int(lat.from_[edges[kept]])
+            options = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in banned and e != edges[kept]]
+            rest[k, 0] = np.logaddexp.reduce(lat.log_q[options]) if options else -np.inf
     before = np.array([float(p[3][: p[4]].sum()) if p[4] else 0.0 for p in paths])
     mass = before[:, None] + np.cumsum(own, axis=1) - own
     length = np.array([len(p[2]) - p[4] for p in paths])
+    loc = mass + rest
+    there = (np.arange(width) < length[:, None]) & (loc > -np.inf)
+    ok = there & ((mass >= spec.least_log_mass) | (np.cumsum(there, axis=1) <= spec.samples + 1))
     if width < length.max():
-        open_ = (length > width) & (mass[:, -1] >= spec.least_log_mass)
+        open_ = (length > width) & ((mass[:, -1] >= spec.least_log_mass) | (ok.sum(axis=1) <= spec.samples))
         again = np.flatnonzero(open_).tolist()
-    gone = np.exp(own)
-    gone[:, 0] += lost
-    node = lat.from_[edge]
-    degree = lat.first[node + 1] - lat.first[node]
-    need = np.ones((len(paths), width), np.int64)
-    need[:, 0] = spare_of_first
-    with np.errstate(divide="ignore"):
-        loc = mass + np.log1p(-np.minimum(gone, 1.0))
-    ok = (np.arange(width) < length[:, None]) & (degree > need) & (loc > -np.inf) & (mass >= spec.least_log_mass)
     seed = np.array([p[7] for p in paths], np.uint64)
     bound = np.array([p[6] for p in paths])
     u = _uniform(np.repeat(seed, width), 1000 + sample, place.ravel()).reshape(place.shape)
     with np.errstate(over="ignore"):
-        g = np.where(ok, loc - np.log(np.exp(np.minimum(loc - bound[:, None], 700.0)) - np.log(u)), -np.inf)
+        # loc - log(exp(loc - bound) - log(u)): a Gumbel at loc, truncated at the bound
+        g = np.where(ok, loc - np.logaddexp(np.where(ok, loc, 0.0) - bound[:, None], np.log(-np.log(u))), -np.inf)
     best = np.argsort(-g, axis=1)[:, : spec.samples + 1]
     redo = set(again)
     for k, (heap, _, _, _, kept, banned, _, _, number) in enumerate(paths):

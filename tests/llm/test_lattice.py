@@ -9,7 +9,14 @@ MODEL = lattice.pieces(lattice.default_model_path())
 
 
 def all_paths(text):
-    """Every segmentation of a short text, with its probability."""
+    """Every segmentation of a short text, with its log-probability."""
+    paths = raw_paths(text)
+    z = np.logaddexp.reduce(list(paths.values()))
+    return {k: v - z for k, v in paths.items()}
+
+
+def raw_paths(text):
+    """Every segmentation of a short text, with its log-weight."""
     t = lattice.SPACE + text.replace(" ", lattice.SPACE)
     import sentencepiece
 
@@ -25,9 +32,7 @@ def all_paths(text):
                 for rest, v in walk(end):
                     yield (i, *rest), w + v
 
-    paths = dict(walk(0))
-    z = np.logaddexp.reduce(list(paths.values()))
-    return {k: v - z for k, v in paths.items()}
+    return dict(walk(0))
 
 
 def test_samples_follow_sequential_sampling_without_replacement():
@@ -50,6 +55,22 @@ def test_samples_follow_sequential_sampling_without_replacement():
     assert abs(mass / n - 1) < 0.02  # inclusion scores make the estimate of the total unbiased
 
 
+def test_sharp_weights_lose_no_sample():
+    """With piece weights to the power 20 the second segmentation is far less likely than a double tells beside the first."""
+    for alpha, text in ((20.0, "of the"), (5.0, "of the"), (60.0, "at"), (20.0, "to be or not")):
+        sharp = {k: v * alpha for k, v in raw_paths(text).items()}
+        z = np.logaddexp.reduce(list(sharp.values()))
+        best = sorted(sharp, key=sharp.get, reverse=True)
+        for seed in range(20):
+            rows = lattice.sample_batch(np.array([seed], np.uint64), [text], MODEL, lattice.SampleSpec(samples=4, alpha=alpha))[0]
+            keys = [tuple(r[0].tolist()) for r in rows]
+            assert len(set(keys)) == len(keys) == 4
+            assert all(abs(r[1] - (sharp[k] - z)) < 1e-6 * max(1.0, abs(r[1])) for k, r in zip(keys, rows, strict=True))
+            if alpha >= 20:  # gaps between the best are far wider than Gumbel noise
+                assert keys[0] == best[0]
+            assert all(r[3] <= 0 for r in rows) and rows[0][2] >= rows[1][2] >= rows[2][2] >= rows[3][2]
+
+
 def test_few_segmentations_are_all_given():
     rows = lattice.sample_batch(np.array([1], np.uint64), ["a"], MODEL, lattice.SampleSpec(samples=9))[0]
     assert len(rows) == len(all_paths("a")) and all(r[3] == 0.0 for r in rows)
