@@ -23,6 +23,8 @@ class LmSpec:
     folds: int = 10
     #: tokens of a unit, the piece of the corpus that one task handles at a time
     unit_tokens: int = 1_500_000
+    #: tokens of the corpus for each shard of the n-grams: what one task counts at a time holds about as many
+    shard_tokens: int = 1_000_000
     #: context-frequency buckets: none, then one for each power of two up to this
     top_bucket: int = 24
     #: expectation-maximisation
@@ -181,7 +183,7 @@ def replies(asked: DataFrame, shards: int) -> DataFrame:
     return asked.repartition(shards, "shard").sortWithinPartitions("shard", "order").mapInArrow(run, REPLIES)
 
 
-def _with_counts(units: DataFrame, answered: DataFrame, per_unit, schema: str) -> DataFrame:
+def _with_counts(units: DataFrame, answered: DataFrame, width: int, per_unit, schema: str) -> DataFrame:
     """Bring each unit and its replies together and yield ``per_unit(unit row, {order: counts}, {order: counts without})``."""
     left = units.select("unit", F.lit(0).alias("order"), F.lit(0).alias("shard"), "doc_ids", "parts", "lengths", "keys", "stream")
     right = answered.select("unit", "order", "shard", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("parts"), F.lit(None).cast("array<int>").alias("lengths"), F.col("counts").alias("keys"), F.col("without").alias("stream"))
@@ -206,7 +208,6 @@ def _with_counts(units: DataFrame, answered: DataFrame, per_unit, schema: str) -
         if unit is not None:
             yield done()
 
-    width = shuffle_width(units.sparkSession)
     return left.unionByName(right).repartition(width, "unit").sortWithinPartitions("unit", "order", "shard").mapInArrow(run, schema)
 
 
@@ -228,7 +229,7 @@ def _levels(spec: LmSpec) -> int:
     return 40 * spec.grain + 2
 
 
-def deleted_histogram(units: DataFrame, answered: DataFrame, tokens: int, spec: LmSpec) -> list[tuple[int, int]]:
+def deleted_histogram(units: DataFrame, answered: DataFrame, width: int, tokens: int, spec: LmSpec) -> list[tuple[int, int]]:
     """(cell, n) over the deleted documents' tokens: context bucket, binned bigram and unigram probability by counts
     without those documents. The number of cells is fixed by the spec.
     """
@@ -246,7 +247,7 @@ def deleted_histogram(units: DataFrame, answered: DataFrame, tokens: int, spec:
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int64())], ["cell", "n"])
 
     odd = F.col("unit").bitwiseAND(1) == 1
-    cells = _with_counts(units.where(odd), answered.where(odd & (F.col("unit") >= 0)), per_unit, "cell long, n long")
+    cells = _with_counts(units.where(odd), answered.where(odd & (F.col("unit") >= 0)), width, per_unit, "cell long, n long")
     return [(r["cell"], r["n"]) for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()]
 
 
@@ -276,14 +277,18 @@ def score(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id", t
     Words are known by 64-bit hashes. Every distinct word and word pair of a unit is asked for at the
     shard that counts it over the whole corpus, and the answer returns to the unit. score is the sum of
     log10(w2 c(v w) / c(v) + w1 c(w) / N + w0 / (V + 1)), the weights by the bucket of c(v), estimated on
-    deleted documents. One row per input row; without learnt documents all counts are 0.
+    deleted documents. One row per input row, repeated rows alike; a null text is its end alone, an empty table gives no
+    row; without learnt documents all counts are 0. Units and shards are as many as the tokens call for, so what a task
+    holds does not grow with the input. Columns other than the two are not read.
     """
-    shards = 1 << (shuffle_width(docs.sparkSession) - 1).bit_length()
     units = cut(streams(docs, spec, id_col=id_col, text_col=text_col))
+    size = units.agg(F.count("*").alias("units"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0)).alias("tokens")).first()
+    width = max(shuffle_width(docs.sparkSession), size["units"])
+    shards = 1 << (max(shuffle_width(docs.sparkSession), -(-size["tokens"] // spec.shard_tokens)) - 1).bit_length()
     answered = cut(replies(requests(units, shards, spec), shards))
     sums = [np.frombuffer(bytes(r["counts"]), "<i8") for r in answered.where("unit = -1").select("counts").collect()]  # one row a shard
     tokens, types, tokens_without, types_without = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0, 0, 0)
-    weights = mixture(deleted_histogram(units, answered, tokens_without, spec), types_without, spec)
+    weights = mixture(deleted_histogram(units, answered, width, tokens_without, spec), types_without, spec)
 
     def per_unit(unit, counts, _):
         own, before, both = _parts_of(unit, counts)
@@ -304,4 +309,4 @@ def score(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id", t
         ]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return _with_counts(units, answered.where("unit >= 0"), per_unit, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _with_counts(units, answered.where("unit >= 0"), width, per_unit, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
