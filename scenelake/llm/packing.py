@@ -18,15 +18,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 @dataclass(frozen=True)
 class PackSpec:
-    """Capacities of a bin. Attention cost of a piece is the square of its length."""
+    """Capacities of a bin. Attention cost of a piece is the square of its length.
+
+    By default only the tokens can run out, so that sequences are as few as can be: the other two shape the choice of
+    bins by what is left of them. Lower values bind.
+    """
 
     tokens: int = 1024
-    documents: int = 512
+    documents: int = 1024
     attention: int = 1024 * 1024
     #: weights of the residual token, document and attention capacities in the norm, each as a share of its capacity
     weights: tuple[float, float, float] = (1.0, 0.05, 0.25)
     rule: str = "norm"  # or "dot"
-    #: rows that one task ranks within a length
+    #: rows in a row that are ranked together within a length
     rank_bucket_rows: int = 10_000
 
 
@@ -157,8 +161,10 @@ def pack(pieces: DataFrame, spec: PackSpec = PackSpec()) -> DataFrame:
 
     Needs columns length, doc_id and piece and returns all columns of ``pieces`` and the two. The
     histogram over lengths (at most ``spec.tokens`` rows) comes to the driver, is packed there by
-    :func:`plan_bins`, and its intervals go back to rank within length. Ranks come from a count per
-    (hash bucket, length), so no length, however common, has to meet in one task. An empty input gives none.
+    :func:`plan_bins`, and its intervals go back to rank within length. Ranks come from a count per (run of
+    ``rank_bucket_rows`` rows, length), so neither a common length nor a repeated row has to meet in one task. Which
+    sequence a piece goes to depends on the order of the rows; how many there are does not. Null ids and repeated
+    rows are placed like any other; an empty input gives none.
     """
     spark = pieces.sparkSession
     pieces = cut(pieces)
@@ -166,12 +172,11 @@ def pack(pieces: DataFrame, spec: PackSpec = PackSpec()) -> DataFrame:
     if not counts:
         return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     intervals = plan_bins(counts, spec)
-    buckets = max(1, -(-sum(counts.values()) // spec.rank_bucket_rows))
-    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # the pieces are materialised: their numbers stay the same when a task runs again
+    keyed = pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bucket", F.expr(f"_row div {spec.rank_bucket_rows}"))
     sizes = keyed.groupBy("_bucket", "length").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).drop("_n")
-    ranked = keyed.withColumn("_in", F.row_number().over(Window.partitionBy("_bucket", "length").orderBy(*order)) - 1)
+    ranked = keyed.withColumn("_in", F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("_row")) - 1)
     ranked = ranked.join(before, ["_bucket", "length"]).withColumn("_rank", F.col("_before") + F.col("_in"))
     # The intervals are few: their number depends on the lengths and bin states, not on the pieces.
     table: dict[int, np.ndarray] = {}

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import WORD_SPACE, cut, text_or_empty
+from scenelake.llm.common import WORD_SPACE, fresh, text_or_empty
+from scenelake.plans.lineage import written
 
 
 @dataclass(frozen=True)
@@ -53,22 +54,35 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct _q of text statistics, all computed inside the row.
+def others(docs: DataFrame, out: str) -> list[str]:
+    """The columns of ``docs`` but for one named ``out``, in either case, which is replaced."""
+    return [c for c in docs.columns if c.lower() != out.lower()]
 
-    n_repeat_words: windows of three words are hashed and packed with their position into sorted longs;
-    equal neighbours, confirmed on the words, mark repeated windows, whose union of positions is counted.
-    n_distinct_words: the mean over windows of 400 words that cover the whole text. A null text has no words.
+
+def measure(docs: DataFrame, text_col: str = "text", *, out: str = "quality", room: int = 1 << 62) -> DataFrame:
+    """``docs`` with a struct ``out`` of text statistics, all computed inside the row.
+
+    n_repeat_words: windows of three words are hashed and packed with their position into sorted longs below ``room``;
+    equal neighbours, confirmed on the words, mark repeated windows, whose union of positions is counted. Should two
+    different windows of a text meet in a hash, its windows are sorted by their words instead. n_distinct_words: the mean
+    over windows of 400 words that cover the whole text. A null text has no words. Input columns keep their names and
+    values, but for one named ``out``, which is replaced.
     """
-    t = text_or_empty(text_col)
-    df = docs.withColumn("_t", t).withColumn("_w", F.filter(F.split("_t", WORD_SPACE, -1), lambda w: w != ""))
+    row = F.struct(*[F.col(f"`{c}`") for c in others(docs, out)])  # in one column, so that no name of theirs meets one below
+    df = docs.select(row.alias("_row"), text_or_empty(text_col).alias("_t")).withColumn("_w", F.filter(F.split("_t", WORD_SPACE, -1), lambda w: w != ""))
     n = F.size("_w")
     df = df.withColumn("_k", F.greatest(n - 2, F.lit(0)).cast("long"))
-    # hash and position in one long: position < _k, hash reduced to what remains of 62 bits
-    packed = """if(_k > 0, transform(sequence(1L, _k), i -> pmod(xxhash64(_w[i - 1], _w[i], _w[i + 1]), 4611686018427387904 div _k) * _k + i - 1), cast(array() as array<bigint>))"""
+    # hash and position in one long: position < _k, hash reduced to what remains of the room
+    packed = f"""if(_k > 0, transform(sequence(1L, _k), i -> pmod(xxhash64(_w[i - 1], _w[i], _w[i + 1]), greatest({room} div _k, 1L)) * _k + i - 1), cast(array() as array<bigint>))"""
     df = df.withColumn("_p", F.sort_array(F.expr(packed)))
-    same = """(p, q) -> if(p div _k = q div _k and _w[int(p % _k)] = _w[int(q % _k)] and _w[int(p % _k) + 1] = _w[int(q % _k) + 1] and _w[int(p % _k) + 2] = _w[int(q % _k) + 2], 1, 0)"""
-    df = df.withColumn("_e", F.expr(f"if(_k > 1, zip_with(slice(_p, 1, size(_p) - 1), slice(_p, 2, size(_p) - 1), {same}), cast(array() as array<int>))"))
+    words = "_w[int(p % _k)] = _w[int(q % _k)] and _w[int(p % _k) + 1] = _w[int(q % _k) + 1] and _w[int(p % _k) + 2] = _w[int(q % _k) + 2]"
+    pairs = "zip_with(slice(_p, 1, size(_p) - 1), slice(_p, 2, size(_p) - 1), (p, q) -> {})"
+    # of two neighbours: 1 the same words, 0 other words, 2 other words of the same hash
+    hashed = pairs.format(f"if(p div _k <> q div _k, 0, if({words}, 1, 2))")
+    df = df.withColumn("_e", F.expr(f"if(_k > 1, {hashed}, cast(array() as array<int>))")).withColumn("_met", F.array_contains("_e", 2))
+    by_words = "transform(sort_array(transform(sequence(1L, _k), i -> struct(_w[i - 1] as a, _w[i] as b, _w[i + 1] as c, i - 1 as at))), s -> s.at)"
+    df = df.withColumn("_p", F.expr(f"if(_met, {by_words}, _p)"))
+    df = df.withColumn("_e", F.expr(f"if(_met, {pairs.format(f'if({words}, 1, 0)')}, _e)"))
     df = df.withColumn("_r", F.expr("if(array_contains(_e, 1), sort_array(filter(transform(_p, (p, i) -> if((i > 0 and _e[i - 1] = 1) or (i < size(_e) and _e[i] = 1), p % _k, -1)), x -> x >= 0)), cast(array() as array<bigint>))"))
     repeat = F.expr("if(size(_r) = 0, 0L, 3L + aggregate(zip_with(slice(_r, 1, size(_r) - 1), slice(_r, 2, size(_r) - 1), (a, b) -> least(b - a, 3L)), 0L, (s, x) -> s + x))")
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -91,10 +105,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_distinct_words": F.expr(windows),
         "n_shouts": F.size(F.filter("_w", lambda w: w.endswith("!!"))),
     }
-    return df.withColumn("_q", F.struct(*[v.alias(k) for k, v in stats.items()])).drop("_t", "_w", "_k", "_p", "_e", "_r", "_l")
+    return df.select("_row", F.struct(*[v.alias(k) for k, v in stats.items()]).alias("_stats")).select("_row.*", F.col("_stats").alias(out))
 
 
-def votes(q: str = "_q") -> Column:
+def votes(q: str = "quality") -> Column:
     """array<int> of the rules' votes on the statistics struct ``q``; a text without words gets bad votes only."""
     out = []
     for _, expr, good, bad in RULES:
@@ -166,25 +180,27 @@ def posterior_column(votes_col: str, model: LabelModel) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
-def judge(docs: DataFrame, spec: QualitySpec = QualitySpec(), *, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` with _q (statistics), base_failed, posterior and kept.
+def judge(docs: DataFrame, spec: QualitySpec = QualitySpec(), *, text_col: str = "text", out: str = "quality", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` (of it, the columns ``keep``) with a struct ``out``: the statistics, base_failed, posterior and kept.
 
-    The counts of vote patterns over all documents (at most 3 ** 8 rows) come to the driver, where
-    expectation-maximisation estimates the rules' accuracies without labels. With ``keep`` only those columns of
-    ``docs`` stay and the statistics are materialised, so each text is measured once; else they are measured again
-    after the estimation. One row per input row. A text without words fails the base rule.
+    Each text is measured once and written with its statistics to the shared folder. The counts of vote patterns over all
+    documents (at most 3 ** 8 rows) come to the driver, where expectation-maximisation estimates the rules' accuracies
+    without labels. One row per input row, repeated rows alike; an empty table gives none. A text without words fails the
+    base rule. Input columns keep their names and values, but for one named ``out``, which is replaced.
     """
-    # The row number keeps a filter on the verdict above this projection: pushed below, it would repeat the statistics.
-    measured = measure(docs, text_col).withColumns({"_v": votes(), "_row": F.monotonically_increasing_id()})
-    if keep is not None:
-        measured = cut(measured.select(*keep, "_q", "_v", "_row"))
-    patterns = [(tuple(r["_v"]), r["n"]) for r in measured.groupBy("_v").agg(F.count("*").alias("n")).collect()]
+    names = others(docs, out) if keep is None else [c for c in keep if c.lower() != out.lower()]
+    vote = fresh([*names, out], "_votes")
+    columns = [F.col(f"`{c}`") for c in names]
+    measured = written(measure(docs, text_col, out=out).select(*columns, out, votes(out).alias(vote)), "quality")
+    patterns = [(tuple(r[0]), r[1]) for r in measured.groupBy(vote).agg(F.count("*")).collect()]
     model = fit(sorted(patterns), spec)
-    failed = (F.col("_q.n_words") < spec.least_words) | (100 * F.col("_q.n_repeat_words") > spec.most_repeat_percent * F.col("_q.n_words"))
-    out = measured.withColumns({"base_failed": failed, "posterior": posterior_column("_v", model)})
-    verdict = ~F.col("base_failed") & (F.col("posterior") >= spec.least_posterior) & (F.col("_row") >= 0)
-    return out.withColumn("kept", verdict).drop("_v", "_row")
+    q = lambda c: F.col(f"{out}.{c}")
+    failed = (q("n_words") < spec.least_words) | (100 * q("n_repeat_words") > spec.most_repeat_percent * q("n_words"))
+    likely = posterior_column(vote, model)
+    verdict = F.col(out).withField("base_failed", failed).withField("posterior", likely).withField("kept", ~failed & (likely >= spec.least_posterior))
+    return measured.select(*columns, verdict.alias(out))
 
 
-def digest(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return judged.select(F.col(id_col).alias("doc_id"), *[F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "posterior")
+def digest(judged: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return judged.select(F.col(id_col).alias("doc_id"), *[F.col(f"{quality_col}.{c}") for c in fields])

@@ -19,7 +19,9 @@ class ShardSpec:
     shards: int = 40
     #: ranges per shard that the splitters aim at
     ranges_per_shard: int = 16
-    #: weighted samples drawn per range, on average: fixes the size of the sample, whatever the input
+    #: rows of a range, which one task sorts, that there are more ranges beyond
+    rows_per_range: int = 2_000_000
+    #: weighted samples drawn per range, on average; they come to the driver, two numbers each
     samples_per_range: int = 20
     #: a range over this multiple of the mean size is subdivided by further samples from it alone
     overfull: float = 1.5
@@ -37,7 +39,7 @@ def range_shards(rows: DataFrame, spec: ShardSpec = ShardSpec()) -> DataFrame:
     """Put rows (doc_id, size, text_crc32, tie) in key order into ``spec.shards`` shards of near-equal bytes.
 
     1. A sample with chances in proportion to size gives quantiles of the key (doc_id, then tie) as
-       splitters; its expected size is fixed by the spec. 2. Exact bytes per range show overfull
+       splitters; its expected size is fixed by the number of ranges. 2. Exact bytes per range show overfull
        ranges, which are sampled again on their own and subdivided; the tie lets even one repeated id be
        split. 3. Exact running bytes over ranges, then within each range, give a record's place in the
        whole, hence its shard and its slot. Shards differ by at most one record's size from even. A
@@ -49,7 +51,7 @@ def range_shards(rows: DataFrame, spec: ShardSpec = ShardSpec()) -> DataFrame:
     if not total["n"]:
         return rows.select("doc_id", "size", "text_crc32", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
     whole = int(total["s"])
-    ranges = spec.shards * spec.ranges_per_shard
+    ranges = max(spec.shards * spec.ranges_per_shard, -(-int(total["n"]) // spec.rows_per_range))
     per_range = whole / ranges
 
     def draw(df: DataFrame, rate: float, seed: int) -> list[tuple[int, int]]:
