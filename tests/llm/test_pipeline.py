@@ -1,4 +1,8 @@
 import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scenelake.llm import packing
@@ -40,3 +44,63 @@ def test_pipeline_keeps_redacts_and_packs(spark, tmp_path):
     assert docs.select("sequence_id").distinct().count() <= 1.3 * total / packing.PackSpec().tokens + 1
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, again.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
+    at = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    left = [str(f.getPath()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    assert not any("pipeline-" in p for p in left)  # the tables between the stages are gone
+
+
+def test_packed_rows_equal_the_stages_worked_out_by_hand(spark, tmp_path):
+    """From the kept and redacted texts on: pieces by the tokenizers library, gapless sequences, as few as there may be."""
+    from tokenizers import Tokenizer
+
+    texts, *_ = corpus()
+    spark.createDataFrame([(i, t, "xx", "s", len(t or ""), 0, "x", None, -1) for i, t in enumerate(texts)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+    tok = Tokenizer.from_file(packing.default_tokenizer_path())
+    tok.encode_special_tokens = True
+    want, total = {}, 0
+    for r in docs.collect():
+        ids = [*tok.encode(r["text"], add_special_tokens=False).ids, 2]
+        first, total = len(ids) % 1024 or 1024, total + len(ids)
+        for piece, lo in enumerate([0, *range(first, len(ids), 1024)]):
+            part = np.array(ids[lo : (first if not lo else lo + 1024)], "<u4")
+            want[r["doc_id"], piece] = (lo, len(part), zlib.crc32(part.tobytes()))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in places.values():
+        assert [o for o, _ in sorted(spans)] == list(np.cumsum([0, *(n for _, n in sorted(spans))])[:-1]) and sum(n for _, n in spans) <= 1024
+    assert len(places) <= -(-total // 1024) + 2
+
+
+def test_columns_of_any_name_pass_through_with_their_values(spark, tmp_path):
+    names = ["lang_pred", "LANG_SCORE", "kept", "base_failed", "posterior", "quality", "secret_spans", "_cut", "_base", "_cand", "_w", "_row", "_votes", "_id", "_text_hash", "_unknown", "key", "label", "part", "node", "component", "sig"]
+    texts, *_ = corpus()
+    rows = [(i, t, "xx", "s", len(t or ""), 0, "x", None, -1) for i, t in enumerate(texts)]
+    base = spark.createDataFrame(rows, SCHEMA)
+    extra = [c for c in names if c.lower() not in {x.lower() for x in base.columns}]
+    docs = base.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in extra})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        columns, docs = docs.columns, stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        for r in docs.collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in extra) and r["kept"] is None and r["spans"] == "x" and r["length"] == -1
+
+
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(3, a), (6, a), (6, b), (6, b), (None, a.upper()), (None, b), (None, prose(3, 80)), (None, prose(3, 80))]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t), 0, "x", None, k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(3, a), (6, b), (0, prose(3, 80))])
+
+
+def test_an_empty_table_passes_all_stages(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
