@@ -6,13 +6,12 @@ again as the next stage's documents. All but the last return the columns of docu
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.llm import langid, neardup, packing, quality, secrets
-from scenelake.plans.lineage import ensure_checkpoint_dir
+from scenelake.llm.common import fresh
+from scenelake.plans.lineage import dropped, shared_path
 
 #: Documents whose language is less certain than this go.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -26,29 +25,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model.languages:
         return docs
-    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
-    return langid.identify(docs, model).where(sure).select(*docs.columns)
+    pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
+    found = langid.identify(docs, model, pred=pred, score_col=score)
+    return found.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rule or whose posterior quality is low."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    out = fresh(docs.columns, "quality")
+    return quality.judge(docs, out=out).where(F.col(f"{out}.kept")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each near-duplicate group; of repeated rows one stays."""
-    found = neardup.near_duplicates(docs)
-    kept = found.where("kept").select("doc_id").distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    """Keep just one row of each near-duplicate class: the first by id (null last), then by a hash of the text."""
+    return neardup.survivors(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by its kind in brackets; n_chars follows the text. No document goes."""
-    found = secrets.scan(docs)
-    changed = F.size("secret_spans") > 0
-    found = found.withColumn("text", F.when(changed, secrets.redact(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text")))
+    out = fresh(docs.columns, "secret_spans")
+    found = secrets.scan(docs, out=out)
+    changed = F.size(out) > 0
+    found = found.withColumn("text", F.when(changed, secrets.redact(F.col("text"), F.col(out))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:  # from the new text as a column: the same lambda twice in one projection goes wrong
         found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
@@ -72,13 +70,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, with a Parquet table between each two in the shared folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents table, with a Parquet table between each two in the shared folder.
+
+    A table is deleted as soon as the next stage's is written; the last stage has its input materialised in pieces.
+    """
+    folder = shared_path(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            path = f"{folder}/{k}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                dropped(spark, before)
+            before = path
+    dropped(spark, folder)
     return docs
