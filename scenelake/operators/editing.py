@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions import color as C
@@ -36,6 +36,12 @@ def move_object(table: DataFrame, target: int, translation: Sequence[float], rot
     return table.withColumns({k: F.when(on, v).otherwise(F.col(k)).cast(kinds[k]) for k, v in new.items()}).drop("_px", "_py", "_pz")
 
 
+def in_box(low: Sequence[float], high: Sequence[float], margin: float = 0.0) -> Column:
+    """Whether x, y, z lie in an axis-aligned box grown by ``margin``, its faces included."""
+    x, y, z = (F.col(c).between(lo - margin, hi + margin) for c, lo, hi in zip("xyz", low, high, strict=True))
+    return x & y & z
+
+
 def repair_region(table: DataFrame, target: int, low: Sequence[float], high: Sequence[float], *, mode: str = "blend", margin: float = 0.12, color_blend: float = 0.85, opacity_scale: float = 0.85, keep_harmonics: bool = False) -> DataFrame:
     """Blend what stands inside a removed object's box with the median colour of the shell round it.
 
@@ -45,9 +51,8 @@ def repair_region(table: DataFrame, target: int, low: Sequence[float], high: Seq
     if mode not in ("blend", "fade"):
         raise ValueError("mode must be 'blend' or 'fade'")
     other = F.coalesce(F.col("object_id") != target, F.lit(True))
-    box = lambda m: [F.col(c).between(lo - m, hi + m) for c, lo, hi in zip("xyz", low, high, strict=True)]
-    inside = lambda m: box(m)[0] & box(m)[1] & box(m)[2]
-    inner, shell = other & inside(0.0), other & inside(margin) & ~inside(0.0)
+    inside = in_box(low, high)
+    inner, shell = other & inside, other & in_box(low, high, margin) & ~inside
     dc = ("f_dc_0", "f_dc_1", "f_dc_2")
     tone = table.agg(F.count_if(shell).alias("_shell"), *[F.median(F.when(shell, F.col(c).cast("double"))).alias(f"_m{i}") for i, c in enumerate(dc)])
     j = table.crossJoin(F.broadcast(tone))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,25 @@ def iou_pairs(ids: DataFrame, min_iou: float = 0.1) -> DataFrame:
     return j.select("gt", "pred", "n", union.alias("union"), (F.col("n") / union).alias("iou")).where(F.col("iou") >= min_iou)
 
 
-def greedy_match(pairs: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+def greedy_match(pairs: DataFrame, *, merge: int = 16) -> DataFrame:
     """One-to-one greedy matching in order of iou and n descending, union, gt and pred ascending.
 
     A round takes every pair that comes first for both its sides, which greedy would take too, and drops
-    all pairs of the sides used; it ends when no pair is left.
+    all pairs of the sides used; it ends when no pair is left, however many rounds that takes. The matches of every
+    ``merge`` rounds are materialised as one table. Without pairs there is no match.
     """
     order = F.struct((-F.col("iou")).alias("a"), (-F.col("n")).alias("b"), "union", "gt", "pred")
-    left, taken = cut(pairs.withColumn("_o", order)), None
-    for _ in range(max_rounds):
+    left, taken = cut(pairs.withColumn("_o", order)), []
+    while not taken or not left.isEmpty():
         g = left.groupBy("gt").agg(F.min("_o").alias("_g"))
         p = left.groupBy("pred").agg(F.min("_o").alias("_p"))
         ranked = left.join(g, "gt").join(p, "pred")
         now = cut(ranked.where((F.col("_o") == F.col("_g")) & (F.col("_o") == F.col("_p"))).select("gt", "pred", "n", "union", "iou"))
-        taken = now if taken is None else taken.union(now)
+        taken.append(now)
+        if len(taken) == merge:
+            taken = [cut(reduce(DataFrame.union, taken))]
         left = cut(left.join(now.select("gt"), "gt", "left_anti").join(now.select("pred"), "pred", "left_anti"))
-        if left.isEmpty():
-            break
-    return taken
+    return reduce(DataFrame.union, taken)
 
 
 def metrics(ids: DataFrame, matches: DataFrame) -> DataFrame:
@@ -80,4 +83,4 @@ def agreement(ids: DataFrame, matches: DataFrame) -> DataFrame:
 def agreement_counts(codes: DataFrame) -> DataFrame:
     """(code, name, n) of all five classes."""
     names = codes.sparkSession.createDataFrame(list(enumerate(AGREEMENT)), "code int, name string")
-    return F.broadcast(names).join(codes.groupBy("code").agg(F.count("*").alias("n")), "code", "left").fillna(0, ["n"])
+    return names.join(codes.groupBy("code").agg(F.count("*").alias("n")), "code", "left").fillna(0, ["n"])

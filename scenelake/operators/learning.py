@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def class_weights(labels: DataFrame, classes: DataFrame, power: float = 1.0) -> DataFrame:
     """(class_index, n, weight): (mean present count / (n + 1e-6)) ** power, scaled to mean 1 over present classes; absent 1."""
-    n = F.broadcast(classes).join(labels.groupBy("class_index").agg(F.count("*").alias("n")), "class_index", "left").fillna(0, ["n"])
+    n = classes.join(labels.groupBy("class_index").agg(F.count("*").alias("n")), "class_index", "left").fillna(0, ["n"])
     every = Window.partitionBy(F.lit(0))  # one row a class
     present = F.col("n") > 0
     raw = n.withColumn("_m", F.avg(F.when(present, F.col("n"))).over(every)).withColumn("_w", F.when(present, F.pow(F.col("_m") / (F.col("n") + 1e-6), F.lit(power))))
@@ -27,7 +27,7 @@ def focal_cross_entropy(rows: DataFrame, weights: DataFrame | None = None, gamma
     rows: logits (array), label. weights: class_index, weight, at most one row a class.
     """
     ok = rows.where("label >= 0")
-    j = ok.withColumn("_w", F.lit(1.0)) if weights is None else ok.join(F.broadcast(weights.select(F.col("class_index").alias("label"), F.col("weight").alias("_w"))), "label", "left")
+    j = ok.withColumn("_w", F.lit(1.0)) if weights is None else ok.join(weights.select(F.col("class_index").alias("label"), F.col("weight").alias("_w")), "label", "left")
     top = F.array_max("logits")
     log_p = F.element_at("logits", F.col("label") + 1) - top - F.log(F.aggregate(F.transform("logits", lambda v: F.exp(v - F.array_max("logits"))), F.lit(0.0), lambda a, b: a + b))
     loss = -F.coalesce("_w", F.lit(1.0)) * log_p * F.pow(1 - F.exp(log_p), F.lit(gamma))
@@ -63,4 +63,4 @@ def classify(embeddings: DataFrame, head: list[list[float]], bias: list[float])
 def class_counts(rows: DataFrame, classes: DataFrame, column: str = "class_index") -> DataFrame:
     """(class_index, n) of every class, 0 included."""
     n = rows.groupBy(F.col(column).alias("class_index")).agg(F.count("*").alias("n"))
-    return F.broadcast(classes.select("class_index")).join(n, "class_index", "left").fillna(0, ["n"])
+    return classes.select("class_index").join(n, "class_index", "left").fillna(0, ["n"])

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as G
 from scenelake.functions import labels as L
-from scenelake.operators.voting import KEYS
+from scenelake.operators.ranking import numbered
+from scenelake.operators.voting import KEYS, track_groups
+from scenelake.plans.lineage import broadcast_small, cut
 
 
 def area_filter(instances: DataFrame, least: float, most: float) -> DataFrame:
@@ -34,7 +36,7 @@ def category_filter(instances: DataFrame, specs: Sequence[tuple[str, str]] = L.C
     """Masks of a known category; with ``discovered`` (category) only of those that have instances."""
     s = L.candidate_score("detection_score", "score")
     out = area_filter(instances.withColumn("category", L.category_index("label", specs)).where(F.col("category").isNotNull() & (s >= min_score)), least, most).withColumn("score", s)
-    return out if discovered is None else out.join(F.broadcast(discovered.select("category").distinct()), "category", "left_semi")
+    return out if discovered is None else out.join(discovered.select("category").distinct(), "category", "left_semi")
 
 
 def single_object_filter(instances: DataFrame, pattern: str, *, min_score: float = 0.0, least: float = 0.0, most: float = 1.0, window: tuple[float, float, float, float] = (0.0, 1.0, 0.0, 1.0), frame_pattern: str | None = None) -> DataFrame:
@@ -80,12 +82,12 @@ def class_indices(instances: DataFrame) -> DataFrame:
 def vocabulary(instances: DataFrame, column: str = "instance_id", min_score: float = 0.0) -> DataFrame:
     """(raw, class_index): distinct ids or labels of good enough masks in sorted order, counted from 0."""
     ids = instances.where(F.coalesce("score", F.lit(0.0)) >= min_score).where(F.col(column).isNotNull()).select(F.col(column).alias("raw")).distinct()
-    return ids.withColumn("class_index", F.row_number().over(Window.orderBy("raw")) - 1)
+    return numbered(ids, ["raw"], "class_index").withColumn("class_index", F.col("class_index").cast("int"))
 
 
 def remap(label_pixels: DataFrame, vocab: DataFrame) -> DataFrame:
     """Label pixels in scene classes; those of unknown raw ids go, which means ignore."""
-    return label_pixels.join(F.broadcast(vocab), label_pixels["instance_id"] == vocab["raw"]).select("frame_index", "x", "y", "class_index")
+    return label_pixels.join(vocab, label_pixels["instance_id"] == vocab["raw"]).select("frame_index", "x", "y", "class_index")
 
 
 def resized(label_pixels: DataFrame, size: tuple[int, int], target: tuple[int, int]) -> DataFrame:
@@ -126,7 +128,7 @@ def vote_instances(hits: DataFrame, ids: DataFrame, *, min_ratio: float = 0.2, m
     total = hits.groupBy(*KEYS).agg(F.count("*").alias("total"))
     known = j.where("chosen >= 0")
     if allowed is not None:
-        known = known.join(F.broadcast(allowed.select(F.col("object_id").alias("chosen"))), "chosen", "left_semi")
+        known = known.join(allowed.select(F.col("object_id").alias("chosen")), "chosen", "left_semi")
     n = known.groupBy(*KEYS, "chosen").agg(F.count("*").alias("n"))
     best = n.groupBy(*KEYS).agg(F.max(F.struct("n", (-F.col("chosen")).alias("c"))).alias("b"))
     out = total.join(best, list(KEYS), "left").select(*KEYS, (-F.col("b.c")).alias("chosen"), F.coalesce("b.n", F.lit(0)).alias("count"), (F.coalesce("b.n", F.lit(0)) / F.col("total")).alias("ratio"))
@@ -143,10 +145,10 @@ def track_hits(tracks: DataFrame, mask_pixels: DataFrame, source: tuple[int, int
 def multiclass(instances: DataFrame, categories: DataFrame, *, min_score: float = 0.0, per_frame: int | None = None) -> DataFrame:
     """Masks once for each category they match (categories: class_id, pattern), best ``per_frame`` of each.
 
-    The category list is given by hand and broadcast.
+    The category list is given by hand; it is broadcast as long as it is short.
     """
     s = L.candidate_score("detection_score", "score")
-    out = instances.crossJoin(F.broadcast(categories)).where(F.expr("label rlike concat('(?i)(', pattern, ')')")).where(s >= min_score).withColumn("score", s)
+    out = instances.crossJoin(broadcast_small(categories)).where(F.expr("label rlike concat('(?i)(', pattern, ')')")).where(s >= min_score).withColumn("score", s)
     return out if per_frame is None else top_per(out, ["frame_index", "class_id"], per_frame)
 
 
@@ -154,8 +156,8 @@ def global_ids(instances: DataFrame, mode: str = "label-family", *, min_score: f
     """``instances`` with global_id: the place of their key among all keys in sorted order; null keys count last unless dropped."""
     keyed = instances.where(F.coalesce("score", F.lit(0.0)) >= min_score).withColumn("_key", L.instance_key(mode))
     keyed = keyed.where("_key is not null") if drop_null else keyed.withColumn("_key", F.coalesce("_key", F.lit("unknown")))
-    ids = keyed.select("_key").distinct().withColumn("global_id", F.row_number().over(Window.orderBy("_key")) - 1)
-    return keyed.join(F.broadcast(ids), "_key").withColumnRenamed("_key", "global_key")
+    ids = numbered(keyed.select("_key").distinct(), ["_key"], "global_id").withColumn("global_id", F.col("global_id").cast("int"))
+    return keyed.join(ids, "_key").withColumnRenamed("_key", "global_key")
 
 
 def cluster_hits(projected: DataFrame, clusters: DataFrame, mask_pixels: DataFrame, instances: DataFrame, *, min_visible: int = 16, min_hits: int = 8, min_ratio: float = 0.02) -> DataFrame:
@@ -200,6 +202,33 @@ def decisions(family_scores: DataFrame, tags: DataFrame, *, min_purity: float =
     return j.select("cluster_id", (F.size(reasons) == 0).alias("accepted"), reasons.alias("reasons"), purity.alias("purity"), second.alias("secondary"))
 
 
+def ranked_clusters(scores: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cluster_id, best, gaussian_count, rank): by the best score, then size, descending; clusters without a score last.
+
+    scores: cluster_id, score. sizes: cluster_id, gaussian_count.
+    """
+    best = scores.groupBy("cluster_id").agg(F.max("score").alias("best"))
+    j = sizes.select("cluster_id", "gaussian_count").join(best, "cluster_id", "left")
+    out = numbered(j, [F.desc_nulls_last("best"), F.desc("gaussian_count"), "cluster_id"], "rank")
+    return out.select("cluster_id", "best", "gaussian_count", (F.col("rank") + 1).alias("rank"))
+
+
+def track_masks(kept: DataFrame, hits: DataFrame, *, min_points: int = 8, min_shared: int = 4, min_ratio: float = 0.08, min_masks: int = 3) -> DataFrame:
+    """(frame_index, instance_id, mask_index, category, group_id, rank): masks of one object by the 3D points they share.
+
+    kept: frame_index, instance_id, category. hits: frame_index, instance_id, point3d_id. Masks are numbered by frame and
+    number; those with too few points are left out. group_id is -1 in small groups, which have no rank; rank counts
+    the groups of a category from 1.
+    """
+    index = cut(numbered(kept.select(*KEYS, "category"), list(KEYS), "mask_index"))
+    enough = hits.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(*KEYS)
+    tracks = hits.join(enough, list(KEYS), "left_semi").join(index, list(KEYS)).select("mask_index", "category", "point3d_id")
+    groups = track_groups(tracks, min_shared=min_shared, min_ratio=min_ratio, min_masks=min_masks).drop("category")
+    out = cut(index.join(groups, "mask_index"))
+    names = numbered(out.where("group_id >= 0").select("category", "group_id").distinct(), ["group_id"], "rank", ["category"])
+    return out.join(names.select("group_id", (F.col("rank") + 1).alias("rank")), "group_id", "left").select(*KEYS, "mask_index", "category", "group_id", "rank")
+
+
 def resolve_frames(images: DataFrame, frames: DataFrame) -> DataFrame:
     """``images`` (path, position) with frame_index by exact path, else by base name, else by position; null if none fits.
 
@@ -210,7 +239,7 @@ def resolve_frames(images: DataFrame, frames: DataFrame) -> DataFrame:
     base = f.groupBy(L.base_name("_p").alias("_b")).agg(F.max("_i").alias("_base"))
     index = f.select(F.col("_i").alias("_k"), F.col("_i").alias("_index")).distinct()
     j = images.withColumn("_p", L.normal_path("path")).withColumn("_b", L.base_name("_p"))
-    j = j.join(F.broadcast(exact), "_p", "left").join(F.broadcast(base), "_b", "left").join(F.broadcast(index), F.col("position") == F.col("_k"), "left")
+    j = j.join(exact, "_p", "left").join(base, "_b", "left").join(index, F.col("position") == F.col("_k"), "left")
     return j.select(*images.columns, F.coalesce("_exact", "_base", "_index").alias("frame_index"))
 
 

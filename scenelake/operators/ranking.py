@@ -16,8 +16,7 @@ def numbered(df: DataFrame, order: list, name: str, by: list[str] | None = None)
     """``df`` with ``name``: the row's place from 0 in the given order, within each value of ``by`` if given.
 
     Rows are dealt by range, sorted and materialised; a row's place is its place in its partition plus the rows of
-    the partitions before. Only one count a partition is ranked in one task. The order should be total; the number of
-    values of ``by`` is small (categories).
+    the partitions before. Only one count a partition is ranked in one task. The order should be total.
     """
     keys = [F.col(k) for k in by or []] + [F.col(o) if isinstance(o, str) else o for o in order]
     sorted_ = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("_at", F.monotonically_increasing_id())
@@ -28,7 +27,7 @@ def numbered(df: DataFrame, order: list, name: str, by: list[str] | None = None)
     out = sorted_.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place)
     if by:
         first = out.groupBy(*by).agg(F.min(name).alias("_first"))
-        out = out.join(F.broadcast(first), by).withColumn(name, F.col(name) - F.col("_first"))
+        out = out.join(first, by).withColumn(name, F.col(name) - F.col("_first"))
     return out.select(*df.columns, name)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from scenelake.functions import geometry as G
 from scenelake.operators.graph import connected_components
 from scenelake.operators.ranking import numbered
+from scenelake.operators.sampling import sampled
+from scenelake.plans.lineage import broadcast_small, cut
 
 VOXEL = ("vx", "vy", "vz")
 
@@ -36,24 +39,29 @@ def isolated(points: DataFrame, size: float, least: int = 2) -> DataFrame:
     return at.join(around, list(VOXEL)).select("gaussian_index", "neighbours", (F.col("neighbours") < least).alias("isolated"))
 
 
+def adjacent(voxels: DataFrame, extra: list[str] | None = None, node: str = "node") -> DataFrame:
+    """(src, dst): pairs of voxels that touch, by face, edge or corner, each once: along the 13 forward offsets."""
+    extra = extra or []
+    forward = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
+    near = _neighbours(voxels, forward, [*extra, node]).withColumnRenamed(node, "src")
+    return near.join(voxels.select(*extra, *VOXEL, F.col(node).alias("dst")), [*extra, *VOXEL]).select("src", "dst")
+
+
 def point_components(points: DataFrame, size: float, *, min_voxel_count: int = 1, by: str | None = None) -> DataFrame:
     """(gaussian_index[, by], component): 26-connected components of voxels with enough points, -1 off them.
 
     Components are numbered from 0 in order of their lexicographically first voxel, within each value of
-    ``by``. Voxels, not points, form the graph; each links along the 13 forward offsets.
+    ``by``. Voxels, not points, form the graph; each links along the 13 forward offsets. A voxel is known by its place in
+    that order, so no two are taken for one.
     """
     extra = [by] if by else []
     at = voxels_of(points, size).select("gaussian_index", *extra, *VOXEL)
     full = at.groupBy(*extra, *VOXEL).agg(F.count("*").alias("n")).where(F.col("n") >= min_voxel_count)
-    full = full.withColumn("node", F.xxhash64(*extra, *VOXEL))
-    forward = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
-    near = _neighbours(full, forward, [*extra, "node"]).withColumnRenamed("node", "src")
-    edges = near.join(full.select(*extra, *VOXEL, F.col("node").alias("dst")), [*extra, *VOXEL]).select("src", "dst")
-    parts = connected_components(edges)
+    full = numbered(full, [*extra, *VOXEL], "node")
+    parts = connected_components(adjacent(full, extra))
     named = full.join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    first = named.groupBy(*extra, "root").agg(F.min(F.struct(*VOXEL)).alias("v"))
-    ids = numbered(first, ["v"], "id", extra)
-    voxel_ids = named.join(ids.select(*extra, "root", "id"), [*extra, "root"]).select(*extra, *VOXEL, "id")
+    ids = numbered(named.select(*extra, "root").distinct(), ["root"], "id", extra)
+    voxel_ids = named.join(ids.select("root", "id"), "root").select(*extra, *VOXEL, "id")
     return at.join(voxel_ids, [*extra, *VOXEL], "left").select("gaussian_index", *extra, F.coalesce("id", F.lit(-1)).alias("component"))
 
 
@@ -132,13 +140,13 @@ def box_frames(corners: DataFrame) -> DataFrame:
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, epsilon: float = 1e-4) -> DataFrame:
-    """(gaussian_index, object_id, volume) of every point in every box it lies in; annotations are few and broadcast."""
+    """(gaussian_index, object_id, volume) of every point in every box it lies in; annotations are broadcast if they are few."""
     p = [F.col(a).cast("double") - F.col(f"o{i}") for i, a in enumerate("xyz")]
     local: list[Column] = [F.col(f"b{r}0") * p[0] + F.col(f"b{r}1") * p[1] + F.col(f"b{r}2") * p[2] for r in range(3)]
     inside = F.lit(True)
     for v in local:
         inside = inside & v.between(-epsilon, 1 + epsilon)
-    return points.select("gaussian_index", "x", "y", "z").join(F.broadcast(boxes), inside).select("gaussian_index", "object_id", "volume")
+    return points.select("gaussian_index", "x", "y", "z").join(broadcast_small(boxes), inside).select("gaussian_index", "object_id", "volume")
 
 
 def assign_boxes(points: DataFrame, boxes: DataFrame, epsilon: float = 1e-4) -> DataFrame:
@@ -147,11 +155,50 @@ def assign_boxes(points: DataFrame, boxes: DataFrame, epsilon: float = 1e-4) ->
     return points.select("gaussian_index").join(best.select("gaussian_index", F.col("b.object_id").alias("object_id")), "gaussian_index", "left").withColumn("object_id", F.coalesce("object_id", F.lit(-1)))
 
 
-def nearest(points: DataFrame, k: int = 8, *, sample: int = 4096, seed: int = 42) -> DataFrame:
-    """(i, j, rank, distance): the k nearest others of each point of a seeded sample, whose bound makes the loop safe."""
-    picked = points.orderBy(F.xxhash64("gaussian_index", F.lit(seed)), "gaussian_index").limit(sample)
-    a = picked.select(F.col("gaussian_index").alias("i"), *[F.col(c).cast("double").alias(f"a{c}") for c in "xyz"])
-    b = picked.select(F.col("gaussian_index").alias("j"), *[F.col(c).cast("double").alias(f"b{c}") for c in "xyz"])
-    d = G.norm(*(F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"))
-    pairs = a.join(F.broadcast(b), F.col("i") != F.col("j")).select("i", "j", d.alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("distance", "j"))).where(F.col("rank") <= k)
+def nearest(points: DataFrame, k: int = 8, *, sample: int | None = 4096, seed: int = 42) -> DataFrame:
+    """(i, j, rank, distance): the k nearest others of each point, of equal distances the smaller index first.
+
+    With ``sample``, among as many points in order of the draw, each against each. With None, among all: a point looks for
+    others in the 27 cells round its own; it is done once its k-th is no farther than a cell is wide, for what
+    lies outside is farther. The others go on with cells twice as wide, until one cell holds everything.
+    """
+    at = points.select("gaussian_index", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    if sample is not None:
+        picked = cut(sampled(at, sample, seed=seed))
+        return _first(_pairs(picked, broadcast_small(picked, sample), F.lit(True)), k)
+    at = cut(at)
+    span = at.agg(F.count("*").alias("n"), *[f(c).alias(f"{m}{c}") for c in "xyz" for m, f in (("lo", F.min), ("hi", F.max))]).first()
+    if span["n"] < 2:
+        return _first(_pairs(at, at, F.lit(False)), k)
+    extent = max(span[f"hi{c}"] - span[f"lo{c}"] for c in "xyz")
+    width = extent / max(1.0, (span["n"] / k) ** (1 / 3)) or 1.0
+    open_, done = at, []
+    while True:
+        cell = lambda c, w=width: F.floor((F.col(c) - F.lit(span[f"lo{c}"])) / F.lit(w))
+        gridded = at.select("*", *[cell(c).alias(v) for v, c in zip(VOXEL, "xyz", strict=True)])
+        asked = open_.select("*", *[cell(c).alias(v) for v, c in zip(VOXEL, "xyz", strict=True)])
+        asked = _neighbours(asked, list(product((-1, 0, 1), repeat=3)), ["gaussian_index", *"xyz"])
+        same = F.lit(True)
+        for v in VOXEL:
+            same = same & (F.col(f"a.{v}") == F.col(f"b.{v}"))
+        got = _first(_pairs(asked, gridded, same), k)
+        if width > extent:  # every cell is a neighbour of every other
+            return reduce(DataFrame.union, [*done, got])
+        got = cut(got)
+        whole = cut(got.where((F.col("rank") == k) & (F.col("distance") <= width)).select("i"))
+        done.append(got.join(whole, "i", "left_semi"))
+        open_ = cut(open_.join(whole, F.col("gaussian_index") == F.col("i"), "left_anti"))
+        if open_.isEmpty():
+            return reduce(DataFrame.union, done)
+        width *= 2
+
+
+def _pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
+    d = G.norm(*(F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"))
+    met = a.alias("a").join(b.alias("b"), on & (F.col("a.gaussian_index") != F.col("b.gaussian_index")))
+    return met.select(F.col("a.gaussian_index").alias("i"), F.col("b.gaussian_index").alias("j"), d.alias("distance"))
+
+
+def _first(pairs: DataFrame, k: int) -> DataFrame:
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("distance", "j")))
+    return ranked.where(F.col("rank") <= k).select("i", "j", "rank", "distance")

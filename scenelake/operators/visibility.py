@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as G
-from scenelake.plans.lineage import cut
+from scenelake.operators.sampling import sampled
+from scenelake.plans.lineage import broadcast_small, cut
 
 
 @dataclass(frozen=True)
@@ -30,10 +31,10 @@ POSE = tuple(f"r{i}{j}" for i in range(3) for j in range(3)) + ("t0", "t1", "t2"
 def project_points(points: DataFrame, frames: DataFrame, camera: Camera, *, valid_only: bool = True) -> DataFrame:
     """Every point in every frame: u, v, depth (FLOAT), valid and whole pixels px, py.
 
-    Frames are the bounded side of the nested loop: a scene has hundreds, points by the million. They are
+    Frames are the small side of the nested loop: a scene has hundreds, points by the million. Up to 100,000 are
     broadcast, and rows out of view go at once. Validity is decided before the cast to FLOAT.
     """
-    pair = points.select("gaussian_index", "x", "y", "z").crossJoin(F.broadcast(frames.select("frame_index", *POSE)))
+    pair = points.select("gaussian_index", "x", "y", "z").crossJoin(broadcast_small(frames.select("frame_index", *POSE)))
     cam = G.world_to_camera("x", "y", "z", [F.col(c) for c in POSE[:9]], [F.col(c) for c in POSE[9:]])
     u, v = G.project(cam, camera.model, camera.fl_x, camera.fl_y, camera.cx, camera.cy, camera.distortion)
     wide = pair.select("frame_index", "gaussian_index", u.alias("_u"), v.alias("_v"), cam[2].alias("_d"))
@@ -66,13 +67,12 @@ def front_visible(subset: DataFrame, projected: DataFrame, *, margin_ratio: floa
 
 
 def front_samples(projected: DataFrame, max_per_frame: int | None = None, seed: int = 42) -> DataFrame:
-    """The first point of each pixel by depth, then index; at most so many a frame, in order of a seeded hash."""
+    """The first point of each pixel by depth, then index; at most so many a frame, in order of the draw."""
     best = projected.where("valid and px is not null").groupBy("frame_index", "px", "py").agg(F.min(F.struct("depth", "gaussian_index")).alias("b"))
     out = best.select("frame_index", "px", "py", F.col("b.depth").alias("depth"), F.col("b.gaussian_index").alias("gaussian_index"))
     if max_per_frame is None:
         return out
-    draw = Window.partitionBy("frame_index").orderBy(F.xxhash64("gaussian_index", F.lit(seed)), "gaussian_index")
-    return out.withColumn("_r", F.row_number().over(draw)).where(F.col("_r") <= max_per_frame).drop("_r")
+    return sampled(out, max_per_frame, by=["frame_index"], seed=seed)
 
 
 def affine_fit(pairs: DataFrame, *, trim: float = 0.8, rounds: int = 4, least: int = 32, key: str = "frame_index") -> DataFrame:
@@ -114,7 +114,7 @@ def depth_behind(projected: DataFrame, depth: DataFrame, fits: DataFrame, *, rat
 
     depth: frame_index, px, py, d. Frames without a fit count as (1, 0).
     """
-    at = projected.where("valid").join(depth.select("frame_index", "px", "py", "d"), ["frame_index", "px", "py"]).join(F.broadcast(fits.select("frame_index", "scale", "shift")), "frame_index", "left")
+    at = projected.where("valid").join(depth.select("frame_index", "px", "py", "d"), ["frame_index", "px", "py"]).join(fits.select("frame_index", "scale", "shift"), "frame_index", "left")
     aligned = F.coalesce("scale", F.lit(1.0)) * F.col("d") + F.coalesce("shift", F.lit(0.0))
     limit = aligned + F.greatest(F.lit(min_margin), F.abs(aligned) * ratio)
     return at.select(*projected.columns, aligned.alias("aligned"), (F.col("depth") > limit).alias("behind"))
@@ -140,17 +140,17 @@ def visible_counts(projected: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def camera_distance(points: DataFrame, frames: DataFrame) -> DataFrame:
-    """(gaussian_index, camera_distance): distance to the nearest camera centre -R^T t, frames broadcast."""
+    """(gaussian_index, camera_distance): distance to the nearest camera centre -R^T t, frames broadcast if few."""
     centre = [-(F.col(f"r0{i}") * F.col("t0") + F.col(f"r1{i}") * F.col("t1") + F.col(f"r2{i}") * F.col("t2")) for i in range(3)]
     c = frames.select(*[e.alias(f"c{i}") for i, e in enumerate(centre)])
     d = G.norm(*(F.col(p).cast("double") - F.col(f"c{i}") for i, p in enumerate("xyz")))
-    return points.select("gaussian_index", "x", "y", "z").crossJoin(F.broadcast(c)).groupBy("gaussian_index").agg(F.min(d).alias("camera_distance"))
+    return points.select("gaussian_index", "x", "y", "z").crossJoin(broadcast_small(c)).groupBy("gaussian_index").agg(F.min(d).alias("camera_distance"))
 
 
 def best_frame(projected: DataFrame, ids: DataFrame, frames: DataFrame) -> DataFrame:
     """(object_id, frame_index, visible): the frame that sees most of an object, the earliest of equals, 0 allowed."""
     seen = projected.where("valid").join(ids.where("object_id >= 0"), "gaussian_index").groupBy("object_id", "frame_index").agg(F.count("*").alias("n"))
-    grid = ids.where("object_id >= 0").select("object_id").distinct().crossJoin(F.broadcast(frames.select("frame_index")))
+    grid = ids.where("object_id >= 0").select("object_id").distinct().crossJoin(broadcast_small(frames.select("frame_index")))
     full = grid.join(seen, ["object_id", "frame_index"], "left").fillna(0, ["n"])
     best = full.groupBy("object_id").agg(F.max(F.struct("n", (-F.col("frame_index")).alias("f"))).alias("b"))
     return best.select("object_id", (-F.col("b.f")).alias("frame_index"), F.col("b.n").alias("visible"))

@@ -5,11 +5,12 @@ votes: (frame_index, instance_id, gaussian_index, weight). An id of -1 stands fo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.operators.graph import connected_components
 from scenelake.operators.ranking import numbered
+from scenelake.plans.lineage import cut
 
 KEYS = ("frame_index", "instance_id")
 
@@ -56,7 +57,8 @@ def global_objects(instances: DataFrame, pairs: DataFrame, candidate: Column | N
     root = F.when(ok, F.coalesce("component", F.col("local_index").cast("long")))
     named = named.withColumn("_root", root)
     ids = numbered(named.where("_root is not null").select("_root").distinct(), ["_root"], "object_id")
-    return named.join(ids, "_root", "left").withColumn("object_id", F.coalesce("object_id", F.lit(-1))).select(*instances.columns, "object_id")
+    # one row an instance, used by several branches of most summaries
+    return cut(named.join(ids, "_root", "left").withColumn("object_id", F.coalesce("object_id", F.lit(-1))).select(*instances.columns, "object_id"))
 
 
 def argmax(df: DataFrame, key: str, value: str, choice: str) -> DataFrame:
@@ -112,7 +114,7 @@ def proposals(ids: DataFrame, points: DataFrame, votes: DataFrame, instances: Da
 def top_proposals(summary: DataFrame, k: int = 0, min_points: int = 0, min_frames: int = 0) -> DataFrame:
     """Largest proposals by points, then frames, then id; ``k`` 0 keeps all."""
     kept = summary.where((F.col("gaussian_count") >= min_points) & (F.col("frame_count") >= min_frames))
-    ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gaussian_count"), F.desc("frame_count"), "object_id")))
+    ranked = numbered(kept, [F.desc("gaussian_count"), F.desc("frame_count"), "object_id"], "rank").withColumn("rank", F.col("rank") + 1)
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 
@@ -130,13 +132,27 @@ def category_votes(votes: DataFrame, categories: DataFrame) -> DataFrame:
 
 def select_groups(sizes: DataFrame, *, skip_largest: int = 0, min_size: int = 0, include: list[int] | None = None, exclude: list[int] | None = None, top_k: int | None = None, id_col: str = "object_id", size_col: str = "n") -> DataFrame:
     """Ids by size: skip the largest, then bound the size, then in- and exclude, then take the top k."""
-    order = Window.orderBy(F.desc(size_col), id_col)
-    s = sizes.withColumn("_r", F.row_number().over(order)).where((F.col("_r") > skip_largest) & (F.col(size_col) >= min_size))
+    order = [F.desc(size_col), id_col]
+    s = numbered(sizes, order, "_r") if skip_largest else sizes.withColumn("_r", F.lit(0))
+    s = s.where((F.col("_r") >= skip_largest) & (F.col(size_col) >= min_size))
     if include:
         s = s.where(F.col(id_col).isin(include))
     if exclude:
         s = s.where(~F.col(id_col).isin(exclude))
-    return s.drop("_r") if top_k is None else s.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top_k).drop("_r")
+    return s.drop("_r") if top_k is None else s.drop("_r").orderBy(*order).limit(top_k)
+
+
+def mask_pairs(tracks: DataFrame, *, min_shared: int = 1) -> DataFrame:
+    """(lhs, rhs, shared): masks of one category, lhs < rhs, that share so many 3D points at least.
+
+    tracks: distinct (mask_index, category, point3d_id). Points that the same masks of a category see are counted first:
+    their number, not theirs times the pairs, goes through the pairs of that set of masks.
+    """
+    seen = tracks.groupBy("category", "point3d_id").agg(F.array_sort(F.collect_set("mask_index")).alias("masks")).where(F.size("masks") > 1)
+    sets = seen.groupBy("masks").agg(F.count("*").alias("n"))
+    lhs = sets.select("n", "masks", F.posexplode("masks").alias("_at", "lhs"))
+    pairs = lhs.select("n", "lhs", F.explode(F.expr("slice(masks, _at + 2, size(masks))")).alias("rhs"))
+    return pairs.groupBy("lhs", "rhs").agg(F.sum("n").alias("shared")).where(F.col("shared") >= min_shared)
 
 
 def track_groups(tracks: DataFrame, *, min_shared: int = 4, min_ratio: float = 0.08, min_masks: int = 3) -> DataFrame:
@@ -145,15 +161,13 @@ def track_groups(tracks: DataFrame, *, min_shared: int = 4, min_ratio: float = 0
     tracks: (mask_index, category, point3d_id). Groups are numbered by mask count, then total support, both
     descending, then first mask.
     """
-    t = tracks.where("point3d_id >= 0").distinct()
+    t = cut(tracks.where("point3d_id >= 0").distinct())
     size = t.groupBy("mask_index", "category").agg(F.count("*").alias("support"))
-    a, b = t.alias("a"), t.alias("b")
-    same = (F.col("a.category") == F.col("b.category")) & (F.col("a.point3d_id") == F.col("b.point3d_id")) & (F.col("a.mask_index") < F.col("b.mask_index"))
-    shared = a.join(b, same).groupBy(F.col("a.mask_index").alias("lhs"), F.col("b.mask_index").alias("rhs")).agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    shared = mask_pairs(t, min_shared=min_shared)
     n = lambda c: size.select(F.col("mask_index").alias(c), F.col("support").alias(f"_{c}"))
     edges = shared.join(n("lhs"), "lhs").join(n("rhs"), "rhs").where(F.col("shared") / F.least("_lhs", "_rhs") >= min_ratio)
     parts = connected_components(edges, "lhs", "rhs")
     named = size.join(parts.withColumnRenamed("node", "mask_index"), "mask_index", "left").withColumn("root", F.coalesce("component", F.col("mask_index").cast("long")))
     groups = named.groupBy("root").agg(F.count("*").alias("masks"), F.sum("support").alias("total"), F.min("mask_index").alias("first")).where(F.col("masks") >= min_masks)
-    groups = groups.withColumn("group_id", F.row_number().over(Window.orderBy(F.desc("masks"), F.desc("total"), "first")) - 1)
+    groups = numbered(groups, [F.desc("masks"), F.desc("total"), "first"], "group_id")
     return named.join(groups.select("root", "group_id"), "root", "left").select("mask_index", "category", F.coalesce("group_id", F.lit(-1)).alias("group_id"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -28,19 +29,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written as Parquet in the checkpoint folder and read again: as :func:`cut`, in less space and by columns."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def broadcast_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; else the planner finds another way."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, which all executors share, and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scenelake.functions import color as C
 from scenelake.functions import geometry as G
 from scenelake.functions import labels as L
-from scenelake.operators import editing, evaluation, learning, masks, quality, spatial, visibility, voting
+from scenelake.operators import editing, evaluation, learning, masks, quality, sampling, spatial, visibility, voting
 
 VOTES = "frame_index int, instance_id int, gaussian_index long, weight float"
 IDENTITY = (1.0, 0, 0, 0, 1, 0, 0, 0, 1)
@@ -287,3 +287,64 @@ def test_numbers_and_percentiles_without_one_task(spark):
             found = percentiles(t, qs, accuracy)
             assert all(found[k] == np.quantile(values, q) for k, (_, q) in qs.items())
     assert percentiles(t.where("false"), {"a": ("v", 0.5)}) == {"a": None}
+
+
+def test_matching_runs_to_the_end_however_many_rounds(spark):
+    """A ladder of pairs, each blocked by the one before, so that a round finds one match."""
+    n = 12
+    rows = [(k // 2 + k % 2, k // 2, 100 - k, 200, (100 - k) / 200) for k in range(2 * n)]
+    pairs = spark.createDataFrame(rows, "gt int, pred int, n int, `union` int, iou double")
+    got = {(r["gt"], r["pred"]) for r in evaluation.greedy_match(pairs, merge=3).collect()}
+    used_g, used_p, want = set(), set(), set()
+    for g, p, *_ in rows:
+        if g not in used_g and p not in used_p:
+            want.add((g, p))
+            used_g.add(g)
+            used_p.add(p)
+    assert got == want
+    assert evaluation.greedy_match(pairs.where("false")).count() == 0
+
+
+def test_nearest_of_all_points_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    xyz = np.concatenate([rng.normal(size=(120, 3)), 0.01 * rng.normal(size=(60, 3)) + 4, [[50.0, 0, 0], [50.0, 0, 0], [-30.0, 9, 2]]])
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "gaussian_index long, x double, y double, z double")
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
+    for sample in (None, 10_000):
+        got = {}
+        for r in spatial.nearest(pts, 4, sample=sample).collect():
+            got.setdefault(r["i"], []).append((r["rank"], r["j"]))
+        for i in range(len(xyz)):
+            want = sorted((float(d[i, j]), j) for j in range(len(xyz)) if j != i)[:4]
+            assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+    one = pts.where("gaussian_index = 0")
+    assert spatial.nearest(one, 4, sample=None).count() == 0
+    assert spatial.nearest(pts.withColumns({c: F.lit(1.0) for c in "xyz"}), 1, sample=None).count() == len(xyz)
+
+
+def test_a_context_sample_keeps_half_for_the_selected(spark):
+    rows = spark.range(100).select(F.col("id").alias("gaussian_index"))
+    count = lambda on, budget: {r["selected"]: r["count"] for r in sampling.context_sample(rows, on, budget).groupBy("selected").count().collect()}
+    assert count(F.col("gaussian_index") < 40, 20) == {True: 10, False: 10}
+    assert count(F.col("gaussian_index") < 4, 20) == {True: 4, False: 16}
+    assert count(F.col("gaussian_index") < 40, 1) == {True: 1}
+    assert count(F.col("gaussian_index") < 40, 100) == {True: 40, False: 60}
+    assert sampling.sampled(rows, 7).collect() == sampling.sampled(rows.repartition(5), 7).collect()
+
+
+def test_voxels_far_apart_are_told_apart(spark):
+    far = [(i, s * 2.0e7, 0.0, 0.0) for i, s in enumerate((1, -1))] + [(2, 2.0e7 + 1, 0.0, 0.0)]
+    pts = spark.createDataFrame(far, "gaussian_index long, x double, y double, z double")
+    got = {r["gaussian_index"]: r["component"] for r in spatial.point_components(pts, 1.0).collect()}
+    assert got[1] == 0 and got[0] == got[2] == 1
+
+
+def test_masks_share_points_by_sets_of_masks(spark):
+    rows = [(m, c, p) for c in (0, 1) for p in range(30) for m in range(6) if (p * (m + 2) + c) % 3]
+    got = {(r["lhs"], r["rhs"]): r["shared"] for r in voting.mask_pairs(spark.createDataFrame(rows, "mask_index int, category int, point3d_id long")).collect()}
+    want = {}
+    for a, c, p in rows:
+        for b, k, q in rows:
+            if (c, p) == (k, q) and a < b:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert got == want
