@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scenelake.functions import color as C
 from scenelake.functions import geometry as G
 from scenelake.functions import labels as L
-from scenelake.operators import editing, evaluation, learning, masks, quality, spatial, visibility, voting
+from scenelake.operators import editing, evaluation, learning, masks, quality, sampling, spatial, visibility, voting
 from scenelake.sources import arrays, ply, scenes
 
 COMMANDS: dict = {}
@@ -80,13 +80,13 @@ def _gated(projected, depth=None, front_surface_only=False, front_surface_depth_
     if depth is not None:
         covered = depth.select("frame_index").distinct()
         good = visibility.depth_consistent(projected, depth, max_samples=samples, trim=trim, ratio=ratio, min_margin=margin).select("frame_index", "gaussian_index")
-        free = projected.where("valid").join(F.broadcast(covered), "frame_index", "left_anti").select("frame_index", "gaussian_index")
+        free = projected.where("valid").join(covered, "frame_index", "left_anti").select("frame_index", "gaussian_index")
         out = out.join(good.union(free), ["frame_index", "gaussian_index"], "left_semi")
     return out
 
 
 def _votes(spark, points, frames, camera, inst, pixels, *, opacity=False, quality_scores=None, **gates):
-    seen = _gated(visibility.project_points(points, frames.join(F.broadcast(inst.select("frame_index").distinct()), "frame_index", "left_semi"), camera), **gates)
+    seen = _gated(visibility.project_points(points, frames.join(inst.select("frame_index").distinct(), "frame_index", "left_semi"), camera), **gates)
     alpha = points.select("gaussian_index", C.sigmoid("opacity").alias("alpha")) if opacity else None
     return visibility.frame_votes(visibility.mask_hits(seen, pixels), inst, opacity=alpha, quality=quality_scores)
 
@@ -152,7 +152,7 @@ def discover_proposals(spark: SparkSession, *, dataset_root: str, ply_path: str,
     ids = spark.read.parquet(f"{output_root}/object_ids")
     top = voting.top_proposals(voting.proposals(ids, points, votes, obj), highlight_top_k, min_proposal_gaussians, min_proposal_frames)
     scenes.write_json(top, f"{output_root}/object_proposals.json", "proposals")
-    shown = ids.join(F.broadcast(top.select("object_id", F.lit(True).alias("_on"))), "object_id", "left")
+    shown = ids.join(top.select("object_id", F.lit(True).alias("_on")), "object_id", "left")
     out = C.highlight(table.join(shown, "gaussian_index"), F.col("_on"), C.palette("object_id"), dim_scale=dim_opacity_scale).drop("_on", "object_id")
     _write_table(out, ply_path, f"{output_root}/object_proposals.ply")
 
@@ -218,8 +218,8 @@ def score_clusters(spark: SparkSession, *, dataset_root: str, ply_path: str, clu
     d = [F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"]
     tags = box.select("cluster_id", L.geometry_tags(*d, G.norm(*(e.cast("double") for e in d)), min_diag=panel_min_diag, min_axis=panel_min_axis_ratio, mid_axis=panel_mid_axis_ratio).alias("tags"))
     out = masks.decisions(fam, tags, min_purity=candidate_min_family_purity, max_secondary=candidate_max_secondary_family_ratio)
-    best = fam.groupBy("cluster_id").agg(F.max("score").alias("best"))
-    scenes.write_json(out.join(box.select("cluster_id", "gaussian_count"), "cluster_id").join(best, "cluster_id", "left").orderBy(F.desc("best"), F.desc("gaussian_count")), f"{output_root}/cluster_scores.json", "clusters")
+    ranked = masks.ranked_clusters(fam, box)
+    scenes.write_json(out.join(ranked, "cluster_id").orderBy("rank").drop("rank"), f"{output_root}/cluster_scores.json", "clusters")
 
 
 @command
@@ -417,7 +417,7 @@ def _write_with_background(px: DataFrame, frames: DataFrame, camera, output_root
     whole = used.select("frame_index", F.lit(background_id).alias("instance_id"), F.explode(F.sequence(F.lit(0), F.lit(camera.width - 1))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(camera.height - 1))))
     every = px.unionByName(whole)
     boxes = masks.bounds(every, exclusive=False).withColumns({"score": F.when(F.col("instance_id") == background_id, 0.0).otherwise(score), "label": F.when(F.col("instance_id") == background_id, F.lit("background")).otherwise(L.class_name("instance", "instance_id"))})
-    scenes.write_masks(every, boxes.join(F.broadcast(frames.select("frame_index", F.col("file_path").alias("image_path"))), "frame_index"), output_root, camera.width, camera.height)
+    scenes.write_masks(every, boxes.join(frames.select("frame_index", F.col("file_path").alias("image_path")), "frame_index"), output_root, camera.width, camera.height)
 
 
 @command
@@ -436,20 +436,15 @@ def reassign_masks(spark: SparkSession, *, dataset_root: str, ply_path: str, gro
 @command
 def discover_track_masks(spark: SparkSession, *, dataset_root: str, grounded_masks_root: str, output_root: str, colmap_image_width: int, colmap_image_height: int, colmap_images_bin: str = "colmap/sparse/0/images.bin", include_categories: tuple[str, ...] = CATEGORY_NAMES, min_mask_score: float = 0.25, min_area_ratio: float = 0.001, max_area_ratio: float = 0.45, min_track_points: int = 8, min_shared_points: int = 4, min_overlap_ratio: float = 0.08, min_group_masks: int = 3) -> None:
     """Groups of masks that share reconstructed points."""
-    from pyspark.sql import Window
-
     inst, pixels = _masks(spark, grounded_masks_root)
     kept = masks.category_filter(inst, [s for s in L.CATEGORIES if s[0] in include_categories], min_mask_score, min_area_ratio, max_area_ratio)
     size = kept.select("width", "height").first()
-    tracks = scenes.read_colmap_tracks(spark, f"{dataset_root}/{colmap_images_bin}").join(F.broadcast(inst.select("frame_stem", "frame_index").distinct()), "frame_stem")
+    tracks = scenes.read_colmap_tracks(spark, f"{dataset_root}/{colmap_images_bin}").join(inst.select("frame_stem", "frame_index").distinct(), "frame_stem")
     hits = masks.track_hits(tracks, pixels.join(kept.select("frame_index", "instance_id"), ["frame_index", "instance_id"], "left_semi"), (colmap_image_width, colmap_image_height), (size["width"], size["height"]))
-    numbered = kept.select("frame_index", "instance_id", "category").withColumn("mask_index", F.row_number().over(Window.orderBy("frame_index", "instance_id")) - 1)
-    enough = hits.groupBy("frame_index", "instance_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_track_points)
-    t = hits.join(enough, ["frame_index", "instance_id"], "left_semi").join(numbered, ["frame_index", "instance_id"]).select("mask_index", "category", "point3d_id")
-    groups = voting.track_groups(t, min_shared=min_shared_points, min_ratio=min_overlap_ratio, min_masks=min_group_masks)
-    named = groups.where("group_id >= 0").select("group_id", "category").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy("group_id")))
-    names = named.withColumn("class_name", L.class_name(F.element_at(F.array(*[F.lit(n) for n, _ in L.CATEGORIES if n in include_categories]), F.col("category") + 1), "_r"))
-    groups.join(numbered.drop("category"), "mask_index").join(names.select("group_id", "class_name"), "group_id", "left").write.mode("overwrite").parquet(f"{output_root}/mask_groups")
+    out = masks.track_masks(kept, hits, min_points=min_track_points, min_shared=min_shared_points, min_ratio=min_overlap_ratio, min_masks=min_group_masks)
+    names = F.array(*[F.lit(n) for n, _ in L.CATEGORIES if n in include_categories])
+    out = out.withColumn("class_name", F.when(F.col("rank").isNotNull(), L.class_name(F.element_at(names, F.col("category") + 1), "rank")))
+    out.write.mode("overwrite").parquet(f"{output_root}/mask_groups")
 
 
 @command
@@ -499,12 +494,15 @@ def best_frames(spark: SparkSession, *, dataset_root: str, ply_path: str, object
 
 
 @command
-def group_points(spark: SparkSession, *, ply_path: str, object_ids: str, output_path: str, drop_unknown: bool = False, max_points: int | None = None) -> None:
-    """An ASCII PLY of points coloured by object."""
+def group_points(spark: SparkSession, *, ply_path: str, object_ids: str, output_path: str, drop_unknown: bool = False, include_object_ids: tuple[int, ...] = (), show_context: bool = False, max_points: int | None = None) -> None:
+    """An ASCII PLY of points coloured by object; with context the points of other objects too, up to half of the budget for the chosen."""
     t = _labelled_table(spark, ply_path, object_ids)
-    t = t.where("object_id >= 0") if drop_unknown else t
+    chosen = F.col("object_id").isin(list(include_object_ids)) if include_object_ids else F.lit(True)
+    chosen = chosen & (F.col("object_id") >= 0) if drop_unknown else chosen
+    if not show_context:
+        t = t.where(chosen)
     if max_points is not None:
-        t = t.orderBy(F.xxhash64("gaussian_index", F.lit(42)), "gaussian_index").limit(max_points)
+        t = sampling.context_sample(t, chosen, max_points) if show_context else sampling.sampled(t, max_points)
     c = C.hashed_color("object_id")
     ply.write_ascii(t.select("gaussian_index", "x", "y", "z", c[0].alias("red"), c[1].alias("green"), c[2].alias("blue")), output_path)
 

@@ -39,6 +39,16 @@ def to_byte(c: Column | str) -> Column:
     return F.floor(clip(_c(c).cast("double"), 0.0, 1.0) * 255).cast("int")
 
 
+def rounded_byte(c: Column | str) -> Column:
+    """A share from 0 to 1 as the nearest byte, halves to the even one."""
+    return F.rint(clip(_c(c).cast("double"), 0.0, 1.0) * 255).cast("int")
+
+
+def blend_bytes(a: Column | str, b: Column | str, alpha: float) -> Column:
+    """Byte colours blended, alpha held to 0..1, cut to whole bytes."""
+    return F.floor(clip(blend(_c(a).cast("double"), _c(b).cast("double"), min(1.0, max(0.0, alpha))), 0.0, 255.0)).cast("int")
+
+
 def blend(a: Column | str, b: Column | str, alpha: float) -> Column:
     """(1 - alpha) a + alpha b."""
     return (1 - alpha) * _c(a) + alpha * _c(b)

@@ -7,8 +7,11 @@ import io
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from scenelake.sources.records import FileWriter, exact
+
 
 class _Slice(InputPartition):
     def __init__(self, first: int, last: int):
@@ -45,8 +48,22 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(rows), dtype=np.int64)), value], [self.index, "value"])
 
 
+class _Writer(FileWriter):
+    def __init__(self, path: str, dtype: str):
+        super().__init__(path)
+        self.dtype = dtype
+
+    def encode(self, batch: pa.RecordBatch) -> bytes:
+        return exact(batch.column(0), np.dtype(self.dtype), "value").tobytes()
+
+    def header(self, rows: int) -> bytes:
+        out = io.BytesIO()
+        np.lib.format.write_array_header_1_0(out, {"descr": np.dtype(self.dtype).str, "fortran_order": False, "shape": (rows,)})
+        return out.getvalue()
+
+
 class NpyDataSource(DataSource):
-    """format("npy"): a 1-D array as scalars, a 2-D one as arrays, with the row number."""
+    """format("npy"): a 1-D array as scalars, a 2-D one as arrays, with the row number; writes a column as a 1-D array."""
 
     @classmethod
     def name(cls):
@@ -62,6 +79,9 @@ class NpyDataSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options["path"], int(self.options.get("rows", 1_000_000)), self.options.get("index", "gaussian_index"))
 
+    def writer(self, schema, overwrite):
+        return _Writer(self.options["path"], self.options.get("dtype", "<i4"))
+
 
 def read_npy(spark: SparkSession, path: str, value: str = "value", index: str = "gaussian_index") -> DataFrame:
     """(index, value) of a side file; to be joined on the row number."""
@@ -71,8 +91,6 @@ def read_npy(spark: SparkSession, path: str, value: str = "value", index: str =
 
 def read_depth(spark: SparkSession, path: str, frame_index: int) -> DataFrame:
     """(frame_index, px, py, d) of a 2-D depth map."""
-    from pyspark.sql import functions as F
-
     rows = read_npy(spark, path, "row", "py")
     return rows.select(F.lit(frame_index).alias("frame_index"), F.col("py").cast("int").alias("py"), F.posexplode("row").alias("px", "d")).withColumn("d", F.col("d").cast("double"))
 
@@ -106,11 +124,7 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_npy(df: DataFrame, path: str, value: str, index: str = "gaussian_index", dtype: str = "<i4") -> None:
-    """One column as .npy in index order, streamed through the driver partition by partition."""
-    n = df.count()
-    out = np.lib.format.open_memmap(path, "w+", np.dtype(dtype), (n,))
-    at = 0
-    for r in df.select(index, value).orderBy(index).toLocalIterator(prefetchPartitions=True):
-        out[at] = r[1]
-        at += 1
-    out.flush()
+    """One column as .npy in index order, written by the executors; a value that ``dtype`` cannot hold is an error."""
+    df.sparkSession.dataSource.register(NpyDataSource)
+    ordered = df.select(index, value).repartitionByRange(index).sortWithinPartitions(index)
+    ordered.select(F.col(value).alias("value")).write.format("npy").option("path", path).option("dtype", dtype).mode("append").save()

@@ -6,9 +6,6 @@ all executors see; :func:`read_ply` with ``whole=True`` goes through Spark's own
 
 from __future__ import annotations
 
-import os
-import shutil
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from scenelake.sources.records import FileWriter, exact
 
 #: PLY scalar types: NumPy code, Spark type. Spark has no unsigned types, so those are widened.
 SCALARS = {
@@ -126,50 +125,46 @@ class _Reader(DataSourceReader):
                 yield _batch(self.header, raw, first)
 
 
-@dataclass
-class _Part(WriterCommitMessage):
-    number: int
-    name: str
-    rows: int
+class _Writer(FileWriter):
+    def __init__(self, path: str, properties: list[tuple[str, str]]):
+        super().__init__(path)
+        self.properties = properties
 
+    def encode(self, batch: pa.RecordBatch) -> bytes:
+        dtype = np.dtype([(n, SCALARS[t][0]) for t, n in self.properties])
+        out = np.empty(batch.num_rows, dtype)
+        for _, n in self.properties:
+            out[n] = exact(batch.column(batch.schema.get_field_index(n)), dtype[n], n)
+        return out.tobytes()
 
-class _Writer(DataSourceArrowWriter):
-    """Each task writes its records to a file of its own; the commit puts them behind one header in partition order."""
+    def header(self, rows: int) -> bytes:
+        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {rows}", *(f"property {t} {n}" for t, n in self.properties), "end_header"]
+        return ("\n".join(lines) + "\n").encode()
 
-    def __init__(self, path: str, properties: list[tuple[str, str]]):
-        self.path, self.properties = path, properties
-        self.folder = f"{path}.{uuid.uuid4().hex}"
 
-    def write(self, batches):
-        from pyspark import TaskContext
+class _TextWriter(FileWriter):
+    """Lines behind an ASCII header of a position and a byte colour."""
+
+    def encode(self, batch: pa.RecordBatch) -> bytes:
+        return "".join(f"{v}\n" for v in batch.column(0).to_pylist()).encode()
+
+    def header(self, rows: int) -> bytes:
+        lines = ["ply", "format ascii 1.0", f"element vertex {rows}", *(f"property float {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue")), "end_header"]
+        return ("\n".join(lines) + "\n").encode()
 
-        ctx = TaskContext.get()
-        os.makedirs(self.folder, exist_ok=True)
-        name = f"{self.folder}/{ctx.partitionId()}-{ctx.taskAttemptId()}"
-        dtype = np.dtype([(n, SCALARS[t][0]) for t, n in self.properties])
-        rows = 0
-        with open(name, "wb") as f:
-            for b in batches:
-                out = np.empty(b.num_rows, dtype)
-                for _, n in self.properties:
-                    out[n] = b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
-                f.write(out.tobytes())
-                rows += b.num_rows
-        return _Part(ctx.partitionId(), name, rows)
-
-    def commit(self, messages):
-        parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
-        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {sum(p.rows for p in parts)}", *(f"property {t} {n}" for t, n in self.properties), "end_header"]
-        with open(f"{self.folder}.tmp", "wb") as out:
-            out.write(("\n".join(lines) + "\n").encode())
-            for p in parts:
-                with open(p.name, "rb") as f:
-                    shutil.copyfileobj(f, out)
-        os.replace(f"{self.folder}.tmp", self.path)
-        shutil.rmtree(self.folder, ignore_errors=True)
-
-    def abort(self, messages):
-        shutil.rmtree(self.folder, ignore_errors=True)
+
+class PlyTextDataSource(DataSource):
+    """format("plytext"): writes lines; option path."""
+
+    @classmethod
+    def name(cls):
+        return "plytext"
+
+    def schema(self):
+        return "line string"
+
+    def writer(self, schema, overwrite):
+        return _TextWriter(self.options["path"])
 
 
 class PlyDataSource(DataSource):
@@ -191,9 +186,15 @@ class PlyDataSource(DataSource):
         return _Writer(self.options["path"], props)
 
 
+#: Columns of whole numbers with these names are bytes, as in files of coloured points.
+COLORS = ("red", "green", "blue", "alpha")
+
+
 def _properties(schema: T.StructType) -> list[tuple[str, str]]:
+    """Header types of the columns. PLY has no 64-bit integer: a LONG is written as int, and a value beyond it is an error."""
     kinds = {T.ByteType: "char", T.ShortType: "short", T.IntegerType: "int", T.LongType: "int", T.FloatType: "float", T.DoubleType: "double"}
-    return [(kinds[type(f.dataType)], f.name) for f in schema.fields if f.name != INDEX]
+    of = lambda f: "uchar" if f.name in COLORS and isinstance(f.dataType, T.IntegralType) else kinds[type(f.dataType)]
+    return [(of(f), f.name) for f in schema.fields if f.name != INDEX]
 
 
 def read_ply(spark: SparkSession, path: str, *, rows: int = 500_000, whole: bool = False) -> DataFrame:
@@ -234,10 +235,8 @@ def write_ply(table: DataFrame, path: str, properties: list[tuple[str, str]] | N
 
 
 def write_ascii(table: DataFrame, path: str) -> None:
-    """x, y, z and byte colours red, green, blue as an ASCII PLY; lines are made by Spark, the header on the driver."""
-    lines = table.orderBy(INDEX).select(F.concat_ws(" ", *(F.format_string("%.6f", F.col(c).cast("double")) for c in "xyz"), *(F.col(c).cast("int").cast("string") for c in ("red", "green", "blue"))).alias("line"))
-    head = ["ply", "format ascii 1.0", f"element vertex {table.count()}", *(f"property float {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue")), "end_header"]
-    with open(path, "w") as f:
-        f.write("\n".join(head) + "\n")
-        for r in lines.toLocalIterator(prefetchPartitions=True):
-            f.write(r["line"] + "\n")
+    """x, y, z and byte colours red, green, blue as an ASCII PLY, in order of gaussian_index."""
+    table.sparkSession.dataSource.register(PlyTextDataSource)
+    ordered = table.repartitionByRange(INDEX).sortWithinPartitions(INDEX)
+    line = F.concat_ws(" ", *(F.format_string("%.6f", F.col(c).cast("double")) for c in "xyz"), *(F.col(c).cast("int").cast("string") for c in ("red", "green", "blue")))
+    ordered.select(line.alias("line")).write.format("plytext").option("path", path).mode("append").save()

@@ -8,11 +8,12 @@ import struct
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as G
 from scenelake.functions import labels as L
+from scenelake.operators.ranking import numbered
 from scenelake.operators.visibility import Camera
 
 TRANSFORMS = "fl_x double, fl_y double, cx double, cy double, w int, h int, camera_model string, k1 double, k2 double, k3 double, k4 double, p1 double, p2 double, frames array<struct<file_path:string,transform_matrix:array<array<double>>>>"
@@ -21,6 +22,9 @@ MANIFEST = f"frame_index int, image_path string, image_size array<int>, instance
 GROUPS = "groups array<struct<global_object_id:int,object_id:int,label:string,gaussian_count:bigint,centroid_xyz:array<double>,bbox_min_xyz:array<double>,bbox_max_xyz:array<double>,support_frames:array<int>,total_vote_weight:double>>"
 
 
+RECORDS = "instances array<struct<instance_id:int,category:string,category_index:int,rank_in_category:int,gaussian_count:bigint,vote_sum:double,support_mean:double,confidence_mean:double,centroid_xyz:array<double>,bbox_min_xyz:array<double>,bbox_max_xyz:array<double>>>"
+
+
 def read_transforms(spark: SparkSession, path: str) -> tuple[DataFrame, Camera]:
     """Frames (frame_index, file_path, pose columns world to camera) and the camera of a transforms.json.
 
@@ -96,7 +100,7 @@ def read_colmap_scene(spark: SparkSession, folder: str, downscale: int = 1, roun
     im = spark.read.format("binaryFile").load(f"{folder}/images.bin").select("content").mapInArrow(run, "file_path string, qw double, qx double, qy double, qz double, t0 double, t1 double, t2 double")
     w, x, y, z = (F.col(c) for c in ("qw", "qx", "qy", "qz"))
     rot = [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]
-    frames = im.select((F.row_number().over(Window.orderBy("file_path")) - 1).alias("frame_index"), "file_path", *[e.alias(f"r{i // 3}{i % 3}") for i, e in enumerate(rot)], "t0", "t1", "t2")
+    frames = numbered(im, ["file_path"], "frame_index").select(F.col("frame_index").cast("int").alias("frame_index"), "file_path", *[e.alias(f"r{i // 3}{i % 3}") for i, e in enumerate(rot)], "t0", "t1", "t2")
     raw = bytes(spark.read.format("binaryFile").load(f"{folder}/cameras.bin").first()["content"])
     _, model, width, height = struct.unpack_from("<IiQQ", raw, 8)
     name, n = COLMAP_MODELS[model]
@@ -119,8 +123,9 @@ def read_manifests(spark: SparkSession, root: str, pattern: str = "*/instances.j
     if bad:
         raise ValueError(f"{bad[0][0]} lacks a required key")
     docs = docs.withColumn("frame_stem", F.element_at(F.split("_file", "/"), -2))
-    order = docs.select("frame_stem").distinct().withColumn("frame_ordinal", F.row_number().over(Window.orderBy("frame_stem")) - 1)  # one row a frame
-    flat = docs.join(F.broadcast(order), "frame_stem").select("frame_stem", "frame_ordinal", "frame_index", "image_path", F.col("image_size")[0].alias("width"), F.col("image_size")[1].alias("height"), F.posexplode("instances").alias("position", "i"))
+    order = docs.select("frame_stem").distinct()
+    order = numbered(order, ["frame_stem"], "frame_ordinal").withColumn("frame_ordinal", F.col("frame_ordinal").cast("int"))
+    flat = docs.join(order, "frame_stem").select("frame_stem", "frame_ordinal", "frame_index", "image_path", F.col("image_size")[0].alias("width"), F.col("image_size")[1].alias("height"), F.posexplode("instances").alias("position", "i"))
     box = [F.col("i.bbox_xyxy")[k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]
     return flat.select("frame_stem", "frame_ordinal", "frame_index", "image_path", "width", "height", "position", "i.instance_id", "i.label", "i.score", "i.detection_score", "i.area", "i.mask_path", *box)
 
@@ -133,6 +138,22 @@ def frame_ordinal(frames: DataFrame, stem: str) -> int:
     return row[0]
 
 
+def select_frames(manifests: DataFrame, stems: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(frame_stem, place): the frames to draw, in the order given or else by name, the first ``limit``.
+
+    A stem that no manifest has is an error. Stems given by hand come as literals.
+    """
+    every = manifests.select("frame_stem").distinct()
+    if stems:
+        wanted = manifests.sparkSession.createDataFrame([(s, i) for i, s in enumerate(stems)], "frame_stem string, place int")
+        found = {r[0] for r in wanted.join(every, "frame_stem", "left_semi").collect()}  # at most those asked for
+        if missing := [s for s in stems if s not in found]:
+            raise ValueError(f"no frames {missing}")
+    else:
+        wanted = numbered(every, ["frame_stem"], "place").withColumn("place", F.col("place").cast("int"))
+    return wanted if limit is None else wanted.where(F.col("place") < limit)
+
+
 def read_mask_pixels(spark: SparkSession, root: str, pattern: str = "*/mask_*.png") -> DataFrame:
     """(frame_stem, mask_name, x, y) of the non-zero pixels of grey images, by Spark's image reader."""
     im = spark.read.format("image").load(f"{root}/{pattern}").select("image.*")
@@ -183,6 +204,18 @@ def read_groups(spark: SparkSession, path: str, prefer: str = "object_id") -> Da
     return g.withColumn("object_id", L.group_object_id(prefer, other)).drop("global_object_id")
 
 
+def read_instance_records(spark: SparkSession, path: str) -> DataFrame:
+    """Discovered instances of a summary, with class_name: the category and the place in it from 1, two digits.
+
+    The place is rank_in_category, or the instance's number where there is none. No list of instances is an error.
+    """
+    doc = spark.read.schema(RECORDS).option("multiLine", True).json(path)
+    if doc.where("instances is not null").isEmpty():
+        raise ValueError(f"{path} holds no list of instances")
+    out = doc.select(F.explode("instances").alias("i")).select("i.*")
+    return out.withColumn("class_name", L.class_name(F.col("category"), F.coalesce("rank_in_category", "instance_id") + 1))
+
+
 def read_class_names(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """(class_index, name) of a classes.json: a list of {class_id or id, name}; absent ids up to ``n`` are class_<id>."""
     doc = spark.read.schema("classes array<struct<class_id:int,id:int,name:string>>").option("multiLine", True).json(path)
@@ -190,13 +223,13 @@ def read_class_names(spark: SparkSession, path: str, n: int | None = None) -> Da
     if n is None:
         return got
     every = spark.range(n).select(F.col("id").cast("int").alias("class_index"))
-    return every.join(F.broadcast(got), "class_index", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("class_"), "class_index")))
+    return every.join(got, "class_index", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("class_"), "class_index")))
 
 
 def list_images(spark: SparkSession, folder: str, limit: int | None = None, done: DataFrame | None = None) -> DataFrame:
     """(path, stem, frame_index) of the images of a folder by name, the first ``limit``; without stems in ``done``."""
     f = spark.read.format("binaryFile").load(folder).select("path").withColumn("stem", L.stem("path")).where(F.lower("path").rlike(r"\.(png|jpe?g)$"))
-    f = f.withColumn("frame_index", F.row_number().over(Window.orderBy("path")) - 1)
+    f = numbered(f, ["path"], "frame_index").withColumn("frame_index", F.col("frame_index").cast("int"))
     f = f if limit is None else f.where(F.col("frame_index") < limit)
     return f if done is None else f.join(done.select("stem"), "stem", "left_anti")
 

@@ -45,6 +45,35 @@ def test_ascii_ply(spark, tmp_path):
     assert (tmp_path / "a.ply").read_text().splitlines()[-2:] == ["0.000000 0.000000 0.000000 1 2 3", "1.000000 2.000000 3.000000 4 5 6"]
 
 
+def test_values_that_a_file_type_cannot_hold_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1 << 31, 300, 0.5), (1, 7, 8, 1.0)], "gaussian_index long, big long, red int, v double")
+    with pytest.raises(Exception, match="cannot hold"):
+        ply.write_ply(df.select("gaussian_index", "big"), str(tmp_path / "a.ply"))
+    with pytest.raises(Exception, match="cannot hold"):
+        ply.write_ply(df.select("gaussian_index", "red"), str(tmp_path / "b.ply"))
+    with pytest.raises(Exception, match="cannot hold"):
+        arrays.write_npy(df, str(tmp_path / "c.npy"), "v")
+    assert not list(tmp_path.glob("*.ply")) and not list(tmp_path.glob("*.npy"))
+    ply.write_ply(df.where("gaussian_index = 1").select("gaussian_index", "big", "red"), str(tmp_path / "d.ply"))
+    assert ply.read_header(str(tmp_path / "d.ply")).properties == (("int", "big"), ("uchar", "red"))
+
+
+def test_frames_are_selected_in_order(spark):
+    m = spark.createDataFrame([(f"f{i}",) for i in (3, 1, 2, 1, 0)], "frame_stem string")
+    assert sorted(map(tuple, scenes.select_frames(m, limit=3).collect())) == [("f0", 0), ("f1", 1), ("f2", 2)]
+    assert sorted(map(tuple, scenes.select_frames(m, ["f2", "f0"]).collect())) == [("f0", 1), ("f2", 0)]
+    with pytest.raises(ValueError, match="f9"):
+        scenes.select_frames(m, ["f2", "f9"])
+
+
+def test_instance_records_need_a_list(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"instances": [{"instance_id": 4, "category": "chair"}, {"instance_id": 5, "category": "chair", "rank_in_category": 0}]}))
+    assert sorted(r["class_name"] for r in scenes.read_instance_records(spark, str(tmp_path / "r.json")).collect()) == ["chair_01", "chair_05"]
+    (tmp_path / "n.json").write_text("{}")
+    with pytest.raises(ValueError):
+        scenes.read_instance_records(spark, str(tmp_path / "n.json"))
+
+
 def test_numpy_side_files(spark, tmp_path):
     np.save(tmp_path / "ids.npy", np.array([5, -1, 7], np.int32))
     np.save(tmp_path / "p.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
