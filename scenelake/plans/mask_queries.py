@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scenelake.functions import color as C
 from scenelake.functions import geometry as G
 from scenelake.functions import labels as L
-from scenelake.operators import editing, learning, masks, quality, visibility
+from scenelake.operators import editing, learning, masks, quality, sampling, visibility
 from scenelake.plans import adapt as A
 from scenelake.plans.scene_queries import _projected, _round, query
 
@@ -34,7 +34,7 @@ def _(s):
     return s.instances.select("instance_id", L.category_index("label").alias("category"))
 
 
-@query("p27_instance_keys", "SELECT instance_id, label AS by_label, lpad(CAST(frame_index AS VARCHAR), 5, '0') || ':' || lpad(CAST(instance_id AS VARCHAR), 4, '0') AS by_local FROM instances WHERE instance_id < 10000", "instances")
+@query("p27_instance_keys", "SELECT instance_id, label AS by_label, printf('%05d:%04d', frame_index, instance_id) AS by_local FROM instances", "instances")
 def _(s):
     return s.instances.select("instance_id", L.instance_key("label").alias("by_label"), L.instance_key("local-instance").alias("by_local"))
 
@@ -143,12 +143,12 @@ def _(s):
     return masks.resized(painted, (100, 100), (40, 60))
 
 
-_SEEDS = "SELECT DISTINCT p.frame_index, p.gaussian_index % 7 AS instance_id, p.px AS x, p.py AS y FROM proj p WHERE p.gaussian_index % 7 < 3 AND p.px < 100 AND p.py < 100"
+_SEEDS = "SELECT DISTINCT p.frame_index, p.gaussian_index % 7 AS instance_id, p.px AS x, p.py AS y FROM proj p WHERE p.px < 100 AND p.py < 100"
 _GROWN = f"SELECT DISTINCT frame_index, instance_id, x + dx AS x, y + dy AS y FROM ({_SEEDS}) CROSS JOIN (SELECT UNNEST(generate_series(-2, 2)) AS dx) CROSS JOIN (SELECT UNNEST(generate_series(-2, 2)) AS dy) WHERE x + dx BETWEEN 0 AND 99 AND y + dy BETWEEN 0 AND 99"
 
 
 def _seeds(s: A.Scene) -> DataFrame:
-    p = _projected(s).where("gaussian_index % 7 < 3 and px is not null")
+    p = _projected(s).where("px is not null")
     return p.select("frame_index", (F.col("gaussian_index") % 7).alias("instance_id"), F.col("px").alias("x"), F.col("py").alias("y"))
 
 
@@ -159,7 +159,7 @@ def _(s):
 
 @query("x2_projected_masks", f"SELECT g.* FROM ({_GROWN}) g JOIN (SELECT frame_index, instance_id FROM ({_GROWN}) GROUP BY 1, 2 HAVING COUNT(*) >= 2000) k USING (frame_index, instance_id)", "proj")
 def _(s):
-    ids = s.points.select("gaussian_index", F.when(F.col("gaussian_index") % 7 < 3, F.col("gaussian_index") % 7).otherwise(-1).alias("instance_id"))
+    ids = s.points.select("gaussian_index", (F.col("gaussian_index") % 7).alias("instance_id"))
     return masks.projected_masks(_projected(s), ids, 100, 100, radius=2, min_pixels=2000)
 
 
@@ -300,7 +300,7 @@ def _(s):
 @query("p33_depth_preview", "SELECT frame_index, px, py, CAST(FLOOR((LEAST(GREATEST(d, lo), hi) - lo) / (hi - lo) * 65535) AS INT) AS v FROM depth_map JOIN (SELECT frame_index, QUANTILE_CONT(d, 0.01) AS lo, QUANTILE_CONT(d, 0.99) AS hi FROM depth_map GROUP BY 1) USING (frame_index)", "depth_map")
 def _(s):
     q = s.depth.groupBy("frame_index").agg(F.percentile("d", F.lit(0.01)).alias("lo"), F.percentile("d", F.lit(0.99)).alias("hi"))
-    return s.depth.join(F.broadcast(q), "frame_index").select("frame_index", "px", "py", C.to_uint16("d", F.col("lo"), F.col("hi")).alias("v"))
+    return s.depth.join(q, "frame_index").select("frame_index", "px", "py", C.to_uint16("d", F.col("lo"), F.col("hi")).alias("v"))
 
 
 @query("a32_depth_summary", "SELECT frame_index, MIN(d) AS least, MAX(d) AS most, MEDIAN(d) AS middle FROM depth_map GROUP BY 1", "depth_map")
@@ -382,9 +382,13 @@ def _(s):
 # Losses and classification
 
 
-@query("a27_class_weights", """SELECT class_index, n, ROUND(CASE WHEN n > 0 THEN w / (SELECT AVG(w) FROM (SELECT SQRT(m / (n + 1e-6)) AS w FROM c WHERE n > 0)) ELSE 1 END, 6) AS weight FROM (SELECT *, SQRT(m / (n + 1e-6)) AS w FROM c)""".replace(" c ", " (SELECT k.class_index, COUNT(o.label) AS n, (SELECT AVG(n) FROM (SELECT COUNT(*) AS n FROM cloud WHERE gaussian_index % 3 <> 0 OR label < 5 GROUP BY label)) AS m FROM (SELECT UNNEST(generate_series(0, 11)) AS class_index) k LEFT JOIN (SELECT * FROM cloud WHERE gaussian_index % 3 <> 0 OR label < 5) o ON o.label = k.class_index GROUP BY 1) c ").replace("FROM c)", "FROM (SELECT k.class_index, COUNT(o.label) AS n, (SELECT AVG(n) FROM (SELECT COUNT(*) AS n FROM cloud WHERE gaussian_index % 3 <> 0 OR label < 5 GROUP BY label)) AS m FROM (SELECT UNNEST(generate_series(0, 11)) AS class_index) k LEFT JOIN (SELECT * FROM cloud WHERE gaussian_index % 3 <> 0 OR label < 5) o ON o.label = k.class_index GROUP BY 1) c)"), "cloud")
+_COUNTED = "SELECT k.class_index, COUNT(o.label) AS n, (SELECT AVG(n) FROM (SELECT COUNT(*) AS n FROM cloud WHERE label BETWEEN 0 AND 11 GROUP BY label)) AS m FROM (SELECT UNNEST(generate_series(0, 11)) AS class_index) k LEFT JOIN cloud o ON o.label = k.class_index GROUP BY 1"
+_WEIGHED = f"SELECT class_index, n, SQRT(m / (n + 1e-6)) AS w FROM ({_COUNTED})"
+
+
+@query("a27_class_weights", f"SELECT class_index, n, ROUND(CASE WHEN n > 0 THEN w / (SELECT AVG(w) FROM ({_WEIGHED}) WHERE n > 0) ELSE 1 END, 6) AS weight FROM ({_WEIGHED})", "cloud")
 def _(s):
-    labels = s.cloud.where("gaussian_index % 3 <> 0 or label < 5").select(F.col("label").alias("class_index"))
+    labels = s.cloud.select(F.col("label").alias("class_index"))
     classes = s.spark.range(12).select(F.col("id").cast("int").alias("class_index"))
     return learning.class_weights(labels, classes, 0.5).withColumn("weight", _round("weight"))
 
@@ -428,13 +432,16 @@ def _(s):
     return s.mask_pixels.select("frame_index", "x", "y").distinct()
 
 
-@query("r1_seeded_sample")
+@query("r1_seeded_sample", "SELECT gaussian_index FROM points ORDER BY md5(CAST(gaussian_index AS VARCHAR) || ':42'), gaussian_index LIMIT 100", "points")
 def _(s):
-    """A fixed draw of 100 points; a hash order, so no other engine draws the same."""
-    return s.points.select("gaussian_index").orderBy(F.xxhash64("gaussian_index", F.lit(42)), "gaussian_index").limit(100)
+    return sampling.sampled(s.points.select("gaussian_index"), 100)
+
+
+_KEPT_HITS = f"SELECT h.* FROM hits h JOIN (SELECT frame_index, instance_id FROM instances WHERE {_CATEGORY} IS NOT NULL AND {_SCORE} >= 0.25 AND {_AREA}) k USING (frame_index, instance_id)"
 
 
-@query("x3_reassign_masks")
+@query("x3_reassign_masks", f"""SELECT t.frame_index, t.instance_id, b.chosen FROM (SELECT frame_index, instance_id, COUNT(*) AS total FROM ({_KEPT_HITS}) GROUP BY 1, 2) t
+ JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY frame_index, instance_id ORDER BY n DESC, chosen) AS r FROM (SELECT frame_index, instance_id, gaussian_index % 6 AS chosen, COUNT(*) AS n FROM ({_KEPT_HITS}) GROUP BY 1, 2, 3)) b USING (frame_index, instance_id) WHERE r = 1 AND n >= 3 AND n / total >= 0.2""", "hits", "instances")
 def _(s):
     """Masks renamed to the discovered instance that most of their points belong to, after the category filter."""
     kept = masks.category_filter(s.instances)

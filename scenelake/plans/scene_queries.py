@@ -192,19 +192,16 @@ def _(s):
     return _objects(s).groupBy("object_id").agg(F.sum("support_size").alias("support"), F.count_distinct("frame_index").alias("frames"))
 
 
-_TRACKS = "SELECT DISTINCT instance_id + 8 * (frame_index % 6) AS mask_index, instance_id % 3 AS category, gaussian_index AS point3d_id FROM votes WHERE gaussian_index % 4 = 0 AND frame_index % 2 = 0"
+_TRACKS = "SELECT DISTINCT instance_id + 8 * (frame_index % 6) AS mask_index, instance_id % 3 AS category, gaussian_index AS point3d_id FROM votes"
 
 
 @query("j5_mask_pairs", f"""SELECT a.mask_index AS lhs, b.mask_index AS rhs, COUNT(*) AS shared FROM ({_TRACKS}) a JOIN ({_TRACKS}) b ON a.category = b.category AND a.point3d_id = b.point3d_id AND a.mask_index < b.mask_index GROUP BY ALL""", "votes")
 def _(s):
-    t = _tracks(s)
-    a, b = t.alias("a"), t.alias("b")
-    return a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.point3d_id") == F.col("b.point3d_id")) & (F.col("a.mask_index") < F.col("b.mask_index"))).groupBy(F.col("a.mask_index").alias("lhs"), F.col("b.mask_index").alias("rhs")).agg(F.count("*").alias("shared"))
+    return voting.mask_pairs(_tracks(s))
 
 
 def _tracks(s: A.Scene) -> DataFrame:
-    v = s.votes.where("gaussian_index % 4 = 0 and frame_index % 2 = 0")
-    return v.select((F.col("instance_id") + 8 * (F.col("frame_index") % 6)).alias("mask_index"), (F.col("instance_id") % 3).alias("category"), F.col("gaussian_index").alias("point3d_id")).distinct()
+    return s.votes.select((F.col("instance_id") + 8 * (F.col("frame_index") % 6)).alias("mask_index"), (F.col("instance_id") % 3).alias("category"), F.col("gaussian_index").alias("point3d_id")).distinct()
 
 
 @query("g3_track_groups", f"""SELECT * FROM (WITH RECURSIVE t AS ({_TRACKS}), size AS (SELECT mask_index, category, COUNT(*) AS support FROM t GROUP BY ALL),
@@ -250,10 +247,10 @@ def _(s):
     return visibility.front_depth(_projected(s))
 
 
-@query("w3_front_visible", "SELECT p.frame_index, p.gaussian_index FROM proj p JOIN front f USING (frame_index, px, py) WHERE p.gaussian_index % 2 = 0 AND p.depth <= f.front + GREATEST(0.25, ABS(CAST(f.front AS DOUBLE)) * 0.125)", "front")
+@query("w3_front_visible", "SELECT p.frame_index, p.gaussian_index FROM proj p JOIN front f USING (frame_index, px, py) WHERE p.depth <= f.front + GREATEST(0.25, ABS(CAST(f.front AS DOUBLE)) * 0.125)", "front")
 def _(s):
     p = _projected(s)
-    return visibility.front_visible(p.where("gaussian_index % 2 = 0"), p, margin_ratio=0.125, min_margin=0.25).select("frame_index", "gaussian_index")
+    return visibility.front_visible(p, p, margin_ratio=0.125, min_margin=0.25).select("frame_index", "gaussian_index")
 
 
 @query("w4_front_samples", "SELECT frame_index, px, py, gaussian_index FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY frame_index, px, py ORDER BY depth, gaussian_index) AS r FROM proj WHERE px < 100 AND py < 100) WHERE r = 1", "proj")
@@ -274,7 +271,7 @@ def _(s):
     return visibility.depth_outliers(visibility.depth_behind(_projected(s), s.depth, fits, ratio=0.25, min_margin=0.05)).withColumn("behind_ratio", _round("behind_ratio"))
 
 
-def _fit_sql() -> str:
+def _fit_sql(rounded: bool = True) -> str:
     """Four rounds of trimmed least squares, unrolled."""
     ctes = ["b0 AS (SELECT p.frame_index, d.d AS x, CAST(p.depth AS DOUBLE) AS y, TRUE AS keep FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY frame_index, px, py ORDER BY depth, gaussian_index) AS r FROM proj WHERE px < 100 AND py < 100) p JOIN depth_map d USING (frame_index, px, py) WHERE r = 1)"]
     for i in range(4):
@@ -282,6 +279,8 @@ def _fit_sql() -> str:
         ctes.append(f"e{i} AS (SELECT b.frame_index, x, y, f.s, f.t, f.n, ABS(f.s * x + f.t - y) AS res FROM b{i} b JOIN f{i} f USING (frame_index))")
         ctes.append(f"q{i} AS (SELECT frame_index, QUANTILE_CONT(res, 0.8) AS q, MEDIAN(res) AS m FROM e{i} GROUP BY 1)")
         ctes.append(f"b{i + 1} AS (SELECT e.frame_index, x, y, res <= q AS keep FROM e{i} e JOIN q{i} USING (frame_index))")
+    if not rounded:
+        return f"WITH {', '.join(ctes)} SELECT frame_index, n, s, t FROM f3"
     return f"SELECT * FROM (WITH {', '.join(ctes)} SELECT frame_index, ROUND(CASE WHEN n < 32 THEN 1 ELSE s END, 5) AS scale, ROUND(CASE WHEN n < 32 THEN 0 ELSE t END, 5) AS shift FROM f3)"
 
 
@@ -291,7 +290,8 @@ def _(s):
     return visibility.affine_fit(front).select("frame_index", _round("scale", 5).alias("scale"), _round("shift", 5).alias("shift"))
 
 
-@query("w5_depth_consistent")
+@query("w5_depth_consistent", f"""SELECT frame_index, gaussian_index FROM (SELECT p.frame_index, p.gaussian_index, CAST(p.depth AS DOUBLE) AS depth, f.scale * d.d + f.shift AS aligned FROM proj p JOIN depth_map d USING (frame_index, px, py) JOIN
+ (SELECT frame_index, CASE WHEN n < 32 THEN 1 ELSE s END AS scale, CASE WHEN n < 32 THEN 0 ELSE t END AS shift FROM ({_fit_sql(rounded=False)})) f USING (frame_index)) WHERE NOT depth > aligned + GREATEST(0.05, ABS(aligned) * 0.18)""", "proj", "depth_map")
 def _(s):
     return visibility.depth_consistent(_projected(s), s.depth).select("frame_index", "gaussian_index")
 
@@ -419,7 +419,7 @@ def _(s):
 @query("j16_nearest", """SELECT i, j, rank, ROUND(distance, 6) AS distance FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY i ORDER BY distance, j) AS rank FROM (SELECT a.gaussian_index AS i, b.gaussian_index AS j,
  SQRT(POW(CAST(a.x AS DOUBLE) - CAST(b.x AS DOUBLE), 2) + POW(CAST(a.y AS DOUBLE) - CAST(b.y AS DOUBLE), 2) + POW(CAST(a.z AS DOUBLE) - CAST(b.z AS DOUBLE), 2)) AS distance FROM cloud a JOIN cloud b ON a.gaussian_index <> b.gaussian_index)) WHERE rank <= 3""", "cloud")
 def _(s):
-    return spatial.nearest(s.cloud, 3, sample=4096).withColumn("distance", _round("distance"))
+    return spatial.nearest(s.cloud, 3, sample=None).withColumn("distance", _round("distance"))
 
 
 # Quality
