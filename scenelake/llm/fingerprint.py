@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from scenelake.llm.common import WordHash, shingles, shuffle_width, word_hashes
 
 _LEAST = -(1 << 63)
+#: numbers of a range that an id of its own can be divided in
+_OWN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -97,29 +100,42 @@ def fingerprints(docs: DataFrame, spec: FingerprintSpec = FingerprintSpec(), *,
 def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_bucket, _ahead, _id, doc_id, text): ranges of descending id, each followed by the next document after it.
 
-    Ranges come from quantiles of the id. The largest id below a range is sent to it as well (``_ahead`` 1),
-    and the largest of all to the lowest range, so each range finds every next document in itself. One
-    shuffle of the texts; partitions are sorted. Ties on id go by a hash of the text; a null id is least. Repeated rows
+    Ranges come from quantiles of the id; an id that is several quantiles at once has so many ranges of its own, by a hash
+    of the row's number. The first row of a range is sent to the range before it as well (``_ahead`` 1), and the first of
+    all to the last range, so each range finds every next document in itself. One shuffle of the texts; partitions are
+    sorted. Ties on id go by a hash of the text, or of the row's number for such an id; a null id is least. Repeated rows
     follow one another. An empty table gives none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(1, shuffle_width(spark))
     got = rows.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("q")).first()["q"]
-    splits = sorted(set(got or [])) if parts > 1 else []
-    bucket = _place(F.col("_id"), splits)
-    tops = {r["_bucket"]: r["m"] for r in rows.groupBy(bucket.alias("_bucket")).agg(F.max("_id").alias("m")).collect()}  # one row a range
+    times = Counter(got or []) if parts > 1 else Counter()
+    splits, hot = sorted(times), {v: n for v, n in times.items() if n > 1}
+    tie, bucket = F.xxhash64("text"), _place(F.col("_id"), splits).cast("long") * _OWN
+    if hot:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+        tie = F.when(F.col("_id").isin(sorted(hot)), F.xxhash64("_row")).otherwise(tie)
+    rows = rows.withColumn("_tie", tie).drop("_row")
+    if hot:  # within the range that such an id begins: its rows by descending tie, then the larger ids
+        at = (_place(F.col("_id"), splits) + 1).cast("int")
+        n = F.element_at(F.array(*[F.lit(hot.get(v, 0)) for v in (None, *splits)]), at)
+        first = F.element_at(F.array(*[F.lit(v) for v in (_LEAST, *splits)]), at)
+        share = F.col("_tie").cast("double") / 2.0**64 + 0.5
+        bucket = bucket + F.when(n == 0, 0).when(F.col("_id") == first, F.greatest(n - 1 - F.floor(share * n), F.lit(0))).otherwise(n)
+    rows = rows.withColumn("_own", bucket.cast("long"))
+    tops = {r["_own"]: (r["m"][0], ~r["m"][1]) for r in rows.groupBy("_own").agg(F.max(F.struct("_id", F.bitwise_not("_tie").alias("t"))).alias("m")).collect()}  # one row a range
     order = sorted(tops)
-    ahead: dict[int, list[int]] = {}
+    ahead: dict[tuple[int, int], list[int]] = {}
     for lower, upper in zip(order, order[1:], strict=False):
         ahead.setdefault(tops[lower], []).append(upper)
     if order:
         ahead.setdefault(tops[order[-1]], []).append(order[0])
-    sent = spark.createDataFrame(list(ahead.items()) or [(0, [])], "_id long, _more array<int>")  # at most one row a range
-    both = rows.join(F.broadcast(sent), "_id", "left").withColumn("_own", bucket)
-    wanted = F.concat(F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("a"))), F.coalesce(F.transform("_more", lambda x: F.struct(x.alias("b"), F.lit(1).alias("a"))), F.array().cast("array<struct<b:int,a:int>>")))
-    out = both.select(F.explode(wanted).alias("w"), "_id", "doc_id", "text").select(F.col("w.b").alias("_bucket"), F.col("w.a").alias("_ahead"), "_id", "doc_id", "text")
-    return out.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_ahead", F.col("_id").desc(), F.xxhash64("text"), "text")
+    sent = spark.createDataFrame([(*k, v) for k, v in ahead.items()] or [(0, 0, [])], "_id long, _tie long, _more array<long>")  # at most one row a range
+    both = rows.join(F.broadcast(sent), ["_id", "_tie"], "left")
+    wanted = F.concat(F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("a"))), F.coalesce(F.transform("_more", lambda x: F.struct(x.alias("b"), F.lit(1).alias("a"))), F.array().cast("array<struct<b:bigint,a:int>>")))
+    out = both.select(F.explode(wanted).alias("w"), "_id", "doc_id", "text", "_tie").select(F.col("w.b").alias("_bucket"), F.col("w.a").alias("_ahead"), "_id", "doc_id", "text", "_tie")
+    return out.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_ahead", F.col("_id").desc(), "_tie", "text").drop("_tie")
 
 
 def _place(value, splits: list[int]):

@@ -168,6 +168,28 @@ def test_edited_pairs_equal_brute_force(spark):
     assert fingerprint.edited_pairs(table(spark, ["x"]).where("false")).count() == 0
 
 
+def test_a_common_id_is_divided_and_every_row_meets_its_next(spark):
+    texts = [f"{i} " + prose(i % 40, 12) for i in range(400)] + ["same"] * 200
+    ids = [*range(60), *[7] * 440, *[None] * 20, *range(1000, 1080)]
+    rows = fingerprint.neighbours(table(spark, texts, ids=ids)).collect()
+    assert sum(not r["_ahead"] for r in rows) == 600
+    sizes = Counter(r["_bucket"] for r in rows if not r["_ahead"])
+    assert len(sizes) == 5 and max(sizes.values()) <= 200  # in 4 partitions; one id has 441 rows
+    out = fingerprint.edited_pairs(table(spark, texts, ids=ids)).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(ids)
+    # each range goes from its first row through its last to the first of the range after it, and the last back to the first
+    chains = {}
+    for r in rows:
+        chains.setdefault(r["_bucket"], []).append(r)
+    order = sorted(chains, reverse=True)
+    for here, after in zip(order, [*order[1:], order[0]], strict=True):
+        own = [r for r in chains[here] if not r["_ahead"]]
+        assert [r["_id"] for r in own] == sorted((r["_id"] for r in own), reverse=True)
+        follower = next(r for r in chains[here] if r["_ahead"])
+        head = next(r for r in chains[after] if not r["_ahead"])
+        assert (follower["_id"], follower["text"]) == (head["_id"], head["text"])
+
+
 def test_likeness_estimates_similarity():
     r = np.random.default_rng(1)
     errors = []
