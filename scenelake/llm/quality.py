@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import WORD_SPACE, fresh, text_or_empty
-from scenelake.plans.lineage import written
+from scenelake.llm.common import WORD_SPACE, cut, fresh, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -183,7 +182,7 @@ def posterior_column(votes_col: str, model: LabelModel) -> Column:
 def judge(docs: DataFrame, spec: QualitySpec = QualitySpec(), *, text_col: str = "text", out: str = "quality", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (of it, the columns ``keep``) with a struct ``out``: the statistics, base_failed, posterior and kept.
 
-    Each text is measured once and written with its statistics to the shared folder. The counts of vote patterns over all
+    Each text is measured once and materialised with its statistics. The counts of vote patterns over all
     documents (at most 3 ** 8 rows) come to the driver, where expectation-maximisation estimates the rules' accuracies
     without labels. One row per input row, repeated rows alike; an empty table gives none. A text without words fails the
     base rule. Input columns keep their names and values, but for one named ``out``, which is replaced.
@@ -191,7 +190,7 @@ def judge(docs: DataFrame, spec: QualitySpec = QualitySpec(), *, text_col: str =
     names = others(docs, out) if keep is None else [c for c in keep if c.lower() != out.lower()]
     vote = fresh([*names, out], "_votes")
     columns = [F.col(f"`{c}`") for c in names]
-    measured = written(measure(docs, text_col, out=out).select(*columns, out, votes(out).alias(vote)), "quality")
+    measured = cut(measure(docs, text_col, out=out).select(*columns, out, votes(out).alias(vote)))
     patterns = [(tuple(r[0]), r[1]) for r in measured.groupBy(vote).agg(F.count("*")).collect()]
     model = fit(sorted(patterns), spec)
     q = lambda c: F.col(f"{out}.{c}")
