@@ -21,7 +21,8 @@ class QualitySpec:
     #: expectation-maximisation
     rounds: int = 50
     prior: float = 0.85
-    least_prior: float = 0.6
+    #: the share of good documents may come out as low as this: a table may be mostly junk
+    least_prior: float = 0.05
     #: start and bounds of P(vote good | good, voted) and P(vote bad | bad, voted). A bad document breaks few
     #: rules, so the second may be small; a good one breaks hardly any.
     good_accuracy: tuple[float, float, float] = (0.99, 0.9, 0.9995)

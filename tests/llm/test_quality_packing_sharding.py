@@ -42,6 +42,15 @@ def test_weak_supervision_keeps_prose_and_drops_junk(spark):
     assert quality.judge(table(spark, ["x"]).where("false")).count() == 0
 
 
+def test_a_table_that_is_mostly_junk_is_told_as_such(spark):
+    good = [prose(i, 300) for i in range(40)]
+    junk = [prose(i, 120).upper().replace(" ", "!! ") for i in range(100, 160)] + [prose(i, 120).replace(" ", " | ") for i in range(200, 260)] + [prose(i, 120).replace(" ", " ### ") for i in range(300, 360)]
+    kept = {r["doc_id"]: r["quality"]["kept"] for r in quality.judge(table(spark, good + junk)).collect()}
+    assert all(kept[i] for i in range(40)) and not any(kept[i] for i in range(40, 220))
+    none = {r["doc_id"]: r["quality"]["kept"] for r in quality.judge(table(spark, junk)).collect()}
+    assert not any(none.values())
+
+
 def plain_posteriors(patterns, spec):
     """The same expectation-maximisation over one row per document, in logarithms."""
     m = len(patterns[0])
