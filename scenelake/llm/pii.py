@@ -159,9 +159,9 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def digest(found: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Counts of the base kinds, the SHA-256 of the base spans and all spans as text."""
+    """Counts of the base kinds, the SHA-256 of the base spans, all spans as text, and their number."""
     label = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in kinds]
-    return found.select("doc_id", *counts, F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"), F.concat_ws(",", F.transform("spans", label)).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"), F.concat_ws(",", F.transform("spans", label)).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

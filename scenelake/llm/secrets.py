@@ -234,9 +234,9 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", spans_col: str = "secret_spans") -> DataFrame:
-    """Counts of the base kinds, the SHA-256 of the base spans, all spans as text."""
+    """Counts of the base kinds, the SHA-256 of the base spans, all spans as text, and their number."""
     label = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter(spans_col, lambda s: s["kind"].isin(*KINDS))
     count = lambda k: F.size(F.filter(spans_col, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
-    return found.select(F.col(id_col).alias("doc_id"), *counts, F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"), F.concat_ws(",", F.transform(F.col(spans_col), label)).alias("spans"))
+    return found.select(F.col(id_col).alias("doc_id"), *counts, F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"), F.concat_ws(",", F.transform(F.col(spans_col), label)).alias("spans"), F.size(spans_col).cast("long").alias("n_spans"))
