@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.llm.common import WordHash, cut, fold_of, mix, shuffle_width, sliced, word_hashes
@@ -117,11 +117,20 @@ def _bigrams(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + words) & ~np.uint64(0xFF)
 
 
+def even_keys(spark: SparkSession, n: int) -> DataFrame:
+    """(slot, dest) of each of ``n`` partitions: a number that Spark's hash partitioning sends to it, so that rows dealt by
+    ``dest`` fall one slot a partition, where a hash of the slot itself would let several meet."""
+    at = F.pmod(F.hash("id"), F.lit(n))
+    found = spark.range(n * (12 + n.bit_length())).groupBy(at.alias("slot")).agg(F.min("id").alias("dest"))
+    return spark.range(n).select(F.col("id").cast("int").alias("slot")).join(found, "slot", "left").select("slot", F.coalesce("dest", "slot").alias("dest"))
+
+
 def requests(units: DataFrame, shards: int, spec: LmSpec = LmSpec()) -> DataFrame:
-    """(shard, order, unit, keys, learnt, deleted): a unit's distinct n-grams of each order, with its own counts.
+    """(dest, shard, order, unit, keys, learnt, deleted): a unit's distinct n-grams of each order, with its own counts.
 
-    The top bits of a key are its shard, so one sorted list is cut into shards.
+    The top bits of a key are its shard, so one sorted list is cut into shards; dest deals one shard to a partition.
     """
+    dest = dict(map(tuple, even_keys(units.sparkSession, shards).collect()))  # one row a shard
     bits = np.uint64(64 - (shards - 1).bit_length())
     bounds = (np.arange(1, shards, dtype=np.uint64) << bits) if shards > 1 else np.empty(0, np.uint64)
 
@@ -135,11 +144,11 @@ def requests(units: DataFrame, shards: int, spec: LmSpec = LmSpec()) -> DataFram
                     learnt = np.bincount(at[part == 2], minlength=len(k)).astype("<u4")
                     deleted = np.bincount(at[part == 1], minlength=len(k)).astype("<u4")
                     edge = np.concatenate([[0], np.searchsorted(k, bounds), [len(k)]])
-                    rows = [(s, order, r["unit"], _squeeze_keys(k[lo:hi]), _squeeze(learnt[lo:hi]), _squeeze(deleted[lo:hi])) for s, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False)) if hi > lo]
+                    rows = [(dest[s], s, order, r["unit"], _squeeze_keys(k[lo:hi]), _squeeze(learnt[lo:hi]), _squeeze(deleted[lo:hi])) for s, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False)) if hi > lo]
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "order", "unit", "keys", "learnt", "deleted"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["dest", "shard", "order", "unit", "keys", "learnt", "deleted"])
 
-    return units.mapInArrow(run, "shard int, order int, unit long, keys binary, learnt binary, deleted binary")
+    return units.mapInArrow(run, "dest long, shard int, order int, unit long, keys binary, learnt binary, deleted binary")
 
 
 REPLIES = "unit long, order int, shard int, counts binary, without binary"
@@ -180,10 +189,34 @@ def replies(asked: DataFrame, shards: int) -> DataFrame:
         if held:
             yield answer()
 
-    return asked.repartition(shards, "shard").sortWithinPartitions("shard", "order").mapInArrow(run, REPLIES)
+    return asked.repartition(shards, "dest").sortWithinPartitions("shard", "order").drop("dest").mapInArrow(run, REPLIES)
+
+
+@dataclass(frozen=True)
+class Places:
+    """Where units are brought together with their replies: ``width`` partitions, and for each unit a slot of its own if
+    ``each``, the most units that a task made, is not 0."""
+
+    width: int
+    each: int
+
+    def slot(self) -> Column:
+        """A unit's number holds the task that made it, and its order there."""
+        return (F.shiftright("unit", 25) * self.each + F.shiftright("unit", 1).bitwiseAND((1 << 24) - 1)).cast("int")
+
+
+def places(units: DataFrame) -> tuple[Places, int]:
+    """The places of ``units`` and their tokens. A slot for each unit unless tasks made very different numbers of them."""
+    tokens = F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))
+    r = units.agg(F.count("*").alias("n"), F.max(F.shiftright("unit", 25)).alias("task"), F.max(F.shiftright("unit", 1).bitwiseAND((1 << 24) - 1)).alias("made"), F.coalesce(tokens, F.lit(0)).alias("tokens")).first()
+    least = shuffle_width(units.sparkSession)
+    if not r["n"]:
+        return Places(least, 0), 0
+    slots = (r["task"] + 1) * (r["made"] + 1)
+    return Places(max(least, slots), r["made"] + 1) if slots <= max(least, 4 * r["n"]) else Places(max(least, r["n"]), 0), r["tokens"]
 
 
-def _with_counts(units: DataFrame, answered: DataFrame, width: int, per_unit, schema: str) -> DataFrame:
+def _with_counts(units: DataFrame, answered: DataFrame, at: Places, per_unit, schema: str) -> DataFrame:
     """Bring each unit and its replies together and yield ``per_unit(unit row, {order: counts}, {order: counts without})``."""
     left = units.select("unit", F.lit(0).alias("order"), F.lit(0).alias("shard"), "doc_ids", "parts", "lengths", "keys", "stream")
     right = answered.select("unit", "order", "shard", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("parts"), F.lit(None).cast("array<int>").alias("lengths"), F.col("counts").alias("keys"), F.col("without").alias("stream"))
@@ -208,7 +241,13 @@ def _with_counts(units: DataFrame, answered: DataFrame, width: int, per_unit, sc
         if unit is not None:
             yield done()
 
-    return left.unionByName(right).repartition(width, "unit").sortWithinPartitions("unit", "order", "shard").mapInArrow(run, schema)
+    both = left.unionByName(right)
+    if not at.each:
+        dealt = both.repartition(at.width, "unit")
+    else:  # as many rows as partitions
+        dest = F.broadcast(even_keys(units.sparkSession, at.width))
+        dealt = both.withColumn("slot", at.slot()).join(dest, "slot").repartition(at.width, "dest").drop("slot", "dest")
+    return dealt.sortWithinPartitions("unit", "order", "shard").mapInArrow(run, schema)
 
 
 def _parts_of(unit: dict, counts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +268,7 @@ def _levels(spec: LmSpec) -> int:
     return 40 * spec.grain + 2
 
 
-def deleted_histogram(units: DataFrame, answered: DataFrame, width: int, tokens: int, spec: LmSpec) -> list[tuple[int, int]]:
+def deleted_histogram(units: DataFrame, answered: DataFrame, at: Places, tokens: int, spec: LmSpec) -> list[tuple[int, int]]:
     """(cell, n) over the deleted documents' tokens: context bucket, binned bigram and unigram probability by counts
     without those documents. The number of cells is fixed by the spec.
     """
@@ -247,7 +286,7 @@ def deleted_histogram(units: DataFrame, answered: DataFrame, width: int, tokens:
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int64())], ["cell", "n"])
 
     odd = F.col("unit").bitwiseAND(1) == 1
-    cells = _with_counts(units.where(odd), answered.where(odd & (F.col("unit") >= 0)), width, per_unit, "cell long, n long")
+    cells = _with_counts(units.where(odd), answered.where(odd & (F.col("unit") >= 0)), at, per_unit, "cell long, n long")
     return [(r["cell"], r["n"]) for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()]
 
 
@@ -272,7 +311,7 @@ def mixture(cells: list[tuple[int, int]], types: int, spec: LmSpec = LmSpec()) -
 
 
 def score(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score (a token's) of every whole text.
 
     Words are known by 64-bit hashes. Every distinct word and word pair of a unit is asked for at the
     shard that counts it over the whole corpus, and the answer returns to the unit. score is the sum of
@@ -282,13 +321,12 @@ def score(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id", t
     holds does not grow with the input. Columns other than the two are not read.
     """
     units = cut(streams(docs, spec, id_col=id_col, text_col=text_col))
-    size = units.agg(F.count("*").alias("units"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0)).alias("tokens")).first()
-    width = max(shuffle_width(docs.sparkSession), size["units"])
-    shards = 1 << (max(shuffle_width(docs.sparkSession), -(-size["tokens"] // spec.shard_tokens)) - 1).bit_length()
+    at, size = places(units)
+    shards = 1 << (max(shuffle_width(docs.sparkSession), -(-size // spec.shard_tokens)) - 1).bit_length()
     answered = cut(replies(requests(units, shards, spec), shards))
     sums = [np.frombuffer(bytes(r["counts"]), "<i8") for r in answered.where("unit = -1").select("counts").collect()]  # one row a shard
     tokens, types, tokens_without, types_without = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0, 0, 0)
-    weights = mixture(deleted_histogram(units, answered, width, tokens_without, spec), types_without, spec)
+    weights = mixture(deleted_histogram(units, answered, at, tokens_without, spec), types_without, spec)
 
     def per_unit(unit, counts, _):
         own, before, both = _parts_of(unit, counts)
@@ -305,8 +343,9 @@ def score(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id", t
             pa.array(np.add.reduceat((own > 0).astype(np.int64), starts)),
             pa.array(np.full(len(lengths), tokens), pa.int64()),
             pa.array(np.add.reduceat(base, starts)),
-            pa.array(np.add.reduceat(np.log10(p), starts)),
+            pa.array(total := np.add.reduceat(np.log10(p), starts)),
+            pa.array(total / lengths),
         ]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_score"])
 
-    return _with_counts(units, answered.where("unit >= 0"), width, per_unit, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _with_counts(units, answered.where("unit >= 0"), at, per_unit, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_score double")

@@ -57,7 +57,7 @@ def test_counts_and_scores_equal_brute_force(spark):
         for a, b in zip([b"</end>", *toks], toks, strict=False):
             w = weights[bucket(one[a])]
             want += math.log10(w[0] * (two[a, b] / one[a] if one[a] else 0.0) + w[1] * one[b] / n + w[2] / (v + 1))
-        assert math.isclose(r["score"], want, rel_tol=1e-6)
+        assert math.isclose(r["score"], want, rel_tol=1e-6) and math.isclose(r["mean_score"] * len(toks), r["score"], rel_tol=1e-9)
     held = [i for i in rows if rows[i]["held_out"] and len(tokens(texts[i])) > 5]
     assert sum(rows[i]["score"] for i in held) > sum(rows[i]["base_score"] for i in held)
 
