@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenelake.functions import color as C
 from scenelake.functions import geometry as G
 from scenelake.functions import labels as L
 from scenelake.operators.ranking import numbered
@@ -73,6 +74,19 @@ def painted(mask_pixels: DataFrame, instances: DataFrame) -> DataFrame:
     return best.select("frame_index", "x", "y", F.col("b.instance_id").alias("instance_id"))
 
 
+def overlay(label_pixels: DataFrame, color: Column, base: DataFrame | None = None, alpha: float = 0.45) -> DataFrame:
+    """(frame_index, x, y, red, green, blue): label pixels in ``color`` (an array of bytes), laid over ``base`` where there is one.
+
+    base: frame_index, x, y, red, green, blue; its pixels without a label stay as they are.
+    """
+    names = ("red", "green", "blue")
+    drawn = label_pixels.select("frame_index", "x", "y", color.alias("_c"))
+    if base is None:
+        return drawn.select("frame_index", "x", "y", *[F.col("_c")[i].cast("int").alias(n) for i, n in enumerate(names)])
+    j = base.join(drawn, ["frame_index", "x", "y"], "left")
+    return j.select("frame_index", "x", "y", *[F.when(F.col("_c").isNull(), F.col(n)).otherwise(C.blend_bytes(n, F.col("_c")[i], alpha)).cast("int").alias(n) for i, n in enumerate(names)])
+
+
 def class_indices(instances: DataFrame) -> DataFrame:
     """(frame_index, instance_id, class_index): order of first appearance by ascending score, then position."""
     order = Window.partitionBy("frame_index").orderBy("score", "position")

@@ -356,3 +356,16 @@ def _(s):
     _labelled(s).select("object_id", "instance_id", L.frame_name("frame_index").alias("frame")).write.parquet(path)
     return s.spark.read.parquet(path).groupBy("object_id").agg(F.count("frame").alias("instances"))
 
+
+
+_SHOWN = "SELECT frame_index, x, y, 64 + (k & 127) AS red, 64 + ((k >> 14) & 127) AS blue FROM (SELECT m.*, (CAST(m.instance_id AS BIGINT) * 1103515245 + 12345) & 2147483647 AS k, ROW_NUMBER() OVER (PARTITION BY m.frame_index, x, y ORDER BY i.score DESC, i.position DESC) AS r FROM mask_pixels m JOIN instances i USING (frame_index, instance_id)) WHERE r = 1"
+
+
+@query("k13_overlays", f"""SELECT printf('overlay_%05d.png', d.frame_index) AS file, d.px AS x, d.py AS y, CAST(CASE WHEN s.red IS NULL THEN (d.px + d.py) % 256 ELSE FLOOR(0.55 * ((d.px + d.py) % 256) + 0.45 * s.red) END AS INT) AS red,
+ CAST(CASE WHEN s.red IS NULL THEN d.px * 2 ELSE FLOOR(0.55 * (d.px * 2) + 0.45 * s.blue) END AS INT) AS blue FROM depth_map d LEFT JOIN ({_SHOWN}) s ON s.frame_index = d.frame_index AND s.x = d.px AND s.y = d.py""", "depth_map", "mask_pixels", "instances")
+def _(s):
+    """Masks in the colours of their instances over a picture, as image files read back."""
+    folder = _folder(s, "overlays")
+    base = s.depth.select("frame_index", F.col("px").alias("x"), F.col("py").alias("y"), ((F.col("px") + F.col("py")) % 256).alias("red"), F.lit(0).alias("green"), (F.col("px") * 2).alias("blue"))
+    scenes.write_overlays(masks.overlay(masks.painted(s.mask_pixels, s.instances), C.hashed_color("instance_id"), base), folder, 100, 100)
+    return scenes.read_color_pixels(s.spark, f"file://{folder}").select("file", "x", "y", "red", "blue")

@@ -242,13 +242,49 @@ def write_json(df: DataFrame, path: str, name: str | None = None, **fields) -> N
         json.dump(body, f, indent=2)
 
 
+def _png(width: int, height: int, kind: int, rows: list[bytes]) -> bytes:
+    """An 8-bit PNG of colour type ``kind`` from its rows of samples."""
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + chunk(b"IEND", b"")
+
+
 def grey_png(width: int, height: int, pixels: list[tuple[int, int]], value: int = 255) -> bytes:
     """An 8-bit grey PNG with the given pixels set."""
-    rows = [bytearray(width + 1) for _ in range(height)]
+    rows = [bytearray(width) for _ in range(height)]
     for x, y in pixels:
-        rows[y][x + 1] = value
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+        rows[y][x] = value
+    return _png(width, height, 0, rows)
+
+
+def read_color_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """(file, x, y, red, green, blue) of every pixel of colour images, by Spark's image reader."""
+    im = spark.read.format("image").load(path).select("image.*").where("nChannels = 3")
+    flat = im.select(L.base_name("origin").alias("file"), "width", F.posexplode(F.split(F.hex("data"), "(?<=\\G.{6})")).alias("at", "v")).where("v <> ''")
+    byte = lambda k: F.conv(F.substring("v", k, 2), 16, 10).cast("int")
+    return flat.select("file", (F.col("at") % F.col("width")).alias("x"), F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), byte(5).alias("red"), byte(3).alias("green"), byte(1).alias("blue"))
+
+
+def write_overlays(pixels: DataFrame, root: str, width: int, height: int, name: str = "overlay") -> None:
+    """One colour image a frame from (frame_index, x, y, red, green, blue), black elsewhere, written by the executors.
+
+    A frame's pixels are a task's unit: at most the image.
+    """
+    import numpy as np
+
+    def run(key, table):
+        frame = key[0].as_py()
+        image = np.zeros((height, width, 3), np.uint8)
+        x, y = (np.asarray(table.column(c)) for c in ("x", "y"))
+        for k, c in enumerate(("red", "green", "blue")):
+            image[y, x, k] = np.asarray(table.column(c))
+        os.makedirs(root, exist_ok=True)
+        with open(f"{root}/{name}_{frame:05d}.png", "wb") as f:
+            f.write(_png(width, height, 2, [r.tobytes() for r in image]))
+        return pa.table({"frame_index": pa.array([frame], pa.int32())})
+
+    cols = [F.col(c).cast("int").alias(c) for c in ("frame_index", "x", "y", "red", "green", "blue")]
+    pixels.select(*cols).groupBy("frame_index").applyInArrow(run, "frame_index int").count()
 
 
 def write_masks(mask_pixels: DataFrame, instances: DataFrame, root: str, width: int, height: int) -> None:
