@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -140,8 +141,8 @@ class Lattice:
     """Lattices of many units side by side. A unit of n code points has n + 1 nodes, the last its end.
 
     Edges are grouped by start node. ``q`` is the probability of an edge given its start: piece weight times the total
-    weight of what may follow, over the total from the start (backward sums). ``log_q`` is its logarithm and ``log_rest``
-    that of the sum of the other edges of its start, which one less ``q`` does not give if ``q`` is next to one.
+    weight of what may follow, over the total from the start (backward sums). ``log_q`` holds the logarithms where sums leave
+    the range of doubles, else nothing.
     """
 
     #: Log weight that is given back for each code point, about what a path loses: sums stay near 1.
@@ -219,8 +220,7 @@ class Lattice:
         lead = np.flatnonzero(np.diff(self.from_, prepend=-1))
         if plain:
             np.minimum(self.q, 1.0, out=self.q)
-            with np.errstate(divide="ignore"):
-                self.log_q, self.log_rest = np.log(self.q), np.log(_others(self.q, lead, np.add, 0.0))
+            self.log_q = None
         else:  # sums left the range of doubles: long units, many code points in bytes, or a high alpha
             beta[:] = 0.0
             value = w[by]
@@ -232,7 +232,6 @@ class Lattice:
                 rest = np.exp(v - np.repeat(top, np.diff(np.append(h, hi))))
                 beta[start[h]] = top + np.log(np.add.reduceat(rest, h - lo))
             self.log_q = np.minimum(w + beta[self.from_ + self.len] - beta[self.from_], 0.0)
-            self.log_rest = _others(self.log_q, lead, np.logaddexp, -np.inf)
             self.q = np.exp(self.log_q)
         run = np.cumsum(self.q)
         self.mono = run - np.repeat(run[lead] - self.q[lead], np.diff(np.append(lead, len(run))))
@@ -240,25 +239,33 @@ class Lattice:
         self.mono[np.append(lead[1:], len(run)) - 1] = 1.0
         self.mono += self.from_
 
+    def logs(self, edges) -> np.ndarray:
+        """log q of ``edges``."""
+        return np.log(self.q[edges]) if self.log_q is None else self.log_q[edges]
+
+    def log_rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log of the summed q of the other edges that start where each of ``edges`` does: added up, since one less q does
+        not tell it where q is next to one."""
+        first = self.first[self.from_[edges]]
+        degree, at = self.first[self.from_[edges] + 1] - first, edges - first
+        out = np.full(len(edges), -np.inf if self.log_q is not None else 0.0)
+        more = np.flatnonzero(degree > 1)
+        for k in range(1, int(degree.max(initial=0))):
+            more = more[degree[more] > k]
+            e = at[more] + k
+            e = first[more] + np.where(e >= degree[more], e - degree[more], e)
+            out[more] = out[more] + self.q[e] if self.log_q is None else np.logaddexp(out[more], self.log_q[e])
+        if self.log_q is None:
+            with np.errstate(divide="ignore"):
+                out = np.log(out)
+        return out
+
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node that a uniform number picks."""
         e = np.searchsorted(self.mono, node + u, side="right")
         return np.minimum(e, self.first[node + 1] - 1)
 
 
-def _others(value: np.ndarray, lead: np.ndarray, add, zero: float) -> np.ndarray:
-    """For each member of the runs that begin at ``lead`` the sum of the others of its run, added up from either side."""
-    size = np.diff(np.append(lead, len(value)))
-    before, after = np.full(len(value), zero), np.full(len(value), zero)
-    for k in range(1, int(size.max(initial=0))):
-        more = size > k
-        at = lead[more] + k
-        before[at] = add(before[at - 1], value[at - 1])
-        at = (lead + size)[more] - 1 - k
-        after[at] = add(after[at + 1], value[at + 1])
-    return add(before, after)
-
-
 _SCALE = 2.0**-53
 
 
@@ -341,7 +348,7 @@ def _draw(lat: Lattice, occ: np.ndarray, points: np.ndarray, seeds: np.ndarray,
         fresh, left = free(s), []
         where = np.flatnonzero(fresh >= 0)
         drawn = fresh[where]
-        log_q = lat.log_q[drawn]
+        log_q = lat.logs(drawn)
         bounds = np.searchsorted(where, doc_start).tolist()
         for d, lo in enumerate(doc_start[:-1].tolist()):
             a, b = bounds[d], bounds[d + 1]
@@ -362,21 +369,23 @@ def _draw(lat: Lattice, occ: np.ndarray, points: np.ndarray, seeds: np.ndarray,
                 shift = lo + int(to_node[place + lo])  # constant within a unit
                 node = place + shift
                 options = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in banned]
-                p = np.exp(lat.log_q[options] - lat.log_q[options].max())
+                p = lat.logs(options)
+                p = np.exp(p - p.max())
                 u = _uniform_one(keys[d], 2000 + s, place)
                 e = options[min(int(np.searchsorted(np.cumsum(p) / p.sum(), u)), len(options) - 1)]
                 new_places, new_edges = [place], [e]
                 at, stop = place + int(lat.len[e]), int(unit_stop[place + lo]) - lo
                 while at < stop:
                     node = at + shift
-                    e = min(int(np.searchsorted(lat.mono, node + _uniform_one(keys[d], s, at), side="right")), int(lat.first[node + 1]) - 1)
+                    own, end = int(lat.first[node]), int(lat.first[node + 1])
+                    e = min(bisect_right(lat.mono, node + _uniform_one(keys[d], s, at), own, end), end - 1)
                     new_places.append(at)
                     new_edges.append(e)
                     at += int(lat.len[e])
-                t = a + int(np.searchsorted(where[a:b], lo + stop))
+                t = bisect_left(where, lo + stop, a, b)
                 places = np.concatenate([old_places[:kept], new_places, where[t:b] - lo])
                 edges = np.concatenate([old_edges[:kept], np.array(new_edges, np.int32), drawn[t:b]])
-                logs = np.concatenate([old_logs[:kept], lat.log_q[new_edges], log_q[t:b]])
+                logs = np.concatenate([old_logs[:kept], lat.logs(new_edges), log_q[t:b]])
             results[d].append((places, edges, logs, float(logs.sum()), g))
             left.append((heaps[d], places, edges, logs, kept, banned, g, keys[d], len(results[d]) - 1))
         _branch(left, lat, s, spec)
@@ -408,12 +417,12 @@ def _branch(paths: list[tuple], lat: Lattice, sample: int, spec: SampleSpec, wid
     for k, (_, places, edges, logs, kept, _, _, _, _) in enumerate(paths):
         n = min(width, len(edges) - kept)
         edge[k, :n], place[k, :n], own[k, :n] = edges[kept : kept + n], places[kept : kept + n], logs[kept : kept + n]
-    rest = lat.log_rest[edge]
+    rest = lat.log_rest(edge.ravel()).reshape(edge.shape)
     for k, (_, _, edges, _, kept, banned, _, _, _) in enumerate(paths):
         if banned:
             node = int(lat.from_[edges[kept]])
             options = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in banned and e != edges[kept]]
-            rest[k, 0] = np.logaddexp.reduce(lat.log_q[options]) if options else -np.inf
+            rest[k, 0] = np.logaddexp.reduce(lat.logs(options)) if options else -np.inf
     before = np.array([float(p[3][: p[4]].sum()) if p[4] else 0.0 for p in paths])
     mass = before[:, None] + np.cumsum(own, axis=1) - own
     length = np.array([len(p[2]) - p[4] for p in paths])
