@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import WordHash, shingles, shuffle_width, word_hashes
+from scenelake.llm.common import WordHash, even_keys, shingles, shuffle_width, word_hashes
 
 _LEAST = -(1 << 63)
 #: numbers of a range that an id of its own can be divided in
@@ -132,10 +132,14 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if order:
         ahead.setdefault(tops[order[-1]], []).append(order[0])
     sent = spark.createDataFrame([(*k, v) for k, v in ahead.items()] or [(0, 0, [])], "_id long, _tie long, _more array<long>")  # at most one row a range
+    # where a range goes: a partition of its own, or any for the further ranges of an id of its own
+    keys = F.array(*[F.lit(r["dest"]) for r in even_keys(spark, parts).orderBy("slot").collect()])
+    dest = F.element_at(keys, (F.shiftright("_bucket", 20) + 1).cast("int")) + F.col("_bucket").bitwiseAND(_OWN - 1) * (1 << 40)
     both = rows.join(F.broadcast(sent), ["_id", "_tie"], "left")
     wanted = F.concat(F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("a"))), F.coalesce(F.transform("_more", lambda x: F.struct(x.alias("b"), F.lit(1).alias("a"))), F.array().cast("array<struct<b:bigint,a:int>>")))
     out = both.select(F.explode(wanted).alias("w"), "_id", "doc_id", "text", "_tie").select(F.col("w.b").alias("_bucket"), F.col("w.a").alias("_ahead"), "_id", "doc_id", "text", "_tie")
-    return out.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_ahead", F.col("_id").desc(), "_tie", "text").drop("_tie")
+    out = out.withColumn("_dest", dest).repartition(parts, "_dest").drop("_dest")
+    return out.sortWithinPartitions("_bucket", "_ahead", F.col("_id").desc(), "_tie", "text").drop("_tie")
 
 
 def _place(value, splits: list[int]):

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import WordHash, cut, fold_of, mix, shuffle_width, sliced, word_hashes
+from scenelake.llm.common import WordHash, cut, even_keys, fold_of, mix, shuffle_width, sliced, word_hashes
 
 #: Key of the end of a text, which is also the context of the next text's first word.
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
@@ -117,14 +117,6 @@ def _bigrams(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + words) & ~np.uint64(0xFF)
 
 
-def even_keys(spark: SparkSession, n: int) -> DataFrame:
-    """(slot, dest) of each of ``n`` partitions: a number that Spark's hash partitioning sends to it, so that rows dealt by
-    ``dest`` fall one slot a partition, where a hash of the slot itself would let several meet."""
-    at = F.pmod(F.hash("id"), F.lit(n))
-    found = spark.range(n * (12 + n.bit_length())).groupBy(at.alias("slot")).agg(F.min("id").alias("dest"))
-    return spark.range(n).select(F.col("id").cast("int").alias("slot")).join(found, "slot", "left").select("slot", F.coalesce("dest", "slot").alias("dest"))
-
-
 def requests(units: DataFrame, shards: int, spec: LmSpec = LmSpec()) -> DataFrame:
     """(dest, shard, order, unit, keys, learnt, deleted): a unit's distinct n-grams of each order, with its own counts.
 
@@ -151,13 +143,46 @@ def requests(units: DataFrame, shards: int, spec: LmSpec = LmSpec()) -> DataFram
     return units.mapInArrow(run, "dest long, shard int, order int, unit long, keys binary, learnt binary, deleted binary")
 
 
-REPLIES = "unit long, order int, shard int, counts binary, without binary"
+@dataclass(frozen=True)
+class Places:
+    """Where units are brought together with their replies: ``width`` partitions, and for each unit a slot of its own if
+    ``each``, the most units that a task made, is not 0."""
+
+    width: int
+    each: int
+
+    def slot(self) -> Column:
+        """A unit's number holds the task that made it, and its order there."""
+        return (F.shiftright("unit", 25) * self.each + F.shiftright("unit", 1).bitwiseAND((1 << 24) - 1)).cast("int")
+
+    def slot_of(self, unit: int) -> int:
+        return (unit >> 25) * self.each + (unit >> 1 & (1 << 24) - 1)
+
+    def dest(self, spark: SparkSession) -> list[int]:
+        """For each slot a number that goes to a partition of its own; none if units have no slots."""
+        return [r["dest"] for r in even_keys(spark, self.width).orderBy("slot").collect()] if self.each else []
+
+
+def places(units: DataFrame) -> tuple[Places, int]:
+    """The places of ``units`` and their tokens. A slot for each unit unless tasks made very different numbers of them."""
+    tokens = F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))
+    r = units.agg(F.count("*").alias("n"), F.max(F.shiftright("unit", 25)).alias("task"), F.max(F.shiftright("unit", 1).bitwiseAND((1 << 24) - 1)).alias("made"), F.coalesce(tokens, F.lit(0)).alias("tokens")).first()
+    least = shuffle_width(units.sparkSession)
+    if not r["n"]:
+        return Places(least, 0), 0
+    slots = (r["task"] + 1) * (r["made"] + 1)
+    return Places(max(least, slots), r["made"] + 1) if slots <= max(least, 4 * r["n"]) else Places(max(least, r["n"]), 0), r["tokens"]
+
+
+REPLIES = "dest long, unit long, order int, shard int, counts binary, without binary"
 
 
-def replies(asked: DataFrame, shards: int) -> DataFrame:
+def replies(asked: DataFrame, shards: int, where: Places) -> DataFrame:
     """Corpus counts for every request, in the order of its keys: in all learnt and deleted documents, and,
-    for units of deleted documents, without the deleted ones. Rows with unit -1 hold a shard's totals.
+    for units of deleted documents, without the deleted ones. Rows with unit -1 hold a shard's totals. dest deals a
+    unit's replies to its place.
     """
+    dest = where.dest(asked.sparkSession)
 
     def run(batches):
         held, key = [], None
@@ -172,12 +197,12 @@ def replies(asked: DataFrame, shards: int) -> DataFrame:
             for k, r in got:
                 own = at[lo : lo + len(k)]
                 lo += len(k)
-                rows.append((r["unit"], key[1], key[0], _squeeze(both[own].astype("<u8")), _squeeze(learnt[own].astype("<u8")) if r["unit"] & 1 else None))
+                rows.append((dest[where.slot_of(r["unit"])] if dest else r["unit"], r["unit"], key[1], key[0], _squeeze(both[own].astype("<u8")), _squeeze(learnt[own].astype("<u8")) if r["unit"] & 1 else None))
             if key[1] == 1:
                 totals = np.array([both.sum(), (both > 0).sum(), learnt.sum(), (learnt > 0).sum()], "<i8")
-                rows.append((-1, 1, key[0], totals.tobytes(), None))
+                rows.append((0, -1, 1, key[0], totals.tobytes(), None))
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["unit", "order", "shard", "counts", "without"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["dest", "unit", "order", "shard", "counts", "without"])
 
         for b in sliced(batches, 64):
             for r in b.to_pylist():
@@ -192,34 +217,14 @@ def replies(asked: DataFrame, shards: int) -> DataFrame:
     return asked.repartition(shards, "dest").sortWithinPartitions("shard", "order").drop("dest").mapInArrow(run, REPLIES)
 
 
-@dataclass(frozen=True)
-class Places:
-    """Where units are brought together with their replies: ``width`` partitions, and for each unit a slot of its own if
-    ``each``, the most units that a task made, is not 0."""
-
-    width: int
-    each: int
-
-    def slot(self) -> Column:
-        """A unit's number holds the task that made it, and its order there."""
-        return (F.shiftright("unit", 25) * self.each + F.shiftright("unit", 1).bitwiseAND((1 << 24) - 1)).cast("int")
-
-
-def places(units: DataFrame) -> tuple[Places, int]:
-    """The places of ``units`` and their tokens. A slot for each unit unless tasks made very different numbers of them."""
-    tokens = F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))
-    r = units.agg(F.count("*").alias("n"), F.max(F.shiftright("unit", 25)).alias("task"), F.max(F.shiftright("unit", 1).bitwiseAND((1 << 24) - 1)).alias("made"), F.coalesce(tokens, F.lit(0)).alias("tokens")).first()
-    least = shuffle_width(units.sparkSession)
-    if not r["n"]:
-        return Places(least, 0), 0
-    slots = (r["task"] + 1) * (r["made"] + 1)
-    return Places(max(least, slots), r["made"] + 1) if slots <= max(least, 4 * r["n"]) else Places(max(least, r["n"]), 0), r["tokens"]
-
-
 def _with_counts(units: DataFrame, answered: DataFrame, at: Places, per_unit, schema: str) -> DataFrame:
     """Bring each unit and its replies together and yield ``per_unit(unit row, {order: counts}, {order: counts without})``."""
-    left = units.select("unit", F.lit(0).alias("order"), F.lit(0).alias("shard"), "doc_ids", "parts", "lengths", "keys", "stream")
-    right = answered.select("unit", "order", "shard", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("parts"), F.lit(None).cast("array<int>").alias("lengths"), F.col("counts").alias("keys"), F.col("without").alias("stream"))
+    if at.each:  # as many rows as partitions, joined to the few of the units; the replies have theirs
+        units = units.withColumn("slot", at.slot()).join(F.broadcast(even_keys(units.sparkSession, at.width)), "slot")
+    else:
+        units = units.withColumn("dest", F.col("unit"))
+    left = units.select("dest", "unit", F.lit(0).alias("order"), F.lit(0).alias("shard"), "doc_ids", "parts", "lengths", "keys", "stream")
+    right = answered.select("dest", "unit", "order", "shard", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("parts"), F.lit(None).cast("array<int>").alias("lengths"), F.col("counts").alias("keys"), F.col("without").alias("stream"))
 
     def run(batches):
         unit, counts, without = None, {}, {}
@@ -241,13 +246,8 @@ def _with_counts(units: DataFrame, answered: DataFrame, at: Places, per_unit, sc
         if unit is not None:
             yield done()
 
-    both = left.unionByName(right)
-    if not at.each:
-        dealt = both.repartition(at.width, "unit")
-    else:  # as many rows as partitions
-        dest = F.broadcast(even_keys(units.sparkSession, at.width))
-        dealt = both.withColumn("slot", at.slot()).join(dest, "slot").repartition(at.width, "dest").drop("slot", "dest")
-    return dealt.sortWithinPartitions("unit", "order", "shard").mapInArrow(run, schema)
+    dealt = left.unionByName(right).repartition(at.width, "dest").sortWithinPartitions("unit", "order", "shard")
+    return dealt.drop("dest").mapInArrow(run, schema)
 
 
 def _parts_of(unit: dict, counts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,7 +323,7 @@ def score(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id", t
     units = cut(streams(docs, spec, id_col=id_col, text_col=text_col))
     at, size = places(units)
     shards = 1 << (max(shuffle_width(docs.sparkSession), -(-size // spec.shard_tokens)) - 1).bit_length()
-    answered = cut(replies(requests(units, shards, spec), shards))
+    answered = cut(replies(requests(units, shards, spec), shards, at))
     sums = [np.frombuffer(bytes(r["counts"]), "<i8") for r in answered.where("unit = -1").select("counts").collect()]  # one row a shard
     tokens, types, tokens_without, types_without = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0, 0, 0)
     weights = mixture(deleted_histogram(units, answered, at, tokens_without, spec), types_without, spec)
