@@ -91,8 +91,11 @@ def postings(reps: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(np.asarray(b.column(0)), spec.coordinates))], ["key", "node"])
 
     pairs = reps.select("node", "sig").mapInArrow(run, "key long, node long")
-    shared = pairs.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    met = pairs.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))  # at most 64 a node
+    # joined on the key's complement, so that both sides have a shuffle of their own and adaptive execution can split a hot key
+    other = F.bitwise_not("key").alias("other")
+    shared = pairs.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select(other, "df")
+    met = pairs.select("node", other).join(shared, "other").select("node", "df", F.bitwise_not("other").alias("key"))
+    met = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))  # at most 64 a node
     take = F.size("own") - (spec.matches - 1)
     return met.where(take > 0).select("node", F.explode(F.slice("own", F.lit(1), take)).alias("p")).select(F.col("p.key").alias("g"), F.col("p.df").alias("n"), "node")
 
