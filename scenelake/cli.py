@@ -447,6 +447,22 @@ def discover_track_masks(spark: SparkSession, *, dataset_root: str, grounded_mas
     out.write.mode("overwrite").parquet(f"{output_root}/mask_groups")
 
 
+@command
+def overlay_masks(spark: SparkSession, *, masks_root: str, output_root: str, images_root: str | None = None, frame_stems: tuple[str, ...] = (), limit: int | None = None, alpha: float = 0.45) -> None:
+    """Masks in the colours of their instances, over the frames' pictures where there are some of the same size."""
+    found = scenes.read_manifests(spark, masks_root)
+    chosen = scenes.select_frames(found, list(frame_stems) or None, limit).select("frame_stem")
+    inst, pixels = _masks(spark, masks_root)
+    inst = inst.join(chosen, "frame_stem", "left_semi")
+    shown = masks.painted(pixels.join(inst.select("frame_index").distinct(), "frame_index", "left_semi"), inst)
+    base = None
+    if images_root:
+        names = inst.select(L.base_name("image_path").alias("file"), "frame_index").distinct()
+        base = scenes.read_color_pixels(spark, images_root).join(names, "file").drop("file")
+    size = inst.select("width", "height").first()
+    scenes.write_overlays(masks.overlay(shown, C.hashed_color("instance_id"), base, alpha), output_root, size["width"], size["height"])
+
+
 @command
 def prepare_identity_masks(spark: SparkSession, *, masks_root: str, output_root: str, id_mode: str = "label-family", min_score: float = 0.0, drop_null_family: bool = False, max_instances_per_frame: int | None = None) -> None:
     """Global ids of masks by label family, label or number."""

@@ -1,6 +1,7 @@
 """Flows from files to files on a small made-up scene."""
 
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -102,6 +103,10 @@ def test_edit_and_clean(spark, scene):
     assert json.loads((scene / "man.json").read_text())["frame_count"] == 3
     run(scene, "group-points", ply_path=scene / "a.ply", object_ids=scene / "o.npy", output_path=scene / "pts.ply")
     assert (scene / "pts.ply").read_text().count("\n") == 110
+    run(scene, "group-points", ply_path=scene / "a.ply", object_ids=scene / "o.npy", output_path=scene / "ctx.ply", include_object_ids=[8], show_context=True, max_points=30)
+    assert (scene / "ctx.ply").read_text().count("\n") == 40
+    run(scene, "group-points", ply_path=scene / "a.ply", object_ids=scene / "o.npy", output_path=scene / "only.ply", include_object_ids=[8])
+    assert (scene / "only.ply").read_text().count("\n") == 50
     run(scene, "prepare-single-masks", masks_root=scene / "masks", output_root=scene / "single", label_regex="chair")
     assert spark.read.parquet(str(scene / "single/identity_masks")).count() == 3
     run(scene, "prepare-multiclass-masks", masks_root=scene / "masks", output_root=scene / "multi", category=["seat=chair", "screen=tv"])
@@ -110,3 +115,26 @@ def test_edit_and_clean(spark, scene):
     assert spark.read.parquet(str(scene / "idm/identity_masks")).select("global_id").distinct().count() == 2
     run(scene, "diagnose-scene-bounds", ply_path=scene / "a.ply", dataset_root=scene, output_root=scene / "b", frame_stride=1, write_cleaned_ply=True)
     assert ply.read_header(str(scene / "b/cleaned.ply")).count <= 100
+
+
+def test_overlays_and_track_masks(spark, scene):
+    run(scene, "overlay-masks", masks_root=scene / "masks", output_root=scene / "plain", frame_stems=["frame_00002", "frame_00000"], limit=1)
+    px = scenes.read_color_pixels(spark, str(scene / "plain"))
+    assert {r["file"] for r in px.select("file").distinct().collect()} == {"overlay_00002.png"}
+    assert px.count() == 100 * 100 and px.where("red + green + blue > 0").count() == 2 * 35 * 40
+    grey = spark.range(100).selectExpr("cast(id as int) x").crossJoin(spark.range(100).selectExpr("cast(id as int) y")).selectExpr("0 frame_index", "x", "y", "200 red", "200 green", "200 blue")
+    scenes.write_overlays(grey, str(scene / "pictures"), 100, 100, "f")
+    (scene / "pictures/f_00000.png").rename(scene / "pictures/f0.png")
+    run(scene, "overlay-masks", masks_root=scene / "masks", output_root=scene / "over", images_root=scene / "pictures", alpha=0.5)
+    px = scenes.read_color_pixels(spark, str(scene / "over"))
+    assert {r["red"] for r in px.where("x < 5").select("red").distinct().collect()} == {200}
+    assert px.where("x between 5 and 39 and y between 30 and 69").select("red", "green", "blue").distinct().count() == 1
+    body = b""
+    for i in range(3):
+        pts = [(10 + k, 40, k) for k in range(12)] + [(70 + k, 50, 100 + k) for k in range(12)] + [(2, 2, 999)]
+        body += struct.pack("<I7dI", i + 1, 1, 0, 0, 0, 0, 0, 0, 1) + f"frame_{i:05d}.png".encode() + b"\0" + struct.pack("<Q", len(pts)) + b"".join(struct.pack("<ddq", *p) for p in pts)
+    (scene / "colmap/sparse/0").mkdir(parents=True)
+    (scene / "colmap/sparse/0/images.bin").write_bytes(struct.pack("<Q", 3) + body)
+    run(scene, "discover-track-masks", dataset_root=scene, grounded_masks_root=scene / "masks", output_root=scene / "tracks", colmap_image_width=100, colmap_image_height=100)
+    rows = spark.read.parquet(str(scene / "tracks/mask_groups")).collect()
+    assert {(r["instance_id"], r["class_name"]) for r in rows} == {(0, "chair_01"), (1, "tv_01")} and len(rows) == 6
