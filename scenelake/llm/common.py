@@ -39,7 +39,9 @@ def even_keys(spark: SparkSession, n: int) -> DataFrame:
     ``dest`` fall one slot a partition, where a hash of the slot itself would let several meet."""
     at = F.pmod(F.hash("id"), F.lit(n))
     found = spark.range(n * (12 + n.bit_length())).groupBy(at.alias("slot")).agg(F.min("id").alias("dest"))
-    return spark.range(n).select(F.col("id").cast("int").alias("slot")).join(found, "slot", "left").select("slot", F.coalesce("dest", "slot").alias("dest"))
+    return spark.range(n).select(F.col("id").cast("int").alias("slot")).join(found, "slot", "left").select(
+        "slot", F.coalesce("dest", "slot").alias("dest")
+    )
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -81,7 +81,9 @@ def likeness(a: bytes, b: bytes, spec: FingerprintSpec = FingerprintSpec()) -> f
     return min(1.0, max(0.0, (share - chance) / (1 - chance)))
 
 
-def fingerprints(docs: DataFrame, spec: FingerprintSpec = FingerprintSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, spec: FingerprintSpec = FingerprintSpec(), *, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """doc_id and fingerprint (hex) of every whole text: its 5-word shingles, hashed and binned once.
 
     A null text counts as empty, and the empty set's fingerprint is the empty string; equal texts have
@@ -92,9 +94,14 @@ def fingerprints(docs: DataFrame, spec: FingerprintSpec = FingerprintSpec(), *,
         words = WordHash()
         for b in batches:
             texts = b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(shingles(word_hashes(words, t), spec.width), spec).hex() for t in texts])], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([packed(shingles(word_hashes(words, t), spec.width), spec).hex() for t in texts])],
+                ["doc_id", "fingerprint"]
+            )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+    ).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,7 +114,10 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     follow one another. An empty table gives none.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_id"), F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
     parts = max(1, shuffle_width(spark))
     got = rows.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("q")).first()["q"]
     times = Counter(got or []) if parts > 1 else Counter()
@@ -124,20 +134,32 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         share = F.col("_tie").cast("double") / 2.0**64 + 0.5
         bucket = bucket + F.when(n == 0, 0).when(F.col("_id") == first, F.greatest(n - 1 - F.floor(share * n), F.lit(0))).otherwise(n)
     rows = rows.withColumn("_own", bucket.cast("long"))
-    tops = {r["_own"]: (r["m"][0], ~r["m"][1]) for r in rows.groupBy("_own").agg(F.max(F.struct("_id", F.bitwise_not("_tie").alias("t"))).alias("m")).collect()}  # one row a range
+    # one row a range
+    tops = {
+        r["_own"]: (r["m"][0], ~r["m"][1])
+        for r in rows.groupBy("_own").agg(F.max(F.struct("_id", F.bitwise_not("_tie").alias("t"))).alias("m")).collect()
+    }
     order = sorted(tops)
     ahead: dict[tuple[int, int], list[int]] = {}
     for lower, upper in zip(order, order[1:], strict=False):
         ahead.setdefault(tops[lower], []).append(upper)
     if order:
         ahead.setdefault(tops[order[-1]], []).append(order[0])
-    sent = spark.createDataFrame([(*k, v) for k, v in ahead.items()] or [(0, 0, [])], "_id long, _tie long, _more array<long>")  # at most one row a range
+    # at most one row a range
+    sent = spark.createDataFrame([(*k, v) for k, v in ahead.items()] or [(0, 0, [])], "_id long, _tie long, _more array<long>")
     # where a range goes: a partition of its own, or any for the further ranges of an id of its own
     keys = F.array(*[F.lit(r["dest"]) for r in even_keys(spark, parts).orderBy("slot").collect()])
     dest = F.element_at(keys, (F.shiftright("_bucket", 20) + 1).cast("int")) + F.col("_bucket").bitwiseAND(_OWN - 1) * (1 << 40)
     both = rows.join(F.broadcast(sent), ["_id", "_tie"], "left")
-    wanted = F.concat(F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("a"))), F.coalesce(F.transform("_more", lambda x: F.struct(x.alias("b"), F.lit(1).alias("a"))), F.array().cast("array<struct<b:bigint,a:int>>")))
-    out = both.select(F.explode(wanted).alias("w"), "_id", "doc_id", "text", "_tie").select(F.col("w.b").alias("_bucket"), F.col("w.a").alias("_ahead"), "_id", "doc_id", "text", "_tie")
+    wanted = F.concat(
+        F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("a"))),
+        F.coalesce(
+            F.transform("_more", lambda x: F.struct(x.alias("b"), F.lit(1).alias("a"))), F.array().cast("array<struct<b:bigint,a:int>>")
+        )
+    )
+    out = both.select(F.explode(wanted).alias("w"), "_id", "doc_id", "text", "_tie").select(
+        F.col("w.b").alias("_bucket"), F.col("w.a").alias("_ahead"), "_id", "doc_id", "text", "_tie"
+    )
     out = out.withColumn("_dest", dest).repartition(parts, "_dest").drop("_dest")
     return out.sortWithinPartitions("_bucket", "_ahead", F.col("_id").desc(), "_tie", "text").drop("_tie")
 
@@ -153,7 +175,9 @@ def _place(value, splits: list[int]):
     return (at + F.size(F.filter(fine, lambda s: s <= value))).cast("int")
 
 
-def edited_pairs(docs: DataFrame, spec: FingerprintSpec = FingerprintSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_pairs(
+    docs: DataFrame, spec: FingerprintSpec = FingerprintSpec(), *, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Each document against its edited text and against the next document in descending id.
 
     The edited text has its last third of code points replaced by as many from the start of the next
@@ -173,15 +197,28 @@ def edited_pairs(docs: DataFrame, spec: FingerprintSpec = FingerprintSpec(), *,
             n = len(text)
             edited = text[: n - n // 3] + next_text[: n // 3]
             edited_fp = of(edited)
-            return (doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fp.hex(), edited_fp.hex(), likeness(fp, edited_fp, spec), likeness(fp, next_fp, spec))
+            return (
+                doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fp.hex(), edited_fp.hex(),
+                likeness(fp, edited_fp, spec), likeness(fp, next_fp, spec)
+            )
 
         def flush():
             cols = list(zip(*out, strict=True))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c, t)
+                    for c, t in zip(
+                        cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True
+                    )
+                ],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+            )
 
         for b in batches:
-            for bucket, ahead, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for bucket, ahead, doc_id, text in zip(
+                b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True
+            ):
                 same = prev is not None and prev[0] == bucket
                 if ahead and not same:
                     continue  # the open document of this range has met its next one already

@@ -128,12 +128,20 @@ def counted(rows: DataFrame, spec: LangIdSpec) -> DataFrame:
                 u, n = u[: len(u) - (u[-1] == 1 << spec.bits)], n[: len(u) - (u[-1] == 1 << spec.bits)]
                 feats.append(u.astype(np.int32))
                 shares.append((n / n.sum()).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(feats, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["label", "key", "part", "features", "shares"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array(feats, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
+                ["label", "key", "part", "features", "shares"]
+            )
 
-    return rows.select("label", "key", "part", "text").mapInArrow(run, "label string, key long, part int, features array<int>, shares array<float>")
+    return rows.select("label", "key", "part", "text").mapInArrow(
+        run, "label string, key long, part int, features array<int>, shares array<float>"
+    )
 
 
-def fit(docs: DataFrame, spec: LangIdSpec = LangIdSpec(), *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
+def fit(
+    docs: DataFrame, spec: LangIdSpec = LangIdSpec(), *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang"
+) -> LangModel:
     """Fit on the rows where ``learn`` holds (all by default) and the label and the text are not null.
 
     The sample's sparse counts, bounded by the spec and the number of languages, come to the driver. IDF is taken over
@@ -200,7 +208,9 @@ def calibrated(logits: np.ndarray, y: np.ndarray) -> float:
     return best[1]
 
 
-def identify(docs: DataFrame, model: LangModel, *, text_col: str = "text", pred: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+def identify(
+    docs: DataFrame, model: LangModel, *, text_col: str = "text", pred: str = "lang_pred", score_col: str = "lang_score"
+) -> DataFrame:
     """``docs`` with ``pred``, the language, and ``score_col``, its calibrated probability (0 to 1).
 
     ``und`` with score 0 if the text is null or has no letter, or no language is known. Whole texts
@@ -222,7 +232,9 @@ def identify(docs: DataFrame, model: LangModel, *, text_col: str = "text", pred:
             if tables:
                 n = model.spec.order  # an n-gram for each place, but none for those that reach beyond the text
                 total = np.diff(np.append(starts, len(feats[0]))) * n - n * (n - 1) // 2
-                logits = np.stack([sum(np.add.reduceat(t[f], starts, dtype=np.float64) for f in feats) / total for t in tables], axis=1) + model.bias
+                logits = np.stack(
+                    [sum(np.add.reduceat(t[f], starts, dtype=np.float64) for f in feats) / total for t in tables], axis=1
+                ) + model.bias
                 p = softmax(logits / model.temperature)
                 best, sure = np.where(letters > 0, p.argmax(axis=1), -1), np.where(letters > 0, p.max(axis=1), 0.0)
             langs = pa.array([UNDETERMINED if i < 0 else model.languages[i] for i in best], pa.string())

@@ -286,7 +286,9 @@ def _uniform_one(seed: int, sample: int, at: int) -> float:
     return (((h ^ (h >> 32)) >> 11) + 0.5) * _SCALE
 
 
-def sample_batch(seeds: np.ndarray, texts: list[str], model: Pieces, spec: SampleSpec) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample_batch(
+    seeds: np.ndarray, texts: list[str], model: Pieces, spec: SampleSpec
+) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``samples`` distinct segmentations: (ids, log_prob, perturbed, log_inclusion), best first.
 
     A hypothesis is the set of all paths that share a prefix of edges and leave it otherwise than by some excluded
@@ -317,7 +319,9 @@ def sample_batch(seeds: np.ndarray, texts: list[str], model: Pieces, spec: Sampl
     return out
 
 
-def _draw(lat: Lattice, occ: np.ndarray, points: np.ndarray, seeds: np.ndarray, model: Pieces, spec: SampleSpec) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def _draw(
+    lat: Lattice, occ: np.ndarray, points: np.ndarray, seeds: np.ndarray, model: Pieces, spec: SampleSpec
+) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """The samples of texts of ``points`` code points whose units are ``occ`` in one run."""
     size = lat.size[occ]
     base = np.cumsum(size) - size  # place of each occurrence among all code points of the texts
@@ -493,7 +497,10 @@ def _chunks(batches, limit: int):
             yield ids[at:], texts[at:]
 
 
-def sample_segmentations(docs: DataFrame, spec: SampleSpec = SampleSpec(), *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def sample_segmentations(
+    docs: DataFrame, spec: SampleSpec = SampleSpec(), *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+    digest: bool = False
+) -> DataFrame:
     """doc_id, sample (from 1, best first), ids, log_prob, perturbed, log_inclusion of distinct sampled segmentations.
 
     Sampling without replacement, seeded by the row's id alone, over the lattice of the whole text. A text
@@ -507,11 +514,18 @@ def sample_segmentations(docs: DataFrame, spec: SampleSpec = SampleSpec(), *, mo
         m = pieces(path)
         for ids, texts in _chunks(batches, spec.batch_chars):
             seeds = np.array([_seed_of(i, spec) for i in ids], np.uint64)
-            rows = [(i, s + 1, t, *r) for i, t, own in zip(ids, texts, sample_batch(seeds, texts, m, spec), strict=True) for s, r in enumerate(own)]
+            rows = [
+                (i, s + 1, t, *r) for i, t, own in zip(ids, texts, sample_batch(seeds, texts, m, spec), strict=True)
+                for s, r in enumerate(own)
+            ]
             cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())]
             names = ["doc_id", "sample"]
             if digest:
-                cols += [pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([zlib.crc32(r[3].astype("<u4").tobytes()) for r in rows], pa.int64()), pa.array([decode_ids(r[3].tolist(), m) == r[2].encode("utf-8", "surrogatepass") for r in rows])]
+                cols += [
+                    pa.array([len(r[3]) for r in rows], pa.int64()),
+                    pa.array([zlib.crc32(r[3].astype("<u4").tobytes()) for r in rows], pa.int64()),
+                    pa.array([decode_ids(r[3].tolist(), m) == r[2].encode("utf-8", "surrogatepass") for r in rows])
+                ]
                 names += ["n_pieces", "ids_crc32", "round_trip"]
             else:
                 cols.append(pa.array([r[3] for r in rows], pa.list_(pa.int32())))
@@ -520,7 +534,9 @@ def sample_segmentations(docs: DataFrame, spec: SampleSpec = SampleSpec(), *, mo
             yield pa.RecordBatch.from_arrays(cols, [*names, "log_prob", "perturbed", "log_inclusion"])
 
     middle = "n_pieces long, ids_crc32 long, round_trip boolean" if digest else "ids array<int>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id long, sample int, {middle}, log_prob double, perturbed double, log_inclusion double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
+        run, f"doc_id long, sample int, {middle}, log_prob double, perturbed double, log_inclusion double"
+    )
 
 
 def decode(encoded: DataFrame, *, model: str | None = None, ids_col: str = "ids", out: str = "text") -> DataFrame:

@@ -88,7 +88,9 @@ def postings(reps: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(b.num_rows, -1).astype(np.uint64)
             key = (sig + salt) * np.uint64(0xC2B2AE3D27D4EB4F)
             key = ((key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(np.asarray(b.column(0)), spec.coordinates))], ["key", "node"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.ravel()), pa.array(np.repeat(np.asarray(b.column(0)), spec.coordinates))], ["key", "node"]
+            )
 
     pairs = reps.select("node", "sig").mapInArrow(run, "key long, node long")
     # joined on the key's complement, so that both sides have a shuffle of their own and adaptive execution can split a hot key
@@ -97,7 +99,9 @@ def postings(reps: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
     met = pairs.select("node", other).join(shared, "other").select("node", "df", F.bitwise_not("other").alias("key"))
     met = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))  # at most 64 a node
     take = F.size("own") - (spec.matches - 1)
-    return met.where(take > 0).select("node", F.explode(F.slice("own", F.lit(1), take)).alias("p")).select(F.col("p.key").alias("g"), F.col("p.df").alias("n"), "node")
+    return met.where(take > 0).select(
+        "node", F.explode(F.slice("own", F.lit(1), take)).alias("p")
+    ).select(F.col("p.key").alias("g"), F.col("p.df").alias("n"), "node")
 
 
 def _groups(batches, key_cols: int):
@@ -235,18 +239,26 @@ def group_forest(members: DataFrame, payload: DataFrame, kind: type, spec: NearD
     parts = connected_components(edges)
     placed = cut(dealt.join(parts, "node", "left").select("g", "node", "blocks", F.coalesce("component", "node").alias("part")))
     sizes = placed.groupBy("g", "part").agg(F.count("*").alias("n"))
-    most = cut(sizes.groupBy("g").agg(F.max_by("part", F.struct("n", "part")).alias("most"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0"))
+    most = cut(
+        sizes.groupBy("g").agg(
+            F.max_by("part", F.struct("n", "part")).alias("most"), (F.sum("n") - F.max("n")).alias("strays")
+        ).where("strays > 0")
+    )
     if most.isEmpty():
         return edges
     # strays are rarely as many as a block; theirs is bounded by members alone, as a block of members is by either
     stray_blocks = F.ceil(F.col("strays") / F.least(F.lit(spec.block), F.ceil(F.col("n") / F.col("blocks")))).cast("int")
-    open_ = placed.join(most.join(cut(dealt.groupBy("g").agg(F.max("n").alias("n"))), "g"), "g").select("g", "node", "part", "blocks", own.alias("own"), (F.col("part") != F.col("most")).alias("stray"), stray_blocks.alias("sb"))
+    open_ = placed.join(most.join(cut(dealt.groupBy("g").agg(F.max("n").alias("n"))), "g"), "g").select(
+        "g", "node", "part", "blocks", own.alias("own"), (F.col("part") != F.col("most")).alias("stray"), stray_blocks.alias("sb")
+    )
     stray_own = F.pmod(F.xxhash64("node", F.lit(17)), F.col("sb")).cast("int")
     pair = lambda i, j, asks: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(asks).alias("asks"))
     meets = F.transform(F.sequence(F.lit(0), F.col("sb") - 1), lambda i: pair(i, F.col("own"), 0))
     asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: pair(F.col("_sown"), j, 1))
     none = F.array().cast("array<struct<i:bigint,j:bigint,asks:int>>")
-    open_ = open_.withColumn("_sown", stray_own).select("g", "node", "part", F.explode(F.concat(meets, F.when(F.col("stray"), asks).otherwise(none))).alias("at"))
+    open_ = open_.withColumn("_sown", stray_own).select(
+        "g", "node", "part", F.explode(F.concat(meets, F.when(F.col("stray"), asks).otherwise(none))).alias("at")
+    )
     open_ = open_.select("g", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "node", "part", F.col("at.asks").alias("asks"))
 
     def across(batches):
@@ -264,7 +276,9 @@ def group_forest(members: DataFrame, payload: DataFrame, kind: type, spec: NearD
                 src.append(np.full(len(one), nodes[u]))
                 dst.append(nodes[hit[one]])
             if src:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src), pa.int64()), pa.array(np.concatenate(dst), pa.int64())], ["src", "dst"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(src), pa.int64()), pa.array(np.concatenate(dst), pa.int64())], ["src", "dst"]
+                )
 
     met = open_.join(payload, "node").select("g", "i", "j", "node", "part", "asks", "data")
     met = met.repartition(width, "g", "i", "j").sortWithinPartitions("g", "i", "j")
@@ -280,7 +294,9 @@ def loose_edges(posted: DataFrame, reps: DataFrame, spec: NearDupSpec = NearDupS
 def wanted_filter(ids: DataFrame, bits: int) -> np.ndarray:
     """A filter of ``2 ** bits`` bits over doc_id; ids that are not in it need no second reading."""
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + 1  # bitmaps count from 1
-    maps = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
+    maps = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")
+    )
     out = np.zeros((1 << bits) // 8, np.uint8)
     for r in maps.toLocalIterator():  # at most 2 ** bits bits
         lo = (r["b"] - 1) * 4096
@@ -303,7 +319,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int, spec: NearDupSpec,
                 continue
             texts = utf8_column(b.column(1).take(pa.array(hit)))
             sets = [s for s in (shingles(word_hashes(words, t), spec.width) for t in texts) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "data"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "data"]
+            )
 
     at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << bits))
     return docs.select(at.alias("at"), F.col(text_col).alias("text")).mapInArrow(run, "node long, data binary")
@@ -330,7 +348,11 @@ def _classes(docs: DataFrame, spec: NearDupSpec, id_col: str, text_col: str) ->
     """
     base = cut(features(docs, spec, id_col=id_col, text_col=text_col))
     key = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "text_hash")
-    reps = cut(base.where("node is not null").groupBy("node").agg(F.min(key).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
+    reps = cut(
+        base.where("node is not null").groupBy("node").agg(
+            F.min(key).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
+        )
+    )
     labels = connected_components(loose_edges(postings(reps, spec), reps, spec))
     clustered = cut(labels.join(reps.select("node", "rep", "n_shingles"), "node"))
     ids = clustered.select(F.when(F.col("rep.id") != _LAST, F.col("rep.id")).alias("doc_id"))
@@ -354,7 +376,9 @@ def near_duplicates(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), *, id_co
     base, classes = _classes(docs, spec, id_col, text_col)
     out = base.join(classes.select("node", F.col("least.id").alias("least")), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("least") != _LAST, F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    )
 
 
 def survivors(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,9 +389,14 @@ def survivors(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), *, id_col: str
     """
     base, classes = _classes(docs, spec, id_col, text_col)
     wordless = base.where("node is null").select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "doc_id", "text_hash")
-    first = classes.select("least").distinct().select(F.col("least.id").alias("id"), F.when(F.col("least.id") != _LAST, F.col("least.id")).alias("doc_id"), F.col("least.text_hash").alias("text_hash"))
+    first = classes.select("least").distinct().select(
+        F.col("least.id").alias("id"), F.when(F.col("least.id") != _LAST, F.col("least.id")).alias("doc_id"),
+        F.col("least.text_hash").alias("text_hash")
+    )
     keys = first.union(wordless)
     id_, unknown, text_hash = (fresh(docs.columns, c) for c in ("_id", "_unknown", "_text_hash"))
-    keyed = docs.withColumns({id_: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), unknown: F.col(id_col).isNull(), text_hash: F.xxhash64(text_col)})
+    keyed = docs.withColumns(
+        {id_: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), unknown: F.col(id_col).isNull(), text_hash: F.xxhash64(text_col)}
+    )
     wanted = keys.select(F.col("id").alias(id_), F.col("doc_id").isNull().alias(unknown), F.col("text_hash").alias(text_hash))
     return keyed.dropDuplicates([id_, unknown, text_hash]).join(wanted, [id_, unknown, text_hash], "left_semi").select(*docs.columns)

@@ -81,7 +81,11 @@ def streams(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id",
             ids, parts, lengths, tokens = open_units[odd]
             keys, place = np.unique(np.concatenate(tokens), return_inverse=True)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([((task << 24 | made) << 1) | odd], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([parts], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32())), pa.array([_squeeze_keys(keys)], pa.binary()), pa.array([_squeeze(place.astype("<i4"))], pa.binary())],
+                [
+                    pa.array([((task << 24 | made) << 1) | odd], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([parts], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32())),
+                    pa.array([_squeeze_keys(keys)], pa.binary()), pa.array([_squeeze(place.astype("<i4"))], pa.binary())
+                ],
                 ["unit", "doc_ids", "parts", "lengths", "keys", "stream"],
             )
             made += 1
@@ -106,7 +110,9 @@ def streams(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id",
 
     fold = fold_of(id_col, spec.folds)
     part = F.when(fold == 0, 0).when(fold == 1, 1).otherwise(2)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), part.alias("part"), F.col(text_col).alias("text")).mapInArrow(run, STREAMS)
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), part.alias("part"), F.col(text_col).alias("text")
+    ).mapInArrow(run, STREAMS)
 
 
 def _bigrams(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -136,9 +142,20 @@ def requests(units: DataFrame, shards: int, spec: LmSpec = LmSpec()) -> DataFram
                     learnt = np.bincount(at[part == 2], minlength=len(k)).astype("<u4")
                     deleted = np.bincount(at[part == 1], minlength=len(k)).astype("<u4")
                     edge = np.concatenate([[0], np.searchsorted(k, bounds), [len(k)]])
-                    rows = [(dest[s], s, order, r["unit"], _squeeze_keys(k[lo:hi]), _squeeze(learnt[lo:hi]), _squeeze(deleted[lo:hi])) for s, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False)) if hi > lo]
+                    rows = [
+                        (dest[s], s, order, r["unit"], _squeeze_keys(k[lo:hi]), _squeeze(learnt[lo:hi]), _squeeze(deleted[lo:hi]))
+                        for s, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False)) if hi > lo
+                    ]
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["dest", "shard", "order", "unit", "keys", "learnt", "deleted"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(c, t)
+                            for c, t in zip(
+                                cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True
+                            )
+                        ],
+                        ["dest", "shard", "order", "unit", "keys", "learnt", "deleted"]
+                    )
 
     return units.mapInArrow(run, "dest long, shard int, order int, unit long, keys binary, learnt binary, deleted binary")
 
@@ -166,7 +183,10 @@ class Places:
 def places(units: DataFrame) -> tuple[Places, int]:
     """The places of ``units`` and their tokens. A slot for each unit unless tasks made very different numbers of them."""
     tokens = F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))
-    r = units.agg(F.count("*").alias("n"), F.max(F.shiftright("unit", 25)).alias("task"), F.max(F.shiftright("unit", 1).bitwiseAND((1 << 24) - 1)).alias("made"), F.coalesce(tokens, F.lit(0)).alias("tokens")).first()
+    r = units.agg(
+        F.count("*").alias("n"), F.max(F.shiftright("unit", 25)).alias("task"),
+        F.max(F.shiftright("unit", 1).bitwiseAND((1 << 24) - 1)).alias("made"), F.coalesce(tokens, F.lit(0)).alias("tokens")
+    ).first()
     least = shuffle_width(units.sparkSession)
     if not r["n"]:
         return Places(least, 0), 0
@@ -197,12 +217,23 @@ def replies(asked: DataFrame, shards: int, where: Places) -> DataFrame:
             for k, r in got:
                 own = at[lo : lo + len(k)]
                 lo += len(k)
-                rows.append((dest[where.slot_of(r["unit"])] if dest else r["unit"], r["unit"], key[1], key[0], _squeeze(both[own].astype("<u8")), _squeeze(learnt[own].astype("<u8")) if r["unit"] & 1 else None))
+                rows.append(
+                    (
+                        dest[where.slot_of(r["unit"])] if dest else r["unit"], r["unit"], key[1], key[0], _squeeze(both[own].astype("<u8")),
+                        _squeeze(learnt[own].astype("<u8")) if r["unit"] & 1 else None
+                    )
+                )
             if key[1] == 1:
                 totals = np.array([both.sum(), (both > 0).sum(), learnt.sum(), (learnt > 0).sum()], "<i8")
                 rows.append((0, -1, 1, key[0], totals.tobytes(), None))
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["dest", "unit", "order", "shard", "counts", "without"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c, t)
+                    for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)
+                ],
+                ["dest", "unit", "order", "shard", "counts", "without"]
+            )
 
         for b in sliced(batches, 64):
             for r in b.to_pylist():
@@ -224,7 +255,10 @@ def _with_counts(units: DataFrame, answered: DataFrame, at: Places, per_unit, sc
     else:
         units = units.withColumn("dest", F.col("unit"))
     left = units.select("dest", "unit", F.lit(0).alias("order"), F.lit(0).alias("shard"), "doc_ids", "parts", "lengths", "keys", "stream")
-    right = answered.select("dest", "unit", "order", "shard", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("parts"), F.lit(None).cast("array<int>").alias("lengths"), F.col("counts").alias("keys"), F.col("without").alias("stream"))
+    right = answered.select(
+        "dest", "unit", "order", "shard", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("parts"),
+        F.lit(None).cast("array<int>").alias("lengths"), F.col("counts").alias("keys"), F.col("without").alias("stream")
+    )
 
     def run(batches):
         unit, counts, without = None, {}, {}
@@ -346,6 +380,11 @@ def score(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id", t
             pa.array(total := np.add.reduceat(np.log10(p), starts)),
             pa.array(total / lengths),
         ]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_score"])
-
-    return _with_counts(units, answered.where("unit >= 0"), at, per_unit, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_score double")
+        return pa.RecordBatch.from_arrays(
+            cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_score"]
+        )
+
+    return _with_counts(
+        units, answered.where("unit >= 0"), at, per_unit,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_score double"
+    )

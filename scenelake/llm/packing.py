@@ -40,7 +40,10 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text",
+    keep_ids: bool = False
+) -> DataFrame:
     """Tokenise each text, append ``end_id`` and cut sequences over ``size`` into pieces of ``size``.
 
     The first piece takes the remainder, so every other piece is full. A null or empty text is the end
@@ -62,7 +65,10 @@ def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, end_id: int =
                 while lo < len(ids):
                     hi = lo + (first if piece == 0 else size)
                     part = ids[lo:hi]
-                    for col, v in zip(out, (doc, piece, lo, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if keep_ids else None), strict=True):
+                    for col, v in zip(
+                        out, (doc, piece, lo, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if keep_ids else None),
+                        strict=True
+                    ):
                         col.append(v)
                     lo, piece = hi, piece + 1
             cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:5])]
@@ -194,7 +200,9 @@ def pack(pieces: DataFrame, spec: PackSpec = PackSpec()) -> DataFrame:
                 rows, t = np.flatnonzero(length == k), table[int(k)]
                 at = np.searchsorted(t[:, 0], rank[rows], side="right") - 1
                 seq[rows], off[rows] = t[at, 1] + rank[rows] - t[at, 0], t[at, 2]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"]
+            )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.select(*names, "_rank").mapInArrow(place, schema + ", sequence_id long, offset long")

@@ -143,9 +143,20 @@ def scan(docs: DataFrame, spec: PiiSpec = PiiSpec(), *, id_col: str = "doc_id",
         for b in sliced(batches, 512):
             ids, texts = b.column(0), b.column(1).to_pylist()
             found = [[{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in find(t, anchors)] for t in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])))], ["doc_id", "spans"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id long, spans array<{SPAN}>")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids,
+                    pa.array(
+                        found,
+                        pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+                    )
+                ],
+                ["doc_id", "spans"]
+            )
+
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
+    ).mapInArrow(run, f"doc_id long, spans array<{SPAN}>")
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -164,4 +175,7 @@ def digest(found: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in kinds]
-    return found.select("doc_id", *counts, F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"), F.concat_ws(",", F.transform("spans", label)).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+    return found.select(
+        "doc_id", *counts, F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"),
+        F.concat_ws(",", F.transform("spans", label)).alias("spans"), F.size("spans").cast("long").alias("n_spans")
+    )

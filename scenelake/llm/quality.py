@@ -69,7 +69,9 @@ def measure(docs: DataFrame, text_col: str = "text", *, out: str = "quality", ro
     values, but for one named ``out``, which is replaced.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in others(docs, out)])  # in one column, so that no name of theirs meets one below
-    df = docs.select(row.alias("_row"), text_or_empty(text_col).alias("_t")).withColumn("_w", F.filter(F.split("_t", WORD_SPACE, -1), lambda w: w != ""))
+    df = docs.select(row.alias("_row"), text_or_empty(text_col).alias("_t")).withColumn(
+        "_w", F.filter(F.split("_t", WORD_SPACE, -1), lambda w: w != "")
+    )
     n = F.size("_w")
     df = df.withColumn("_k", F.greatest(n - 2, F.lit(0)).cast("long"))
     # hash and position in one long: position < _k, hash reduced to what remains of the room
@@ -83,8 +85,15 @@ def measure(docs: DataFrame, text_col: str = "text", *, out: str = "quality", ro
     by_words = "transform(sort_array(transform(sequence(1L, _k), i -> struct(_w[i - 1] as a, _w[i] as b, _w[i + 1] as c, i - 1 as at))), s -> s.at)"
     df = df.withColumn("_p", F.expr(f"if(_met, {by_words}, _p)"))
     df = df.withColumn("_e", F.expr(f"if(_met, {pairs.format(f'if({words}, 1, 0)')}, _e)"))
-    df = df.withColumn("_r", F.expr("if(array_contains(_e, 1), sort_array(filter(transform(_p, (p, i) -> if((i > 0 and _e[i - 1] = 1) or (i < size(_e) and _e[i] = 1), p % _k, -1)), x -> x >= 0)), cast(array() as array<bigint>))"))
-    repeat = F.expr("if(size(_r) = 0, 0L, 3L + aggregate(zip_with(slice(_r, 1, size(_r) - 1), slice(_r, 2, size(_r) - 1), (a, b) -> least(b - a, 3L)), 0L, (s, x) -> s + x))")
+    df = df.withColumn(
+        "_r",
+        F.expr(
+            "if(array_contains(_e, 1), sort_array(filter(transform(_p, (p, i) -> if((i > 0 and _e[i - 1] = 1) or (i < size(_e) and _e[i] = 1), p % _k, -1)), x -> x >= 0)), cast(array() as array<bigint>))"
+        )
+    )
+    repeat = F.expr(
+        "if(size(_r) = 0, 0L, 3L + aggregate(zip_with(slice(_r, 1, size(_r) - 1), slice(_r, 2, size(_r) - 1), (a, b) -> least(b - a, 3L)), 0L, (s, x) -> s + x))"
+    )
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_l", lines)
     text = F.col("_t")
@@ -112,7 +121,10 @@ def votes(q: str = "quality") -> Column:
     """array<int> of the rules' votes on the statistics struct ``q``; a text without words gets bad votes only."""
     out = []
     for _, expr, good, bad in RULES:
-        for name in ("n_repeat_words", "n_distinct_words", "n_dup_lines", "n_symbols", "n_letters", "word_chars", "n_words", "n_lines", "n_pipes", "n_upper", "n_shouts"):
+        for name in (
+            "n_repeat_words", "n_distinct_words", "n_dup_lines", "n_symbols", "n_letters", "word_chars", "n_words", "n_lines", "n_pipes",
+            "n_upper", "n_shouts"
+        ):
             expr = _qualify(expr, name, q)
         v = F.expr(expr)
         out.append(F.when(F.col(f"{q}.n_words") == 0, -1).when(v <= good, 1).when(v >= bad, -1).otherwise(0))
@@ -180,7 +192,9 @@ def posterior_column(votes_col: str, model: LabelModel) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
-def judge(docs: DataFrame, spec: QualitySpec = QualitySpec(), *, text_col: str = "text", out: str = "quality", keep: tuple[str, ...] | None = None) -> DataFrame:
+def judge(
+    docs: DataFrame, spec: QualitySpec = QualitySpec(), *, text_col: str = "text", out: str = "quality", keep: tuple[str, ...] | None = None
+) -> DataFrame:
     """``docs`` (of it, the columns ``keep``) with a struct ``out``: the statistics, base_failed, posterior and kept.
 
     Each text is measured once and materialised with its statistics. The counts of vote patterns over all
@@ -197,7 +211,9 @@ def judge(docs: DataFrame, spec: QualitySpec = QualitySpec(), *, text_col: str =
     q = lambda c: F.col(f"{out}.{c}")
     failed = (q("n_words") < spec.least_words) | (100 * q("n_repeat_words") > spec.most_repeat_percent * q("n_words"))
     likely = posterior_column(vote, model)
-    verdict = F.col(out).withField("base_failed", failed).withField("posterior", likely).withField("kept", ~failed & (likely >= spec.least_posterior))
+    verdict = F.col(out).withField("base_failed", failed).withField("posterior", likely).withField(
+        "kept", ~failed & (likely >= spec.least_posterior)
+    )
     return measured.select(*columns, verdict.alias(out))
 
 

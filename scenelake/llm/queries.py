@@ -40,14 +40,18 @@ def op7_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.range_shards(sharding.sized(read_table(spark, sf_dir, "documents")))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op9_sparse_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold_of("doc_id", 4) == 2
     model = langid.fit(docs, learn=~held_out)
-    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
 
 
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,12 @@ def matches(text: Column, pattern: str) -> Column:
     def add(acc: Column, x: Column) -> Column:
         lo = acc["at"] + F.length(x["gap"])
         hi = lo + F.length(x["value"])
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(hi.alias("at"), F.array_append(acc["out"], F.struct(lo.alias("start"), hi.alias("end"), x["value"].alias("value"))).alias("out")))
+        return F.when(x["value"].isNull(), acc).otherwise(
+            F.struct(
+                hi.alias("at"),
+                F.array_append(acc["out"], F.struct(lo.alias("start"), hi.alias("end"), x["value"].alias("value"))).alias("out")
+            )
+        )
 
     return F.when(text.rlike(pattern), F.aggregate(steps, start, add, lambda a: a["out"])).otherwise(none)
 
@@ -79,7 +84,9 @@ def base_spans(text: Column) -> Column:
         kept = matches(text, fast)
         if group:
             kept = F.filter(kept, lambda m: F.length(F.regexp_extract(m["value"], pattern, group)) >= least)
-        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end")))
+        return F.transform(
+            kept, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"))
+        )
 
     return F.array_sort(F.concat(*(part(i, k) for i, k in enumerate(KINDS))))
 
@@ -109,12 +116,21 @@ def battery(s: Column) -> Column:
     def counted(e: Column) -> Column:
         """e: encoding and alphabet. Symbols as places in the alphabet, and their squared counts."""
         x = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.position(c, e["alphabet"]).cast("double"))
-        squares = F.aggregate(F.filter(F.split(e["alphabet"], ""), lambda c: c != ""), F.lit(0.0), lambda a, c: a + F.pow((F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double"), F.lit(2.0)))
-        return F.struct(e["encoding"].alias("encoding"), F.length(s).cast("double").alias("n"), F.length(e["alphabet"]).cast("double").alias("size"), x.alias("x"), squares.alias("squares"))
+        squares = F.aggregate(
+            F.filter(F.split(e["alphabet"], ""), lambda c: c != ""), F.lit(0.0),
+            lambda a, c: a + F.pow((F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double"), F.lit(2.0))
+        )
+        return F.struct(
+            e["encoding"].alias("encoding"), F.length(s).cast("double").alias("n"), F.length(e["alphabet"]).cast("double").alias("size"),
+            x.alias("x"), squares.alias("squares")
+        )
 
     def summed(e: Column) -> Column:
         high = F.transform(e["x"], lambda v: F.when(v > e["size"] / 2, 1).otherwise(0))
-        return F.struct(e["encoding"].alias("encoding"), e["n"].alias("n"), e["size"].alias("size"), e["x"].alias("x"), e["squares"].alias("squares"), high.alias("high"), (total(e["x"], 0.0) / e["n"]).alias("mu"))
+        return F.struct(
+            e["encoding"].alias("encoding"), e["n"].alias("n"), e["size"].alias("size"), e["x"].alias("x"), e["squares"].alias("squares"),
+            high.alias("high"), (total(e["x"], 0.0) / e["n"]).alias("mu")
+        )
 
     def scored(e: Column) -> Column:
         n, df = e["n"], e["size"] - 1
@@ -132,9 +148,18 @@ def battery(s: Column) -> Column:
             var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
             z_runs = F.when(var_runs > 0, (m["runs"] - mean_runs) / F.sqrt(var_runs)).otherwise(F.sqrt(n))
             z_serial = F.when(m["var"] > 0, (m["lag"] / m["var"] + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-            return F.struct(normal_tail(z_uniform).alias("u"), (2 * normal_tail(F.abs(z_runs))).alias("r"), (2 * normal_tail(F.abs(z_serial))).alias("s"))
-
-        return let(let(moments, tested), lambda p: F.struct(e["encoding"].alias("encoding"), n.cast("int").alias("n"), p["u"].alias("p_uniform"), p["r"].alias("p_runs"), p["s"].alias("p_serial"), (1 - F.pow(1 - F.least(F.lit(1.0), p["u"], p["r"], p["s"]), F.lit(3.0))).alias("p")))
+            return F.struct(
+                normal_tail(z_uniform).alias("u"), (2 * normal_tail(F.abs(z_runs))).alias("r"),
+                (2 * normal_tail(F.abs(z_serial))).alias("s")
+            )
+
+        return let(
+            let(moments, tested),
+            lambda p: F.struct(
+                e["encoding"].alias("encoding"), n.cast("int").alias("n"), p["u"].alias("p_uniform"), p["r"].alias("p_runs"),
+                p["s"].alias("p_serial"), (1 - F.pow(1 - F.least(F.lit(1.0), p["u"], p["r"], p["s"]), F.lit(3.0))).alias("p")
+            )
+        )
 
     encoding = F.coalesce(*[F.when(s.rlike(f"^[{ALPHABETS[k].replace('-', chr(92) + '-')}]+$"), F.lit(k)) for k in names])
     out = let(let(let(let(encoding, lambda k: F.struct(k.alias("encoding"), alphabets[k].alias("alphabet"))), counted), summed), scored)
@@ -150,7 +175,10 @@ def pieces(runs: Column, least: int) -> Column:
 
     def part(m: Column, chars: str) -> Column:
         found = matches(m["value"], f"[A-Za-z0-9{chars}]{{{least},}}")
-        return F.transform(found, lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["value"].alias("value")))
+        return F.transform(
+            found,
+            lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["value"].alias("value"))
+        )
 
     return F.flatten(F.transform(runs, lambda m: F.when(mixed(m), F.concat(part(m, "+/"), part(m, "_-"))).otherwise(F.array(m))))
 
@@ -164,9 +192,20 @@ def candidates(text: Column, spec: SecretSpec = SecretSpec()) -> Column:
     """
     runs = pieces(matches(text, f"{_CANDIDATE}{{{spec.least},}}"), spec.least)
     plain = lambda v: F.when(v.rlike("[0-9]") & v.rlike("[A-Za-z]"), "").otherwise(" plain")
-    tested = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), plain(m["value"]).alias("plain"), battery(m["value"]).alias("t")))
+    tested = F.transform(
+        runs,
+        lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), plain(m["value"]).alias("plain"), battery(m["value"]).alias("t")
+        )
+    )
     cls = lambda n: sum((F.when(n > e, 1).otherwise(0) for e in spec.lengths), F.lit(0))
-    return F.transform(tested, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(m["t"]["encoding"], m["plain"]).alias("encoding"), cls(m["t"]["n"]).alias("cls"), m["t"]["p"].alias("p")))
+    return F.transform(
+        tested,
+        lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), F.concat(m["t"]["encoding"], m["plain"]).alias("encoding"),
+            cls(m["t"]["n"]).alias("cls"), m["t"]["p"].alias("p")
+        )
+    )
 
 
 def cutoffs(tested: DataFrame, spec: SecretSpec = SecretSpec()) -> DataFrame:
@@ -178,7 +217,9 @@ def cutoffs(tested: DataFrame, spec: SecretSpec = SecretSpec()) -> DataFrame:
     cutoff is the least p-value bin, from alpha on, at which the structured share of all flagged ones
     is at most ``fdr``; none if even the last bin exceeds it. At most 2 x encodings x classes rows.
     """
-    one = tested.select(F.explode("_cand").alias("c")).select("c.encoding", "c.cls", F.least(F.floor(F.col("c.p") * spec.bins), F.lit(spec.bins - 1)).cast("int").alias("bin"))
+    one = tested.select(F.explode("_cand").alias("c")).select(
+        "c.encoding", "c.cls", F.least(F.floor(F.col("c.p") * spec.bins), F.lit(spec.bins - 1)).cast("int").alias("bin")
+    )
     hist = one.groupBy("encoding", "cls", "bin").agg(F.count("*").alias("n"))
     tail_bin = int(spec.tail * spec.bins)
     first = max(1, int(spec.alpha * spec.bins))
@@ -196,7 +237,9 @@ def cutoffs(tested: DataFrame, spec: SecretSpec = SecretSpec()) -> DataFrame:
         return F.when(flagged > 0, excess / flagged).otherwise(1.0)
 
     fits = F.filter(F.sequence(F.lit(first), F.lit(tail_bin)), lambda b: share(b) <= spec.fdr)
-    return per.select("encoding", "cls", (F.try_element_at(fits, F.lit(1)) / F.lit(float(spec.bins))).alias("cutoff")).where(F.col("cutoff").isNotNull())
+    return per.select(
+        "encoding", "cls", (F.try_element_at(fits, F.lit(1)) / F.lit(float(spec.bins))).alias("cutoff")
+    ).where(F.col("cutoff").isNotNull())
 
 
 def scan(docs: DataFrame, spec: SecretSpec = SecretSpec(), *, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
@@ -215,7 +258,10 @@ def scan(docs: DataFrame, spec: SecretSpec = SecretSpec(), *, text_col: str = "t
     tested = docs.select(row.alias("_row"), candidates(text, spec).alias("_cand"), base_spans(text).alias("_base"))
     free = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     flagged = F.filter("_cand", lambda c: (c["p"] >= table[F.concat_ws(":", c["encoding"], c["cls"].cast("string"))]) & free(c))
-    more = F.transform(flagged, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("random").alias("kind"), c["end"].alias("end")))
+    more = F.transform(
+        flagged,
+        lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("random").alias("kind"), c["end"].alias("end"))
+    )
     spans = F.array_sort(F.concat(F.col("_base"), more))
     found = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return tested.select("_row", found.alias("_found")).select("_row.*", F.col("_found").alias(out))
@@ -228,9 +274,14 @@ def redact(text: Column, spans: Column) -> Column:
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out")
+        )
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))).otherwise(text)
+    return F.when(
+        F.size(spans) > 0, F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    ).otherwise(text)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", spans_col: str = "secret_spans") -> DataFrame:
@@ -239,4 +290,7 @@ def digest(found: DataFrame, id_col: str = "doc_id", spans_col: str = "secret_sp
     base = F.filter(spans_col, lambda s: s["kind"].isin(*KINDS))
     count = lambda k: F.size(F.filter(spans_col, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
-    return found.select(F.col(id_col).alias("doc_id"), *counts, F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"), F.concat_ws(",", F.transform(F.col(spans_col), label)).alias("spans"), F.size(spans_col).cast("long").alias("n_spans"))
+    return found.select(
+        F.col(id_col).alias("doc_id"), *counts, F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"),
+        F.concat_ws(",", F.transform(F.col(spans_col), label)).alias("spans"), F.size(spans_col).cast("long").alias("n_spans")
+    )

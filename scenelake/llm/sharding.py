@@ -32,7 +32,10 @@ class ShardSpec:
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus 16), text_crc32, and tie, a number that tells repeated rows apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("tie"))
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("tie")
+    )
 
 
 def range_shards(rows: DataFrame, spec: ShardSpec = ShardSpec()) -> DataFrame:
@@ -70,7 +73,9 @@ def range_shards(rows: DataFrame, spec: ShardSpec = ShardSpec()) -> DataFrame:
         extra = sorted(draw(ranged.where(F.col("_range").isin(over)), 4 * spec.samples_per_range / per_range, spec.seed + turn + 1))
         splitters = sorted(set(splitters) | set(extra[step::step]))
     ranged = cut(_ranged(rows, splitters))
-    sizes = sorted((r["_range"], r["s"], r["n"]) for r in ranged.groupBy("_range").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect())
+    sizes = sorted(
+        (r["_range"], r["s"], r["n"]) for r in ranged.groupBy("_range").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+    )
     before, records, at, n = [], [], 0, 0
     for k, s, c in sizes:
         before.append((k, at, n))
@@ -85,7 +90,9 @@ def range_shards(rows: DataFrame, spec: ShardSpec = ShardSpec()) -> DataFrame:
     placed = placed.withColumn("shard", F.least(F.floor(middle * spec.shards / F.lit(float(whole))), F.lit(spec.shards - 1)).cast("int"))
     placed = cut(placed.select("doc_id", "size", "text_crc32", "shard", "_rank"))
     firsts = placed.groupBy("shard").agg(F.min("_rank").alias("_first"))  # one row a shard
-    return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_rank") - F.col("_first")).alias("slot"))
+    return placed.join(F.broadcast(firsts), "shard").select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("_rank") - F.col("_first")).alias("slot")
+    )
 
 
 def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
