@@ -12,9 +12,18 @@ from scenelake.functions.geometry import clip
 
 SH_C0 = 0.28209479177387814
 #: Bright palettes; fixed values.
-PROPOSAL_PALETTE = ((0.95, 0.20, 0.20), (0.15, 0.75, 0.25), (0.20, 0.45, 0.95), (0.98, 0.70, 0.18), (0.75, 0.22, 0.85), (0.10, 0.78, 0.78), (0.95, 0.45, 0.65), (0.60, 0.85, 0.18))
-INSTANCE_PALETTE = ((0.95, 0.20, 0.20), (0.10, 0.78, 0.78), (0.18, 0.50, 0.95), (0.98, 0.70, 0.15), (0.75, 0.22, 0.88), (0.20, 0.82, 0.30), (0.95, 0.45, 0.65), (0.55, 0.85, 0.18))
-CLASS_PALETTE = ((0.90, 0.18, 0.18), (0.15, 0.70, 0.25), (0.20, 0.42, 0.95), (0.98, 0.68, 0.15), (0.72, 0.22, 0.88), (0.08, 0.72, 0.72), (0.95, 0.42, 0.62), (0.58, 0.80, 0.16))
+PROPOSAL_PALETTE = (
+    (0.95, 0.20, 0.20), (0.15, 0.75, 0.25), (0.20, 0.45, 0.95), (0.98, 0.70, 0.18), (0.75, 0.22, 0.85), (0.10, 0.78, 0.78),
+    (0.95, 0.45, 0.65), (0.60, 0.85, 0.18)
+)
+INSTANCE_PALETTE = (
+    (0.95, 0.20, 0.20), (0.10, 0.78, 0.78), (0.18, 0.50, 0.95), (0.98, 0.70, 0.15), (0.75, 0.22, 0.88), (0.20, 0.82, 0.30),
+    (0.95, 0.45, 0.65), (0.55, 0.85, 0.18)
+)
+CLASS_PALETTE = (
+    (0.90, 0.18, 0.18), (0.15, 0.70, 0.25), (0.20, 0.42, 0.95), (0.98, 0.68, 0.15), (0.72, 0.22, 0.88), (0.08, 0.72, 0.72),
+    (0.95, 0.42, 0.62), (0.58, 0.80, 0.16)
+)
 GOLDEN = 0.61803398875
 CATEGORY_DEFAULT = (0.95, 0.95, 0.95)
 
@@ -92,7 +101,10 @@ def class_colors(n: int) -> list[tuple[float, float, float]]:
     return out
 
 
-def highlight(table: DataFrame, selected: Column, rgb: Sequence[float] | Column, *, alpha: float = 1.0, dim_scale: float = 1.0, selected_scale: float = 1.0, flatten: bool = True) -> DataFrame:
+def highlight(
+    table: DataFrame, selected: Column, rgb: Sequence[float] | Column, *, alpha: float = 1.0, dim_scale: float = 1.0,
+    selected_scale: float = 1.0, flatten: bool = True
+) -> DataFrame:
     """Recolour selected rows, flatten their higher harmonics and shift opacities by ln(scale).
 
     ``rgb`` is a constant or a column with an array. Rows and column order stay; scales must be positive.

@@ -39,7 +39,9 @@ def _poly(base: Column, coefs: Sequence[float], powers: Column) -> Column:
     return out
 
 
-def project(camera: tuple[Column, Column, Column], model: str, fl_x, fl_y, cx, cy, distortion: Sequence[float] = ()) -> tuple[Column, Column]:
+def project(
+    camera: tuple[Column, Column, Column], model: str, fl_x, fl_y, cx, cy, distortion: Sequence[float] = ()
+) -> tuple[Column, Column]:
     """Pixel (u, v) of camera-frame points; null where the depth is 0. Missing distortion coefficients are 0."""
     model = model.upper()
     if model not in CAMERA_MODELS:
@@ -116,7 +118,9 @@ def occupancy_pixel(x, y, upper_x: float, lower_y: float, scale: float) -> tuple
     return (F.lit(float(upper_x)) - _d(x)) / F.lit(float(scale)), (_d(y) - F.lit(float(lower_y))) / F.lit(float(scale))
 
 
-def rigid(x, y, z, rotation: Sequence[float], translation: Sequence[float], pivot: Sequence[Column | float]) -> tuple[Column, Column, Column]:
+def rigid(
+    x, y, z, rotation: Sequence[float], translation: Sequence[float], pivot: Sequence[Column | float]
+) -> tuple[Column, Column, Column]:
     """R (p - pivot) + pivot + t."""
     pv = [v if isinstance(v, Column) else F.lit(float(v)) for v in pivot]
     p = [_d(c) - v for c, v in zip((x, y, z), pv, strict=True)]
@@ -132,7 +136,10 @@ def rotation_about(axis: Sequence[float], degrees: float) -> list[float]:
     x, y, z = (a / n for a in axis)
     a = math.radians(degrees)
     c, s, d = math.cos(a), math.sin(a), 1 - math.cos(a)
-    return [c + x * x * d, x * y * d - z * s, x * z * d + y * s, y * x * d + z * s, c + y * y * d, y * z * d - x * s, z * x * d - y * s, z * y * d + x * s, c + z * z * d]
+    return [
+        c + x * x * d, x * y * d - z * s, x * z * d + y * s, y * x * d + z * s, c + y * y * d, y * z * d - x * s, z * x * d - y * s,
+        z * y * d + x * s, c + z * z * d
+    ]
 
 
 def rotation_z(degrees: float) -> list[float]:

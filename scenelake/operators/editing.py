@@ -14,7 +14,9 @@ from scenelake.functions import geometry as G
 ROTATION = ("rot_0", "rot_1", "rot_2", "rot_3")
 
 
-def move_object(table: DataFrame, target: int, translation: Sequence[float], rotation: Sequence[float], pivot: Sequence[float] | str | None = None) -> DataFrame:
+def move_object(
+    table: DataFrame, target: int, translation: Sequence[float], rotation: Sequence[float], pivot: Sequence[float] | str | None = None
+) -> DataFrame:
     """Rotate and shift the points of one object_id; quaternions are turned along and normalised.
 
     pivot: None for the origin, "centroid" for the object's mean (one broadcast row), or a point. A missing object
@@ -42,7 +44,10 @@ def in_box(low: Sequence[float], high: Sequence[float], margin: float = 0.0) ->
     return x & y & z
 
 
-def repair_region(table: DataFrame, target: int, low: Sequence[float], high: Sequence[float], *, mode: str = "blend", margin: float = 0.12, color_blend: float = 0.85, opacity_scale: float = 0.85, keep_harmonics: bool = False) -> DataFrame:
+def repair_region(
+    table: DataFrame, target: int, low: Sequence[float], high: Sequence[float], *, mode: str = "blend", margin: float = 0.12,
+    color_blend: float = 0.85, opacity_scale: float = 0.85, keep_harmonics: bool = False
+) -> DataFrame:
     """Blend what stands inside a removed object's box with the median colour of the shell round it.
 
     Inner: rows of other objects in the box. Shell: other rows in the box grown by ``margin``, inner ones aside. Modes:
@@ -54,7 +59,9 @@ def repair_region(table: DataFrame, target: int, low: Sequence[float], high: Seq
     inside = in_box(low, high)
     inner, shell = other & inside, other & in_box(low, high, margin) & ~inside
     dc = ("f_dc_0", "f_dc_1", "f_dc_2")
-    tone = table.agg(F.count_if(shell).alias("_shell"), *[F.median(F.when(shell, F.col(c).cast("double"))).alias(f"_m{i}") for i, c in enumerate(dc)])
+    tone = table.agg(
+        F.count_if(shell).alias("_shell"), *[F.median(F.when(shell, F.col(c).cast("double"))).alias(f"_m{i}") for i, c in enumerate(dc)]
+    )
     j = table.crossJoin(F.broadcast(tone))
     act = inner & (F.col("_shell") > 0) if mode == "blend" else inner
     new = {"opacity": F.when(act, F.col("opacity") + math.log(opacity_scale)).otherwise(F.col("opacity"))}
@@ -66,7 +73,11 @@ def repair_region(table: DataFrame, target: int, low: Sequence[float], high: Seq
     return j.withColumns({k: v.cast(kinds[k]) for k, v in new.items()}).select(*table.columns)
 
 
-def placement(occupancy: DataFrame, corners: Sequence[Sequence[float]], *, upper_x: float, lower_y: float, scale: float, translation: Sequence[float] = (0, 0, 0), rotation: Sequence[float] = (1, 0, 0, 0, 1, 0, 0, 0, 1), max_occupied: float = 0.05, max_unknown: float = 0.25) -> DataFrame:
+def placement(
+    occupancy: DataFrame, corners: Sequence[Sequence[float]], *, upper_x: float, lower_y: float, scale: float,
+    translation: Sequence[float] = (0, 0, 0), rotation: Sequence[float] = (1, 0, 0, 0, 1, 0, 0, 0, 1), max_occupied: float = 0.05,
+    max_unknown: float = 0.25
+) -> DataFrame:
     """One row: free, occupied, unknown pixels under the bottom face of a moved box, their shares and validity.
 
     occupancy: px, py, value (255 free, 0 occupied, 127 unknown). A pixel counts if its centre is in the convex
@@ -81,15 +92,23 @@ def placement(occupancy: DataFrame, corners: Sequence[Sequence[float]], *, upper
     area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(foot, foot[1:] + foot[:1], strict=True))
     sign = 1.0 if area >= 0 else -1.0
     xs, ys = [p[0] for p in foot], [p[1] for p in foot]
-    inside = F.col("px").between(math.floor(min(xs) - 0.5), math.ceil(max(xs) + 0.5)) & F.col("py").between(math.floor(min(ys) - 0.5), math.ceil(max(ys) + 0.5))
+    inside = F.col("px").between(
+        math.floor(min(xs) - 0.5), math.ceil(max(xs) + 0.5)
+    ) & F.col("py").between(math.floor(min(ys) - 0.5), math.ceil(max(ys) + 0.5))
     for (ax, ay), (bx, by) in zip(foot, foot[1:] + foot[:1], strict=True):
         length = math.hypot(bx - ax, by - ay)
         if length:
             inside = inside & (sign * ((bx - ax) * (F.col("py") - ay) - (by - ay) * (F.col("px") - ax)) / length >= -0.5)
-    n = occupancy.where(inside).agg(F.count("*").alias("n"), F.count_if(F.col("value") == 255).alias("free_pixels"), F.count_if(F.col("value") == 0).alias("occupied_pixels"), F.count_if(F.col("value") == 127).alias("unknown_pixels"))
+    n = occupancy.where(inside).agg(
+        F.count("*").alias("n"), F.count_if(F.col("value") == 255).alias("free_pixels"),
+        F.count_if(F.col("value") == 0).alias("occupied_pixels"), F.count_if(F.col("value") == 127).alias("unknown_pixels")
+    )
     share = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(1.0)
     valid = (F.col("n") > 0) & (share("occupied_pixels") <= max_occupied) & (share("unknown_pixels") <= max_unknown)
-    return n.select("free_pixels", "occupied_pixels", "unknown_pixels", F.lit(0).alias("outside_pixels"), share("occupied_pixels").alias("occupied_fraction"), share("unknown_pixels").alias("unknown_fraction"), valid.alias("valid"))
+    return n.select(
+        "free_pixels", "occupied_pixels", "unknown_pixels", F.lit(0).alias("outside_pixels"),
+        share("occupied_pixels").alias("occupied_fraction"), share("unknown_pixels").alias("unknown_fraction"), valid.alias("valid")
+    )
 
 
 def merge_categories(parts: Sequence[tuple[str, DataFrame]], palette: dict[str, Sequence[float]], min_selected: int = 1) -> DataFrame:

@@ -52,8 +52,15 @@ def greedy_match(pairs: DataFrame, *, merge: int = 16) -> DataFrame:
 def metrics(ids: DataFrame, matches: DataFrame) -> DataFrame:
     """One row of group and point level recall, precision and mean IoU; ratios with nothing below are 0."""
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    counts = ids.agg(F.count_if(F.col("gt") >= 0).alias("gt_points"), F.count_if(F.col("pred") >= 0).alias("pred_points"), F.count_distinct(F.when(F.col("gt") >= 0, F.col("gt"))).alias("gt_groups"), F.count_distinct(F.when(F.col("pred") >= 0, F.col("pred"))).alias("pred_groups"))
-    m = matches.agg(F.count("*").alias("matches"), F.coalesce(F.sum("n"), F.lit(0)).alias("matched_points"), F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou"))
+    counts = ids.agg(
+        F.count_if(F.col("gt") >= 0).alias("gt_points"), F.count_if(F.col("pred") >= 0).alias("pred_points"),
+        F.count_distinct(F.when(F.col("gt") >= 0, F.col("gt"))).alias("gt_groups"),
+        F.count_distinct(F.when(F.col("pred") >= 0, F.col("pred"))).alias("pred_groups")
+    )
+    m = matches.agg(
+        F.count("*").alias("matches"), F.coalesce(F.sum("n"), F.lit(0)).alias("matched_points"),
+        F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou")
+    )
     j = counts.crossJoin(m)
     return j.select(
         "gt_groups", "pred_groups", "matches", "mean_iou", "matched_points",
@@ -69,7 +76,9 @@ def metrics(ids: DataFrame, matches: DataFrame) -> DataFrame:
 def label_metrics(labels: DataFrame, matches: DataFrame) -> DataFrame:
     """(label, gt_groups, matched_groups, mean_iou) over labels: gt, label."""
     j = labels.join(matches.select("gt", "iou"), "gt", "left")
-    return j.groupBy("label").agg(F.count("*").alias("gt_groups"), F.count("iou").alias("matched_groups"), F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou"))
+    return j.groupBy("label").agg(
+        F.count("*").alias("gt_groups"), F.count("iou").alias("matched_groups"), F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou")
+    )
 
 
 def agreement(ids: DataFrame, matches: DataFrame) -> DataFrame:

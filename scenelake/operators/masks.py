@@ -26,32 +26,47 @@ def area_filter(instances: DataFrame, least: float, most: float) -> DataFrame:
     return instances.where(G.area_ratio("area", "width", "height").between(least, most))
 
 
-def proposal_filter(instances: DataFrame, pattern: str = L.FURNITURE, min_score: float = 0.25, least: float = 0.001, most: float = 0.45) -> DataFrame:
+def proposal_filter(
+    instances: DataFrame, pattern: str = L.FURNITURE, min_score: float = 0.25, least: float = 0.001, most: float = 0.45
+) -> DataFrame:
     """Labels that match, good enough candidates of allowed area; score becomes the candidate score; label_family added."""
     s = L.candidate_score("detection_score", "score")
     kept = area_filter(instances.where(L.matches("label", pattern)).where(s >= min_score), least, most)
     return kept.withColumns({"score": s, "label_family": L.family("label")})
 
 
-def category_filter(instances: DataFrame, specs: Sequence[tuple[str, str]] = L.CATEGORIES, min_score: float = 0.25, least: float = 0.001, most: float = 0.45, discovered: DataFrame | None = None) -> DataFrame:
+def category_filter(
+    instances: DataFrame, specs: Sequence[tuple[str, str]] = L.CATEGORIES, min_score: float = 0.25, least: float = 0.001,
+    most: float = 0.45, discovered: DataFrame | None = None
+) -> DataFrame:
     """Masks of a known category; with ``discovered`` (category) only of those that have instances."""
     s = L.candidate_score("detection_score", "score")
-    out = area_filter(instances.withColumn("category", L.category_index("label", specs)).where(F.col("category").isNotNull() & (s >= min_score)), least, most).withColumn("score", s)
+    out = area_filter(
+        instances.withColumn("category", L.category_index("label", specs)).where(F.col("category").isNotNull() & (s >= min_score)), least,
+        most
+    ).withColumn("score", s)
     return out if discovered is None else out.join(discovered.select("category").distinct(), "category", "left_semi")
 
 
-def single_object_filter(instances: DataFrame, pattern: str, *, min_score: float = 0.0, least: float = 0.0, most: float = 1.0, window: tuple[float, float, float, float] = (0.0, 1.0, 0.0, 1.0), frame_pattern: str | None = None) -> DataFrame:
+def single_object_filter(
+    instances: DataFrame, pattern: str, *, min_score: float = 0.0, least: float = 0.0, most: float = 1.0,
+    window: tuple[float, float, float, float] = (0.0, 1.0, 0.0, 1.0), frame_pattern: str | None = None
+) -> DataFrame:
     """Masks of one object by label, score, area and centre of the box in shares of the image."""
     cx = (F.col("x0") + F.col("x1")).cast("double") / 2 / F.greatest(F.col("width"), F.lit(1))
     cy = (F.col("y0") + F.col("y1")).cast("double") / 2 / F.greatest(F.col("height"), F.lit(1))
-    out = area_filter(instances.where(L.matches("label", pattern) & (L.candidate_score("detection_score", "score") >= min_score)), least, most)
+    out = area_filter(
+        instances.where(L.matches("label", pattern) & (L.candidate_score("detection_score", "score") >= min_score)), least, most
+    )
     out = out.where(cx.between(window[0], window[1]) & cy.between(window[2], window[3]))
     return out if frame_pattern is None else out.where(F.col("frame_stem").rlike(frame_pattern))
 
 
 def top_per(instances: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """The best k of each key by candidate score, then area, then position."""
-    order = Window.partitionBy(*keys).orderBy(L.candidate_score("detection_score", "score").desc(), F.desc("area"), "position", "instance_id")
+    order = Window.partitionBy(*keys).orderBy(
+        L.candidate_score("detection_score", "score").desc(), F.desc("area"), "position", "instance_id"
+    )
     return instances.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
@@ -64,7 +79,10 @@ def by_area(instances: DataFrame) -> DataFrame:
 def bounds(mask_pixels: DataFrame, *, exclusive: bool = True) -> DataFrame:
     """(frame, instance, area, x0, y0, x1, y1) from pixels; the far corner is one past the last pixel if exclusive."""
     add = 1 if exclusive else 0
-    return mask_pixels.groupBy(*KEYS).agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + add).alias("x1"), (F.max("y") + add).alias("y1"))
+    return mask_pixels.groupBy(*KEYS).agg(
+        F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + add).alias("x1"),
+        (F.max("y") + add).alias("y1")
+    )
 
 
 def painted(mask_pixels: DataFrame, instances: DataFrame) -> DataFrame:
@@ -84,7 +102,13 @@ def overlay(label_pixels: DataFrame, color: Column, base: DataFrame | None = Non
     if base is None:
         return drawn.select("frame_index", "x", "y", *[F.col("_c")[i].cast("int").alias(n) for i, n in enumerate(names)])
     j = base.join(drawn, ["frame_index", "x", "y"], "left")
-    return j.select("frame_index", "x", "y", *[F.when(F.col("_c").isNull(), F.col(n)).otherwise(C.blend_bytes(n, F.col("_c")[i], alpha)).cast("int").alias(n) for i, n in enumerate(names)])
+    return j.select(
+        "frame_index", "x", "y",
+        *[
+            F.when(F.col("_c").isNull(), F.col(n)).otherwise(C.blend_bytes(n, F.col("_c")[i], alpha)).cast("int").alias(n)
+            for i, n in enumerate(names)
+        ]
+    )
 
 
 def class_indices(instances: DataFrame) -> DataFrame:
@@ -95,7 +119,9 @@ def class_indices(instances: DataFrame) -> DataFrame:
 
 def vocabulary(instances: DataFrame, column: str = "instance_id", min_score: float = 0.0) -> DataFrame:
     """(raw, class_index): distinct ids or labels of good enough masks in sorted order, counted from 0."""
-    ids = instances.where(F.coalesce("score", F.lit(0.0)) >= min_score).where(F.col(column).isNotNull()).select(F.col(column).alias("raw")).distinct()
+    ids = instances.where(
+        F.coalesce("score", F.lit(0.0)) >= min_score
+    ).where(F.col(column).isNotNull()).select(F.col(column).alias("raw")).distinct()
     return numbered(ids, ["raw"], "class_index").withColumn("class_index", F.col("class_index").cast("int"))
 
 
@@ -109,7 +135,9 @@ def resized(label_pixels: DataFrame, size: tuple[int, int], target: tuple[int, i
     spark = label_pixels.sparkSession
     axis = lambda name, n_in, n_out: spark.range(n_out).select(F.col("id").cast("int").alias(f"t{name}"), F.floor(F.col("id") * n_in / n_out).cast("int").alias(name))
     wide = label_pixels.join(F.broadcast(axis("x", size[0], target[0])), "x").join(F.broadcast(axis("y", size[1], target[1])), "y")
-    return wide.select("frame_index", F.col("tx").alias("x"), F.col("ty").alias("y"), F.greatest("class_index", F.lit(-1)).alias("class_index"))
+    return wide.select(
+        "frame_index", F.col("tx").alias("x"), F.col("ty").alias("y"), F.greatest("class_index", F.lit(-1)).alias("class_index")
+    )
 
 
 def dilated(pixels: DataFrame, radius: int, width: int, height: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -122,7 +150,9 @@ def dilated(pixels: DataFrame, radius: int, width: int, height: int, keys: Seque
 
 def projected_masks(projected: DataFrame, ids: DataFrame, width: int, height: int, *, radius: int = 4, min_pixels: int = 64) -> DataFrame:
     """mask_pixels of discovered instances drawn from their visible points, small masks dropped."""
-    seeds = projected.where("valid and px is not null").join(ids.where("instance_id >= 0"), "gaussian_index").select("frame_index", "instance_id", F.col("px").alias("x"), F.col("py").alias("y"))
+    seeds = projected.where("valid and px is not null").join(ids.where("instance_id >= 0"), "gaussian_index").select(
+        "frame_index", "instance_id", F.col("px").alias("x"), F.col("py").alias("y")
+    )
     grown = dilated(seeds, radius, width, height)
     big = grown.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= min_pixels)
     return grown.join(big.select(*KEYS), list(KEYS), "left_semi")
@@ -130,10 +160,16 @@ def projected_masks(projected: DataFrame, ids: DataFrame, width: int, height: in
 
 def background_rows(frames: DataFrame, width: int, height: int, background_id: int = 0, score: float = 0.0) -> DataFrame:
     """One full-frame background instance per frame, inclusive box."""
-    return frames.select("frame_index", F.lit(background_id).alias("instance_id"), F.lit("background").alias("label"), F.lit(float(score)).alias("score"), F.lit(width * height).alias("area"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(width - 1).alias("x1"), F.lit(height - 1).alias("y1"))
+    return frames.select(
+        "frame_index", F.lit(background_id).alias("instance_id"), F.lit("background").alias("label"), F.lit(float(score)).alias("score"),
+        F.lit(width * height).alias("area"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(width - 1).alias("x1"),
+        F.lit(height - 1).alias("y1")
+    )
 
 
-def vote_instances(hits: DataFrame, ids: DataFrame, *, min_ratio: float = 0.2, min_count: int = 32, allowed: DataFrame | None = None) -> DataFrame:
+def vote_instances(
+    hits: DataFrame, ids: DataFrame, *, min_ratio: float = 0.2, min_count: int = 32, allowed: DataFrame | None = None
+) -> DataFrame:
     """(frame, mask, chosen, count, ratio): the discovered instance most of a mask's points belong to, null if too weak.
 
     Ratios are over all hits of the mask. ``allowed``: instances that a category may choose from.
@@ -145,7 +181,10 @@ def vote_instances(hits: DataFrame, ids: DataFrame, *, min_ratio: float = 0.2, m
         known = known.join(allowed.select(F.col("object_id").alias("chosen")), "chosen", "left_semi")
     n = known.groupBy(*KEYS, "chosen").agg(F.count("*").alias("n"))
     best = n.groupBy(*KEYS).agg(F.max(F.struct("n", (-F.col("chosen")).alias("c"))).alias("b"))
-    out = total.join(best, list(KEYS), "left").select(*KEYS, (-F.col("b.c")).alias("chosen"), F.coalesce("b.n", F.lit(0)).alias("count"), (F.coalesce("b.n", F.lit(0)) / F.col("total")).alias("ratio"))
+    out = total.join(best, list(KEYS), "left").select(
+        *KEYS, (-F.col("b.c")).alias("chosen"), F.coalesce("b.n", F.lit(0)).alias("count"),
+        (F.coalesce("b.n", F.lit(0)) / F.col("total")).alias("ratio")
+    )
     ok = (F.col("count") >= min_count) & (F.col("ratio") >= min_ratio)
     return out.withColumn("chosen", F.when(ok, F.col("chosen")))
 
@@ -153,7 +192,9 @@ def vote_instances(hits: DataFrame, ids: DataFrame, *, min_ratio: float = 0.2, m
 def track_hits(tracks: DataFrame, mask_pixels: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
     """(frame, instance, point3d_id): distinct track points on each mask after scaling to the mask's size."""
     x, y = (F.floor(F.col(c).cast("double") * t / s).cast("int").alias(c) for c, s, t in zip("xy", source, target, strict=True))
-    return tracks.where("point3d_id >= 0").select("frame_index", "point3d_id", x, y).join(mask_pixels, ["frame_index", "x", "y"]).select(*KEYS, "point3d_id").distinct()
+    return tracks.where("point3d_id >= 0").select("frame_index", "point3d_id", x, y).join(
+        mask_pixels, ["frame_index", "x", "y"]
+    ).select(*KEYS, "point3d_id").distinct()
 
 
 def multiclass(instances: DataFrame, categories: DataFrame, *, min_score: float = 0.0, per_frame: int | None = None) -> DataFrame:
@@ -162,7 +203,9 @@ def multiclass(instances: DataFrame, categories: DataFrame, *, min_score: float
     The category list is given by hand; it is broadcast as long as it is short.
     """
     s = L.candidate_score("detection_score", "score")
-    out = instances.crossJoin(broadcast_small(categories)).where(F.expr("label rlike concat('(?i)(', pattern, ')')")).where(s >= min_score).withColumn("score", s)
+    out = instances.crossJoin(broadcast_small(categories)).where(
+        F.expr("label rlike concat('(?i)(', pattern, ')')")
+    ).where(s >= min_score).withColumn("score", s)
     return out if per_frame is None else top_per(out, ["frame_index", "class_id"], per_frame)
 
 
@@ -174,7 +217,10 @@ def global_ids(instances: DataFrame, mode: str = "label-family", *, min_score: f
     return keyed.join(ids, "_key").withColumnRenamed("_key", "global_key")
 
 
-def cluster_hits(projected: DataFrame, clusters: DataFrame, mask_pixels: DataFrame, instances: DataFrame, *, min_visible: int = 16, min_hits: int = 8, min_ratio: float = 0.02) -> DataFrame:
+def cluster_hits(
+    projected: DataFrame, clusters: DataFrame, mask_pixels: DataFrame, instances: DataFrame, *, min_visible: int = 16, min_hits: int = 8,
+    min_ratio: float = 0.02
+) -> DataFrame:
     """(cluster_id, frame_index, instance_id, label, family, visible, hits, weight) of masks that cover a cluster."""
     own = projected.where("valid").join(clusters.where("cluster_id >= 0"), "gaussian_index")
     seen = own.groupBy("cluster_id", "frame_index").agg(F.count("*").alias("visible")).where(F.col("visible") >= min_visible)
@@ -183,7 +229,10 @@ def cluster_hits(projected: DataFrame, clusters: DataFrame, mask_pixels: DataFra
     ratio = F.col("hits") / F.col("visible")
     j = hits.join(seen, ["cluster_id", "frame_index"]).where((F.col("hits") >= min_hits) & (ratio >= min_ratio))
     j = j.join(instances.select(*KEYS, "label", "score"), list(KEYS))
-    return j.select("cluster_id", *KEYS, "label", L.family("label").alias("family"), "visible", "hits", (ratio * F.coalesce("score", F.lit(0.0))).alias("weight"))
+    return j.select(
+        "cluster_id", *KEYS, "label", L.family("label").alias("family"), "visible", "hits",
+        (ratio * F.coalesce("score", F.lit(0.0))).alias("weight")
+    )
 
 
 def cluster_scores(hits: DataFrame, by: str = "label") -> DataFrame:
@@ -203,7 +252,10 @@ def decisions(family_scores: DataFrame, tags: DataFrame, *, min_purity: float =
     """(cluster_id, accepted, reasons, purity, secondary) of every cluster in ``tags`` (cluster_id, tags)."""
     order = Window.partitionBy("cluster_id").orderBy(F.desc("score"))
     r = family_scores.withColumn("_r", F.row_number().over(order))
-    s = r.groupBy("cluster_id").agg(F.sum(F.greatest("score", F.lit(0.0))).alias("total"), F.max(F.when(F.col("_r") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("_r") == 2, F.col("score"))).alias("second"))
+    s = r.groupBy("cluster_id").agg(
+        F.sum(F.greatest("score", F.lit(0.0))).alias("total"), F.max(F.when(F.col("_r") == 1, F.col("score"))).alias("best"),
+        F.max(F.when(F.col("_r") == 2, F.col("score"))).alias("second")
+    )
     j = tags.join(s, "cluster_id", "left")
     supported = F.coalesce(F.col("total") > 0, F.lit(False))
     purity = F.when(supported, F.col("best") / F.col("total")).otherwise(0.0)
@@ -211,9 +263,17 @@ def decisions(family_scores: DataFrame, tags: DataFrame, *, min_purity: float =
     no = F.lit(None).cast("string")
     reasons = F.when(
         supported,
-        F.array_compact(F.array(F.when(purity < min_purity, "low_family_purity").otherwise(no), F.when(second > max_secondary, "mixed_secondary_family").otherwise(no), F.when(F.array_contains("tags", "panel_like"), "panel_like_geometry").otherwise(no))),
+        F.array_compact(
+            F.array(
+                F.when(purity < min_purity, "low_family_purity").otherwise(no),
+                F.when(second > max_secondary, "mixed_secondary_family").otherwise(no),
+                F.when(F.array_contains("tags", "panel_like"), "panel_like_geometry").otherwise(no)
+            )
+        ),
     ).otherwise(F.array(F.lit("no_semantic_support")))
-    return j.select("cluster_id", (F.size(reasons) == 0).alias("accepted"), reasons.alias("reasons"), purity.alias("purity"), second.alias("secondary"))
+    return j.select(
+        "cluster_id", (F.size(reasons) == 0).alias("accepted"), reasons.alias("reasons"), purity.alias("purity"), second.alias("secondary")
+    )
 
 
 def ranked_clusters(scores: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -227,7 +287,9 @@ def ranked_clusters(scores: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.select("cluster_id", "best", "gaussian_count", (F.col("rank") + 1).alias("rank"))
 
 
-def track_masks(kept: DataFrame, hits: DataFrame, *, min_points: int = 8, min_shared: int = 4, min_ratio: float = 0.08, min_masks: int = 3) -> DataFrame:
+def track_masks(
+    kept: DataFrame, hits: DataFrame, *, min_points: int = 8, min_shared: int = 4, min_ratio: float = 0.08, min_masks: int = 3
+) -> DataFrame:
     """(frame_index, instance_id, mask_index, category, group_id, rank): masks of one object by the 3D points they share.
 
     kept: frame_index, instance_id, category. hits: frame_index, instance_id, point3d_id. Masks are numbered by frame and
@@ -240,7 +302,9 @@ def track_masks(kept: DataFrame, hits: DataFrame, *, min_points: int = 8, min_sh
     groups = track_groups(tracks, min_shared=min_shared, min_ratio=min_ratio, min_masks=min_masks).drop("category")
     out = cut(index.join(groups, "mask_index"))
     names = numbered(out.where("group_id >= 0").select("category", "group_id").distinct(), ["group_id"], "rank", ["category"])
-    return out.join(names.select("group_id", (F.col("rank") + 1).alias("rank")), "group_id", "left").select(*KEYS, "mask_index", "category", "group_id", "rank")
+    return out.join(
+        names.select("group_id", (F.col("rank") + 1).alias("rank")), "group_id", "left"
+    ).select(*KEYS, "mask_index", "category", "group_id", "rank")
 
 
 def resolve_frames(images: DataFrame, frames: DataFrame) -> DataFrame:

@@ -63,7 +63,9 @@ def with_radius(points: DataFrame) -> DataFrame:
     return points.withColumn("radius", G.norm(*(F.col(c).cast("double") - F.lit(mid[c]).cast("double") for c in "xyz")))
 
 
-def measured(points: DataFrame, *, scale_percentile: float, radius_percentile: float, voxel_size: float | None, min_neighbours: int) -> DataFrame:
+def measured(
+    points: DataFrame, *, scale_percentile: float, radius_percentile: float, voxel_size: float | None, min_neighbours: int
+) -> DataFrame:
     """``points`` with size, radius, both cutoffs, and isolated."""
     base = with_radius(points).withColumn("size", scale_size())
     cut = percentiles(base, {"size_cutoff": ("size", scale_percentile / 100), "radius_cutoff": ("radius", radius_percentile / 100)})
@@ -73,7 +75,10 @@ def measured(points: DataFrame, *, scale_percentile: float, radius_percentile: f
 
 def prune_mask(points: DataFrame, spec: PruneSpec = PruneSpec()) -> DataFrame:
     """(gaussian_index, keep): every switched-on test passes."""
-    m = measured(points, scale_percentile=spec.scale_percentile, radius_percentile=spec.radius_percentile, voxel_size=spec.voxel_size, min_neighbours=spec.min_neighbours)
+    m = measured(
+        points, scale_percentile=spec.scale_percentile, radius_percentile=spec.radius_percentile, voxel_size=spec.voxel_size,
+        min_neighbours=spec.min_neighbours
+    )
     keep = F.lit(True)
     for on, test in (
         (spec.low_opacity, F.col("opacity") >= spec.opacity_logit),
@@ -87,19 +92,33 @@ def prune_mask(points: DataFrame, spec: PruneSpec = PruneSpec()) -> DataFrame:
 
 def quality_scores(points: DataFrame, spec: QualitySpec = QualitySpec()) -> DataFrame:
     """(gaussian_index, quality, low_opacity, isolated, extreme_scale, radius_outlier)."""
-    m = measured(points, scale_percentile=spec.scale_percentile, radius_percentile=spec.radius_percentile, voxel_size=spec.voxel_size, min_neighbours=spec.min_neighbours)
+    m = measured(
+        points, scale_percentile=spec.scale_percentile, radius_percentile=spec.radius_percentile, voxel_size=spec.voxel_size,
+        min_neighbours=spec.min_neighbours
+    )
     floor = max(spec.alpha_floor, 1e-6)
     alpha = sigmoid("opacity")
     extreme, far = F.col("size") > F.col("size_cutoff"), F.col("radius") > F.col("radius_cutoff")
     q = G.clip((alpha - floor) / (1 - floor), 0.0, 1.0)
-    for flag, factor in ((F.col("isolated"), spec.isolated_quality), (extreme, spec.extreme_scale_quality), (far, spec.radius_outlier_quality)):
+    for flag, factor in (
+        (F.col("isolated"), spec.isolated_quality), (extreme, spec.extreme_scale_quality), (far, spec.radius_outlier_quality)
+    ):
         q = q * F.when(flag, factor).otherwise(1.0)
-    return m.select("gaussian_index", G.clip(q, 0.0, 1.0).alias("quality"), (alpha < floor).alias("low_opacity"), "isolated", extreme.alias("extreme_scale"), far.alias("radius_outlier"))
+    return m.select(
+        "gaussian_index", G.clip(q, 0.0, 1.0).alias("quality"), (alpha < floor).alias("low_opacity"), "isolated",
+        extreme.alias("extreme_scale"), far.alias("radius_outlier")
+    )
 
 
-def noise_report(points: DataFrame, *, opacity_logit: float = -5.0, scale_percentile: float = 99.5, voxel_size: float | None = None, min_neighbours: int = 2) -> DataFrame:
+def noise_report(
+    points: DataFrame, *, opacity_logit: float = -5.0, scale_percentile: float = 99.5, voxel_size: float | None = None,
+    min_neighbours: int = 2
+) -> DataFrame:
     """One row of counts and quantiles; zeros for an empty table."""
-    m = measured(points, scale_percentile=scale_percentile, radius_percentile=100.0, voxel_size=voxel_size or (inferred_voxel(points)), min_neighbours=min_neighbours)
+    m = measured(
+        points, scale_percentile=scale_percentile, radius_percentile=100.0, voxel_size=voxel_size or (inferred_voxel(points)),
+        min_neighbours=min_neighbours
+    )
     qs = {f"{c}_p{str(q).replace('.', '_')}": (c, q / 100) for c in ("opacity", "size") for q in (50, 90, 99, 99.9)}
     found = percentiles(m, qs)
     return m.agg(
@@ -131,12 +150,20 @@ def finite_counts(table: DataFrame, columns: Sequence[str], opacity_logit: float
     for c in columns:
         fin = fin & G.finite(c)
     low = fin & (F.col("opacity") < opacity_logit)
-    return table.agg(F.count("*").alias("total"), F.count_if(~fin).alias("non_finite"), F.count_if(low).alias("low_opacity"), F.count_if(fin & ~low).alias("kept"))
+    return table.agg(
+        F.count("*").alias("total"), F.count_if(~fin).alias("non_finite"), F.count_if(low).alias("low_opacity"),
+        F.count_if(fin & ~low).alias("kept")
+    )
 
 
-def scene_bounds(points: DataFrame, visible: DataFrame, distance: DataFrame, keep: DataFrame, *, min_visible: int = 2, radius_percentile: float = 99.5, distance_percentile: float = 99.5, noise: bool = True) -> DataFrame:
+def scene_bounds(
+    points: DataFrame, visible: DataFrame, distance: DataFrame, keep: DataFrame, *, min_visible: int = 2, radius_percentile: float = 99.5,
+    distance_percentile: float = 99.5, noise: bool = True
+) -> DataFrame:
     """(gaussian_index, removed): seen in too few frames and far out or far from any camera, or noise."""
-    j = with_radius(points).join(visible.select("gaussian_index", "visible"), "gaussian_index").join(distance, "gaussian_index").join(keep.select("gaussian_index", "keep"), "gaussian_index")
+    j = with_radius(points).join(
+        visible.select("gaussian_index", "visible"), "gaussian_index"
+    ).join(distance, "gaussian_index").join(keep.select("gaussian_index", "keep"), "gaussian_index")
     cut = percentiles(j, {"r": ("radius", radius_percentile / 100), "d": ("camera_distance", distance_percentile / 100)})
     far = (F.col("radius") > F.lit(cut["r"]).cast("double")) | (F.col("camera_distance") > F.lit(cut["d"]).cast("double"))
     gone = (F.col("visible") < min_visible) & far

@@ -41,7 +41,11 @@ def percentiles(df: DataFrame, wanted: dict[str, tuple[Column | str, float]], ac
     slack = 4.0 / accuracy
     aggs = []
     for k, (_, q) in wanted.items():
-        aggs += [F.count(cols[k]).alias(f"n_{k}"), F.percentile_approx(cols[k], [max(0.0, q - slack), min(1.0, q + slack)], accuracy).alias(f"b_{k}"), F.min(cols[k]).alias(f"lo_{k}"), F.max(cols[k]).alias(f"hi_{k}")]
+        aggs += [
+            F.count(cols[k]).alias(f"n_{k}"),
+            F.percentile_approx(cols[k], [max(0.0, q - slack), min(1.0, q + slack)], accuracy).alias(f"b_{k}"),
+            F.min(cols[k]).alias(f"lo_{k}"), F.max(cols[k]).alias(f"hi_{k}")
+        ]
     got = df.agg(*aggs).first().asDict()
     ranges = {}
     for k, (_, q) in wanted.items():

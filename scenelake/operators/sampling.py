@@ -31,4 +31,6 @@ def context_sample(rows: DataFrame, selected: Column, budget: int, *, key: str =
     if n["all"] <= budget:
         return marked
     on = min(n["on"], max(1, budget // 2))
-    return sampled(marked.where("selected"), on, key=key, seed=seed).union(sampled(marked.where("not selected"), max(0, budget - on), key=key, seed=seed))
+    return sampled(marked.where("selected"), on, key=key, seed=seed).union(
+        sampled(marked.where("not selected"), max(0, budget - on), key=key, seed=seed)
+    )

@@ -65,7 +65,9 @@ def point_components(points: DataFrame, size: float, *, min_voxel_count: int = 1
     return at.join(voxel_ids, [*extra, *VOXEL], "left").select("gaussian_index", *extra, F.coalesce("id", F.lit(-1)).alias("component"))
 
 
-def rank_components(ids: DataFrame, *, min_points: int = 1, max_points: int | None = None, by: str | None = None, id_col: str = "component", top_k: int = 0) -> DataFrame:
+def rank_components(
+    ids: DataFrame, *, min_points: int = 1, max_points: int | None = None, by: str | None = None, id_col: str = "component", top_k: int = 0
+) -> DataFrame:
     """``ids`` with rank: components of allowed size renumbered by size descending, then old id; others -1."""
     extra = [by] if by else []
     n = ids.where(F.col(id_col) >= 0).groupBy(*extra, id_col).agg(F.count("*").alias("_n"))
@@ -90,30 +92,44 @@ def cluster_summary(ids: DataFrame, points: DataFrame, size: float, id_col: str
 def within_diagonal(ids: DataFrame, summary: DataFrame, most: float, id_col: str = "component") -> DataFrame:
     """``ids`` with components of too long a diagonal set to -1, to be ranked again."""
     big = summary.where(F.col("bbox_diag") > most).select(id_col)
-    return ids.join(big.withColumn("_big", F.lit(True)), id_col, "left").withColumn(id_col, F.when(F.col("_big"), -1).otherwise(F.col(id_col))).drop("_big")
+    return ids.join(big.withColumn("_big", F.lit(True)), id_col, "left").withColumn(
+        id_col, F.when(F.col("_big"), -1).otherwise(F.col(id_col))
+    ).drop("_big")
 
 
-def category_instances(best: DataFrame, points: DataFrame, size: float, *, min_voxel_count: int = 1, min_points: int = 1, top_k: int = 0, key: str = "category") -> DataFrame:
+def category_instances(
+    best: DataFrame, points: DataFrame, size: float, *, min_voxel_count: int = 1, min_points: int = 1, top_k: int = 0, key: str = "category"
+) -> DataFrame:
     """(gaussian_index, key, instance_id): components inside each category, numbered by (category, size rank); -1 for none.
 
     best: gaussian_index and the point's category, null or negative for none.
     """
     chosen = best.where(F.col(key) >= 0).join(points.select("gaussian_index", "x", "y", "z"), "gaussian_index")
-    ranked = rank_components(point_components(chosen, size, min_voxel_count=min_voxel_count, by=key), by=key, min_points=min_points, top_k=top_k)
+    ranked = rank_components(
+        point_components(chosen, size, min_voxel_count=min_voxel_count, by=key), by=key, min_points=min_points, top_k=top_k
+    )
     ids = numbered(ranked.where("rank >= 0").select(key, "rank").distinct(), [key, "rank"], "instance_id")
     named = ranked.where("rank >= 0").join(ids, [key, "rank"]).select("gaussian_index", F.col(key), "instance_id")
-    return points.select("gaussian_index").join(named, "gaussian_index", "left").withColumn("instance_id", F.coalesce("instance_id", F.lit(-1)))
+    return points.select("gaussian_index").join(named, "gaussian_index", "left").withColumn(
+        "instance_id", F.coalesce("instance_id", F.lit(-1))
+    )
 
 
-def best_category(votes: DataFrame, *, min_weight: float = 0.5, min_support: int = 2, min_foreground: float = 0.0, background: DataFrame | None = None) -> DataFrame:
+def best_category(
+    votes: DataFrame, *, min_weight: float = 0.5, min_support: int = 2, min_foreground: float = 0.0, background: DataFrame | None = None
+) -> DataFrame:
     """(gaussian_index, category, weight, support) of the heaviest category that passes all thresholds."""
     best = votes.groupBy("gaussian_index").agg(F.max(F.struct("weight", (-F.col("category")).alias("c"), "support")).alias("b"))
-    best = best.select("gaussian_index", (-F.col("b.c")).alias("category"), F.col("b.weight").alias("weight"), F.col("b.support").alias("support"))
+    best = best.select(
+        "gaussian_index", (-F.col("b.c")).alias("category"), F.col("b.weight").alias("weight"), F.col("b.support").alias("support")
+    )
     if background is not None:
         best = best.join(background, "gaussian_index", "left")
         seen = F.col("support") + F.coalesce("background", F.lit(0))
         best = best.where(F.when(seen > 0, F.col("support") / seen).otherwise(1.0) >= min_foreground)
-    return best.where((F.col("weight") >= min_weight) & (F.col("support") >= min_support)).select("gaussian_index", "category", "weight", "support")
+    return best.where(
+        (F.col("weight") >= min_weight) & (F.col("support") >= min_support)
+    ).select("gaussian_index", "category", "weight", "support")
 
 
 def instance_stats(named: DataFrame, values: list[str], id_col: str = "instance_id") -> DataFrame:
@@ -134,9 +150,14 @@ def box_frames(corners: DataFrame) -> DataFrame:
         corners = corners.join(last, ["object_id", "position"], "left_semi")
     c = lambda k: tuple(F.col("corners")[k][i] for i in range(3))
     inv, det = G.inverse_basis(c(0), c(1), c(3), c(4))
-    ok = (F.size("corners") == 8) & F.forall("corners", lambda p: (F.size(p) == 3) & F.forall(p, lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
+    ok = (F.size("corners") == 8) & F.forall(
+        "corners", lambda p: (F.size(p) == 3) & F.forall(p, lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    )
     shaped = corners.where(F.coalesce(ok, F.lit(False)))
-    return shaped.where(F.abs(det) > 1e-8).select("object_id", F.abs(det).alias("volume"), *[F.col("corners")[0][i].cast("double").alias(f"o{i}") for i in range(3)], *[e.alias(f"b{i // 3}{i % 3}") for i, e in enumerate(inv)])
+    return shaped.where(F.abs(det) > 1e-8).select(
+        "object_id", F.abs(det).alias("volume"), *[F.col("corners")[0][i].cast("double").alias(f"o{i}") for i in range(3)],
+        *[e.alias(f"b{i // 3}{i % 3}") for i, e in enumerate(inv)]
+    )
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, epsilon: float = 1e-4) -> DataFrame:
@@ -146,13 +167,17 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, epsilon: float = 1e-4)
     inside = F.lit(True)
     for v in local:
         inside = inside & v.between(-epsilon, 1 + epsilon)
-    return points.select("gaussian_index", "x", "y", "z").join(broadcast_small(boxes), inside).select("gaussian_index", "object_id", "volume")
+    return points.select("gaussian_index", "x", "y", "z").join(broadcast_small(boxes), inside).select(
+        "gaussian_index", "object_id", "volume"
+    )
 
 
 def assign_boxes(points: DataFrame, boxes: DataFrame, epsilon: float = 1e-4) -> DataFrame:
     """(gaussian_index, object_id): the smallest box by (volume, id) that holds the point, else -1."""
     best = points_in_boxes(points, boxes, epsilon).groupBy("gaussian_index").agg(F.min(F.struct("volume", "object_id")).alias("b"))
-    return points.select("gaussian_index").join(best.select("gaussian_index", F.col("b.object_id").alias("object_id")), "gaussian_index", "left").withColumn("object_id", F.coalesce("object_id", F.lit(-1)))
+    return points.select("gaussian_index").join(
+        best.select("gaussian_index", F.col("b.object_id").alias("object_id")), "gaussian_index", "left"
+    ).withColumn("object_id", F.coalesce("object_id", F.lit(-1)))
 
 
 def nearest(points: DataFrame, k: int = 8, *, sample: int | None = 4096, seed: int = 42) -> DataFrame:

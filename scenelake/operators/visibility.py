@@ -40,7 +40,10 @@ def project_points(points: DataFrame, frames: DataFrame, camera: Camera, *, vali
     wide = pair.select("frame_index", "gaussian_index", u.alias("_u"), v.alias("_v"), cam[2].alias("_d"))
     ok = G.in_view(F.col("_u"), F.col("_v"), F.col("_d"), camera.width, camera.height)
     out = wide.where(ok) if valid_only else wide
-    out = out.select("frame_index", "gaussian_index", F.col("_u").cast("float").alias("u"), F.col("_v").cast("float").alias("v"), F.col("_d").cast("float").alias("depth"), ok.alias("valid"))
+    out = out.select(
+        "frame_index", "gaussian_index", F.col("_u").cast("float").alias("u"), F.col("_v").cast("float").alias("v"),
+        F.col("_d").cast("float").alias("depth"), ok.alias("valid")
+    )
     px, py = G.pixel("u"), G.pixel("v")
     inside = F.col("valid") & (px < camera.width) & (py < camera.height)
     return out.withColumns({"px": F.when(inside, px.cast("int")), "py": F.when(inside, py.cast("int"))})
@@ -57,7 +60,9 @@ def front_surface(projected: DataFrame, margin: float = 0.03) -> DataFrame:
     A partial minimum per pixel joined back, in place of a window that would sort every point.
     """
     front = front_depth(projected)
-    return projected.where("valid").join(front, ["frame_index", "px", "py"]).where(F.col("depth") <= F.col("front") + F.lit(margin)).drop("front")
+    return projected.where("valid").join(front, ["frame_index", "px", "py"]).where(
+        F.col("depth") <= F.col("front") + F.lit(margin)
+    ).drop("front")
 
 
 def front_visible(subset: DataFrame, projected: DataFrame, *, margin_ratio: float = 0.05, min_margin: float = 0.03) -> DataFrame:
@@ -68,7 +73,9 @@ def front_visible(subset: DataFrame, projected: DataFrame, *, margin_ratio: floa
 
 def front_samples(projected: DataFrame, max_per_frame: int | None = None, seed: int = 42) -> DataFrame:
     """The first point of each pixel by depth, then index; at most so many a frame, in order of the draw."""
-    best = projected.where("valid and px is not null").groupBy("frame_index", "px", "py").agg(F.min(F.struct("depth", "gaussian_index")).alias("b"))
+    best = projected.where("valid and px is not null").groupBy("frame_index", "px", "py").agg(
+        F.min(F.struct("depth", "gaussian_index")).alias("b")
+    )
     out = best.select("frame_index", "px", "py", F.col("b.depth").alias("depth"), F.col("b.gaussian_index").alias("gaussian_index"))
     if max_per_frame is None:
         return out
@@ -82,7 +89,11 @@ def affine_fit(pairs: DataFrame, *, trim: float = 0.8, rounds: int = 4, least: i
     predicted constant c gives the least-norm answer. Every round judges all rows; a group that keeps too few stops.
     """
     trim = min(1.0, max(0.1, trim))
-    rows = cut(pairs.where(G.finite("predicted") & G.finite("target")).select(key, F.col("predicted").cast("double").alias("x"), F.col("target").cast("double").alias("y")))
+    rows = cut(
+        pairs.where(G.finite("predicted") & G.finite("target")).select(
+            key, F.col("predicted").cast("double").alias("x"), F.col("target").cast("double").alias("y")
+        )
+    )
     state = rows.withColumns({"keep": F.lit(True)})
     fit = None
     for _ in range(rounds):
@@ -95,18 +106,27 @@ def affine_fit(pairs: DataFrame, *, trim: float = 0.8, rounds: int = 4, least: i
             F.avg(F.when(F.col("keep"), F.col("y"))).alias("my"),
         )
         flat = F.col("mx") * F.col("mx") + 1
-        now = kept.select(key, "n", "k", F.coalesce("s", F.col("mx") * F.col("my") / flat).alias("scale"), F.coalesce("b", F.col("my") / flat).alias("shift"))
+        now = kept.select(
+            key, "n", "k", F.coalesce("s", F.col("mx") * F.col("my") / flat).alias("scale"),
+            F.coalesce("b", F.col("my") / flat).alias("shift")
+        )
         if fit is not None:  # a group that kept too few keeps its last fit
             old = fit.select(key, F.col("scale").alias("_s"), F.col("shift").alias("_b"))
             stop = F.col("k") < least
-            now = now.join(old, key).select(key, "n", "k", F.when(stop, F.col("_s")).otherwise(F.col("scale")).alias("scale"), F.when(stop, F.col("_b")).otherwise(F.col("shift")).alias("shift"))
+            now = now.join(old, key).select(
+                key, "n", "k", F.when(stop, F.col("_s")).otherwise(F.col("scale")).alias("scale"),
+                F.when(stop, F.col("_b")).otherwise(F.col("shift")).alias("shift")
+            )
         fit = cut(now)  # one row a frame; each round is used twice
         judged = rows.join(fit, key).withColumn("res", F.abs(F.col("scale") * F.col("x") + F.col("shift") - F.col("y")))
         limit = judged.groupBy(key).agg(F.percentile("res", F.lit(trim)).alias("limit"), F.median("res").alias("residual"))
         state = judged.join(limit, key).select(key, "x", "y", (F.col("res") <= F.col("limit")).alias("keep"))
         fit = fit.join(limit.select(key, "residual"), key)
     few = F.col("n") < least
-    return fit.select(key, F.when(few, 1.0).otherwise(F.col("scale")).alias("scale"), F.when(few, 0.0).otherwise(F.col("shift")).alias("shift"), F.when(few, float("inf")).otherwise(F.col("residual")).alias("residual"))
+    return fit.select(
+        key, F.when(few, 1.0).otherwise(F.col("scale")).alias("scale"), F.when(few, 0.0).otherwise(F.col("shift")).alias("shift"),
+        F.when(few, float("inf")).otherwise(F.col("residual")).alias("residual")
+    )
 
 
 def depth_behind(projected: DataFrame, depth: DataFrame, fits: DataFrame, *, ratio: float = 0.18, min_margin: float = 0.05) -> DataFrame:
@@ -114,16 +134,24 @@ def depth_behind(projected: DataFrame, depth: DataFrame, fits: DataFrame, *, rat
 
     depth: frame_index, px, py, d. Frames without a fit count as (1, 0).
     """
-    at = projected.where("valid").join(depth.select("frame_index", "px", "py", "d"), ["frame_index", "px", "py"]).join(fits.select("frame_index", "scale", "shift"), "frame_index", "left")
+    at = projected.where("valid").join(
+        depth.select("frame_index", "px", "py", "d"), ["frame_index", "px", "py"]
+    ).join(fits.select("frame_index", "scale", "shift"), "frame_index", "left")
     aligned = F.coalesce("scale", F.lit(1.0)) * F.col("d") + F.coalesce("shift", F.lit(0.0))
     limit = aligned + F.greatest(F.lit(min_margin), F.abs(aligned) * ratio)
     return at.select(*projected.columns, aligned.alias("aligned"), (F.col("depth") > limit).alias("behind"))
 
 
-def depth_consistent(projected: DataFrame, depth: DataFrame, *, max_samples: int = 30_000, trim: float = 0.8, ratio: float = 0.18, min_margin: float = 0.05) -> DataFrame:
+def depth_consistent(
+    projected: DataFrame, depth: DataFrame, *, max_samples: int = 30_000, trim: float = 0.8, ratio: float = 0.18, min_margin: float = 0.05
+) -> DataFrame:
     """Valid points that are not behind the fitted depth map of their frame."""
-    front = front_samples(projected, max_samples).join(depth, ["frame_index", "px", "py"]).select("frame_index", F.col("d").alias("predicted"), F.col("depth").alias("target"))
-    return depth_behind(projected, depth, affine_fit(front, trim=trim), ratio=ratio, min_margin=min_margin).where("not behind").drop("aligned", "behind")
+    front = front_samples(projected, max_samples).join(depth, ["frame_index", "px", "py"]).select(
+        "frame_index", F.col("d").alias("predicted"), F.col("depth").alias("target")
+    )
+    return depth_behind(
+        projected, depth, affine_fit(front, trim=trim), ratio=ratio, min_margin=min_margin
+    ).where("not behind").drop("aligned", "behind")
 
 
 def depth_outliers(behind: DataFrame, *, min_observed: int = 3, threshold: float = 0.6) -> DataFrame:
@@ -144,12 +172,16 @@ def camera_distance(points: DataFrame, frames: DataFrame) -> DataFrame:
     centre = [-(F.col(f"r0{i}") * F.col("t0") + F.col(f"r1{i}") * F.col("t1") + F.col(f"r2{i}") * F.col("t2")) for i in range(3)]
     c = frames.select(*[e.alias(f"c{i}") for i, e in enumerate(centre)])
     d = G.norm(*(F.col(p).cast("double") - F.col(f"c{i}") for i, p in enumerate("xyz")))
-    return points.select("gaussian_index", "x", "y", "z").crossJoin(broadcast_small(c)).groupBy("gaussian_index").agg(F.min(d).alias("camera_distance"))
+    return points.select("gaussian_index", "x", "y", "z").crossJoin(broadcast_small(c)).groupBy("gaussian_index").agg(
+        F.min(d).alias("camera_distance")
+    )
 
 
 def best_frame(projected: DataFrame, ids: DataFrame, frames: DataFrame) -> DataFrame:
     """(object_id, frame_index, visible): the frame that sees most of an object, the earliest of equals, 0 allowed."""
-    seen = projected.where("valid").join(ids.where("object_id >= 0"), "gaussian_index").groupBy("object_id", "frame_index").agg(F.count("*").alias("n"))
+    seen = projected.where("valid").join(
+        ids.where("object_id >= 0"), "gaussian_index"
+    ).groupBy("object_id", "frame_index").agg(F.count("*").alias("n"))
     grid = ids.where("object_id >= 0").select("object_id").distinct().crossJoin(broadcast_small(frames.select("frame_index")))
     full = grid.join(seen, ["object_id", "frame_index"], "left").fillna(0, ["n"])
     best = full.groupBy("object_id").agg(F.max(F.struct("n", (-F.col("frame_index")).alias("f"))).alias("b"))
@@ -159,7 +191,9 @@ def best_frame(projected: DataFrame, ids: DataFrame, frames: DataFrame) -> DataF
 def mask_hits(projected: DataFrame, mask_pixels: DataFrame) -> DataFrame:
     """(frame_index, instance_id, gaussian_index): valid points on a mask's pixels."""
     on = mask_pixels.select("frame_index", "instance_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    return projected.where("valid and px is not null").join(on, ["frame_index", "px", "py"]).select("frame_index", "instance_id", "gaussian_index")
+    return projected.where("valid and px is not null").join(on, ["frame_index", "px", "py"]).select(
+        "frame_index", "instance_id", "gaussian_index"
+    )
 
 
 def frame_votes(hits: DataFrame, instances: DataFrame, *, opacity: DataFrame | None = None, quality: DataFrame | None = None) -> DataFrame:
@@ -181,4 +215,6 @@ def frame_votes(hits: DataFrame, instances: DataFrame, *, opacity: DataFrame | N
 
 def background_support(projected: DataFrame, hits: DataFrame) -> DataFrame:
     """(gaussian_index, background): frames that see a point outside all masks."""
-    return projected.where("valid").join(hits.select("frame_index", "gaussian_index").distinct(), ["frame_index", "gaussian_index"], "left_anti").groupBy("gaussian_index").agg(F.count("*").alias("background"))
+    return projected.where("valid").join(
+        hits.select("frame_index", "gaussian_index").distinct(), ["frame_index", "gaussian_index"], "left_anti"
+    ).groupBy("gaussian_index").agg(F.count("*").alias("background"))

@@ -31,18 +31,28 @@ def candidates(instances: DataFrame, least: int = 1, most: int | None = None) ->
     return instances.where(keep if most is None else keep & (F.col("support_size") <= most))
 
 
-def instance_overlap(votes: DataFrame, instances: DataFrame, *, max_frame_gap: int = 1, min_shared: int = 32, min_ratio: float = 0.1, same_family: bool = False) -> DataFrame:
+def instance_overlap(
+    votes: DataFrame, instances: DataFrame, *, max_frame_gap: int = 1, min_shared: int = 32, min_ratio: float = 0.1,
+    same_family: bool = False
+) -> DataFrame:
     """(lhs, rhs, shared, overlap_ratio) of instances of frames at most ``max_frame_gap`` apart that share points.
 
     The band on frames becomes an equality by listing the later frames, so the join hashes on (point, frame).
     ``instances`` may hold candidates only and, for ``same_family``, a column label_family.
     """
     own = aggregate_votes(votes).select(*KEYS, "gaussian_index").join(instances.select(*KEYS, "local_index"), list(KEYS))
-    left = own.select("gaussian_index", F.col("local_index").alias("lhs"), F.explode(F.sequence(F.col("frame_index") + 1, F.col("frame_index") + max_frame_gap)).alias("frame_index"))
+    left = own.select(
+        "gaussian_index", F.col("local_index").alias("lhs"),
+        F.explode(F.sequence(F.col("frame_index") + 1, F.col("frame_index") + max_frame_gap)).alias("frame_index")
+    )
     right = own.select("gaussian_index", "frame_index", F.col("local_index").alias("rhs"))
-    shared = left.join(right, ["gaussian_index", "frame_index"]).groupBy("lhs", "rhs").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    shared = left.join(
+        right, ["gaussian_index", "frame_index"]
+    ).groupBy("lhs", "rhs").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
     side = lambda name: instances.select(F.col("local_index").alias(name), F.col("support_size").alias(f"_n_{name}"), *([F.col("label_family").alias(f"_f_{name}")] if same_family else []))
-    pairs = shared.join(side("lhs"), "lhs").join(side("rhs"), "rhs").withColumn("overlap_ratio", F.col("shared") / F.least("_n_lhs", "_n_rhs"))
+    pairs = shared.join(side("lhs"), "lhs").join(side("rhs"), "rhs").withColumn(
+        "overlap_ratio", F.col("shared") / F.least("_n_lhs", "_n_rhs")
+    )
     keep = F.col("overlap_ratio") >= min_ratio
     if same_family:
         keep = keep & (F.col("_f_lhs") == F.col("_f_rhs"))
@@ -58,7 +68,9 @@ def global_objects(instances: DataFrame, pairs: DataFrame, candidate: Column | N
     named = named.withColumn("_root", root)
     ids = numbered(named.where("_root is not null").select("_root").distinct(), ["_root"], "object_id")
     # one row an instance, used by several branches of most summaries
-    return cut(named.join(ids, "_root", "left").withColumn("object_id", F.coalesce("object_id", F.lit(-1))).select(*instances.columns, "object_id"))
+    return cut(
+        named.join(ids, "_root", "left").withColumn("object_id", F.coalesce("object_id", F.lit(-1))).select(*instances.columns, "object_id")
+    )
 
 
 def argmax(df: DataFrame, key: str, value: str, choice: str) -> DataFrame:
@@ -69,9 +81,13 @@ def argmax(df: DataFrame, key: str, value: str, choice: str) -> DataFrame:
 
 def assign_objects(votes: DataFrame, instances: DataFrame, points: DataFrame, min_weight: float = 1e-4) -> DataFrame:
     """(gaussian_index, object_id) of every point: its heaviest object; -1 without votes or at most ``min_weight``."""
-    per = votes.join(instances.where("object_id >= 0").select(*KEYS, "object_id"), list(KEYS)).groupBy("gaussian_index", "object_id").agg(F.sum("weight").alias("weight"))
+    per = votes.join(
+        instances.where("object_id >= 0").select(*KEYS, "object_id"), list(KEYS)
+    ).groupBy("gaussian_index", "object_id").agg(F.sum("weight").alias("weight"))
     best = argmax(per, "gaussian_index", "weight", "object_id").where(F.col("weight") > F.lit(min_weight))
-    return points.select("gaussian_index").join(best.select("gaussian_index", "object_id"), "gaussian_index", "left").withColumn("object_id", F.coalesce("object_id", F.lit(-1)))
+    return points.select("gaussian_index").join(
+        best.select("gaussian_index", "object_id"), "gaussian_index", "left"
+    ).withColumn("object_id", F.coalesce("object_id", F.lit(-1)))
 
 
 def object_geometry(ids: DataFrame, points: DataFrame, key: str = "object_id") -> DataFrame:
@@ -86,7 +102,9 @@ def object_evidence(votes: DataFrame, instances: DataFrame) -> DataFrame:
     """Support frames, instance count and total vote weight of each object, over all its instances' votes."""
     held = instances.where("object_id >= 0")
     weights = votes.join(held.select(*KEYS, "object_id"), list(KEYS)).groupBy("object_id").agg(F.sum("weight").alias("total_vote_weight"))
-    frames = held.groupBy("object_id").agg(F.array_sort(F.collect_set("frame_index")).alias("support_frames"), F.count("*").alias("instance_count"))
+    frames = held.groupBy("object_id").agg(
+        F.array_sort(F.collect_set("frame_index")).alias("support_frames"), F.count("*").alias("instance_count")
+    )
     return frames.join(weights, "object_id", "left")
 
 
@@ -120,17 +138,28 @@ def top_proposals(summary: DataFrame, k: int = 0, min_points: int = 0, min_frame
 
 def vote_summary(votes: DataFrame, points: DataFrame) -> DataFrame:
     """One row: instances, points covered, coverage ratio (0 without points), votes."""
-    s = votes.agg(F.count_distinct(F.struct(*KEYS)).alias("instance_count"), F.count_distinct("gaussian_index").alias("covered_count"), F.count("*").alias("vote_count"))
+    s = votes.agg(
+        F.count_distinct(F.struct(*KEYS)).alias("instance_count"), F.count_distinct("gaussian_index").alias("covered_count"),
+        F.count("*").alias("vote_count")
+    )
     n = points.agg(F.count("*").alias("_n"))
-    return s.crossJoin(n).select("instance_count", "covered_count", "vote_count", F.when(F.col("_n") > 0, F.col("covered_count") / F.col("_n")).otherwise(0.0).alias("coverage_ratio"))
+    return s.crossJoin(n).select(
+        "instance_count", "covered_count", "vote_count",
+        F.when(F.col("_n") > 0, F.col("covered_count") / F.col("_n")).otherwise(0.0).alias("coverage_ratio")
+    )
 
 
 def category_votes(votes: DataFrame, categories: DataFrame) -> DataFrame:
     """(gaussian_index, category, weight, support): summed weight and number of votes by category of the instance."""
-    return votes.join(categories.select(*KEYS, "category"), list(KEYS)).groupBy("gaussian_index", "category").agg(F.sum("weight").alias("weight"), F.count("*").alias("support"))
+    return votes.join(categories.select(*KEYS, "category"), list(KEYS)).groupBy("gaussian_index", "category").agg(
+        F.sum("weight").alias("weight"), F.count("*").alias("support")
+    )
 
 
-def select_groups(sizes: DataFrame, *, skip_largest: int = 0, min_size: int = 0, include: list[int] | None = None, exclude: list[int] | None = None, top_k: int | None = None, id_col: str = "object_id", size_col: str = "n") -> DataFrame:
+def select_groups(
+    sizes: DataFrame, *, skip_largest: int = 0, min_size: int = 0, include: list[int] | None = None, exclude: list[int] | None = None,
+    top_k: int | None = None, id_col: str = "object_id", size_col: str = "n"
+) -> DataFrame:
     """Ids by size: skip the largest, then bound the size, then in- and exclude, then take the top k."""
     order = [F.desc(size_col), id_col]
     s = numbered(sizes, order, "_r") if skip_largest else sizes.withColumn("_r", F.lit(0))
@@ -167,7 +196,13 @@ def track_groups(tracks: DataFrame, *, min_shared: int = 4, min_ratio: float = 0
     n = lambda c: size.select(F.col("mask_index").alias(c), F.col("support").alias(f"_{c}"))
     edges = shared.join(n("lhs"), "lhs").join(n("rhs"), "rhs").where(F.col("shared") / F.least("_lhs", "_rhs") >= min_ratio)
     parts = connected_components(edges, "lhs", "rhs")
-    named = size.join(parts.withColumnRenamed("node", "mask_index"), "mask_index", "left").withColumn("root", F.coalesce("component", F.col("mask_index").cast("long")))
-    groups = named.groupBy("root").agg(F.count("*").alias("masks"), F.sum("support").alias("total"), F.min("mask_index").alias("first")).where(F.col("masks") >= min_masks)
+    named = size.join(
+        parts.withColumnRenamed("node", "mask_index"), "mask_index", "left"
+    ).withColumn("root", F.coalesce("component", F.col("mask_index").cast("long")))
+    groups = named.groupBy("root").agg(
+        F.count("*").alias("masks"), F.sum("support").alias("total"), F.min("mask_index").alias("first")
+    ).where(F.col("masks") >= min_masks)
     groups = numbered(groups, [F.desc("masks"), F.desc("total"), "first"], "group_id")
-    return named.join(groups.select("root", "group_id"), "root", "left").select("mask_index", "category", F.coalesce("group_id", F.lit(-1)).alias("group_id"))
+    return named.join(groups.select("root", "group_id"), "root", "left").select(
+        "mask_index", "category", F.coalesce("group_id", F.lit(-1)).alias("group_id")
+    )

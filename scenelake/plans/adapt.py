@@ -78,18 +78,28 @@ class Scene:
     @property
     def mask_pixels(self) -> DataFrame:
         """The pixels of each instance's box."""
-        wide = self.instances.select("frame_index", "instance_id", "y0", "y1", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
+        wide = self.instances.select(
+            "frame_index", "instance_id", "y0", "y1", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x")
+        )
         return wide.select("frame_index", "instance_id", "x", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
 
     @property
     def box_corners(self) -> DataFrame:
-        o, x, y, z = ((F.col("ox"), F.col("oy"), F.col("oz")), (F.col("ex"), F.col("skew"), F.lit(0.0)), (F.lit(0.0), F.col("ey"), F.lit(0.0)), (F.lit(0.0), F.lit(0.0), F.col("ez")))
+        o, x, y, z = (
+            (F.col("ox"), F.col("oy"), F.col("oz")), (F.col("ex"), F.col("skew"), F.lit(0.0)), (F.lit(0.0), F.col("ey"), F.lit(0.0)),
+            (F.lit(0.0), F.lit(0.0), F.col("ez"))
+        )
         add = lambda *v: F.array(*[sum((e[i] for e in v[1:]), v[0][i]) for i in range(3)])
-        return self.boxes.select("object_id", "label", F.array(add(o), add(o, x), add(o, x, y), add(o, y), add(o, z), add(o, x, z), add(o, x, y, z), add(o, y, z)).alias("corners"))
+        return self.boxes.select(
+            "object_id", "label",
+            F.array(add(o), add(o, x), add(o, x, y), add(o, y), add(o, z), add(o, x, z), add(o, x, y, z), add(o, y, z)).alias("corners")
+        )
 
     @property
     def depth(self) -> DataFrame:
         """A depth map for every frame: smooth, with steps."""
         n = self.spark.range(100)
         grid = n.select(F.col("id").cast("int").alias("px")).crossJoin(n.select(F.col("id").cast("int").alias("py")))
-        return self.frames.select("frame_index").crossJoin(F.broadcast(grid)).withColumn("d", (1 + (F.col("px") * 3 + F.col("py") * 7 + F.col("frame_index")) % 40).cast("double") / 8)
+        return self.frames.select("frame_index").crossJoin(F.broadcast(grid)).withColumn(
+            "d", (1 + (F.col("px") * 3 + F.col("py") * 7 + F.col("frame_index")) % 40).cast("double") / 8
+        )

@@ -18,7 +18,10 @@ class _Slice(InputPartition):
         self.first, self.last = first, last
 
 
-_SPARK = {"b": "boolean", "i1": "tinyint", "i2": "smallint", "i4": "int", "i8": "bigint", "u1": "smallint", "u2": "int", "u4": "bigint", "f2": "float", "f4": "float", "f8": "double"}
+_SPARK = {
+    "b": "boolean", "i1": "tinyint", "i2": "smallint", "i4": "int", "i8": "bigint", "u1": "smallint", "u2": "int", "u4": "bigint",
+    "f2": "float", "f4": "float", "f8": "double"
+}
 
 
 def _kind(dtype: np.dtype) -> str:
@@ -44,7 +47,9 @@ class _Reader(DataSourceReader):
                 rows = rows.astype({1: np.int16, 2: np.int32, 4: np.int64}[rows.dtype.itemsize])
             if rows.dtype == np.float16:
                 rows = rows.astype(np.float32)
-            value = pa.array(rows) if rows.ndim == 1 else pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.from_numpy_dtype(rows.dtype)))
+            value = pa.array(rows) if rows.ndim == 1 else pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(
+                pa.list_(pa.from_numpy_dtype(rows.dtype))
+            )
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(rows), dtype=np.int64)), value], [self.index, "value"])
 
 
@@ -92,7 +97,9 @@ def read_npy(spark: SparkSession, path: str, value: str = "value", index: str =
 def read_depth(spark: SparkSession, path: str, frame_index: int) -> DataFrame:
     """(frame_index, px, py, d) of a 2-D depth map."""
     rows = read_npy(spark, path, "row", "py")
-    return rows.select(F.lit(frame_index).alias("frame_index"), F.col("py").cast("int").alias("py"), F.posexplode("row").alias("px", "d")).withColumn("d", F.col("d").cast("double"))
+    return rows.select(
+        F.lit(frame_index).alias("frame_index"), F.col("py").cast("int").alias("py"), F.posexplode("row").alias("px", "d")
+    ).withColumn("d", F.col("d").cast("double"))
 
 
 def _npz(spark: SparkSession, path: str, names: dict[str, str], schema: str) -> DataFrame:
@@ -102,7 +109,9 @@ def _npz(spark: SparkSession, path: str, names: dict[str, str], schema: str) ->
                 with np.load(io.BytesIO(raw)) as z:
                     n = len(z[next(iter(names))])
                     for lo in range(0, n, 65_536):
-                        yield pa.RecordBatch.from_arrays([pa.array(z[k][lo : lo + 65_536].astype(t)) for k, t in names.items()], list(names))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(z[k][lo : lo + 65_536].astype(t)) for k, t in names.items()], list(names)
+                        )
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
@@ -111,7 +120,10 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
     """votes from Parquet, or from an .npz of four parallel arrays."""
     if not path.endswith(".npz"):
         return spark.read.parquet(path)
-    raw = _npz(spark, path, {"frame_indices": "i4", "instance_ids": "i4", "gaussian_indices": "i8", "weights": "f4"}, "frame_indices int, instance_ids int, gaussian_indices long, weights float")
+    raw = _npz(
+        spark, path, {"frame_indices": "i4", "instance_ids": "i4", "gaussian_indices": "i8", "weights": "f4"},
+        "frame_indices int, instance_ids int, gaussian_indices long, weights float"
+    )
     return raw.toDF("frame_index", "instance_id", "gaussian_index", "weight")
 
 
@@ -119,7 +131,10 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """Association edges from Parquet or .npz: lhs, rhs, shared, overlap_ratio."""
     if not path.endswith(".npz"):
         return spark.read.parquet(path)
-    raw = _npz(spark, path, {"lhs_local_index": "i4", "rhs_local_index": "i4", "shared_gaussians": "i4", "overlap_ratio": "f4"}, "lhs_local_index int, rhs_local_index int, shared_gaussians int, overlap_ratio float")
+    raw = _npz(
+        spark, path, {"lhs_local_index": "i4", "rhs_local_index": "i4", "shared_gaussians": "i4", "overlap_ratio": "f4"},
+        "lhs_local_index int, rhs_local_index int, shared_gaussians int, overlap_ratio float"
+    )
     return raw.toDF("lhs", "rhs", "shared", "overlap_ratio")
 
 

@@ -22,7 +22,10 @@ SCALARS = {
     "char": ("<i1", T.ByteType()), "uchar": ("<u1", T.ShortType()), "short": ("<i2", T.ShortType()), "ushort": ("<u2", T.IntegerType()),
     "int": ("<i4", T.IntegerType()), "uint": ("<u4", T.LongType()), "float": ("<f4", T.FloatType()), "double": ("<f8", T.DoubleType()),
 }
-_ALIASES = {"int8": "char", "uint8": "uchar", "int16": "short", "uint16": "ushort", "int32": "int", "uint32": "uint", "float32": "float", "float64": "double"}
+_ALIASES = {
+    "int8": "char", "uint8": "uchar", "int16": "short", "uint16": "ushort", "int32": "int", "uint32": "uint", "float32": "float",
+    "float64": "double"
+}
 INDEX = "gaussian_index"
 
 
@@ -138,7 +141,10 @@ class _Writer(FileWriter):
         return out.tobytes()
 
     def header(self, rows: int) -> bytes:
-        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {rows}", *(f"property {t} {n}" for t, n in self.properties), "end_header"]
+        lines = [
+            "ply", "format binary_little_endian 1.0", f"element vertex {rows}", *(f"property {t} {n}" for t, n in self.properties),
+            "end_header"
+        ]
         return ("\n".join(lines) + "\n").encode()
 
 
@@ -149,7 +155,10 @@ class _TextWriter(FileWriter):
         return "".join(f"{v}\n" for v in batch.column(0).to_pylist()).encode()
 
     def header(self, rows: int) -> bytes:
-        lines = ["ply", "format ascii 1.0", f"element vertex {rows}", *(f"property float {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue")), "end_header"]
+        lines = [
+            "ply", "format ascii 1.0", f"element vertex {rows}", *(f"property float {c}" for c in "xyz"),
+            *(f"property uchar {c}" for c in ("red", "green", "blue")), "end_header"
+        ]
         return ("\n".join(lines) + "\n").encode()
 
 
@@ -192,7 +201,9 @@ COLORS = ("red", "green", "blue", "alpha")
 
 def _properties(schema: T.StructType) -> list[tuple[str, str]]:
     """Header types of the columns. PLY has no 64-bit integer: a LONG is written as int, and a value beyond it is an error."""
-    kinds = {T.ByteType: "char", T.ShortType: "short", T.IntegerType: "int", T.LongType: "int", T.FloatType: "float", T.DoubleType: "double"}
+    kinds = {
+        T.ByteType: "char", T.ShortType: "short", T.IntegerType: "int", T.LongType: "int", T.FloatType: "float", T.DoubleType: "double"
+    }
     of = lambda f: "uchar" if f.name in COLORS and isinstance(f.dataType, T.IntegralType) else kinds[type(f.dataType)]
     return [(of(f), f.name) for f in schema.fields if f.name != INDEX]
 
@@ -231,12 +242,17 @@ def write_ply(table: DataFrame, path: str, properties: list[tuple[str, str]] | N
     ordered = table.repartitionByRange(INDEX).sortWithinPartitions(INDEX)
     names = [n for _, n in properties] if properties else [c for c in table.columns if c != INDEX]
     told = properties or _properties(table.schema)
-    ordered.select(*names).write.format("ply").option("path", path).option("properties", ",".join(f"{t} {n}" for t, n in told)).mode("append").save()
+    ordered.select(*names).write.format("ply").option("path", path).option(
+        "properties", ",".join(f"{t} {n}" for t, n in told)
+    ).mode("append").save()
 
 
 def write_ascii(table: DataFrame, path: str) -> None:
     """x, y, z and byte colours red, green, blue as an ASCII PLY, in order of gaussian_index."""
     table.sparkSession.dataSource.register(PlyTextDataSource)
     ordered = table.repartitionByRange(INDEX).sortWithinPartitions(INDEX)
-    line = F.concat_ws(" ", *(F.format_string("%.6f", F.col(c).cast("double")) for c in "xyz"), *(F.col(c).cast("int").cast("string") for c in ("red", "green", "blue")))
+    line = F.concat_ws(
+        " ", *(F.format_string("%.6f", F.col(c).cast("double")) for c in "xyz"),
+        *(F.col(c).cast("int").cast("string") for c in ("red", "green", "blue"))
+    )
     ordered.select(line.alias("line")).write.format("plytext").option("path", path).mode("append").save()

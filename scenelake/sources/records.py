@@ -65,6 +65,8 @@ def exact(column: pa.Array, dtype: np.dtype, name: str) -> np.ndarray:
     values = column.to_numpy(zero_copy_only=False)
     if dtype.kind in "iu" and len(values):
         held = np.iinfo(dtype)
-        if column.null_count or values.min() < held.min or values.max() > held.max or (values.dtype.kind == "f" and (values != np.floor(values)).any()):
+        if column.null_count or values.min() < held.min or values.max() > held.max or (
+            values.dtype.kind == "f" and (values != np.floor(values)).any()
+        ):
             raise ValueError(f"column {name!r} has values that {dtype} cannot hold")
     return values.astype(dtype)

@@ -36,8 +36,12 @@ def read_transforms(spark: SparkSession, path: str) -> tuple[DataFrame, Camera]:
         raise ValueError(f"{path} holds no camera")
     model = (c["camera_model"] or "PINHOLE").upper()
     names = ("k1", "k2", "k3", "k4") if model == "OPENCV_FISHEYE" else ("k1", "k2", "p1", "p2", "k3", "k4")
-    camera = Camera(c["fl_x"], c["fl_y"], c["cx"], c["cy"], c["w"], c["h"], model, tuple(c[k] or 0.0 for k in names) if model != "PINHOLE" else ())
-    f = doc.select(F.posexplode("frames").alias("frame_index", "f")).select("frame_index", F.col("f.file_path").alias("file_path"), F.col("f.transform_matrix").alias("m"))
+    camera = Camera(
+        c["fl_x"], c["fl_y"], c["cx"], c["cy"], c["w"], c["h"], model, tuple(c[k] or 0.0 for k in names) if model != "PINHOLE" else ()
+    )
+    f = doc.select(F.posexplode("frames").alias("frame_index", "f")).select(
+        "frame_index", F.col("f.file_path").alias("file_path"), F.col("f.transform_matrix").alias("m")
+    )
     return f.select("frame_index", "file_path", *inverse_pose(F.col("m"))), camera
 
 
@@ -52,7 +56,9 @@ def inverse_pose(m: Column) -> list[Column]:
 
 
 #: Parameters of a COLMAP camera by model number: name and count, as published.
-COLMAP_MODELS = {0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8), 5: ("OPENCV_FISHEYE", 8)}
+COLMAP_MODELS = {
+    0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8), 5: ("OPENCV_FISHEYE", 8)
+}
 
 
 def _colmap_images(raw: bytes):
@@ -81,9 +87,17 @@ def read_colmap_tracks(spark: SparkSession, path: str) -> DataFrame:
                     p = np.frombuffer(points, kind)
                     p = p[p["id"] >= 0]
                     stem = os.path.splitext(os.path.basename(name))[0]
-                    yield pa.RecordBatch.from_arrays([pa.array([stem] * len(p), pa.string()), pa.array(p["x"].copy()), pa.array(p["y"].copy()), pa.array(p["id"].copy())], ["frame_stem", "x", "y", "point3d_id"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([stem] * len(p), pa.string()), pa.array(p["x"].copy()), pa.array(p["y"].copy()),
+                            pa.array(p["id"].copy())
+                        ],
+                        ["frame_stem", "x", "y", "point3d_id"]
+                    )
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "frame_stem string, x double, y double, point3d_id long")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(
+        run, "frame_stem string, x double, y double, point3d_id long"
+    )
 
 
 def read_colmap_scene(spark: SparkSession, folder: str, downscale: int = 1, rounding: str = "floor") -> tuple[DataFrame, Camera]:
@@ -97,10 +111,18 @@ def read_colmap_scene(spark: SparkSession, folder: str, downscale: int = 1, roun
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["file_path", "qw", "qx", "qy", "qz", "t0", "t1", "t2"])
 
-    im = spark.read.format("binaryFile").load(f"{folder}/images.bin").select("content").mapInArrow(run, "file_path string, qw double, qx double, qy double, qz double, t0 double, t1 double, t2 double")
+    im = spark.read.format("binaryFile").load(f"{folder}/images.bin").select("content").mapInArrow(
+        run, "file_path string, qw double, qx double, qy double, qz double, t0 double, t1 double, t2 double"
+    )
     w, x, y, z = (F.col(c) for c in ("qw", "qx", "qy", "qz"))
-    rot = [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]
-    frames = numbered(im, ["file_path"], "frame_index").select(F.col("frame_index").cast("int").alias("frame_index"), "file_path", *[e.alias(f"r{i // 3}{i % 3}") for i, e in enumerate(rot)], "t0", "t1", "t2")
+    rot = [
+        1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z),
+        2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)
+    ]
+    frames = numbered(im, ["file_path"], "frame_index").select(
+        F.col("frame_index").cast("int").alias("frame_index"), "file_path", *[e.alias(f"r{i // 3}{i % 3}") for i, e in enumerate(rot)],
+        "t0", "t1", "t2"
+    )
     raw = bytes(spark.read.format("binaryFile").load(f"{folder}/cameras.bin").first()["content"])
     _, model, width, height = struct.unpack_from("<IiQQ", raw, 8)
     name, n = COLMAP_MODELS[model]
@@ -110,7 +132,9 @@ def read_colmap_scene(spark: SparkSession, folder: str, downscale: int = 1, roun
     step = {"floor": math.floor, "round": round, "ceil": math.ceil}[rounding]
     fx, fy, cx, cy, *dist = p
     kind = {"SIMPLE_PINHOLE": "PINHOLE", "SIMPLE_RADIAL": "OPENCV", "RADIAL": "OPENCV"}.get(name, name)
-    return frames, Camera(fx / downscale, fy / downscale, cx / downscale, cy / downscale, step(width / downscale), step(height / downscale), kind, tuple(dist))
+    return frames, Camera(
+        fx / downscale, fy / downscale, cx / downscale, cy / downscale, step(width / downscale), step(height / downscale), kind, tuple(dist)
+    )
 
 
 def read_manifests(spark: SparkSession, root: str, pattern: str = "*/instances.json") -> DataFrame:
@@ -119,15 +143,23 @@ def read_manifests(spark: SparkSession, root: str, pattern: str = "*/instances.j
     Columns of the mask operators, with frame_stem (the folder) and frame_ordinal (its place among all, by name).
     """
     docs = spark.read.schema(MANIFEST).option("multiLine", True).json(f"{root}/{pattern}").withColumn("_file", F.col("_metadata.file_path"))
-    bad = docs.where("frame_index is null or image_path is null or image_size is null or instances is null").select("_file").limit(1).collect()
+    bad = docs.where(
+        "frame_index is null or image_path is null or image_size is null or instances is null"
+    ).select("_file").limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0][0]} lacks a required key")
     docs = docs.withColumn("frame_stem", F.element_at(F.split("_file", "/"), -2))
     order = docs.select("frame_stem").distinct()
     order = numbered(order, ["frame_stem"], "frame_ordinal").withColumn("frame_ordinal", F.col("frame_ordinal").cast("int"))
-    flat = docs.join(order, "frame_stem").select("frame_stem", "frame_ordinal", "frame_index", "image_path", F.col("image_size")[0].alias("width"), F.col("image_size")[1].alias("height"), F.posexplode("instances").alias("position", "i"))
+    flat = docs.join(order, "frame_stem").select(
+        "frame_stem", "frame_ordinal", "frame_index", "image_path", F.col("image_size")[0].alias("width"),
+        F.col("image_size")[1].alias("height"), F.posexplode("instances").alias("position", "i")
+    )
     box = [F.col("i.bbox_xyxy")[k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]
-    return flat.select("frame_stem", "frame_ordinal", "frame_index", "image_path", "width", "height", "position", "i.instance_id", "i.label", "i.score", "i.detection_score", "i.area", "i.mask_path", *box)
+    return flat.select(
+        "frame_stem", "frame_ordinal", "frame_index", "image_path", "width", "height", "position", "i.instance_id", "i.label", "i.score",
+        "i.detection_score", "i.area", "i.mask_path", *box
+    )
 
 
 def frame_ordinal(frames: DataFrame, stem: str) -> int:
@@ -160,14 +192,20 @@ def read_mask_pixels(spark: SparkSession, root: str, pattern: str = "*/mask_*.pn
     bytes_ = im.select("origin", "width", "nChannels", F.split(F.hex("data"), "(?<=\\G..)").alias("px"))
     flat = bytes_.select("origin", "width", "nChannels", F.posexplode("px").alias("at", "v")).where("v <> '00' and v <> ''")
     place = F.floor(F.col("at") / F.col("nChannels")).cast("int")
-    return flat.select(F.element_at(F.split("origin", "/"), -2).alias("frame_stem"), L.base_name("origin").alias("mask_name"), (place % F.col("width")).alias("x"), F.floor(place / F.col("width")).cast("int").alias("y")).distinct()
+    return flat.select(
+        F.element_at(F.split("origin", "/"), -2).alias("frame_stem"), L.base_name("origin").alias("mask_name"),
+        (place % F.col("width")).alias("x"), F.floor(place / F.col("width")).cast("int").alias("y")
+    ).distinct()
 
 
 def read_occupancy(spark: SparkSession, image: str, metadata: str) -> tuple[DataFrame, dict]:
     """(px, py, value) and the metadata (scale, upper, lower) of an occupancy map."""
     im = spark.read.format("image").load(image).select("image.*").select("width", F.split(F.hex("data"), "(?<=\\G..)").alias("px"))
     flat = im.select("width", F.posexplode("px").alias("at", "v")).where("v <> ''")
-    pixels = flat.select((F.col("at") % F.col("width")).alias("px"), F.floor(F.col("at") / F.col("width")).cast("int").alias("py"), F.conv("v", 16, 10).cast("int").alias("value"))
+    pixels = flat.select(
+        (F.col("at") % F.col("width")).alias("px"), F.floor(F.col("at") / F.col("width")).cast("int").alias("py"),
+        F.conv("v", 16, 10).cast("int").alias("value")
+    )
     meta = spark.read.schema("scale double, upper array<double>, lower array<double>").option("multiLine", True).json(metadata).first()
     return pixels, meta.asDict()
 
@@ -176,10 +214,15 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(object_id, label, corners, position) of a labels.json: an "objects" document or a bare list, either spelling."""
     one = "struct<instance_id:int,ins_id:string,label:string,bbox:array<array<double>>,bounding_box:array<struct<x:double,y:double,z:double>>>"
     text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
-    kind = F.when(F.col("t").startswith("["), F.from_json("t", f"array<{one}>")).otherwise(F.from_json("t", f"struct<objects:array<{one}>>")["objects"])
+    kind = F.when(
+        F.col("t").startswith("["), F.from_json("t", f"array<{one}>")
+    ).otherwise(F.from_json("t", f"struct<objects:array<{one}>>")["objects"])
     o = text.select(F.posexplode(kind).alias("position", "o"))
     corners = F.coalesce("o.bbox", F.transform("o.bounding_box", lambda p: F.array(p["x"], p["y"], p["z"])))
-    return o.select(F.coalesce("o.instance_id", F.expr("try_cast(nullif(o.ins_id, '') as int)")).alias("object_id"), F.col("o.label").alias("label"), corners.alias("corners"), "position")
+    return o.select(
+        F.coalesce("o.instance_id", F.expr("try_cast(nullif(o.ins_id, '') as int)")).alias("object_id"), F.col("o.label").alias("label"),
+        corners.alias("corners"), "position"
+    )
 
 
 SCENE_FILES = ("3dgs_compressed.ply", "labels.json", "occupancy.png", "occupancy.json", "structure.json")
@@ -219,7 +262,9 @@ def read_instance_records(spark: SparkSession, path: str) -> DataFrame:
 def read_class_names(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """(class_index, name) of a classes.json: a list of {class_id or id, name}; absent ids up to ``n`` are class_<id>."""
     doc = spark.read.schema("classes array<struct<class_id:int,id:int,name:string>>").option("multiLine", True).json(path)
-    got = doc.select(F.explode("classes").alias("c")).select(F.coalesce("c.class_id", "c.id").alias("class_index"), F.col("c.name").alias("name"))
+    got = doc.select(F.explode("classes").alias("c")).select(
+        F.coalesce("c.class_id", "c.id").alias("class_index"), F.col("c.name").alias("name")
+    )
     if n is None:
         return got
     every = spark.range(n).select(F.col("id").cast("int").alias("class_index"))
@@ -228,7 +273,9 @@ def read_class_names(spark: SparkSession, path: str, n: int | None = None) -> Da
 
 def list_images(spark: SparkSession, folder: str, limit: int | None = None, done: DataFrame | None = None) -> DataFrame:
     """(path, stem, frame_index) of the images of a folder by name, the first ``limit``; without stems in ``done``."""
-    f = spark.read.format("binaryFile").load(folder).select("path").withColumn("stem", L.stem("path")).where(F.lower("path").rlike(r"\.(png|jpe?g)$"))
+    f = spark.read.format("binaryFile").load(folder).select("path").withColumn("stem", L.stem("path")).where(
+        F.lower("path").rlike(r"\.(png|jpe?g)$")
+    )
     f = numbered(f, ["path"], "frame_index").withColumn("frame_index", F.col("frame_index").cast("int"))
     f = f if limit is None else f.where(F.col("frame_index") < limit)
     return f if done is None else f.join(done.select("stem"), "stem", "left_anti")
@@ -246,7 +293,9 @@ def _png(width: int, height: int, kind: int, rows: list[bytes]) -> bytes:
     """An 8-bit PNG of colour type ``kind`` from its rows of samples."""
     chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
     head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(
+        b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))
+    ) + chunk(b"IEND", b"")
 
 
 def grey_png(width: int, height: int, pixels: list[tuple[int, int]], value: int = 255) -> bytes:
@@ -260,9 +309,14 @@ def grey_png(width: int, height: int, pixels: list[tuple[int, int]], value: int
 def read_color_pixels(spark: SparkSession, path: str) -> DataFrame:
     """(file, x, y, red, green, blue) of every pixel of colour images, by Spark's image reader."""
     im = spark.read.format("image").load(path).select("image.*").where("nChannels = 3")
-    flat = im.select(L.base_name("origin").alias("file"), "width", F.posexplode(F.split(F.hex("data"), "(?<=\\G.{6})")).alias("at", "v")).where("v <> ''")
+    flat = im.select(
+        L.base_name("origin").alias("file"), "width", F.posexplode(F.split(F.hex("data"), "(?<=\\G.{6})")).alias("at", "v")
+    ).where("v <> ''")
     byte = lambda k: F.conv(F.substring("v", k, 2), 16, 10).cast("int")
-    return flat.select("file", (F.col("at") % F.col("width")).alias("x"), F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), byte(5).alias("red"), byte(3).alias("green"), byte(1).alias("blue"))
+    return flat.select(
+        "file", (F.col("at") % F.col("width")).alias("x"), F.floor(F.col("at") / F.col("width")).cast("int").alias("y"),
+        byte(5).alias("red"), byte(3).alias("green"), byte(1).alias("blue")
+    )
 
 
 def write_overlays(pixels: DataFrame, root: str, width: int, height: int, name: str = "overlay") -> None:
@@ -302,11 +356,24 @@ def write_masks(mask_pixels: DataFrame, instances: DataFrame, root: str, width:
             name = f"mask_{k:04d}.png"
             with open(f"{folder}/{name}", "wb") as f:
                 f.write(grey_png(width, height, list(zip(r["xs"], r["ys"], strict=True))))
-            listed.append({"instance_id": r["instance_id"], "bbox_xyxy": [r["x0"], r["y0"], r["x1"], r["y1"]], "score": r["score"], "area": r["area"], "mask_path": name, "label": r["label"]})
+            listed.append(
+                {
+                    "instance_id": r["instance_id"], "bbox_xyxy": [r["x0"], r["y0"], r["x1"], r["y1"]], "score": r["score"],
+                    "area": r["area"], "mask_path": name, "label": r["label"]
+                }
+            )
         with open(f"{folder}/instances.json", "w") as f:
-            json.dump({"frame_index": frame, "image_path": table.column("image_path")[0].as_py(), "image_size": [width, height], "instances": listed}, f, indent=2)
+            json.dump(
+                {
+                    "frame_index": frame, "image_path": table.column("image_path")[0].as_py(), "image_size": [width, height],
+                    "instances": listed
+                },
+                f, indent=2
+            )
         return pa.table({"frame_index": pa.array([frame], pa.int32()), "masks": pa.array([len(listed)], pa.int32())})
 
     px = mask_pixels.groupBy("frame_index", "instance_id").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
-    rows = instances.join(px, ["frame_index", "instance_id"]).select("frame_index", "instance_id", "image_path", "label", "score", "area", "x0", "y0", "x1", "y1", "xs", "ys")
+    rows = instances.join(px, ["frame_index", "instance_id"]).select(
+        "frame_index", "instance_id", "image_path", "label", "score", "area", "x0", "y0", "x1", "y1", "xs", "ys"
+    )
     rows.groupBy("frame_index").applyInArrow(run, "frame_index int, masks int").count()
