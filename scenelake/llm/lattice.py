@@ -33,7 +33,7 @@ class SampleSpec:
     alpha: float = 1.0
     seed: int = 1
     #: code points that a batch of texts may hold; a longer text is a batch of its own
-    batch_chars: int = 400_000
+    batch_chars: int = 1_200_000
     #: code points of the texts whose paths are drawn side by side
     path_chars: int = 400_000
     #: where a prefix of a path has a probability below exp of this, branches are opened only as long as there are fewer than
