@@ -255,6 +255,8 @@ def _with_counts(units: DataFrame, answered: DataFrame, at: Places, per_unit, sc
     else:
         units = units.withColumn("dest", F.col("unit"))
     left = units.select("dest", "unit", F.lit(0).alias("order"), F.lit(0).alias("shard"), "doc_ids", "parts", "lengths", "keys", "stream")
+    # fewer, longer tasks: each opens a file for every partition
+    answered = answered.coalesce(shuffle_width(units.sparkSession))
     right = answered.select(
         "dest", "unit", "order", "shard", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("parts"),
         F.lit(None).cast("array<int>").alias("lengths"), F.col("counts").alias("keys"), F.col("without").alias("stream")
