@@ -244,20 +244,24 @@ class Lattice:
         return np.log(self.q[edges]) if self.log_q is None else self.log_q[edges]
 
     def log_rest(self, edges: np.ndarray) -> np.ndarray:
-        """Log of the summed q of the other edges that start where each of ``edges`` does: added up, since one less q does
-        not tell it where q is next to one."""
-        first = self.first[self.from_[edges]]
-        degree, at = self.first[self.from_[edges] + 1] - first, edges - first
-        out = np.full(len(edges), -np.inf if self.log_q is not None else 0.0)
-        more = np.flatnonzero(degree > 1)
+        """Log of the summed q of the other edges that start where each of ``edges`` does: added up where q is next to one,
+        since one less q does not tell it there."""
+        q = self.q[edges]
+        near = np.flatnonzero(q > 0.99)
+        out = np.log1p(-np.minimum(q, 0.99))
+        first = self.first[self.from_[edges[near]]]
+        degree, at = self.first[self.from_[edges[near]] + 1] - first, edges[near] - first
+        rest = np.full(len(near), -np.inf if self.log_q is not None else 0.0)
+        more = np.arange(len(near))
         for k in range(1, int(degree.max(initial=0))):
             more = more[degree[more] > k]
             e = at[more] + k
             e = first[more] + np.where(e >= degree[more], e - degree[more], e)
-            out[more] = out[more] + self.q[e] if self.log_q is None else np.logaddexp(out[more], self.log_q[e])
+            rest[more] = rest[more] + self.q[e] if self.log_q is None else np.logaddexp(rest[more], self.log_q[e])
         if self.log_q is None:
             with np.errstate(divide="ignore"):
-                out = np.log(out)
+                rest = np.log(rest)
+        out[near] = rest
         return out
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
