@@ -275,7 +275,14 @@ _SCALE = 2.0**-53
 
 def _uniform(seed: np.ndarray, sample: int, at: np.ndarray) -> np.ndarray:
     """Uniform numbers in (0, 1) fixed by (row seed, sample, place)."""
-    h = mix(seed + np.uint64(sample * 0xD6E8FEB86659FD93 % (1 << 64)) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _uniform_of(seed + at.astype(np.uint64) * _PLACE, sample)
+
+
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _uniform_of(base_hash: np.ndarray, sample: int) -> np.ndarray:
+    h = mix(base_hash + np.uint64(sample * 0xD6E8FEB86659FD93 % (1 << 64)))
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * _SCALE
 
 
@@ -332,7 +339,8 @@ def _draw(
     by_unit = base[np.argsort(occ, kind="stable")]  # so that edges are looked up in the order they lie in memory
     total = int(size.sum())
     doc_start = np.append(0, np.cumsum(points))
-    of_doc = np.repeat(np.arange(len(points)), points)
+    # what a place's uniform number is made of, but for the sample
+    base_hash = np.repeat(seeds, points) + (np.arange(total) - np.repeat(doc_start[:-1], points)).astype(np.uint64) * _PLACE
     to_node = np.repeat(lat.starts[occ] - base, size)  # node of a place = place + this
     unit_stop = np.repeat(base + size, size)
 
@@ -341,8 +349,7 @@ def _draw(
         chosen = np.full(total, -1, np.int32)
         at = by_unit
         while len(at):
-            d = of_doc[at]
-            e = lat.pick(at + to_node[at], _uniform(seeds[d], sample, at - doc_start[d]))
+            e = lat.pick(at + to_node[at], _uniform_of(base_hash[at], sample))
             chosen[at] = e
             ahead = at + lat.len[e]
             at = ahead[ahead < unit_stop[at]]
