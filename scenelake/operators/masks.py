@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scenelake.functions import color as C
 from scenelake.functions import geometry as G
 from scenelake.functions import labels as L
+from scenelake.operators import visibility
 from scenelake.operators.ranking import numbered
 from scenelake.operators.voting import KEYS, track_groups
 from scenelake.plans.lineage import broadcast_small, cut
@@ -222,10 +223,9 @@ def cluster_hits(
     min_ratio: float = 0.02
 ) -> DataFrame:
     """(cluster_id, frame_index, instance_id, label, family, visible, hits, weight) of masks that cover a cluster."""
-    own = projected.where("valid").join(clusters.where("cluster_id >= 0"), "gaussian_index")
+    own = projected.where("valid").join(clusters.where("cluster_id >= 0").hint("merge"), "gaussian_index")  # as many rows as points
     seen = own.groupBy("cluster_id", "frame_index").agg(F.count("*").alias("visible")).where(F.col("visible") >= min_visible)
-    pix = mask_pixels.select(*KEYS, F.col("x").alias("px"), F.col("y").alias("py"))
-    hits = own.where("px is not null").join(pix, ["frame_index", "px", "py"]).groupBy("cluster_id", *KEYS).agg(F.count("*").alias("hits"))
+    hits = visibility.mask_counts(own, mask_pixels, "cluster_id")
     ratio = F.col("hits") / F.col("visible")
     j = hits.join(seen, ["cluster_id", "frame_index"]).where((F.col("hits") >= min_hits) & (ratio >= min_ratio))
     j = j.join(instances.select(*KEYS, "label", "score"), list(KEYS))

@@ -188,14 +188,36 @@ def best_frame(projected: DataFrame, ids: DataFrame, frames: DataFrame) -> DataF
     return best.select("object_id", (-F.col("b.f")).alias("frame_index"), F.col("b.n").alias("visible"))
 
 
+def on_masks(rows: DataFrame, mask_pixels: DataFrame) -> DataFrame:
+    """``rows`` of points or pixels (frame_index, px, py) once for each mask that holds their pixel.
+
+    A merge join by hint: pixels are exploded from boxes or images of a few bytes, and the planner, which takes them
+    for as small, would send them all through the driver.
+    """
+    on = mask_pixels.withColumnsRenamed({"x": "px", "y": "py"})
+    return rows.join(on.hint("merge"), ["frame_index", "px", "py"])
+
+
 def mask_hits(projected: DataFrame, mask_pixels: DataFrame) -> DataFrame:
     """(frame_index, instance_id, gaussian_index): valid points on a mask's pixels."""
-    on = mask_pixels.select("frame_index", "instance_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    return projected.where("valid and px is not null").join(on, ["frame_index", "px", "py"]).select(
+    seen = projected.where("valid and px is not null").select("frame_index", "px", "py", "gaussian_index")
+    return on_masks(seen, mask_pixels.select("frame_index", "instance_id", "x", "y")).select(
         "frame_index", "instance_id", "gaussian_index"
     )
 
 
+def mask_counts(owned: DataFrame, mask_pixels: DataFrame, by: str) -> DataFrame:
+    """(by, frame_index, instance_id, hits): how many valid points of each group are on each mask.
+
+    owned: projected points with the group ``by``, which may be null. Points of one group and pixel are counted before
+    they meet the masks, so the work follows groups, pixels and masks, not the hits.
+    """
+    n = owned.where("valid and px is not null").groupBy(by, "frame_index", "px", "py").agg(F.count("*").alias("n"))
+    return on_masks(n, mask_pixels.select("frame_index", "instance_id", "x", "y")).groupBy(
+        by, "frame_index", "instance_id"
+    ).agg(F.sum("n").alias("hits"))
+
+
 def frame_votes(hits: DataFrame, instances: DataFrame, *, opacity: DataFrame | None = None, quality: DataFrame | None = None) -> DataFrame:
     """Votes of mask hits: score, times opacity alpha and point quality where given. Invalid points (valid false) have no vote.
 
