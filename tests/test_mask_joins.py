@@ -22,7 +22,10 @@ def broadcasts(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["a19_cluster_families"])
+@pytest.mark.parametrize("name", [
+    "a19_cluster_families",
+    "p29_decisions",
+])
 def test_pixels_are_never_broadcast(spark, name):
     assert not [b for b in broadcasts(entry.queries()[name](spark, SF)) if "Generate" in b]
 
