@@ -25,6 +25,7 @@ def broadcasts(df):
 @pytest.mark.parametrize("name", [
     "a19_cluster_families",
     "p29_decisions",
+    "a19_best_frames",
 ])
 def test_pixels_are_never_broadcast(spark, name):
     assert not [b for b in broadcasts(entry.queries()[name](spark, SF)) if "Generate" in b]
