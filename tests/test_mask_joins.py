@@ -27,6 +27,7 @@ def broadcasts(df):
     "p29_decisions",
     "a19_best_frames",
     "a19_cluster_hits",
+    "r4_ranked_clusters",
 ])
 def test_pixels_are_never_broadcast(spark, name):
     assert not [b for b in broadcasts(entry.queries()[name](spark, SF)) if "Generate" in b]
