@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as G
 from scenelake.operators.sampling import sampled
-from scenelake.plans.lineage import broadcast_small, cut
+from scenelake.plans.lineage import broadcast_small, cut, few_or_merge
 
 
 @dataclass(frozen=True)
@@ -235,8 +235,37 @@ def frame_votes(hits: DataFrame, instances: DataFrame, *, opacity: DataFrame | N
     return out.select("frame_index", "instance_id", "gaussian_index", w.cast("float").alias("weight"))
 
 
+def mask_votes(
+    projected: DataFrame, mask_pixels: DataFrame, instances: DataFrame, *, opacity: DataFrame | None = None, quality: DataFrame | None = None
+) -> DataFrame:
+    """``frame_votes`` of ``mask_hits``, with the factors joined to masks and points before these meet.
+
+    A point hits many masks, and hits are far more than points and pixels: they are put out as they arise, never shuffled.
+    """
+    seen, w = projected.where("valid and px is not null").select("frame_index", "px", "py", "gaussian_index"), F.coalesce("score", F.lit(0.0))
+    if opacity is not None:
+        seen = seen.join(opacity.select("gaussian_index", "alpha").hint("merge"), "gaussian_index")
+        w = w * F.col("alpha")
+    if quality is not None:
+        q = quality.where("valid") if "valid" in quality.columns else quality
+        seen = seen.join(q.select("gaussian_index", "quality").hint("merge"), "gaussian_index")
+        w = w * F.col("quality")
+    scored = mask_pixels.select("frame_index", "instance_id", "x", "y").join(
+        few_or_merge(instances.select("frame_index", "instance_id", "score")), ["frame_index", "instance_id"]
+    )
+    return on_masks(seen, scored).select("frame_index", "instance_id", "gaussian_index", w.cast("float").alias("weight"))
+
+
+def covered(projected: DataFrame, mask_pixels: DataFrame) -> DataFrame:
+    """(frame_index, gaussian_index): valid points on the pixels of any mask, once for all masks there."""
+    pix = mask_pixels.select("frame_index", F.col("x").alias("px"), F.col("y").alias("py")).distinct()
+    return projected.where("valid and px is not null").join(pix.hint("merge"), ["frame_index", "px", "py"], "left_semi").select(
+        "frame_index", "gaussian_index"
+    )
+
+
 def background_support(projected: DataFrame, hits: DataFrame) -> DataFrame:
-    """(gaussian_index, background): frames that see a point outside all masks."""
+    """(gaussian_index, background): frames that see a point outside all masks. hits: from ``covered``, or ``mask_hits``."""
     return projected.where("valid").join(
-        hits.select("frame_index", "gaussian_index").distinct(), ["frame_index", "gaussian_index"], "left_anti"
+        hits.select("frame_index", "gaussian_index").distinct().hint("merge"), ["frame_index", "gaussian_index"], "left_anti"
     ).groupBy("gaussian_index").agg(F.count("*").alias("background"))

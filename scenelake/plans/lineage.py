@@ -40,6 +40,11 @@ def broadcast_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def few_or_merge(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; else for a merge join, so that the other side never is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, which all executors share, and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -152,7 +152,7 @@ def _(s):
 )
 def _(s):
     scores = s.points.select("gaussian_index", (F.col("f_dc_0") + 0.1).alias("quality"), (F.col("opacity") >= -3).alias("valid"))
-    return visibility.frame_votes(visibility.mask_hits(_projected(s), s.mask_pixels), s.instances, quality=scores)
+    return visibility.mask_votes(_projected(s), s.mask_pixels, s.instances, quality=scores)
 
 
 @query(

@@ -28,9 +28,11 @@ def broadcasts(df):
     "a19_best_frames",
     "a19_cluster_hits",
     "r4_ranked_clusters",
+    "f7_valid_votes",
 ])
 def test_pixels_are_never_broadcast(spark, name):
-    assert not [b for b in broadcasts(entry.queries()[name](spark, SF)) if "Generate" in b]
+    exploded = ("Generate explode(sequence(", "Generate posexplode(px")  # boxes; images
+    assert not [b for b in broadcasts(entry.queries()[name](spark, SF)) if any(e in b for e in exploded)]
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +69,13 @@ def test_cluster_hits_count_points_without_a_pixel_as_visible(spark, seen, pixel
     assert {(r["cluster_id"], r["instance_id"]): (r["hits"], r["visible"]) for r in got} == {
         k: (n, visible[k[0]]) for k, n in hits.items()
     }
+
+
+def test_votes_of_masks_are_votes_of_hits(spark, seen, pixels):
+    inst = spark.createDataFrame([(0, 1, 0.3), (0, 2, None), (1, 1, 1.0)], "frame_index int, instance_id int, score double")
+    alpha = spark.createDataFrame([(g, g / 60) for g in range(50)], "gaussian_index long, alpha double")
+    good = spark.createDataFrame([(g, 1 / (g + 1), g != 8) for g in range(55)], "gaussian_index long, quality double, valid boolean")
+    for kw in ({}, {"opacity": alpha}, {"opacity": alpha, "quality": good}):
+        want = visibility.frame_votes(visibility.mask_hits(seen, pixels), inst, **kw)
+        got = visibility.mask_votes(seen, pixels, inst, **kw)
+        assert got.columns == want.columns and got.count() and sorted(got.collect()) == sorted(want.collect())
