@@ -397,9 +397,7 @@ def _(s):
 )
 def _(s):
     alpha = s.points.select("gaussian_index", C.sigmoid("opacity").alias("alpha"))
-    return visibility.frame_votes(
-        visibility.mask_hits(_projected(s), s.mask_pixels), s.instances, opacity=alpha
-    ).withColumn("weight", _round("weight", 4))
+    return visibility.mask_votes(_projected(s), s.mask_pixels, s.instances, opacity=alpha).withColumn("weight", _round("weight", 4))
 
 
 @query(
@@ -409,7 +407,7 @@ def _(s):
 )
 def _(s):
     p = _projected(s)
-    return visibility.background_support(p, visibility.mask_hits(p, s.mask_pixels))
+    return visibility.background_support(p, visibility.covered(p, s.mask_pixels))
 
 
 # Space

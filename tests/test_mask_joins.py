@@ -29,6 +29,7 @@ def broadcasts(df):
     "a19_cluster_hits",
     "r4_ranked_clusters",
     "f7_valid_votes",
+    "j19_background_support",
 ])
 def test_pixels_are_never_broadcast(spark, name):
     exploded = ("Generate explode(sequence(", "Generate posexplode(px")  # boxes; images
@@ -79,3 +80,9 @@ def test_votes_of_masks_are_votes_of_hits(spark, seen, pixels):
         want = visibility.frame_votes(visibility.mask_hits(seen, pixels), inst, **kw)
         got = visibility.mask_votes(seen, pixels, inst, **kw)
         assert got.columns == want.columns and got.count() and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_background_by_covered_pixels(spark, seen, pixels):
+    both = (visibility.background_support(seen, h(seen, pixels)) for h in (visibility.covered, visibility.mask_hits))
+    got, want = (sorted(map(tuple, b.collect())) for b in both)
+    assert got and got == want
