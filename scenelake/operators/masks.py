@@ -175,12 +175,19 @@ def vote_instances(
 
     Ratios are over all hits of the mask. ``allowed``: instances that a category may choose from.
     """
-    j = hits.join(ids, "gaussian_index", "left").withColumnRenamed("object_id", "chosen")
-    total = hits.groupBy(*KEYS).agg(F.count("*").alias("total"))
-    known = j.where("chosen >= 0")
+    counts = hits.join(ids.hint("merge"), "gaussian_index", "left").groupBy(*KEYS, "object_id").agg(F.count("*").alias("hits"))
+    return vote_counts(counts, min_ratio=min_ratio, min_count=min_count, allowed=allowed)
+
+
+def vote_counts(
+    counts: DataFrame, *, min_ratio: float = 0.2, min_count: int = 32, allowed: DataFrame | None = None
+) -> DataFrame:
+    """``vote_instances`` from the hits of each mask by instance: counts of frame, mask, object_id (null: none), hits."""
+    total = counts.groupBy(*KEYS).agg(F.sum("hits").alias("total"))
+    known = counts.where("object_id >= 0").withColumnRenamed("object_id", "chosen")
     if allowed is not None:
         known = known.join(allowed.select(F.col("object_id").alias("chosen")), "chosen", "left_semi")
-    n = known.groupBy(*KEYS, "chosen").agg(F.count("*").alias("n"))
+    n = known.groupBy(*KEYS, "chosen").agg(F.sum("hits").alias("n"))
     best = n.groupBy(*KEYS).agg(F.max(F.struct("n", (-F.col("chosen")).alias("c"))).alias("b"))
     out = total.join(best, list(KEYS), "left").select(
         *KEYS, (-F.col("b.c")).alias("chosen"), F.coalesce("b.n", F.lit(0)).alias("count"),
@@ -191,11 +198,20 @@ def vote_instances(
 
 
 def track_hits(tracks: DataFrame, mask_pixels: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
-    """(frame, instance, point3d_id): distinct track points on each mask after scaling to the mask's size."""
+    """(frame, instance, point3d_id): distinct track points on each mask after scaling to the mask's size.
+
+    A point at one place of a frame meets a mask once; only those at several places are held against each other after
+    the join, whose rows are far more than points and pixels.
+    """
     x, y = (F.floor(F.col(c).cast("double") * t / s).cast("int").alias(c) for c, s, t in zip("xy", source, target, strict=True))
-    return tracks.where("point3d_id >= 0").select("frame_index", "point3d_id", x, y).join(
-        mask_pixels, ["frame_index", "x", "y"]
-    ).select(*KEYS, "point3d_id").distinct()
+    at = tracks.where("point3d_id >= 0").select("frame_index", "point3d_id", x.alias("px"), y.alias("py"))
+    places = at.groupBy("frame_index", "point3d_id").agg(F.collect_set(F.struct("px", "py")).alias("places"))
+    place = lambda many: places.where(F.size("places") > 1 if many else F.size("places") == 1).select(
+        "frame_index", "point3d_id", F.inline("places")
+    )
+    pix = mask_pixels.select(*KEYS, "x", "y").repartition("frame_index", "x", "y").distinct()
+    once, again = (visibility.on_masks(place(many), pix).select(*KEYS, "point3d_id") for many in (False, True))
+    return once.union(again.distinct())
 
 
 def multiclass(instances: DataFrame, categories: DataFrame, *, min_score: float = 0.0, per_frame: int | None = None) -> DataFrame:

@@ -254,8 +254,9 @@ def _(s):
     ids = s.points.select(
         "gaussian_index", F.when(F.col("gaussian_index") % 6 < 4, F.col("gaussian_index") % 6).otherwise(-1).alias("object_id")
     )
-    return masks.vote_instances(
-        visibility.mask_hits(_projected(s), s.mask_pixels), ids, min_ratio=0.2, min_count=3
+    owned = _projected(s).join(ids.hint("merge"), "gaussian_index", "left")
+    return masks.vote_counts(
+        visibility.mask_counts(owned, s.mask_pixels, "object_id"), min_ratio=0.2, min_count=3
     ).withColumn("ratio", _round("ratio"))
 
 
@@ -664,7 +665,8 @@ def _(s):
     kept = masks.category_filter(s.instances)
     pixels = s.mask_pixels.join(kept.select("frame_index", "instance_id"), ["frame_index", "instance_id"], "left_semi")
     ids = s.points.select("gaussian_index", (F.col("gaussian_index") % 6).alias("object_id"))
-    chosen = masks.vote_instances(visibility.mask_hits(_projected(s), pixels), ids, min_count=3).where("chosen is not null")
+    owned = _projected(s).join(ids.hint("merge"), "gaussian_index", "left")
+    chosen = masks.vote_counts(visibility.mask_counts(owned, pixels, "object_id"), min_count=3).where("chosen is not null")
     return chosen.select("frame_index", "instance_id", "chosen")
 
 

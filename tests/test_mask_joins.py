@@ -30,6 +30,7 @@ def broadcasts(df):
     "r4_ranked_clusters",
     "f7_valid_votes",
     "j19_background_support",
+    "j18_vote_instances",
 ])
 def test_pixels_are_never_broadcast(spark, name):
     exploded = ("Generate explode(sequence(", "Generate posexplode(px")  # boxes; images
@@ -86,3 +87,13 @@ def test_background_by_covered_pixels(spark, seen, pixels):
     both = (visibility.background_support(seen, h(seen, pixels)) for h in (visibility.covered, visibility.mask_hits))
     got, want = (sorted(map(tuple, b.collect())) for b in both)
     assert got and got == want
+
+
+def test_votes_of_instances_by_counts(spark, seen, pixels):
+    ids = spark.createDataFrame([(g, g % 4 - 1) for g in range(0, 60, 2)], "gaussian_index long, object_id long")
+    want = masks.vote_instances(visibility.mask_hits(seen, pixels), ids, min_count=2)
+    counts = visibility.mask_counts(seen.join(ids, "gaussian_index", "left"), pixels, "object_id")
+    got = masks.vote_counts(counts, min_count=2)
+    hits = Counter((r["frame_index"], r["instance_id"]) for r in visibility.mask_hits(seen, pixels).collect())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {(r["frame_index"], r["instance_id"]): round(r["count"] / r["ratio"]) for r in got.collect()} == hits
