@@ -31,6 +31,7 @@ def broadcasts(df):
     "f7_valid_votes",
     "j19_background_support",
     "j18_vote_instances",
+    "j2_mask_hits",
 ])
 def test_pixels_are_never_broadcast(spark, name):
     exploded = ("Generate explode(sequence(", "Generate posexplode(px")  # boxes; images
