@@ -32,6 +32,7 @@ def broadcasts(df):
     "j19_background_support",
     "j18_vote_instances",
     "j2_mask_hits",
+    "j6_track_hits",
 ])
 def test_pixels_are_never_broadcast(spark, name):
     exploded = ("Generate explode(sequence(", "Generate posexplode(px")  # boxes; images
@@ -98,3 +99,10 @@ def test_votes_of_instances_by_counts(spark, seen, pixels):
     hits = Counter((r["frame_index"], r["instance_id"]) for r in visibility.mask_hits(seen, pixels).collect())
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert {(r["frame_index"], r["instance_id"]): round(r["count"] / r["ratio"]) for r in got.collect()} == hits
+
+
+def test_track_hits_of_points_seen_twice(spark, pixels):
+    rows = [(0, 5, 0.0, 0.0), (0, 5, 1.0, 1.0), (0, 5, 2.9, 2.2), (0, 6, 2.0, 2.0), (0, 6, 2.0, 2.0), (0, -1, 2.0, 2.0), (1, 5, 0.0, 1.0)]
+    tracks = spark.createDataFrame(rows, "frame_index int, point3d_id long, x double, y double")
+    got = masks.track_hits(tracks, pixels.union(pixels), (4, 4), (2, 2)).collect()  # a pixel listed twice counts once
+    assert sorted(map(tuple, got)) == [(0, 1, 5), (0, 1, 6), (0, 2, 5), (0, 2, 6), (1, 1, 5)]
