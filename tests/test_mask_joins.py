@@ -30,6 +30,7 @@ def broadcasts(df):
     "r4_ranked_clusters",
     "f7_valid_votes",
     "j19_background_support",
+    "j3_frame_votes",
     "j18_vote_instances",
     "j2_mask_hits",
     "j6_track_hits",
