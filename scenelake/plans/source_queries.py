@@ -19,7 +19,7 @@ from scenelake.functions import labels as L
 from scenelake.operators import evaluation, masks, quality, visibility, voting
 from scenelake.operators.ranking import numbered
 from scenelake.plans import adapt as A
-from scenelake.plans.lineage import shared_path
+from scenelake.plans.lineage import few_or_merge, shared_path
 from scenelake.plans.scene_queries import _CODES, _labelled, _objects, _round, query
 from scenelake.sources import arrays, ply, scenes
 
@@ -427,9 +427,8 @@ def _(s):
     named = scenes.read_manifests(s.spark, f"file://{folder}").select(
         "frame_stem", F.col("mask_path").alias("mask_name"), "frame_index", "instance_id"
     )
-    return scenes.read_mask_pixels(s.spark, f"file://{folder}").join(
-        named, ["frame_stem", "mask_name"]
-    ).groupBy("frame_index", "instance_id").agg(F.count("*").alias("pixels"))
+    drawn = scenes.read_mask_pixels(s.spark, f"file://{folder}").groupBy("frame_stem", "mask_name").agg(F.count("*").alias("pixels"))
+    return drawn.join(few_or_merge(named), ["frame_stem", "mask_name"]).groupBy("frame_index", "instance_id").agg(F.sum("pixels").alias("pixels"))
 
 
 _MANIFEST = f"SELECT printf('frame_%05d', i.frame_index) AS frame_stem, DENSE_RANK() OVER (ORDER BY i.frame_index) - 1 AS frame_ordinal, i.frame_index, i.position, i.instance_id, i.label, i.score, p.n AS area, p.x0, p.y1 FROM {_PLACE} i JOIN (SELECT frame_index, instance_id, COUNT(*) AS n, MIN(x) AS x0, MAX(y) + 1 AS y1 FROM mask_pixels GROUP BY 1, 2) p USING (frame_index, instance_id)"
@@ -513,11 +512,10 @@ def _(s):
     """Votes from mask files: manifests and images read, points projected, hits weighed by score."""
     folder = f"file://{_mask_folder(s)}"
     inst = scenes.read_manifests(s.spark, folder)
-    pixels = scenes.read_mask_pixels(s.spark, folder).join(
-        inst.select("frame_stem", F.col("mask_path").alias("mask_name"), "frame_index", "instance_id"), ["frame_stem", "mask_name"]
-    )
+    named = inst.select("frame_stem", F.col("mask_path").alias("mask_name"), "frame_index", "instance_id")
+    pixels = scenes.read_mask_pixels(s.spark, folder).join(few_or_merge(named), ["frame_stem", "mask_name"])
     seen = visibility.project_points(s.points, s.frames, A.CAMERA)
-    return visibility.frame_votes(visibility.mask_hits(seen, pixels.select("frame_index", "instance_id", "x", "y")), inst)
+    return visibility.mask_votes(seen, pixels, inst)
 
 
 @query("a11_labelled_objects", "SELECT object_id, COUNT(*) AS instances FROM objects GROUP BY 1", "objects")

@@ -31,6 +31,7 @@ def broadcasts(df):
     "f7_valid_votes",
     "j19_background_support",
     "j3_frame_votes",
+    "k8_mask_sink",
     "j18_vote_instances",
     "j2_mask_hits",
     "j6_track_hits",
