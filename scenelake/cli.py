@@ -19,6 +19,7 @@ from scenelake.functions import color as C
 from scenelake.functions import geometry as G
 from scenelake.functions import labels as L
 from scenelake.operators import editing, evaluation, learning, masks, quality, sampling, spatial, visibility, voting
+from scenelake.plans.lineage import few_or_merge
 from scenelake.sources import arrays, ply, scenes
 
 COMMANDS: dict = {}
@@ -45,7 +46,7 @@ def _masks(spark, root, max_frames=None):
     if max_frames is not None:
         inst = inst.where(F.col("frame_ordinal") < max_frames)
     names = inst.select("frame_stem", L.base_name("mask_path").alias("mask_name"), "frame_index", "instance_id")
-    return inst, scenes.read_mask_pixels(spark, root).join(names, ["frame_stem", "mask_name"]).select(
+    return inst, scenes.read_mask_pixels(spark, root).join(few_or_merge(names), ["frame_stem", "mask_name"]).select(
         "frame_index", "instance_id", "x", "y"
     )
 
@@ -99,7 +100,7 @@ def _votes(spark, points, frames, camera, inst, pixels, *, opacity=False, qualit
         visibility.project_points(points, frames.join(inst.select("frame_index").distinct(), "frame_index", "left_semi"), camera), **gates
     )
     alpha = points.select("gaussian_index", C.sigmoid("opacity").alias("alpha")) if opacity else None
-    return visibility.frame_votes(visibility.mask_hits(seen, pixels), inst, opacity=alpha, quality=quality_scores)
+    return visibility.mask_votes(seen, pixels, inst, opacity=alpha, quality=quality_scores)
 
 
 @command
