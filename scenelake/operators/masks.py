@@ -214,6 +214,25 @@ def track_hits(tracks: DataFrame, mask_pixels: DataFrame, source: tuple[int, int
     return once.union(again.distinct())
 
 
+def track_places(tracks: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """(point3d_id, points, frame_index, px, py): the places of track points after scaling to the mask's size, each distinct
+    set of places once, under the smallest of its points, with the number of these.
+
+    Points seen at the same places of the same frames are on the same masks, and there are many once pixels are coarse.
+    """
+    x, y = (F.floor(F.col(c).cast("double") * t / s).cast("int").alias(f"p{c}") for c, s, t in zip("xy", source, target, strict=True))
+    at = tracks.where("point3d_id >= 0").select("point3d_id", F.struct("frame_index", x, y).alias("at"))
+    places = at.groupBy("point3d_id").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    sets = places.groupBy("places").agg(F.min("point3d_id").alias("point3d_id"), F.count("*").alias("points"))
+    return sets.select("point3d_id", "points", F.inline("places"))
+
+
+def place_hits(places: DataFrame, mask_pixels: DataFrame) -> DataFrame:
+    """(frame_index, instance_id, point3d_id, points): ``track_hits`` of whole sets of places, from ``track_places``."""
+    pix = mask_pixels.select(*KEYS, "x", "y")
+    return visibility.on_masks(places, pix).select(*KEYS, "point3d_id", "points").distinct()
+
+
 def multiclass(instances: DataFrame, categories: DataFrame, *, min_score: float = 0.0, per_frame: int | None = None) -> DataFrame:
     """Masks once for each category they match (categories: class_id, pattern), best ``per_frame`` of each.
 
@@ -308,13 +327,14 @@ def track_masks(
 ) -> DataFrame:
     """(frame_index, instance_id, mask_index, category, group_id, rank): masks of one object by the 3D points they share.
 
-    kept: frame_index, instance_id, category. hits: frame_index, instance_id, point3d_id. Masks are numbered by frame and
-    number; those with too few points are left out. group_id is -1 in small groups, which have no rank; rank counts
-    the groups of a category from 1.
+    kept: frame_index, instance_id, category. hits: frame_index, instance_id, point3d_id, and points where a row stands for
+    so many points. Masks are numbered by frame and number; those with too few points are left out. group_id is -1 in
+    small groups, which have no rank; rank counts the groups of a category from 1.
     """
     index = cut(numbered(kept.select(*KEYS, "category"), list(KEYS), "mask_index"))
-    enough = hits.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(*KEYS)
-    tracks = hits.join(enough, list(KEYS), "left_semi").join(index, list(KEYS)).select("mask_index", "category", "point3d_id")
+    hits = cut(hits.select(*KEYS, "point3d_id", F.col("points") if "points" in hits.columns else F.lit(1).cast("long").alias("points")))
+    enough = hits.groupBy(*KEYS).agg(F.sum("points").alias("n")).where(F.col("n") >= min_points).select(*KEYS)
+    tracks = hits.join(enough, list(KEYS), "left_semi").join(index, list(KEYS)).select("mask_index", "category", "point3d_id", "points")
     groups = track_groups(tracks, min_shared=min_shared, min_ratio=min_ratio, min_masks=min_masks).drop("category")
     out = cut(index.join(groups, "mask_index"))
     names = numbered(out.where("group_id >= 0").select("category", "group_id").distinct(), ["group_id"], "rank", ["category"])

@@ -171,14 +171,22 @@ def select_groups(
     return s.drop("_r") if top_k is None else s.drop("_r").orderBy(*order).limit(top_k)
 
 
+def _weighed(tracks: DataFrame) -> DataFrame:
+    """``tracks`` with points, 1 where a row stands for its own point alone."""
+    return tracks if "points" in tracks.columns else tracks.withColumn("points", F.lit(1).cast("long"))
+
+
 def mask_pairs(tracks: DataFrame, *, min_shared: int = 1) -> DataFrame:
     """(lhs, rhs, shared): masks of one category, lhs < rhs, that share so many 3D points at least.
 
-    tracks: distinct (mask_index, category, point3d_id). Points that the same masks of a category see are counted first:
-    their number, not theirs times the pairs, goes through the pairs of that set of masks.
+    tracks: distinct (mask_index, category, point3d_id), and points where a row stands for so many. Points that the same
+    masks of a category see are counted first: their number, not theirs times the pairs, goes through the pairs of that
+    set of masks.
     """
-    seen = tracks.groupBy("category", "point3d_id").agg(F.array_sort(F.collect_set("mask_index")).alias("masks")).where(F.size("masks") > 1)
-    sets = seen.groupBy("masks").agg(F.count("*").alias("n"))
+    seen = _weighed(tracks).groupBy("category", "point3d_id").agg(
+        F.array_sort(F.collect_set("mask_index")).alias("masks"), F.max("points").alias("points")
+    ).where(F.size("masks") > 1)
+    sets = seen.groupBy("masks").agg(F.sum("points").alias("n"))
     lhs = sets.select("n", "masks", F.posexplode("masks").alias("_at", "lhs"))
     pairs = lhs.select("n", "lhs", F.explode(F.expr("slice(masks, _at + 2, size(masks))")).alias("rhs"))
     return pairs.groupBy("lhs", "rhs").agg(F.sum("n").alias("shared")).where(F.col("shared") >= min_shared)
@@ -187,11 +195,11 @@ def mask_pairs(tracks: DataFrame, *, min_shared: int = 1) -> DataFrame:
 def track_groups(tracks: DataFrame, *, min_shared: int = 4, min_ratio: float = 0.08, min_masks: int = 3) -> DataFrame:
     """(mask_index, category, group_id): masks of one category linked by shared 3D points; -1 in small groups.
 
-    tracks: (mask_index, category, point3d_id). Groups are numbered by mask count, then total support, both
-    descending, then first mask.
+    tracks: (mask_index, category, point3d_id), and points where a row stands for so many. Groups are numbered by mask
+    count, then total support, both descending, then first mask.
     """
-    t = cut(tracks.where("point3d_id >= 0").distinct())
-    size = t.groupBy("mask_index", "category").agg(F.count("*").alias("support"))
+    t = cut(_weighed(tracks.where("point3d_id >= 0")).distinct())
+    size = t.groupBy("mask_index", "category").agg(F.sum("points").alias("support"))
     shared = mask_pairs(t, min_shared=min_shared)
     n = lambda c: size.select(F.col("mask_index").alias(c), F.col("support").alias(f"_{c}"))
     edges = shared.join(n("lhs"), "lhs").join(n("rhs"), "rhs").where(F.col("shared") / F.least("_lhs", "_rhs") >= min_ratio)

@@ -287,9 +287,8 @@ def _(s):
     tracks = _projected(s).where("px is not null").select(
         "frame_index", F.col("gaussian_index").alias("point3d_id"), F.col("px").alias("x"), F.col("py").alias("y")
     )
-    hits = masks.track_hits(tracks, s.mask_pixels, (100, 100), (50, 50)).join(
-        kept.select("frame_index", "instance_id"), ["frame_index", "instance_id"], "left_semi"
-    )
+    pixels = s.mask_pixels.join(kept.select("frame_index", "instance_id"), ["frame_index", "instance_id"], "left_semi")
+    hits = masks.place_hits(masks.track_places(tracks, (100, 100), (50, 50)), pixels)
     return masks.track_masks(kept, hits, min_points=5, min_shared=4, min_ratio=0.1, min_masks=2)
 
 

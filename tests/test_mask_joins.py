@@ -109,3 +109,24 @@ def test_track_hits_of_points_seen_twice(spark, pixels):
     tracks = spark.createDataFrame(rows, "frame_index int, point3d_id long, x double, y double")
     got = masks.track_hits(tracks, pixels.union(pixels), (4, 4), (2, 2)).collect()  # a pixel listed twice counts once
     assert sorted(map(tuple, got)) == [(0, 1, 5), (0, 1, 6), (0, 2, 5), (0, 2, 6), (1, 1, 5)]
+
+
+def test_points_at_the_same_places_meet_the_masks_once(spark, pixels):
+    rows = [(0, g, 0.0, float(g % 2)) for g in range(20, 30)] + [(1, g, 1.0, 0.0) for g in range(20, 26)]
+    rows += [(0, g, x, x) for g in (7, 8) for x in (0.0, 1.0, 2.0)] + [(0, 9, 2.0, 2.0), (0, -1, 2.0, 2.0)]
+    tracks = spark.createDataFrame(rows, "frame_index int, point3d_id long, x double, y double")
+    twice = pixels.union(pixels)
+    single = masks.track_hits(tracks, twice, (4, 4), (2, 2))
+    sets = masks.place_hits(masks.track_places(tracks, (4, 4), (2, 2)), twice)
+    support = Counter((r["frame_index"], r["instance_id"]) for r in single.collect())
+    got = sets.collect()
+    for k, n in support.items():
+        assert sum(r["points"] for r in got if (r["frame_index"], r["instance_id"]) == k) == n
+    assert {r["point3d_id"] for r in got} == {7, 9, 20, 26} and len(got) < sum(support.values())
+    kept = pixels.select("frame_index", "instance_id").distinct().selectExpr("*", "0 as category")
+    for least in (1, 3, 7):
+        found = [
+            sorted(map(tuple, masks.track_masks(kept, h, min_points=least, min_shared=2, min_ratio=0.1, min_masks=2).collect()))
+            for h in (single, sets)
+        ]
+        assert found[0] and found[0] == found[1]
