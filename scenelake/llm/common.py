@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,14 @@ def even_keys(spark: SparkSession, n: int) -> DataFrame:
     )
 
 
+def give_back() -> None:
+    """Hand memory that is free inside this process back to the system. A Python worker outlives its tasks, and what the
+    allocators keep of large arrays counts against the executor as long as it does."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

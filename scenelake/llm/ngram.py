@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import WordHash, cut, even_keys, fold_of, mix, shuffle_width, sliced, word_hashes
+from scenelake.llm.common import WordHash, cut, even_keys, fold_of, give_back, mix, shuffle_width, sliced, word_hashes
 
 #: Key of the end of a text, which is also the context of the next text's first word.
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
@@ -104,9 +104,11 @@ def streams(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id",
                 if held[odd] >= spec.unit_tokens:
                     held[odd] = 0
                     yield flush(odd)
+                    give_back()
         for odd in (0, 1):
             if open_units[odd][0]:
                 yield flush(odd)
+        give_back()
 
     fold = fold_of(id_col, spec.folds)
     part = F.when(fold == 0, 0).when(fold == 1, 1).otherwise(2)
@@ -156,6 +158,8 @@ def requests(units: DataFrame, shards: int, spec: LmSpec = LmSpec()) -> DataFram
                         ],
                         ["dest", "shard", "order", "unit", "keys", "learnt", "deleted"]
                     )
+                del keys, place, part, two, two_place, k, at, learnt, deleted, rows, cols
+                give_back()
 
     return units.mapInArrow(run, "dest long, shard int, order int, unit long, keys binary, learnt binary, deleted binary")
 
@@ -244,6 +248,8 @@ def replies(asked: DataFrame, shards: int, where: Places) -> DataFrame:
                 held.append(r)
         if held:
             yield answer()
+        held = []
+        give_back()
 
     return asked.repartition(shards, "dest").sortWithinPartitions("shard", "order").drop("dest").mapInArrow(run, REPLIES)
 
@@ -266,7 +272,7 @@ def _with_counts(units: DataFrame, answered: DataFrame, at: Places, per_unit, sc
         unit, counts, without = None, {}, {}
 
         def done():
-            join = lambda d: {k: np.concatenate(v) for k, v in d.items()}
+            join = lambda d: {k: np.concatenate(d.pop(k)) for k in list(d)}
             return per_unit(unit, join(counts), join(without))
 
         for b in sliced(batches, 64):
@@ -274,6 +280,7 @@ def _with_counts(units: DataFrame, answered: DataFrame, at: Places, per_unit, sc
                 if r["order"] == 0:
                     if unit is not None:
                         yield done()
+                        give_back()
                     unit, counts, without = r, {}, {}
                     continue
                 counts.setdefault(r["order"], []).append(_expand(r["keys"], "<u8"))
@@ -281,19 +288,32 @@ def _with_counts(units: DataFrame, answered: DataFrame, at: Places, per_unit, sc
                     without.setdefault(r["order"], []).append(_expand(r["stream"], "<u8"))
         if unit is not None:
             yield done()
+        unit = None
+        give_back()
 
     dealt = left.unionByName(right).repartition(at.width, "dest").sortWithinPartitions("unit", "order", "shard")
     return dealt.drop("dest").mapInArrow(run, schema)
 
 
-def _parts_of(unit: dict, counts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of each token, of its context, and of both in sequence."""
+def _stretches(lengths: list[int], most: int = 1 << 17) -> list[tuple[slice, slice]]:
+    """Documents, and their tokens, in stretches of whole documents: about ``most`` tokens each, or one longer document."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    docs = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(most, ends[-1], most)) + 1, [len(ends)]]))
+    tokens = np.append(0, ends)[docs]
+    cuts = lambda at: [slice(lo, hi) for lo, hi in zip(at.tolist(), at[1:].tolist(), strict=False)]
+    return list(zip(cuts(docs), cuts(tokens), strict=True))
+
+
+def _parts_of(unit: dict, counts: dict[int, np.ndarray]):
+    """For each of ``_stretches`` of the unit's documents: these, and counts of each token, of its context, and of both in
+    sequence. A unit's places are held as a whole, what is worked out from them only for a stretch."""
     keys, place = _expand_keys(unit["keys"]), _expand(unit["stream"], "<i4")
-    _, two_place = np.unique(_bigrams(keys, place), return_inverse=True)
-    own = counts[1][place].astype(np.float64)
-    end = counts[1][np.searchsorted(keys, END)]
-    before = np.append(float(end), own[:-1])
-    return own, before, counts[2][two_place].astype(np.float64)
+    two_place = np.unique(_bigrams(keys, place), return_inverse=True)[1].astype(np.int32)
+    last = np.searchsorted(keys, END)
+    for docs, at in _stretches(unit["lengths"]):
+        own = counts[1][place[at]].astype(np.float64)
+        before = np.append(float(counts[1][last]), own[:-1])  # a stretch begins behind the end of a text
+        yield docs, own, before, counts[2][two_place[at]].astype(np.float64)
 
 
 def _bucket(context: np.ndarray, spec: LmSpec) -> np.ndarray:
@@ -315,10 +335,11 @@ def deleted_histogram(units: DataFrame, answered: DataFrame, at: Places, tokens:
         return np.where(p > 0, 1 + np.minimum(np.floor(-spec.grain * np.log2(np.maximum(p, 1e-300))), levels - 2), 0).astype(np.int64)
 
     def per_unit(unit, _, without):
-        own, before, both = _parts_of(unit, without)
-        two = np.where(before > 0, both / np.maximum(before, 1), 0.0)
-        cell = (_bucket(before, spec) * levels + level(two)) * levels + level(own / max(tokens, 1))
-        u, n = np.unique(cell, return_counts=True)
+        cells = []
+        for _, own, before, both in _parts_of(unit, without):
+            two = np.where(before > 0, both / np.maximum(before, 1), 0.0)
+            cells.append((_bucket(before, spec) * levels + level(two)) * levels + level(own / max(tokens, 1)))
+        u, n = np.unique(np.concatenate(cells), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int64())], ["cell", "n"])
 
     odd = F.col("unit").bitwiseAND(1) == 1
@@ -365,21 +386,24 @@ def score(docs: DataFrame, spec: LmSpec = LmSpec(), *, id_col: str = "doc_id", t
     weights = mixture(deleted_histogram(units, answered, at, tokens_without, spec), types_without, spec)
 
     def per_unit(unit, counts, _):
-        own, before, both = _parts_of(unit, counts)
-        w = weights[_bucket(before, spec)]
-        two = np.where(before > 0, both / np.maximum(before, 1), 0.0)
-        p = w[:, 0] * two + w[:, 1] * (own / max(tokens, 1)) + w[:, 2] / (types + 1)
-        base = np.log10((own + spec.add) / (tokens + spec.add * (types + 1)))
+        sums = []
+        for docs, own, before, both in _parts_of(unit, counts):
+            w = weights[_bucket(before, spec)]
+            two = np.where(before > 0, both / np.maximum(before, 1), 0.0)
+            p = w[:, 0] * two + w[:, 1] * (own / max(tokens, 1)) + w[:, 2] / (types + 1)
+            base = np.log10((own + spec.add) / (tokens + spec.add * (types + 1)))
+            starts = np.append(0, np.cumsum(unit["lengths"][docs])[:-1])
+            sums.append([np.add.reduceat(v, starts) for v in ((own > 0).astype(np.int64), base, np.log10(p))])
+        known, base, total = (np.concatenate(v) for v in zip(*sums, strict=True))
         lengths = np.array(unit["lengths"])
-        starts = np.append(0, np.cumsum(lengths)[:-1])
         cols = [
             pa.array(unit["doc_ids"], pa.int64()),
             pa.array(np.array(unit["parts"]) == 0),
             pa.array(lengths, pa.int64()),
-            pa.array(np.add.reduceat((own > 0).astype(np.int64), starts)),
+            pa.array(known),
             pa.array(np.full(len(lengths), tokens), pa.int64()),
-            pa.array(np.add.reduceat(base, starts)),
-            pa.array(total := np.add.reduceat(np.log10(p), starts)),
+            pa.array(base),
+            pa.array(total),
             pa.array(total / lengths),
         ]
         return pa.RecordBatch.from_arrays(

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -79,3 +80,26 @@ def test_squeezed_arrays_come_back():
     r = random.Random(1)
     k = np.unique(np.array([r.randrange(1 << 64) for _ in range(999)], np.uint64))
     assert (ngram._expand_keys(ngram._squeeze_keys(k)) == k).all()
+
+
+def test_a_unit_is_scored_in_stretches_of_whole_documents():
+    rng = np.random.default_rng(5)
+    lengths = [1, 2, 400_000, 1, *[300] * 2000, 7]
+    keys = np.unique(np.append(rng.integers(1, 1 << 62, 50_000, dtype=np.uint64), ngram.END))
+    place = rng.integers(0, len(keys), sum(lengths)).astype("<i4")
+    place[np.cumsum(lengths) - 1] = np.searchsorted(keys, ngram.END)
+    at = ngram._stretches(lengths)
+    assert [d for docs, _ in at for d in range(len(lengths))[docs]] == list(range(len(lengths)))
+    assert all(sum(lengths[docs]) == t.stop - t.start for docs, t in at)
+    assert all(t.stop - t.start < (1 << 17) + 300 for docs, t in at if 2 not in range(len(lengths))[docs])
+    _, two = np.unique(ngram._bigrams(keys, place), return_inverse=True)
+    counts = {1: np.arange(len(keys), dtype="<u8"), 2: np.arange(two.max() + 1, dtype="<u8") % 7}
+    unit = {"keys": ngram._squeeze_keys(keys), "stream": ngram._squeeze(place), "lengths": lengths}
+    tracemalloc.start()
+    got = [[own.sum(), before.sum(), both.sum()] for _, own, before, both in ngram._parts_of(unit, counts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(place)  # bytes a token
+    own = counts[1][place].astype(float)
+    before = np.append(counts[1][np.searchsorted(keys, ngram.END)], own[:-1])
+    assert np.allclose(np.sum(got, axis=0), [own.sum(), before.sum(), counts[2][two].sum()], rtol=1e-12)
