@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scenelake.llm.common import WordHash, cut, fresh, shingles, shuffle_width, sliced, utf8_column, word_hashes
 from scenelake.operators.graph import connected_components
+from scenelake.plans.lineage import let_go
 
 _LAST = (1 << 63) - 1
 
@@ -354,6 +355,7 @@ def _classes(docs: DataFrame, spec: NearDupSpec, id_col: str, text_col: str) ->
         )
     )
     labels = connected_components(loose_edges(postings(reps, spec), reps, spec))
+    let_go(docs.sparkSession)  # the postings, most of what is shuffled
     clustered = cut(labels.join(reps.select("node", "rep", "n_shingles"), "node"))
     ids = clustered.select(F.when(F.col("rep.id") != _LAST, F.col("rep.id")).alias("doc_id"))
     sets = shingle_sets(docs, ids, clustered.count(), spec, id_col, text_col)
@@ -374,6 +376,7 @@ def near_duplicates(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), *, id_co
     table gives none; columns other than the two are not read.
     """
     base, classes = _classes(docs, spec, id_col, text_col)
+    let_go(docs.sparkSession)
     out = base.join(classes.select("node", F.col("least.id").alias("least")), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("least") != _LAST, F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
@@ -388,6 +391,7 @@ def survivors(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), *, id_col: str
     they were, whatever their names. The whole rows are shuffled once, after repeated ones have met in each task.
     """
     base, classes = _classes(docs, spec, id_col, text_col)
+    let_go(docs.sparkSession)  # before the whole rows are shuffled
     wordless = base.where("node is null").select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "doc_id", "text_hash")
     first = classes.select("least").distinct().select(
         F.col("least.id").alias("id"), F.when(F.col("least.id") != _LAST, F.col("least.id")).alias("doc_id"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,18 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the cleaner delete the shuffles and checkpoints that nothing refers to any more.
+
+    It learns of them when the driver collects its garbage, which a driver with little to do may put off for as long as
+    half an hour; until then the files of every finished step stay beside those of the next.
+    """
+    for _ in range(2):  # what Python lets go of reaches the driver's side with some delay
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def broadcast_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df``, to be broadcast if it has at most ``most`` rows; else the planner finds another way."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -343,3 +343,17 @@ def test_language_id_on_held_out_rows(spark):
     assert all(0 <= x["lang_score"] <= 1 for x in rows) and rows[243]["lang_pred"] == "aa"
     nothing = langid.fit(docs.where("false"))
     assert {x["lang_pred"] for x in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_finished_shuffles_do_not_stay(spark):
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    docs = table(spark, [prose(i % 9, 80) for i in range(40)] + AWKWARD)
+    neardup.let_go(spark)
+    time.sleep(1)
+    before = held.size()
+    rest = neardup.survivors(docs)
+    until = time.time() + 10
+    while held.size() > before + 8 and time.time() < until:  # 12 where nothing is let go
+        time.sleep(0.2)
+    assert held.size() <= before + 8
+    assert rest.count() < 40
