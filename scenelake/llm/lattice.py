@@ -6,9 +6,10 @@ import heapq
 import re
 import zlib
 from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ SPACE = "▁"
 #: Stands for a literal U+2581 of the text, which the pieces use for a space; no valid text holds it.
 _LITERAL = "\udc81"
 #: No piece crosses the start of a run of spaces or a line end, so a unit's lattice is independent of its neighbours.
-_UNIT = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+#: Texts fall into units before their spaces are replaced.
+_UNIT = re.compile(" *+[^ \n]+|\n+| +")
 _IN_UNIT = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]*")
 
 
@@ -80,7 +82,7 @@ class Pieces:
         self.byte_weight = -np.log(n + 8.0)
         self.longest = max(len(p) for p, _, _ in words)
         chars = sorted({c for p, _, _ in words for c in p}, key=lambda c: (ord(c) > 0x2FF and c != SPACE, c))
-        self.code = np.full(0x110000, -1, np.int32)
+        self.code = np.full(0x110000, -1, np.int64)
         for k, c in enumerate(chars):
             self.code[ord(c)] = k
         states, self.piece, self.weight = {"": 0}, [-1], [0.0]
@@ -91,24 +93,29 @@ class Pieces:
                     self.piece.append(-1)
                     self.weight.append(0.0)
             self.piece[states[p]], self.weight[states[p]] = i, w
-        self.piece, self.weight = np.array(self.piece, np.int32), np.array(self.weight)
-        self.table = np.full((len(states), self.dense), -1, np.int32)
+        #: states from here on stand for one code point spelt in one, two, three or four byte pieces
+        self.spelt = len(states)
+        self.piece = np.array([*self.piece, -1, -1, -1, -1], np.int32)
+        self.weight = np.array([*self.weight, *(self.byte_weight * k for k in (1, 2, 3, 4))])
+        self.depth = np.array([*map(len, states), 1, 1, 1, 1])
+        self.raw = np.array(self.bytes_of, object)
+        table = np.full((len(states), self.dense + 1), -1, np.int32)
         rare = []
         for p, s in states.items():
             if p:
                 c, parent = int(self.code[ord(p[-1])]), states[p[:-1]]
                 if c < self.dense:
-                    self.table[parent, c] = s
+                    table[parent, c] = s
                 else:
                     rare.append((parent << 21 | c, s))
+        self.flat = table.ravel()
         rare.sort()
         self.rare_key, self.rare_to = (np.array([r[i] for r in rare], np.int64) for i in (0, 1))
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """Next states, -1 where no piece goes on."""
-        out = np.full(len(state), -1, np.int32)
-        common = (char >= 0) & (char < self.dense)
-        out[common] = self.table[state[common], char[common]]
+        # the last column, of code points in no piece and of rare ones, leads nowhere
+        out = self.flat.take(state * (self.dense + 1) + np.minimum(char.view(np.uint64), self.dense).view(np.int64))
         other = np.flatnonzero(char >= self.dense)
         if len(other):
             key = state[other].astype(np.int64) << 21 | char[other]
@@ -122,25 +129,12 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def unit_of(node: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Unit of each node, by the units' last nodes."""
-    out = np.zeros(int(last[-1]) + 2, np.int32)
-    out[last + 1] = 1
-    return np.cumsum(out, dtype=np.int32)[node]
-
-
-class _Numbered(dict):
-    """Numbers keys in the order they are first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
-
-
 class Lattice:
     """Lattices of many units side by side. A unit of n code points has n + 1 nodes, the last its end.
 
-    Edges are grouped by start node. ``q`` is the probability of an edge given its start: piece weight times the total
+    Units are numbered by length (``rank``: of each that was given). The node of unit u with r code points to go is
+    ``column[r] + u``: nodes lie by what is to go, then by unit, so that all that may follow a node lies before it. Edges
+    are grouped by start node. ``q`` is the probability of an edge given its start: piece weight times the total
     weight of what may follow, over the total from the start (backward sums). ``log_q`` holds the logarithms where sums leave
     the range of doubles, else nothing.
     """
@@ -149,94 +143,91 @@ class Lattice:
     gain = 2.8
 
     def __init__(self, units: list[str], model: Pieces, alpha: float):
-        text = "".join(units)
-        self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        text = "".join(units).replace(" ", SPACE)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        number = np.arange(len(units))
-        ends = np.cumsum(sizes)
-        self.starts = ends - sizes + number  # first node of each unit
-        self.size = sizes
-        n = len(self.points)
-        self.nodes = n + len(units)
-        chars = model.code[self.points]
-        unit = np.repeat(number, sizes)
-        room = ends[unit] - np.arange(n)  # code points from here to the end of the unit
-        state, at = np.zeros(n, np.int32), np.arange(n)
-        found, seen = [], np.zeros(n, np.int8)
-        for length in range(1, model.longest + 1):
-            state = model.step(state, chars[at + (length - 1)])
+        order = np.argsort(sizes, kind="stable")
+        self.rank = np.empty_like(order)
+        self.rank[order] = np.arange(len(units))
+        self.size = sizes[order]
+        longest = int(self.size[-1])
+        skipped = np.searchsorted(self.size, np.arange(longest + 1))  # units too short for a column
+        height = len(units) - skipped
+        self.heads = np.append(0, np.cumsum(height))  # first node of each column
+        self.column = self.heads[:-1] - skipped
+        self.ends, self.nodes = len(units), int(self.heads[-1])
+        room = np.repeat(np.arange(1, longest + 1), height[1:])
+        unit = np.arange(self.ends, self.nodes) - np.repeat(self.column[1:], height[1:])
+        here = np.cumsum(sizes)[order].take(unit) - room
+        self.points = points.take(here)  # code point of each node that is no end
+        chars = model.code.take(points)
+        state, at = np.zeros(len(here), np.int64), np.arange(len(here))
+        found, seen = [], np.zeros(len(here), np.int8)
+        for length in range(1, min(model.longest, longest) + 1):
+            state = model.step(state, chars.take(here))
             alive = np.flatnonzero(state >= 0)
-            state, at = state[alive], at[alive]
-            full = np.flatnonzero(model.piece[state] >= 0)
+            state, at, here = state.take(alive).astype(np.int64), at.take(alive), here.take(alive)
+            full = np.flatnonzero(model.piece.take(state) >= 0)
             if len(full):
-                found.append((at[full], seen[at[full]], length, state[full]))
-                seen[at[full]] += 1
+                whole = at.take(full)
+                rank = seen.take(whole)
+                found.append((whole, rank, state.take(full)))
+                seen[whole] = rank + 1
             if length == 1 and len(spelt := np.flatnonzero(seen == 0)):
-                found.append((spelt, 0, 1, None))
+                p = self.points[spelt]
+                found.append((spelt, 0, model.spelt + (p > 0x7F).astype(int) + (p > 0x7FF) + (p > 0xFFFF)))
                 seen[spelt] = 1
-            more = np.flatnonzero(room[at] > length)
-            state, at = state[more], at[more]
-        first = np.cumsum(seen, dtype=np.int64)
-        total, first = int(first[-1]), first - seen  # edges before each code point's own
-        node = np.arange(n) + unit
-        self.from_, self.len, self.id = np.empty(total, np.int32), np.empty(total, np.int8), np.empty(total, np.int32)
-        w = np.empty(total)
-        by_state = alpha * model.weight
-        for where, rank, length, state in found:
-            e = first[where] + rank
-            self.from_[e] = node[where]
-            self.len[e] = length
-            if state is None:
-                p = self.points[where]
-                width = 1 + (p > 0x7F).astype(int) + (p > 0x7FF) + (p > 0xFFFF)
-                self.id[e], w[e] = -1, alpha * model.byte_weight * width + self.gain
-            else:
-                self.id[e], w[e] = model.piece[state], by_state[state] + self.gain * length
-        self.first = np.empty(self.nodes + 1, np.int64)
-        self.first[node] = first
-        last = self.starts + sizes
-        self.first[last] = np.append(first[ends[:-1]], total)
-        self.first[-1] = total
-        dist = room[(self.from_ - unit_of(self.from_, last))]
-        self._backward(w, dist, last)
-
-    def _backward(self, w: np.ndarray, dist: np.ndarray, last: np.ndarray) -> None:
-        by = np.argsort(dist.astype(np.uint16) if dist.max(initial=0) < 1 << 16 else dist, kind="stable")
-        cuts = np.append(np.flatnonzero(np.diff(dist[by], prepend=-1)), len(dist))
-        start, ahead = self.from_[by], self.from_[by] + self.len[by]
-        heads = np.flatnonzero(np.diff(start, prepend=-1))
-        bounds = np.searchsorted(heads, cuts)
-        value = np.exp(w)[by]
-        beta = np.zeros(self.nodes)
-        beta[last] = 1.0
-        for k in range(len(cuts) - 1):
-            lo, hi = cuts[k], cuts[k + 1]
-            h = heads[bounds[k] : bounds[k + 1]]
-            beta[start[h]] = np.add.reduceat(value[lo:hi] * beta[ahead[lo:hi]], h - lo)
-        plain = bool((beta > 1e-280).all() and (beta < 1e280).all())
-        if plain:
-            self.q = np.exp(w) * beta[self.from_ + self.len] / beta[self.from_]
-            plain = bool((self.q > 0).all())
-        lead = np.flatnonzero(np.diff(self.from_, prepend=-1))
+            if length < longest:
+                more = np.searchsorted(at, self.heads[length + 1] - self.ends)  # those before end here
+                state, at, here = state[more:], at[more:], here[more:] + 1
+        self.first = np.zeros(self.nodes + 1, np.int64)
+        np.cumsum(seen, out=self.first[self.ends + 1 :])
+        self.state = np.empty(int(self.first[-1]), np.int64)
+        own = self.first[self.ends : -1]  # first edge of each node that is no end
+        for whole, rank, state in found:
+            self.state[own.take(whole) + rank] = state
+        at = np.repeat(np.arange(len(seen)), seen)
+        self.from_ = at + self.ends
+        self.len = model.depth.take(self.state)
+        ahead = self.column.take(room.take(at) - self.len) + unit.take(at)
+        self._backward(alpha * model.weight + self.gain * model.depth, seen, ahead)
+
+    def _backward(self, score: np.ndarray, degree: np.ndarray, ahead: np.ndarray) -> None:
+        """Probabilities of edges, from the log weight of each state, the number of edges from each node that is no end
+        and the node that each edge leads to."""
+        own = self.first[self.ends : -1]
+        heads, cuts = self.heads[1:], self.first[self.heads[1:]]
+        beta = np.ones(self.nodes)
+        with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+            self.q = np.exp(score).take(self.state)
+            for a, b, lo, hi in zip(heads[:-1], heads[1:], cuts[:-1], cuts[1:], strict=True):
+                flow = self.q[lo:hi]
+                flow *= beta.take(ahead[lo:hi])
+                np.add.reduceat(flow, self.first[a:b] - lo, out=beta[a:b])
+            plain = bool(beta.min() > 1e-280 and beta.max() < 1e280)
+            if plain:
+                self.q /= np.repeat(beta[self.ends :], degree)
+                plain = bool(self.q.min() > 0)
         if plain:
             np.minimum(self.q, 1.0, out=self.q)
             self.log_q = None
         else:  # sums left the range of doubles: long units, many code points in bytes, or a high alpha
             beta[:] = 0.0
-            value = w[by]
-            for k in range(len(cuts) - 1):
-                lo, hi = cuts[k], cuts[k + 1]
-                h = heads[bounds[k] : bounds[k + 1]]
-                v = value[lo:hi] + beta[ahead[lo:hi]]
-                top = np.maximum.reduceat(v, h - lo)
-                rest = np.exp(v - np.repeat(top, np.diff(np.append(h, hi))))
-                beta[start[h]] = top + np.log(np.add.reduceat(rest, h - lo))
-            self.log_q = np.minimum(w + beta[self.from_ + self.len] - beta[self.from_], 0.0)
+            self.log_q = score.take(self.state)
+            for a, b, lo, hi in zip(heads[:-1], heads[1:], cuts[:-1], cuts[1:], strict=True):
+                flow = self.log_q[lo:hi]
+                flow += beta.take(ahead[lo:hi])
+                at = self.first[a:b] - lo
+                top = np.maximum.reduceat(flow, at)
+                rest = np.exp(flow - np.repeat(top, degree[a - self.ends : b - self.ends]))
+                beta[a:b] = top + np.log(np.add.reduceat(rest, at))
+            self.log_q -= np.repeat(beta[self.ends :], degree)
+            np.minimum(self.log_q, 0.0, out=self.log_q)
             self.q = np.exp(self.log_q)
-        run = np.cumsum(self.q)
-        self.mono = run - np.repeat(run[lead] - self.q[lead], np.diff(np.append(lead, len(run))))
+        self.mono = np.cumsum(self.q)
+        self.mono -= np.repeat(self.mono.take(own) - self.q.take(own), degree)
         np.minimum(self.mono, 1.0, out=self.mono)
-        self.mono[np.append(lead[1:], len(run)) - 1] = 1.0
+        self.mono[self.first[self.ends + 1 :] - 1] = 1.0
         self.mono += self.from_
 
     def logs(self, edges) -> np.ndarray:
@@ -266,8 +257,17 @@ class Lattice:
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node that a uniform number picks."""
-        e = np.searchsorted(self.mono, node + u, side="right")
-        return np.minimum(e, self.first[node + 1] - 1)
+        last = self.first.take(node + 1) - 1
+        e, x = self.first.take(node), node + u
+        if len(e) < 256:
+            return np.minimum(np.searchsorted(self.mono, x, side="right"), last)
+        past = np.flatnonzero(self.mono.take(e) <= x)
+        y, f = x.take(past), e.take(past)
+        f += 1
+        e[past] = f
+        more = np.flatnonzero(self.mono.take(f, mode="clip") <= y)
+        e[past.take(more)] = np.searchsorted(self.mono, y.take(more), side="right")
+        return np.minimum(e, last)
 
 
 _SCALE = 2.0**-53
@@ -311,15 +311,16 @@ def sample_batch(
     """
     units, counts = [], np.zeros(len(texts) + 1, np.int64)
     for k, t in enumerate(texts):
-        found = _UNIT.findall(SPACE + t.replace(SPACE, _LITERAL).replace(" ", SPACE)) if t else []
+        found = _UNIT.findall(" " + t.replace(SPACE, _LITERAL)) if t else []
         units.append(found)
         counts[k + 1] = len(found)
-    index = _Numbered()
+    index = defaultdict(count().__next__)  # numbers units in the order they are first asked for
     occ = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
     del units
     if not len(occ):
         return [[(np.empty(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
     lat = Lattice(list(index), model, spec.alpha)
+    occ = lat.rank[occ]
     cuts = np.cumsum(counts)
     points = np.array([len(t) + 1 if t else 0 for t in texts])
     out, lo = [], 0
@@ -336,23 +337,26 @@ def _draw(
     """The samples of texts of ``points`` code points whose units are ``occ`` in one run."""
     size = lat.size[occ]
     base = np.cumsum(size) - size  # place of each occurrence among all code points of the texts
-    by_unit = base[np.argsort(occ, kind="stable")]  # so that edges are looked up in the order they lie in memory
+    by_unit = np.argsort(occ, kind="stable")  # so that edges are looked up in the order they lie in memory
     total = int(size.sum())
     doc_start = np.append(0, np.cumsum(points))
     # what a place's uniform number is made of, but for the sample
-    base_hash = np.repeat(seeds, points) + (np.arange(total) - np.repeat(doc_start[:-1], points)).astype(np.uint64) * _PLACE
-    to_node = np.repeat(lat.starts[occ] - base, size)  # node of a place = place + this
-    unit_stop = np.repeat(base + size, size)
+    base_hash = np.repeat(seeds - doc_start[:-1].astype(np.uint64) * _PLACE, points)
+    base_hash += np.arange(total, dtype=np.uint64) * _PLACE
 
     def free(sample: int) -> np.ndarray:
         """An edge for every place that a path sampled afresh in each unit starts a piece at, else -1."""
-        chosen = np.full(total, -1, np.int32)
-        at = by_unit
+        chosen = np.full(total, -1, np.int64)
+        unit = occ[by_unit]
+        at, room = base[by_unit], lat.size[unit]
         while len(at):
-            e = lat.pick(at + to_node[at], _uniform_of(base_hash[at], sample))
+            e = lat.pick(lat.column.take(room) + unit, _uniform_of(base_hash.take(at), sample))
             chosen[at] = e
-            ahead = at + lat.len[e]
-            at = ahead[ahead < unit_stop[at]]
+            length = lat.len.take(e)
+            room -= length
+            at += length
+            on = np.flatnonzero(room)
+            at, room, unit = at.take(on), room.take(on), unit.take(on)
         return chosen
 
     results: list[list] = [[] for _ in points]
@@ -381,17 +385,18 @@ def _draw(
                 g = -g
                 old_places, old_edges, old_logs = results[d][parent][:3]
                 place = int(old_places[kept])
-                shift = lo + int(to_node[place + lo])  # constant within a unit
-                node = place + shift
+                o = int(np.searchsorted(base, place + lo, side="right")) - 1
+                stop, unit = int(base[o] + size[o]) - lo, int(occ[o])
+                node = int(lat.column[stop - place]) + unit
                 options = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in banned]
                 p = lat.logs(options)
                 p = np.exp(p - p.max())
                 u = _uniform_one(keys[d], 2000 + s, place)
                 e = options[min(int(np.searchsorted(np.cumsum(p) / p.sum(), u)), len(options) - 1)]
                 new_places, new_edges = [place], [e]
-                at, stop = place + int(lat.len[e]), int(unit_stop[place + lo]) - lo
+                at = place + int(lat.len[e])
                 while at < stop:
-                    node = at + shift
+                    node = int(lat.column[stop - at]) + unit
                     own, end = int(lat.first[node]), int(lat.first[node + 1])
                     e = min(bisect_right(lat.mono, node + _uniform_one(keys[d], s, at), own, end), end - 1)
                     new_places.append(at)
@@ -399,7 +404,7 @@ def _draw(
                     at += int(lat.len[e])
                 t = bisect_left(where, lo + stop, a, b)
                 places = np.concatenate([old_places[:kept], new_places, where[t:b] - lo])
-                edges = np.concatenate([old_edges[:kept], np.array(new_edges, np.int32), drawn[t:b]])
+                edges = np.concatenate([old_edges[:kept], new_edges, drawn[t:b]])
                 logs = np.concatenate([old_logs[:kept], lat.logs(new_edges), log_q[t:b]])
             results[d].append((places, edges, logs, float(logs.sum()), g))
             left.append((heaps[d], places, edges, logs, kept, banned, g, keys[d], len(results[d]) - 1))
@@ -416,7 +421,7 @@ def _draw(
     return out
 
 
-def _branch(paths: list[tuple], lat: Lattice, sample: int, spec: SampleSpec, width: int = 64) -> None:
+def _branch(paths: list[tuple], lat: Lattice, sample: int, spec: SampleSpec, width: int = 256) -> None:
     """Push, for each new path, the sets that leave it at its place ``kept`` or later.
 
     All paths are done side by side on their next ``width`` places; the mass that is left falls fast, and paths whose
@@ -432,28 +437,40 @@ def _branch(paths: list[tuple], lat: Lattice, sample: int, spec: SampleSpec, wid
     for k, (_, places, edges, logs, kept, _, _, _, _) in enumerate(paths):
         n = min(width, len(edges) - kept)
         edge[k, :n], place[k, :n], own[k, :n] = edges[kept : kept + n], places[kept : kept + n], logs[kept : kept + n]
-    rest = lat.log_rest(edge.ravel()).reshape(edge.shape)
+    before = np.array([float(p[3][: p[4]].sum()) if p[4] else 0.0 for p in paths])
+    mass = before[:, None] + np.cumsum(own, axis=1) - own
+    length = np.array([len(p[2]) - p[4] for p in paths])
+    inside = np.arange(width) < length[:, None]
+    near = inside & (mass >= spec.least_log_mass)
+    rest = np.full(mass.shape, -np.inf)
+    rest[near] = lat.log_rest(edge[near])
     for k, (_, _, edges, _, kept, banned, _, _, _) in enumerate(paths):
         if banned:
             node = int(lat.from_[edges[kept]])
             options = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in banned and e != edges[kept]]
             rest[k, 0] = np.logaddexp.reduce(lat.logs(options)) if options else -np.inf
-    before = np.array([float(p[3][: p[4]].sum()) if p[4] else 0.0 for p in paths])
-    mass = before[:, None] + np.cumsum(own, axis=1) - own
-    length = np.array([len(p[2]) - p[4] for p in paths])
-    loc = mass + rest
-    there = (np.arange(width) < length[:, None]) & (loc > -np.inf)
-    ok = there & ((mass >= spec.least_log_mass) | (np.cumsum(there, axis=1) <= spec.samples + 1))
+    few = np.flatnonzero((rest > -np.inf).sum(axis=1) <= spec.samples)
+    if len(few):  # look behind the places that have mass
+        behind = inside & ~near
+        behind[:, 0] &= [not p[5] for p in paths]
+        behind &= np.isin(np.arange(len(paths)), few)[:, None]
+        rest[behind] = lat.log_rest(edge[behind])
+    there = inside & (mass + rest > -np.inf)
+    ok = there & (near | (np.cumsum(there, axis=1) <= spec.samples + 1))
     if width < length.max():
         open_ = (length > width) & ((mass[:, -1] >= spec.least_log_mass) | (ok.sum(axis=1) <= spec.samples))
         again = np.flatnonzero(open_).tolist()
     seed = np.array([p[7] for p in paths], np.uint64)
     bound = np.array([p[6] for p in paths])
-    u = _uniform(np.repeat(seed, width), 1000 + sample, place.ravel()).reshape(place.shape)
+    row = np.nonzero(ok)[0]
+    u = _uniform(seed[row], 1000 + sample, place[ok])
+    loc = (mass + rest)[ok]
+    g = np.full(ok.shape, -np.inf)
     with np.errstate(over="ignore"):
         # loc - log(exp(loc - bound) - log(u)): a Gumbel at loc, truncated at the bound
-        g = np.where(ok, loc - np.logaddexp(np.where(ok, loc, 0.0) - bound[:, None], np.log(-np.log(u))), -np.inf)
-    best = np.argsort(-g, axis=1)[:, : spec.samples + 1]
+        g[ok] = loc - np.logaddexp(loc - bound[row], np.log(-np.log(u)))
+    best = np.argpartition(-g, min(spec.samples, width - 1), axis=1)[:, : spec.samples + 1]
+    best = np.take_along_axis(best, np.argsort(-np.take_along_axis(g, best, axis=1), axis=1), axis=1)
     redo = set(again)
     for k, (heap, _, _, _, kept, banned, _, _, number) in enumerate(paths):
         if k in redo:
@@ -463,16 +480,15 @@ def _branch(paths: list[tuple], lat: Lattice, sample: int, spec: SampleSpec, wid
                 break
             heapq.heappush(heap, (-float(g[k, i]), number, kept + i, (banned if i == 0 else frozenset()) | {int(edge[k, i])}))
     if again:
-        _branch([paths[k] for k in again], lat, sample, spec, width * 8)
+        _branch([paths[k] for k in again], lat, sample, spec, width * 2)
 
 
 def _ids(lat: Lattice, model: Pieces, edges: np.ndarray) -> np.ndarray:
-    ids = lat.id[edges]
+    ids = model.piece.take(lat.state.take(edges))
     spelt = np.flatnonzero(ids < 0)
     if not len(spelt):
         return ids
-    node = lat.from_[edges[spelt]]
-    points = lat.points[node - np.searchsorted(lat.starts, node, side="right") + 1]
+    points = lat.points[lat.from_[edges[spelt]] - lat.ends]
     ids[spelt] = model.byte_id[np.minimum(points, 0x7F)]
     wide = np.flatnonzero(points > 0x7F)
     if not len(wide):
@@ -488,7 +504,7 @@ def _ids(lat: Lattice, model: Pieces, edges: np.ndarray) -> np.ndarray:
 
 def decode_ids(ids, model: Pieces) -> bytes:
     """UTF-8 text of piece ids, without the space put before it."""
-    return b"".join(map(model.bytes_of.__getitem__, ids))[1:]
+    return b"".join(model.raw.take(np.asarray(ids, np.int64)).tolist())[1:]
 
 
 def _seed_of(doc_id: int | None, spec: SampleSpec) -> int:
@@ -535,7 +551,7 @@ def sample_segmentations(
                 cols += [
                     pa.array([len(r[3]) for r in rows], pa.int64()),
                     pa.array([zlib.crc32(r[3].astype("<u4").tobytes()) for r in rows], pa.int64()),
-                    pa.array([decode_ids(r[3].tolist(), m) == r[2].encode("utf-8", "surrogatepass") for r in rows])
+                    pa.array([decode_ids(r[3], m) == r[2].encode("utf-8", "surrogatepass") for r in rows])
                 ]
                 names += ["n_pieces", "ids_crc32", "round_trip"]
             else:

@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -99,3 +100,32 @@ def test_single_and_array_draws_agree():
     seeds = np.array([3, 1 << 63, (1 << 64) - 1], np.uint64)
     at = np.array([0, 7, 100_000])
     assert lattice._uniform(seeds, 2001, at).tolist() == [lattice._uniform_one(int(s), 2001, int(a)) for s, a in zip(seeds, at, strict=True)]
+
+
+def test_branches_look_only_at_places_with_mass(monkeypatch):
+    """Other edges are summed at the places whose prefix has mass, not at a round number of places of every path."""
+    asked, of_edges = [], lattice.Lattice.log_rest
+    monkeypatch.setattr(lattice.Lattice, "log_rest", lambda lat, edges: (asked.append(len(edges)), of_edges(lat, edges))[1])
+    texts, spec = [prose(i, 400) for i in range(30)], lattice.SampleSpec(samples=1)
+    drawn = lattice.sample_batch(np.arange(30, dtype=np.uint64), texts, MODEL, spec)
+    places = sum(len(r[0]) for rows in drawn for r in rows)
+    assert 0 < sum(asked) < 0.5 * places
+
+
+def test_samples_of_odd_texts_stay_as_they_were():
+    """Ids drawn by the version that kept edges in the order of the text."""
+    texts = ["of the", "▁ literal ▁▁ and   spaces \u0000 ", "x" * 3000 + " to be", "漢字 😀é\n\n the", " \n ", "", prose(3, 300)]
+    seeds = np.arange(len(texts), dtype=np.uint64) * np.uint64(977) + np.uint64(5)
+    want = {
+        1.0: [
+            [2121439505, 3641061668, 1133787067], [3835254867, 2828163830, 2641362973], [1472909109, 1309638852, 1436383386],
+            [1241598709, 712159906, 2272969374], [448757381, 4185656235], [0], [1399933515, 3402736753, 483428244]
+        ],
+        20.0: [
+            [2121439505, 3641061668, 1133787067], [3835254867, 2684927297, 2828163830], [3197310473, 2963714536, 3259154709],
+            [1241598709, 712159906, 2272969374], [448757381, 4185656235], [0], [2374319361, 3652299684, 3023329741]
+        ]
+    }
+    for alpha, sums in want.items():
+        rows = lattice.sample_batch(seeds, texts, MODEL, lattice.SampleSpec(samples=3, alpha=alpha))
+        assert [[zlib.crc32(r[0].astype("<u4").tobytes()) for r in own] for own in rows] == sums
